@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from quarry.llm.mixing import mix
+from quarry.llm.simhash import hex_of, near_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint of each document and its component of near duplicates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 SPACES_SQL = r"chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
 
 OP2_SQL = r"""
@@ -84,6 +91,7 @@ GROUP BY doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_line_dedup": op3_line_dedup,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op3_line_dedup": OP3_SQL}
