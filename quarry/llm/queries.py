@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import quality, toxicity
 from quarry.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from quarry.llm.mixing import mix
+from quarry.llm.sample import remainder
 from quarry.llm.simhash import hex_of, near_duplicates
 
 
@@ -29,12 +31,28 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each document for toxicity, from a model that never saw the labels of the rows held out."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    out = toxicity.scores(docs, toxicity.train(docs, labels, max_rows=10_000))
+    held = remainder(F.col("doc_id"), 3) == 1
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint of each document and its component of near duplicates."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each document for quality, from a model that never saw the labels of the rows held out."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    out = quality.scores(docs, quality.train(docs, labels, max_rows=10_000))
+    held = remainder(F.col("doc_id"), 5) == 0
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 SPACES_SQL = r"chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
 
 OP2_SQL = r"""
@@ -91,7 +109,9 @@ GROUP BY doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_line_dedup": op3_line_dedup,
+    "op4_toxicity": op4_toxicity,
     "op7_simhash": op7_simhash,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op3_line_dedup": OP3_SQL}
