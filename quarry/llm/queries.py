@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.llm import quality, toxicity
 from quarry.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from quarry.llm.mixing import mix
+from quarry.llm.packing import pack, pieces
 from quarry.llm.sample import remainder
 from quarry.llm.simhash import hex_of, near_duplicates
 
@@ -45,6 +46,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_path(name: str) -> str:
+    """The path of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids, and the sequence of 2048 and the place in it that each one gets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(pieces(docs, tokenizer_path("word_bpe_49k.json"), capacity=2048), capacity=2048)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of each document for quality, from a model that never saw the labels of the rows held out."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
@@ -111,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality": op9_quality,
 }
 
