@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import quality, toxicity
+from quarry.llm.fingerprint import with_next
 from quarry.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from quarry.llm.mixing import mix
 from quarry.llm.packing import pack, pieces
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document and of its edit by half the next document, and how alike they are."""
+    return with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that a mix at target weights 5, 2, 1 takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -121,6 +127,7 @@ GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprint": op1_fingerprint,
     "op2_mix_sources": op2_mix_sources,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
