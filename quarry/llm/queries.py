@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import quality, toxicity
 from quarry.llm.fingerprint import with_next
+from quarry.llm.html_text import extract
 from quarry.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from quarry.llm.mixing import mix
 from quarry.llm.packing import pack, pieces
@@ -46,6 +47,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    out = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint of each document and its component of near duplicates."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -131,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
+    "op6_html_extract": op6_html_extract,
     "op7_simhash": op7_simhash,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality": op9_quality,
