@@ -16,6 +16,7 @@ import html
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -45,83 +46,47 @@ CONTENT = frozenset("article post entry content story main maincontent articlebo
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "outside", "hinted", "heading")
-#: The labelled table: a row's features in the order of FEATURES, then 1 if the block is main text.
+#: The labelled table, of blocks that nothing around them tells apart: the first six features, heading, then 1 if the block is main text.
 LABELLED = """
-1 1 0 0 1 1 0 1 0 0 0
-1 1 1 1 1 1 0 1 0 0 0
-2 1 3 1 2 1 0 1 0 0 0
-3 1 2 1 12 0 0 1 0 0 0
-4 0 0 0 2 1 0 1 0 0 0
-6 0 40 0 0 0 0 1 0 0 0
-12 0.1 80 0 0 0 0 1 0 0 0
-25 0.2 60 0 3 0 0 1 0 0 0
-60 0 55 0 0 0 0 1 0 0 0
-90 0 70 0 40 0 0 1 0 0 0
-30 0 25 0 45 0 1 1 0 0 0
-5 0 60 0 30 0 1 1 0 0 0
-2 1 35 0 4 1 1 1 0 0 0
-50 0 80 0 60 0 1 1 0 0 0
-9 0 1 1 12 0 0 0 1 0 0
-40 0 1 1 8 0 0 0 1 0 0
-75 0 2 1 10 0 0 0 1 0 0
-120 0 30 0 50 0 0 0 1 0 0
-8 0 90 0 40 0 1 0 1 0 0
-25 0 60 0 20 0 1 0 1 0 0
-55 0 70 0 65 0 1 0 1 0 0
-100 0 120 0 15 0 1 0 1 0 0
-3 0 100 0 25 0 1 0 1 1 0
-2 0.5 50 0 6 0 1 0 1 0 0
-4 0 30 0 10 0 0 0 1 1 0
-10 0 9 0 80 0 1 0 0 1 1
-5 0 0 0 2 0 1 0 0 1 1
-8 0 1 1 45 0 1 0 0 1 1
-3 0 90 0 60 0 1 0 0 1 1
-1 0 20 0 2 0 1 0 0 1 1
-12 0 8 0 30 0 1 0 0 0 1
-80 0 10 0 90 0 1 0 0 0 1
-150 0.05 70 0 4 0 1 0 0 0 1
-2 0 120 0 5 0 1 0 0 0 1
-1 0 4 0 60 0 1 0 0 0 1
-1 0 2 0 10 0 1 0 0 0 1
-4 0 1 0 1 0 1 0 0 0 1
-6 0.3 50 0 70 0 1 0 0 0 1
-2 1 60 0 40 0 1 0 0 0 1
-9 1 60 0 70 0 1 0 0 0 1
-7 0 100 0 8 0 1 0 0 0 1
-30 0.4 45 0 60 0 1 0 0 0 1
-45 0 0 0 0 0 1 0 0 0 1
-1 0 0 0 0 0 1 0 0 0 1
-70 0 8 0 85 0 0 0 0 0 1
-110 0.02 60 0 95 0 0 0 0 0 1
-40 0.1 90 0 60 0 0 0 0 0 1
-28 0 75 0 45 0 0 0 0 0 1
-22 0 30 0 50 0 0 0 0 0 1
-9 0 60 0 70 0 0 0 0 0 1
-6 0 45 0 55 0 0 0 0 0 1
-14 0 80 0 35 0 0 0 0 0 1
-55 0 1 1 4 0 0 0 0 0 1
-35 0 5 0 0 0 0 0 0 0 1
-7 0 2 1 65 0 0 0 0 1 1
-5 0 70 0 50 0 0 0 0 1 1
-10 0 1 0 90 0 0 0 0 1 1
-1 1 1 1 1 1 0 0 0 0 0
-2 1 2 1 3 1 0 0 0 0 0
-4 1 1 1 30 0 0 0 0 0 0
-3 0.9 60 0 3 1 0 0 0 0 0
-5 0.8 4 1 5 1 0 0 0 0 0
-8 0.9 7 0.9 9 0.9 0 0 0 0 0
-12 0.8 10 1 11 0.9 0 0 0 0 0
-18 0.7 3 1 4 1 0 0 0 0 0
-2 0 1 1 1 1 0 0 0 0 0
-3 0 0 0 2 1 0 0 0 0 0
-4 0 3 0 2 0 0 0 0 0 0
-6 0 5 0.5 4 1 0 0 0 0 0
-8 0 3 1 0 0 0 0 0 0 0
-5 0 4 0 0 0 0 0 0 0 0
-3 0 2 1 3 1 0 0 0 1 0
-2 0 3 0 4 1 0 0 0 1 0
-40 0 0 0 0 0 0 0 0 0 1
-4 0 0 0 0 0 0 0 0 0 1
+70 0 8 0 85 0 0 1
+110 0.02 60 0 95 0 0 1
+40 0.1 90 0 60 0 0 1
+28 0 75 0 45 0 0 1
+22 0 30 0 50 0 0 1
+9 0 60 0 70 0 0 1
+6 0 45 0 55 0 0 1
+14 0 80 0 35 0 0 1
+55 0 1 1 4 0 0 1
+35 0 5 0 0 0 0 1
+7 0 2 1 65 0 1 1
+5 0 70 0 50 0 1 1
+10 0 1 0 90 0 1 1
+1 1 1 1 1 1 0 0
+2 1 2 1 3 1 0 0
+4 1 1 1 30 0 0 0
+3 0.9 60 0 3 1 0 0
+5 0.8 4 1 5 1 0 0
+8 0.9 7 0.9 9 0.9 0 0
+12 0.8 10 1 11 0.9 0 0
+18 0.7 3 1 4 1 0 0
+2 0 1 1 1 1 0 0
+3 0 0 0 2 1 0 0
+4 0 3 0 2 0 0 0
+6 0 5 0.5 4 1 0 0
+8 0 3 1 0 0 0 0
+5 0 4 0 0 0 0 0
+3 0 2 1 3 1 1 0
+2 0 3 0 4 1 1 0
+50 0 2 0 4 1 0 1
+30 0 40 0 3 1 0 1
+20 0 60 0 5 1 0 1
+90 0 50 0 6 1 0 1
+3 0 4 1 40 0 1 1
+4 0 2 1 60 0 1 1
+2 0 4 1 0 0 0 0
+3 0 30 0 0 0 0 0
+40 0 0 0 0 0 0 1
+4 0 0 0 0 0 0 1
 """
 
 
@@ -161,13 +126,14 @@ class Tree:
 
 @cache
 def tree() -> Tree:
-    """The tree for LABELLED, where each block of main text stands twice more: as it would be outside, or hinted, and then is none."""
-    rows = np.array([[float(v) for v in line.split()] for line in LABELLED.strip().splitlines()])
-    main = rows[rows[:, -1] == 1]
-    for name in ("outside", "hinted"):
-        moved = main.copy()
-        moved[:, FEATURES.index(name)], moved[:, -1] = 1, 0
-        rows = np.concatenate([rows, moved])
+    """The tree for LABELLED, where each block stands again as it is in an article (main text), outside of any or hinted (none)."""
+    table = np.array([[float(v) for v in line.split()] for line in LABELLED.strip().splitlines()])
+    rows = []
+    for article, outside, hinted in product((0, 1), repeat=3):
+        flags = np.tile([article, outside, hinted], (len(table), 1))
+        label = np.zeros(len(table)) if outside or hinted else np.ones(len(table)) if article else table[:, 7]
+        rows.append(np.column_stack([table[:, :6], flags, table[:, 6], label]))
+    rows = np.concatenate(rows)
     return Tree(rows[:, :-1], rows[:, -1])
 
 
