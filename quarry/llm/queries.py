@@ -12,6 +12,7 @@ from quarry.llm.fingerprint import with_next
 from quarry.llm.html_text import extract
 from quarry.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from quarry.llm.mixing import mix
+from quarry.llm.neighbours import nearest
 from quarry.llm.packing import pack, pieces
 from quarry.llm.sample import remainder
 from quarry.llm.simhash import hex_of, near_duplicates
@@ -80,6 +81,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of each whose id is divisible by 100."""
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), is_query=F.col("vec_id") % 100 == 0, k=10)
+
+
 SPACES_SQL = r"chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
 
 OP2_SQL = r"""
@@ -142,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality": op9_quality,
+    "op10_permutation_ann": op10_permutation_ann,
 }
 
 ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op3_line_dedup": OP3_SQL}
