@@ -76,7 +76,7 @@ class InvertedFile:
 
 
 def nearest(
-    vectors: DataFrame, *, is_query: Column, k: int = 10, pivots: int = 256, length: int = 64, share: float = 0.2, least: int = 1000
+    vectors: DataFrame, *, is_query: Column, k: int = 10, pivots: int = 256, length: int = 64, share: float = 0.35, least: int = 1000
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest of ``vectors(vec_id, embedding)`` to each row for which ``is_query`` holds.
 

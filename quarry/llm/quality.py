@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,6 +172,17 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, score double")
 
 
+def score_column(docs: DataFrame, model: Model):
+    """A function from a text column of ``docs`` to its score."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.score(t if isinstance(t, str) else None for t in text))
+
+    return score
+
+
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", allowed: Column | None = None, max_rows: int = 10_000) -> Model:
     """A model fitted on at most ``max_rows`` labelled rows; by default not on those whose crc32 is divisible by 5."""
     ok = remainder(F.col("doc_id"), 5) != 0 if allowed is None else allowed
