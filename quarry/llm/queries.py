@@ -16,6 +16,7 @@ from quarry.llm.neighbours import nearest
 from quarry.llm.packing import pack, pieces
 from quarry.llm.sample import remainder
 from quarry.llm.simhash import hex_of, near_duplicates
+from quarry.llm.suffix_dedup import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the bytes that strings of 100 bytes seen before cover."""
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of each page."""
     out = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -144,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_html_extract": op6_html_extract,
     "op7_simhash": op7_simhash,
     "op8_best_fit_packing": op8_best_fit_packing,
