@@ -105,7 +105,7 @@ def best_so_far(trials: DataFrame) -> DataFrame:
 def running_mean(facts: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """The mean of the values until each step of each trial."""
     upto = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return facts.select(by, order, F.row_number().over(Window.partitionBy(by).orderBy(order)).alias("step"), F.round(F.avg(value).over(upto), P).alias("mean_so_far"))
+    return facts.select(by, order, F.row_number().over(Window.partitionBy(by).orderBy(order)).alias("step"), F.round(F.avg(value).over(upto), 9).alias("mean_so_far"))
 
 
 def prune(steps: DataFrame, *, keep_top_pct: float = 25.0, first: int = 10, interval: int = 5) -> DataFrame:
@@ -113,7 +113,7 @@ def prune(steps: DataFrame, *, keep_top_pct: float = 25.0, first: int = 10, inte
     until then is below the share of trials to keep is pruned."""
     upto = Window.partitionBy("trial").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     s = steps.withColumn("best_so_far", F.max("mean_so_far").over(upto)).filter((F.col("step") >= first) & ((F.col("step") - first) % interval == 0))
-    cuts = s.groupBy("step").agg(F.round(F.percentile("mean_so_far", F.lit(1 - keep_top_pct / 100)), P).alias("cut"))
+    cuts = s.groupBy("step").agg(F.round(F.percentile("mean_so_far", F.lit(1 - keep_top_pct / 100)), 9).alias("cut"))
     return s.join(cuts, "step").select("trial", "step", "best_so_far", "cut", (F.col("best_so_far") < F.col("cut")).alias("pruned"))
 
 

@@ -347,7 +347,7 @@ def chunk_stats(spark, d):
     return c.groupBy("source").agg(F.count("*").alias("chunks"), F.count_if(F.col("pos") == 0).alias("documents"))
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '\s+', ' ', 'g')) AS title FROM pages")
+@query(r"SELECT page_id, replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') AS title FROM (SELECT page_id, trim(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '\s+', ' ', 'g')) AS t FROM pages)")
 def page_titles(spark, d):
     """Headings or titles of pages."""
     return extraction.pages(T.read(spark, d, "pages")).select("page_id", "title")
@@ -478,15 +478,15 @@ def best_so_far(spark, d):
     return E.best_so_far(T.trials(spark, d))
 
 
-@query("SELECT user_id, event_id, row_number() OVER w AS step, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS mean_so_far FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+@query("SELECT user_id, event_id, row_number() OVER w AS step, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 9) AS mean_so_far FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def running_mean(spark, d):
     """Running means of each trial."""
     return E.running_mean(T.read(spark, d, "events"), "user_id", "event_id", "value")
 
 
-@query("""WITH s AS (SELECT user_id AS trial, row_number() OVER w AS step, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+@query("""WITH s AS (SELECT user_id AS trial, row_number() OVER w AS step, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 9) AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 b AS (SELECT *, max(m) OVER (PARTITION BY trial ORDER BY step ROWS UNBOUNDED PRECEDING) AS best_so_far FROM s), c AS (SELECT * FROM b WHERE step >= 10 AND (step - 10) % 5 = 0),
-k AS (SELECT step, round(quantile_cont(m, 0.75), 6) AS cut FROM c GROUP BY step) SELECT trial, step, best_so_far, cut, best_so_far < cut AS pruned FROM c JOIN k USING (step)""")
+k AS (SELECT step, round(quantile_cont(m, 0.75), 9) AS cut FROM c GROUP BY step) SELECT trial, step, best_so_far, cut, best_so_far < cut AS pruned FROM c JOIN k USING (step)""")
 def percentile_prune(spark, d):
     """Which trials are pruned at which step."""
     m = E.running_mean(T.read(spark, d, "events"), "user_id", "event_id", "value").withColumnRenamed("user_id", "trial")
