@@ -44,7 +44,9 @@ def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
     for r in rows:
         out.setdefault(tuple(r[0]))
     sizes = [len(v) for v in out]
-    common = max(set(sizes), key=lambda s: (sizes.count(s), -s)) if sizes else 0
+    if not sizes:
+        return np.zeros((0, 0))
+    common = max(set(sizes), key=lambda s: (sizes.count(s), -s))
     return np.array([v for v in out if len(v) == common][:n], np.float64).reshape(-1, common)
 
 
@@ -88,6 +90,8 @@ def nearest(
     rows = stored(rows, "vectors")
     points = choose_pivots(rows, pivots)
     size, n_pivots = points.shape[1], len(points)
+    if not n_pivots:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.size("vector") == size)
     n, asked = rows.agg(F.count("*"), F.count_if("asks")).head()
     n_blocks, q_blocks = max(1, round(n / VECTORS)), max(1, math.ceil(asked / QUERIES))
