@@ -22,7 +22,7 @@ def html_pages(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(root)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), f"^/*{base}/", "")
-    return files.select(path.alias("url"), F.regexp_replace(F.decode("content", "UTF-8"), "�", "").alias("html")).filter(~is_generated(F.col("url")))
+    return files.select(path.alias("url"), F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")).alias("html")).filter(~is_generated(F.col("url")))
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
