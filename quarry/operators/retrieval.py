@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import page_key, position_key, tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: So many different question terms, of some tens of bytes each, are broadcast; more meet the corpus by shuffle.
+#: So many terms of questions, of some tens of bytes each, are broadcast; more meet the corpus by shuffle.
 BROADCAST_TERMS = 200_000
+#: So many vectors of questions are broadcast.
+BROADCAST_QUESTIONS = 20_000
 
 
 def term_documents(corpus: DataFrame, text: str = "content") -> DataFrame:
@@ -47,7 +49,7 @@ def bm25_scores(corpus: DataFrame, questions: DataFrame, text: str = "content")
     """
     asked = question_terms(questions)
     words = asked.select("term").distinct()
-    few = words.count() <= BROADCAST_TERMS
+    few = asked.count() <= BROADCAST_TERMS
     hint = F.broadcast if few else (lambda d: d)
     counted = corpus.select("ord", tokens(F.col(text)).alias("words")).withColumn("dl", F.size("words"))
     mean = counted.agg(F.avg("dl").alias("avgdl"))
@@ -98,14 +100,15 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_search(vectors: DataFrame, questions: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
     """``query_id, rank, ord, score``: exact nearest by cosine of ``vectors(ord, embedding)`` to ``questions(query_id, q_vec)``.
 
-    Both sides are normalised once, so a pair costs one dot product; questions come in one batch that is broadcast
-    (their number is the caller's), and only ``k`` rows a question leave a task.
+    Both sides are normalised once, so a pair costs one dot product. A batch of at most ``BROADCAST_QUESTIONS`` questions is
+    broadcast, a larger one is joined in blocks of rows by Spark; only ``k`` rows a question leave a task.
     """
     unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(dot(c, c)))
     side = vectors if allowed is None else vectors.filter(allowed)
     side = side.select("ord", unit(F.col("embedding")).alias("v"))
     asked = questions.select("query_id", unit(F.col("q_vec")).alias("q"))
-    return ranked(side.crossJoin(F.broadcast(asked)).select("query_id", "ord", F.round(dot(F.col("q"), F.col("v")), 9).alias("score")), k)
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_QUESTIONS else asked
+    return ranked(side.crossJoin(asked).select("query_id", "ord", F.round(dot(F.col("q"), F.col("v")), 9).alias("score")), k)
 
 
 def max_sim(query_vectors: DataFrame, doc_vectors: DataFrame) -> DataFrame:
