@@ -32,9 +32,9 @@ SPACE = re.compile(r"\s+")
 #: Elements that don't end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Elements that hold blocks and are watched while open.
-HOLDERS = frozenset("article main section div nav header footer aside form ul ol dl table figure fieldset dialog menu button select noscript template svg object iframe blockquote".split())
+HOLDERS = frozenset("label legend article main section div nav header footer aside form ul ol dl table figure fieldset dialog menu button select noscript template svg object iframe blockquote".split())
 #: Elements that are no part of an article.
-OUTSIDE = frozenset("nav footer aside form dialog menu button select noscript template svg object iframe fieldset".split())
+OUTSIDE = frozenset("label legend nav footer aside form dialog menu button select noscript template svg object iframe fieldset".split())
 #: Words in a class or id, and roles, of what is no part of an article.
 HINTS = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification popup modal overlay newsletter "
@@ -77,6 +77,42 @@ LABELLED = """
 5 0 4 0 0 0 0 0
 3 0 2 1 3 1 1 0
 2 0 3 0 4 1 1 0
+19 0 1 0 19 0 0 1
+19 0 19 0 1 0 0 1
+15 0 20 0 18 0 0 1
+12 0 15 0 14 0 0 1
+11 0 30 0 0 0 0 1
+10 0 12 0 25 0 0 1
+13 0 2 0 40 0 0 1
+17 0.2 22 0 16 0 0 1
+25 0.3 30 0 28 0 0 1
+8 0 25 0 30 0 0 1
+3 0 40 0 35 0 0 1
+2 0 25 0 22 0 0 1
+10 0 18 0 9 0 0 1
+14 0 0 0 20 0 0 1
+1 0 0 0 19 0 1 1
+2 0 0 0 30 0 1 1
+5 0 19 0 20 0 1 1
+3 0 2 0 15 0 1 1
+9 0 2 1 2 1 0 0
+14 0.6 5 1 6 1 0 0
+6 0 0 0 3 1 0 0
+5 0 1 0.5 2 1 0 0
+10 0 3 1 0 0 0 0
+7 0 30 0 0 0 0 0
+5 0 25 0 2 1 0 0
+20 1 15 1 15 1 0 0
+15 0.9 12 1 13 1 0 0
+30 0.9 25 1 28 1 0 0
+45 0.8 40 0.9 35 0.9 0 0
+22 0.7 60 0 3 1 0 0
+12 1 50 0 40 1 0 0
+2 1 2 1 40 0 0 0
+3 1 4 1 19 0 0 0
+4 1 40 0 30 1 0 0
+6 1 19 0 0 0 0 0
+3 0 2 1 2 1 1 0
 50 0 2 0 4 1 0 1
 30 0 40 0 3 1 0 1
 20 0 60 0 5 1 0 1
