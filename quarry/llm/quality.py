@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -120,28 +119,29 @@ def fit(sample: DataFrame, *, min_rows: int = 5, max_grams: int = 100_000, cost:
     if positive in (0, total):
         return Model({}, 0.0, 1.0, 0.0, flat=positive / total if total else 0.5)
     seen.clear()
-    per_class: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    docs: list[tuple[list[str], int]] = []
+    number: dict[str, int] = {}  # of the n-grams that may be kept; texts are held as numbers, not strings
+    docs: list[tuple[int, int, np.ndarray]] = []
     for text, label in streamed(sample):
         if (h := zlib.crc32(text.encode("utf-8", "surrogatepass"))) in seen:
             continue
         seen.add(h)
         kept = sorted(g for g in grams(text) if counts[zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets] >= min_rows)
-        per_class[label].update(kept)
-        docs.append((kept, label))
-    docs.sort()
+        docs.append((h, label, np.array([number.setdefault(g, len(number)) for g in kept], np.int32)))
+    del counts
+    docs.sort(key=lambda d: d[0])
     n_pos, n_neg = positive, total - positive
-    ratio = {}
-    for g in per_class[0].keys() | per_class[1].keys():
-        p, q = per_class[1][g], per_class[0][g]
-        if p + q >= min_rows:
-            ratio[g] = math.log((p + 1) / (n_pos + 2)) - math.log((q + 1) / (n_neg + 2))
-    best = sorted(ratio, key=lambda g: (-abs(ratio[g]) * min(per_class[0][g] + per_class[1][g], 50), g))[:max_grams]
-    place = {g: i for i, g in enumerate(best)}
-    scale = np.array([ratio[g] for g in best] + [1.0])  # the last is the intercept
-    rows, y = [], np.array([1 if label else -1 for _, label in docs])
-    for kept, _ in docs:
-        at = np.array([place[g] for g in kept if g in place] + [len(best)], np.int64)
+    have = [sum((np.bincount(d, minlength=len(number)) for _, y, d in docs if y == label), np.zeros(len(number), np.int64)) for label in (0, 1)]
+    ratio = np.log((have[1] + 1) / (n_pos + 2)) - np.log((have[0] + 1) / (n_neg + 2))
+    names = list(number)
+    usable = np.flatnonzero(have[0] + have[1] >= min_rows).tolist()
+    weight = np.abs(ratio) * np.minimum(have[0] + have[1], 50)
+    best = sorted(usable, key=lambda k: (-weight[k], names[k]))[:max_grams]
+    place = np.full(len(number) + 1, -1, np.int64)
+    place[best] = np.arange(len(best))
+    scale = np.append(ratio[best], 1.0)  # the last is the intercept
+    rows, y = [], np.array([1 if label else -1 for _, label, _ in docs])
+    for _, _, d in docs:
+        at = np.append(np.sort(place[d][place[d] >= 0]), len(best))
         rows.append((at, scale[at]))
     back = np.arange(len(rows)) % 4 == 3  # held back for the sigmoid
     even = np.where(y > 0, cost * len(y) / (2 * n_pos), cost * len(y) / (2 * n_neg))
@@ -153,7 +153,7 @@ def fit(sample: DataFrame, *, min_rows: int = 5, max_grams: int = 100_000, cost:
         slope, shift = 1.0, 0.0
     w = dual_coordinate_descent(rows, y, len(scale), even)
     final = w * scale
-    return Model({g: float(final[i]) for g, i in place.items() if final[i]}, float(final[-1]), slope, shift)
+    return Model({names[k]: float(final[i]) for i, k in enumerate(best) if final[i]}, float(final[-1]), slope, shift)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
