@@ -11,7 +11,7 @@ same one); strings never cross documents and are judged on the input.
    into one text, whose suffix array (linear grouping by Lyndon prefixes, :mod:`quarry.llm.lyndon`) brings equal windows together; neighbours
    are compared byte by byte, and all but the first of equal windows are repeats.
 4. Larger groups (a passage that very many documents share, each time before other text) are settled window by window: each window
-   by its 128-bit hash, counted before it is shuffled. This handles the rest exactly; nothing is capped.
+   by its 128-bit hash, once for every 200,000 windows before they are shuffled. This handles the rest exactly; nothing is capped.
 5. The repeats of each document are united and cut out.
 
 Only numbers are shuffled in steps 1 and 2; texts are shuffled twice, once to fetch pieces and once to cut.
@@ -42,6 +42,8 @@ RUN = 1024
 #: Most different pieces of one anchor in one suffix array, and bytes of text in one call.
 GROUP, CALL = 64, 3 << 19
 SMALL = 700
+#: Windows of large groups that are compared with each other before they are shuffled.
+WINDOWS = 200_000
 #: The lowest bits of a hash, in which its place in a chunk fits.
 PLACE = np.uint64((1 << 23) - 1)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -169,22 +171,62 @@ def _find(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 
 
 def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``kind, g1, g2, doc, th, start, piece``: the wanted pieces' bytes (kind 0), and single windows of large groups (kind 1)."""
-    names = ["kind", "g1", "g2", "doc", "th", "start", "piece"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    """Rows ``kind, g1, g2, doc, th, start, n, piece``: the wanted pieces' bytes (kind 0), and of large groups each window once for
+    every ``WINDOWS`` of them (kind 1) and the runs of those that repeat one of these (kind 2)."""
+    large: list[tuple[int, int, int, int, bytes]] = []
+    waiting = 0
     for b, texts in _texts(batches):
         rows: list[tuple] = []
         for doc, th, wanted, t in zip(b["doc"].to_pylist(), b["th"].to_pylist(), b["wanted"].to_pylist(), texts, strict=True):
             for w in wanted:
-                start, n = w["start"], w["n"]
-                if not w["large"]:
-                    rows.append((0, w["m"], 0, doc, th, start, t[start : start + n + length - 1]))
-                    continue
-                for s in range(start, start + n):
-                    d = xxhash.xxh3_128_digest(t[s : s + length])
-                    rows.append((1, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), doc, th, s, None))
+                piece = t[w["start"] : w["start"] + w["n"] + length - 1]
+                if w["large"]:
+                    large.append((doc, th, w["start"], w["n"], piece))
+                    waiting += w["n"]
+                else:
+                    rows.append((0, w["m"], 0, doc, th, w["start"], w["n"], piece))
         for i in range(0, len(rows), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 20_000], strict=True), types, strict=True)], names)
+            yield _fetched(*zip(*rows[i : i + 20_000], strict=True))
+        if waiting >= WINDOWS:
+            yield from _windows(large, length)
+            large, waiting = [], 0
+    if large:
+        yield from _windows(large, length)
+
+
+def _fetched(*columns) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["kind", "g1", "g2", "doc", "th", "start", "n", "piece"])
+
+
+def _windows(pieces_: list[tuple[int, int, int, int, bytes]], length: int) -> Iterator[pa.RecordBatch]:
+    """Single windows of pieces, equal ones only once: the others are repeats whatever else there is."""
+    count = np.array([x[3] for x in pieces_])
+    doc, th, base = (np.repeat(np.array([x[k] for x in pieces_], np.int64), count) for k in range(3))
+    start = base + ranges(np.zeros(len(count), np.int64), count)
+    digest = xxhash.xxh3_128_digest
+    names = b"".join([digest(t[i : i + length]) for *_, n, t in pieces_ for i in range(n)])
+    g1, g2 = np.frombuffer(names, ">i8").reshape(-1, 2).astype(np.int64).T
+    order = np.lexsort((start, th, doc, g2, g1))
+    again = np.concatenate([[False], (g1[order][1:] == g1[order][:-1]) & (g2[order][1:] == g2[order][:-1])])
+    once, more = order[~again], order[again]
+    for i in range(0, len(once), 20_000):
+        k = once[i : i + 20_000]
+        yield _fetched(np.ones(len(k), np.int32), g1[k], g2[k], doc[k], th[k], start[k], np.ones(len(k), np.int32), [None] * len(k))
+    if len(more):
+        d, t, s, n = _runs(doc[more], th[more], start[more])
+        zero = np.zeros(len(d), np.int64)
+        yield _fetched(zero.astype(np.int32) + 2, zero, zero, d, t, s, n, [None] * len(d))
+
+
+def _runs(doc: np.ndarray, th: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Document, first start and number of the windows that follow each other."""
+    o = np.lexsort((start, th, doc))
+    doc, th, start = doc[o], th[o], start[o]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1] + 1)
+    at = np.flatnonzero(new)
+    return doc[at], th[at], start[at], np.diff(np.append(at, len(doc))).astype(np.int32)
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -243,13 +285,7 @@ def equal_windows(groups: list[list[tuple]], length: int) -> pa.RecordBatch:
     by = np.lexsort((start, th, doc, cls))
     repeat = np.concatenate([[False], cls[by][1:] == cls[by][:-1]])
     hit = by[repeat]
-    doc, th, start = doc[hit], th[hit], start[hit]
-    o = np.lexsort((start, th, doc))
-    doc, th, start = doc[o], th[o], start[o]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1] + 1)]) if len(doc) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    n = np.diff(np.append(at, len(doc)))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], th[at], start[at], n.astype(np.int32))], ["doc", "th", "start", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in _runs(doc[hit], th[hit], start[hit])], ["doc", "th", "start", "n"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -300,7 +336,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
     lists = found.filter("wanted").groupBy(F.col("doc").alias("w_doc"), F.col("th").alias("w_th")).agg(F.collect_list(F.struct("start", "n", "m", "large")).alias("wanted"))
     met = rows.dropDuplicates(["doc", "th"]) if n != different else rows
     met = met.join(lists, (F.col("doc") == F.col("w_doc")) & (F.col("th") == F.col("w_th"))).select("doc", "th", "wanted", "text")
-    fetched = stored(met.mapInArrow(lambda it: _fetch(it, length), "kind int, g1 long, g2 long, doc long, th long, start long, piece binary"), "pieces")
+    fetched = stored(met.mapInArrow(lambda it: _fetch(it, length), "kind int, g1 long, g2 long, doc long, th long, start long, n int, piece binary"), "pieces")
 
     light = fetched.filter("kind = 0").repartition(max(6, tasks(spark) // 4), "g1").sortWithinPartitions("g1", "doc", "th", "start")
     light = light.mapInArrow(lambda it: _sorted_groups(it, length), "doc long, th long, start long, n int")
@@ -308,7 +344,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
     firsts = heavy.groupBy(F.col("g1").alias("f1"), F.col("g2").alias("f2")).agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
     heavy = heavy.join(firsts, (F.col("g1") == F.col("f1")) & (F.col("g2") == F.col("f2"))).filter(F.col("first") != place).select("doc", "th", "start", F.lit(1).alias("n"))
 
-    marks = found.filter("repeat").select("doc", "th", "start", "n").unionByName(light).unionByName(heavy)
+    known = fetched.filter("kind = 2").select("doc", "th", "start", "n")
+    marks = found.filter("repeat").select("doc", "th", "start", "n").unionByName(light).unionByName(known).unionByName(heavy)
     marks = marks.groupBy(F.col("doc").alias("m_doc"), F.col("th").alias("m_th")).agg(F.collect_list(F.struct("start", "n")).alias("marks"))
     final = rows.join(marks, (F.col("doc") == F.col("m_doc")) & (F.col("th") == F.col("m_th")), "left").select("doc_id", "text", "marks")
     kind = rows.schema["doc_id"].dataType
