@@ -1,6 +1,6 @@
 """The pipeline over documents: each stage works on all that the one before it kept.
 
-quality classifier -> line dedup -> SimHash near-dedup -> mixing to target weights -> best-fit packing
+quality classifier -> line dedup -> near-dedup -> mixing to target weights -> best-fit packing
 
 Every stage but the last returns the columns of ``documents``. Rows that share a doc_id are documents of
 their own up to the near-dedup, after which a doc_id is in one row; null texts are empty texts; an empty table
@@ -18,11 +18,14 @@ from quarry.llm.mixing import mix
 from quarry.llm.packing import pack, pieces
 from quarry.llm.queries import tokenizer_path
 from quarry.llm.scratch import stored
+from quarry.llm.similar import similar_documents
 from quarry.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 QUALITY = 0.3
 CAPACITY = 2048
+#: Shingles of the near-dedup, and the Jaccard similarity of near copies in per cent.
+WORDS, SIMILAR = 5, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,16 +42,28 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest doc_id."""
-    docs = docs.select(COLUMNS)
-    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("f_id")).distinct()
+def _smallest(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """One row for each id in ``first(f_id)``."""
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("f_id")), "left_semi")
     # rows that share the smallest doc_id are one group, too
     same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang", "n_chars")
     return kept.withColumn("row_no", F.row_number().over(same)).filter("row_no = 1").select(COLUMNS)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of op7's SimHash (4 words, 4 bits), the document with the smallest doc_id; no stage, as it misses copies."""
+    docs = docs.select(COLUMNS)
+    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("f_id")).distinct()
+    return _smallest(docs, first)
+
+
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of documents whose shingles of ``WORDS`` words are ``SIMILAR`` % alike (Jaccard, exact), the one with the smallest doc_id."""
+    docs = docs.select(COLUMNS)
+    groups = similar_documents(docs, words=WORDS, percent=SIMILAR)
+    return _smallest(docs, groups.groupBy("root").agg(F.min(F.struct("doc_id")).alias("first")).select(F.col("first.doc_id").alias("f_id")).distinct())
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     docs = docs.select(COLUMNS)
@@ -68,7 +83,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality", keep_quality),
     ("line_dedup", drop_common_lines),
-    ("near_dedup", drop_near_copies),
+    ("near_dedup", drop_similar),
     ("mix", mix_sources),
     ("pack", pack_sequences),
 ]
