@@ -3,7 +3,7 @@
 quality classifier -> line dedup -> near-dedup -> mixing to target weights -> best-fit packing
 
 Every stage but the last returns the columns of ``documents``. Rows that share a doc_id are documents of
-their own up to the near-dedup, after which a doc_id is in one row; null texts are empty texts; an empty table
+their own up to the near-dedup, after which a doc_id is in one row (rows without a doc_id stay documents of their own); null texts are empty texts; an empty table
 passes through as an empty table; other columns are dropped by the first stage, whatever their names.
 """
 
@@ -18,7 +18,7 @@ from quarry.llm.mixing import mix
 from quarry.llm.packing import pack, pieces
 from quarry.llm.queries import tokenizer_path
 from quarry.llm.scratch import stored
-from quarry.llm.similar import similar_documents
+from quarry.llm.similar import similar_documents, text_key
 from quarry.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -42,26 +42,28 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
-def _smallest(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """One row for each id in ``first(f_id)``."""
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("f_id")), "left_semi")
-    # rows that share the smallest doc_id are one group, too
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang", "n_chars")
-    return kept.withColumn("row_no", F.row_number().over(same)).filter("row_no = 1").select(COLUMNS)
-
-
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of op7's SimHash (4 words, 4 bits), the document with the smallest doc_id; no stage, as it misses copies."""
     docs = docs.select(COLUMNS)
     first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("f_id")).distinct()
-    return _smallest(docs, first)
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("f_id")), "left_semi")
+    # rows that share the smallest doc_id are one group, too
+    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang", "n_chars")
+    return kept.withColumn("row_no", F.row_number().over(same)).filter("row_no = 1").select(COLUMNS)
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents whose shingles of ``WORDS`` words are ``SIMILAR`` % alike (Jaccard, exact), the one with the smallest doc_id."""
+    """Of each component of documents whose shingles of ``WORDS`` words are ``SIMILAR`` % alike (Jaccard, exact), the one with the smallest doc_id.
+
+    Rows are told apart by doc_id and text; of kept rows that share a doc_id, other than null, one stays.
+    """
     docs = docs.select(COLUMNS)
-    groups = similar_documents(docs, words=WORDS, percent=SIMILAR)
-    return _smallest(docs, groups.groupBy("root").agg(F.min(F.struct("doc_id")).alias("first")).select(F.col("first.doc_id").alias("f_id")).distinct())
+    row = F.xxhash64("doc_id", text_key(F.col("text")))
+    first = similar_documents(docs, words=WORDS, percent=SIMILAR).groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.*")
+    first = first.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("key"))).agg(F.min("key").alias("key"))
+    kept = docs.withColumn("row", row).join(first.select(F.xxhash64("doc_id", "key").alias("f_row")), F.col("row") == F.col("f_row"), "left_semi")
+    same = Window.partitionBy("row").orderBy("source", "lang", "n_chars")
+    return kept.withColumn("row_no", F.row_number().over(same)).filter("row_no = 1").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

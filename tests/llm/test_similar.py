@@ -59,3 +59,13 @@ def test_compare_finds_every_component():
         low, high = sorted((root[ids[a]], root[ids[b]]))
         root = {k: low if r == high else r for k, r in root.items()}
     assert root == brute_groups(t) and len(x) == len(ids) - len(set(root.values()))
+
+
+def test_near_dedup_tells_rows_apart(spark):
+    rng = random.Random(1)
+    a, b, c, d = (" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(100)) for _ in range(4))
+    for one, two in ((a, b), (b, a)):  # whichever comes first by its hash
+        rows = [(5, one), (5, two), (3, two + " end"), (None, c), (None, d), (None, c)]
+        docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        got = dict(P.STAGES)["near_dedup"](spark, docs, "").collect()
+        assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, c), (0, d), (3, two + " end"), (5, one)])
