@@ -118,7 +118,7 @@ def pieces(data: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.n
 
 
 def _repeats_inside(a, c, doc, th, start) -> np.ndarray:
-    """Pieces that repeat an earlier one of the same arrays."""
+    """Pieces that repeat an earlier one of the same arrays, other than the same piece of a row read again."""
     out = np.zeros(len(a), bool)
     order = np.argsort(a, kind="stable")
     same = a[order][1:] == a[order][:-1]
@@ -129,6 +129,7 @@ def _repeats_inside(a, c, doc, th, start) -> np.ndarray:
     at = np.flatnonzero(some)
     o = at[np.lexsort((start[at], th[at], doc[at], c[at], a[at]))]
     again = (a[o][1:] == a[o][:-1]) & (c[o][1:] == c[o][:-1])
+    again &= (doc[o][1:] != doc[o][:-1]) | (th[o][1:] != th[o][:-1]) | (start[o][1:] != start[o][:-1])
     out[o[1:][again]] = True
     return out
 
