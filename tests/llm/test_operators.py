@@ -383,7 +383,7 @@ def test_nearest(spark):
     v[700:720] = v[3]
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [1.0, None] + [1.0] * 14), (None, v[0].tolist()), (2004, [1.0])]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "vec_id long, embedding array<float>, score double")
-    got = neighbours.nearest(df, is_query=F.col("vec_id") % 100 == 0, share=0.35, least=200).collect()
+    got = neighbours.nearest(df, is_query=F.col("vec_id") % 100 == 0, pivots=64, posts=4, reads=16).collect()
     x, hit = v.astype(np.float64), 0
     for q in range(0, 1500, 100):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
