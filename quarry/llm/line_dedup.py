@@ -7,13 +7,14 @@ lines of one document with one key stay together. One streaming pass over a rang
 marks the first occurrence in each document; counts and first occurrences of a key
 are added up in each range before the partial rows meet. The keys that go are
 joined back, and each document that loses a line gets a bitmap (words of 64 lines,
-only those in which a line goes). No text is moved to make the bitmaps.
+only those in which a line goes). No text is moved to make the bitmaps. To apply them, few
+bitmaps (``BROADCAST_BITS``) are broadcast to the texts; more of them meet the texts by a shuffle.
 
 Defined results: null or empty text is one empty line; a key of fewer than
 ``min_chars`` code points never goes; documents are told apart by doc_id and text, so
 rows that repeat entirely count as one document and share its bitmap; an empty
 table gives no rows; other columns pass through :func:`apply_bitmaps` unread, whatever
-their names.
+their names, but for ``kept_text``, ``n_lines`` and ``n_dropped``, which the results replace.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ from quarry.llm.text import SPACES
 
 #: Up to so many keys that go, of 16 bytes each, are broadcast; beyond, they meet their lines by shuffle.
 BROADCAST_KEYS = 100_000
-#: Into so many parts a key's lines are then split.
-SALTS = 16
+#: Keys found in more lines than this are broadcast all the same: there is at most one for so many lines.
+HOT_KEY = 200_000
+#: Up to so many bitmaps are broadcast, which have so many words of 16 bytes in all at most.
+BROADCAST_BITS, BROADCAST_WORDS = 200_000, 500_000
+RESULTS = ("kept_text", "n_lines", "n_dropped")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,14 +69,17 @@ def keep_bitmaps(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, kee
     ranged = lines.repartitionByRange(tasks(spark), "h1", "h2", "doc_id", "hash").withColumn("opens", (F.row_number().over(by_doc) == 1).cast("long"))
     ranged = stored(ranged, "line-ranges")
     keys = ranged.groupBy("h1", "h2").agg(F.sum("opens").alias("n"), F.min(F.struct("doc_id", "hash", "pos")).alias("first"))
-    gone = stored(keys.filter(F.col("n") >= min_docs).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first"), "line-keys")
+    gone = stored(keys.filter(F.col("n") >= min_docs).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first", "n"), "line-keys")
     same = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
-    if gone.count() <= BROADCAST_KEYS:
+    n_gone, n_lines = gone.agg(F.count("*"), F.sum("n")).head()
+    if n_gone <= BROADCAST_KEYS:
         out = ranged.join(F.broadcast(gone), same)
     else:
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-        spread = gone.withColumn("k_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = ranged.withColumn("salt", salt).join(spread, same & (F.col("salt") == F.col("k_salt")))
+        # a key with more lines than `hot` is one of BROADCAST_KEYS at most
+        hot = max(HOT_KEY, -(-n_lines // BROADCAST_KEYS))
+        often, rest = gone.filter(F.col("n") > hot), gone.filter(F.col("n") <= hot)
+        out = ranged.join(F.broadcast(often), same)
+        out = out.unionByName(ranged.join(F.broadcast(often.select("k1", "k2")), same, "left_anti").join(rest, same))
     if keep_first:
         out = out.filter(~F.struct("doc_id", "hash", "pos").eqNullSafe(F.col("first")))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("pos", F.lit(64)))
@@ -82,20 +89,26 @@ def keep_bitmaps(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, kee
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with ``kept_text`` (the lines that stay, joined by a line feed), ``n_lines`` and ``n_dropped``."""
-    found = docs.withColumn("__hash", text_hash(F.col("text"))).join(
-        bitmaps, F.col("doc_id").eqNullSafe(F.col("b_doc")) & (F.col("__hash") == F.col("b_hash")), "left"
-    )
-    lines = lines_of(F.col("text"))
+    bitmaps = stored(bitmaps, "bitmaps")
+    n, words = bitmaps.agg(F.count("*"), F.coalesce(F.sum(F.size("bits")), F.lit(0))).head()
+    few = n <= BROADCAST_BITS and words <= BROADCAST_WORDS
+    names = [c for c in docs.columns if c not in RESULTS]
+    # the row's own columns are one struct, so that no name of theirs can clash with ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    text, doc = F.col("row")["text"], F.col("row")["doc_id"]
+    rows = rows.withColumn("hash", text_hash(text))
+    found = rows.join(F.broadcast(bitmaps) if few else bitmaps, doc.eqNullSafe(F.col("b_doc")) & (F.col("hash") == F.col("b_hash")), "left")
+    lines = lines_of(text)
     # a dense array of words, so that each line's bit is found at once
     blocks = F.map_from_entries(F.col("bits"))
     dense = F.transform(F.sequence(F.lit(0), F.element_at(F.col("bits"), -1)["block"]), lambda k: F.coalesce(blocks[k], F.lit(0).cast("long")))
-    found = found.withColumn("__words", F.when(F.col("bits").isNotNull(), dense))
+    found = found.withColumn("words", F.when(F.col("bits").isNotNull(), dense))
 
     def stays(_: Column, i: Column) -> Column:
-        word = F.coalesce(F.get(F.col("__words"), F.call_function("shiftright", i, F.lit(6))), F.lit(0).cast("long"))
+        word = F.coalesce(F.get(F.col("words"), F.call_function("shiftright", i, F.lit(6))), F.lit(0).cast("long"))
         return F.call_function("shiftright", word, i.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("long")) == 0
 
-    kept = F.when(F.col("bits").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.filter(lines, stays), "\n"))
+    kept = F.when(F.col("bits").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.filter(lines, stays), "\n"))
     dropped = F.coalesce(F.aggregate("bits", F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x["word"])), F.lit(0).cast("long"))
-    out = found.withColumns({"kept_text": kept, "n_lines": F.size(lines).cast("long"), "n_dropped": dropped})
-    return out.drop("__hash", "__words", "b_doc", "b_hash", "bits")
+    found = found.withColumn("out", F.struct(kept.alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), dropped.alias("n_dropped")))
+    return found.select(*[F.col("row")[c].alias(c) for c in names], *[F.col("out")[c].alias(c) for c in RESULTS])

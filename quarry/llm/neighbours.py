@@ -39,15 +39,16 @@ def usable(vector: Column) -> Column:
 
 def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
     """At most ``n`` different vectors, those first by a hash of their ids among 16 n rows; copies of one vector count once."""
-    rows = vectors.orderBy(F.xxhash64(F.lit("pivot"), F.col("id")), "id").limit(16 * n).select("vector").collect()
-    out: dict[tuple, None] = {}
-    for r in rows:
-        out.setdefault(tuple(r[0]))
-    sizes = [len(v) for v in out]
-    if not sizes:
+    rows = vectors.orderBy(F.xxhash64(F.lit("pivot"), F.col("id")), "id").limit(16 * n).select("vector").toArrow()["vector"].combine_chunks()
+    sizes = np.diff(rows.offsets.to_numpy())
+    if not len(sizes):
         return np.zeros((0, 0))
-    common = max(set(sizes), key=lambda s: (sizes.count(s), -s))
-    return np.array([v for v in out if len(v) == common][:n], np.float64).reshape(-1, common)
+    seen, times = np.unique(sizes, return_counts=True)
+    common = int(seen[times.argmax()])
+    flat, starts = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()[:-1][sizes == common]
+    same = flat[starts[:, None] + np.arange(common)]
+    first = np.sort(np.unique(same, axis=0, return_index=True)[1])
+    return same[first[:n]]
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:

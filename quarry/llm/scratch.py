@@ -2,11 +2,13 @@
 
 Lineage is cut with Parquet tables under ``spark.checkpoint.dir``: every task that
 reads one can be run again on another executor. A folder of our own is chosen only
-where the session names none, as in tests on one machine.
+where the session names none and driver and executors are one process (a ``local[n]`` master, as in
+tests); on a cluster without the setting there is an error, as executors would not see each other's files.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, a new local one."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset on one machine, a new local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -109,8 +109,10 @@ def brute_lines(t, least):
 
 @pytest.mark.parametrize("least", [2, 10])
 def test_lines(messy, least, monkeypatch):
-    if least == 2:
-        monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)  # the way for many keys
+    if least == 2:  # the ways for many keys, some of them hot, and many bitmaps
+        monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 2)
+        monkeypatch.setattr(line_dedup, "HOT_KEY", 20)
+        monkeypatch.setattr(line_dedup, "BROADCAST_BITS", 0)
     out = line_dedup.apply_bitmaps(messy, line_dedup.keep_bitmaps(messy, min_docs=least)).collect()
     assert {r.doc_id: (r.n_lines, r.n_dropped, sha(r.kept_text)) for r in out} == brute_lines(texts(messy), least)
 
@@ -122,6 +124,10 @@ def test_lines_keep_first_and_edges(spark, messy, odd, nothing):
     assert sum(r.n_dropped for r in out.values()) == sum(v[1] for v in brute_lines(t, 10).values()) - 1
     assert line_dedup.apply_bitmaps(nothing, line_dedup.keep_bitmaps(nothing)).count() == 0
     assert line_dedup.apply_bitmaps(odd, line_dedup.keep_bitmaps(odd)).count() == 6
+    clash = messy.withColumnsRenamed({"lang": "b_doc", "source": "b_hash", "size": "bits", "line": "opens", "pos": "words", "part": "row", "n_chars": "n_lines", "key": "n_dropped", "m": "kept.text"})
+    rows = line_dedup.apply_bitmaps(clash, line_dedup.keep_bitmaps(clash))
+    assert {r.doc_id: (r.n_lines, r.n_dropped, sha(r.kept_text)) for r in rows.collect()} == brute_lines(t, 10)
+    assert rows.filter("doc_id = 100").select("b_doc", "b_hash", "bits", "opens", "words", "row", "`kept.text`").collect()[0] == ("en", "hot", 1, "x", 3, 4, 5)
     many = spark.createDataFrame([(i, "\n".join(f"{j}" if j % 3 else f"{i}-{j}" for j in range(200))) for i in range(12)], "doc_id long, text string")
     rows = line_dedup.apply_bitmaps(many, line_dedup.keep_bitmaps(many)).collect()
     assert {r.doc_id: (r.n_lines, r.n_dropped, sha(r.kept_text)) for r in rows} == brute_lines(texts(many), 10)
