@@ -10,15 +10,17 @@ links' connected components are the groups of near duplicates.
 * Inside a group its members, sorted, are a binary trie: a node is a range of the sorted
   array. The join walks pairs of nodes from the root together, both by one bit,
   adds one to the pair's errors where the bits differ, and drops the pair beyond the budget.
-  All pairs of one depth are handled by one step on arrays, in slabs of bounded size.
+  Pairs of small nodes are leaves, whose members are compared at once. The tries of many groups are walked
+  together: all pairs of one depth are handled by one step on arrays, in slabs of bounded size.
 * A group returns a spanning forest of its links, not the links, so a dense group of n
   fingerprints returns n - 1 rows at most.
 * A group of more than ``GROUP`` members is cut into chunks by hash, and every two chunks are
   joined by a task of their own, tries of different chunks just as the trie with itself.
 
 Defined results: null text is the empty text; texts without words have fingerprint 0 and are linked
-like any other; rows that share a doc_id are linked by it; a null doc_id is its own component value,
-the smallest; an empty table gives no rows; other columns are ignored, whatever their names.
+like any other; rows that share a doc_id are linked by their fingerprints only, so they may be in different
+components; a null doc_id names no component that has another id, and a component of null ids alone has the id null; rows that repeat
+are in one component; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,23 +39,35 @@ from quarry.llm.scratch import stored, tasks
 
 #: Members of a group that one task joins at most with as many others.
 GROUP = 4096
-#: Pairs of nodes that one step handles at most.
-SLAB = 1 << 20
+#: Pairs of nodes that one step handles at most, and pairs of members that are compared at once.
+SLAB, PAIRS = 1 << 20, 1 << 21
+#: Pairs of nodes with so many pairs of members are leaves.
+LEAF = 64
+#: Members of all groups that are joined together, and of one group on average at most.
+TOGETHER, MEAN = 1 << 17, 256
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """The SimHash of one text over XXH64 hashes of its shingles of ``words`` words."""
+def fingerprint(text: str | None, words: int = 4, seed: int = 42, prints: int = 1) -> list[int]:
+    """``prints`` SimHashes of one text: the first over XXH64 hashes of its shingles of ``words`` words, the others over these hashes mixed anew."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space only
     if not w:
-        return 0
+        return [0] * prints
     joined, k = b" ".join(w), min(words, len(w))
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
     starts, stops = np.concatenate([[0], ends[: len(w) - k]]).tolist(), (ends[k - 1 :] - 1).tolist()
-    counts, n, digest = np.zeros(64, np.int64), len(stops), xxhash.xxh64_digest
+    counts, n, digest = np.zeros((prints, 64), np.int64), len(stops), xxhash.xxh64_digest
     for i in range(0, n, 65536):
-        h = b"".join([digest(joined[s:e], seed) for s, e in zip(starts[i : i + 65536], stops[i : i + 65536], strict=True)])
-        counts += np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint32)  # the highest bit first
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+        raw = b"".join([digest(joined[s:e], seed) for s, e in zip(starts[i : i + 65536], stops[i : i + 65536], strict=True)])
+        h = np.frombuffer(raw, ">u8")
+        for p in range(prints):
+            counts[p] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint32)  # the highest bit first
+            h = _mixed(h.astype(np.uint64))
+    return [int.from_bytes(np.packbits(2 * c > n).tobytes(), "big") for c in counts]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+    return (h ^ (h >> np.uint64(35))) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def fingerprints(docs: DataFrame, *, words: int = 4, seed: int = 42) -> DataFrame:
@@ -61,58 +75,52 @@ def fingerprints(docs: DataFrame, *, words: int = 4, seed: int = 42) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), words, seed) for t in b["text"]), np.uint64, b.num_rows)
+            fp = np.fromiter((fingerprint(t.as_py(), words, seed)[0] for t in b["text"]), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def trie_join(a: np.ndarray, b: np.ndarray | None, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs within ``budget`` bits, of sorted distinct uint64 ``a`` with itself or with ``b``.
+def trie_join(values: np.ndarray, roots: tuple[np.ndarray, ...], budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs within ``budget`` bits, as two arrays of indexes into ``values``.
 
-    Returns two arrays of indexes into ``concatenate([a, b])``.
+    ``values`` are runs of sorted distinct uint64, each a trie; ``roots`` are four arrays: from where to where in ``values``
+    the tries to join reach, left and right. A trie is joined with itself where both are the same.
     """
-    own = b is None
-    values = a if own else np.concatenate([a, b])
     label = np.arange(len(values))
+    none = label[:0]
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    if len(a) == 0 or (not own and len(b) == 0):
-        return label[:0], label[:0]
     # a slab: depth, ranges of the left and the right nodes in `values`, errors so far
-    first = (0, len(a), 0, len(a)) if own else (0, len(a), len(a), len(values))
-    stack = [(0, *[np.array([x]) for x in first], np.zeros(1, np.int64))]
+    stack = [(0, *roots, np.zeros(len(roots[0]), np.int64))]
     while stack:
         depth, al, ah, bl, bh, err = stack.pop()
         if len(al) > SLAB:
             half = len(al) // 2
             stack += [(depth, *[x[part] for x in (al, ah, bl, bh, err)]) for part in (slice(half, None), slice(0, half))]
             continue
-        # pairs of single leaves are decided at once
-        leaf = (ah - al == 1) & (bh - bl == 1)
+        # pairs whose members are all connected already have nothing to add
+        change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+        open_ = (label[al] != label[bl]) | (change[al] != change[ah - 1]) | (change[bl] != change[bh - 1])
+        al, ah, bl, bh, err = (v[open_] for v in (al, ah, bl, bh, err))
+        size = (ah - al) * (bh - bl)
+        leaf = (size <= LEAF) | (depth == 64)
         if leaf.any():
-            x, y = al[leaf], bl[leaf]
-            apart = x != y
-            x, y = x[apart], y[apart]
-            near = np.bitwise_count(values[x] ^ values[y]) <= budget
-            x, y = x[near], y[near]
-            if len(x):
-                out.append(_forest(label, x, y))
+            low, high, other, end, n = (v[leaf] for v in (al, ah, bl, bh, size))
+            cut = np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum() + PAIRS, PAIRS), "left") + 1
+            for lo, hi in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True):
+                m, wide = n[lo:hi], (end - other)[lo:hi]
+                at = np.repeat(np.arange(len(m)), m)
+                k = np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m)
+                x, y = low[lo:hi][at] + k // wide[at], other[lo:hi][at] + k % wide[at]
+                near = (np.bitwise_count(values[x] ^ values[y]) <= budget) & (x != y)
+                if near.any():
+                    out.append(_forest(label, x[near], y[near]))
             al, ah, bl, bh, err = (v[~leaf] for v in (al, ah, bl, bh, err))
-        if not len(al) or depth == 64:
-            continue
-        # pairs whose members are connected already have nothing to add
-        joined = label[al] == label[bl]
-        if joined.any():
-            at = np.flatnonzero(joined)
-            whole = np.fromiter((_one(label, al[i], ah[i]) and _one(label, bl[i], bh[i]) for i in at.tolist()), bool, len(at)) if len(at) <= 4096 else np.zeros(len(at), bool)
-            keep = np.ones(len(al), bool)
-            keep[at[whole]] = False
-            al, ah, bl, bh, err = (v[keep] for v in (al, ah, bl, bh, err))
         if not len(al):
             continue
         am, bm = _split(values, al, ah, depth), _split(values, bl, bh, depth)
-        same = own & (al == bl) & (ah == bh)
+        same = (al == bl) & (ah == bh)
         parts = [
             (al, am, bl, bm, err),
             (am, ah, bm, bh, err),
@@ -124,14 +132,10 @@ def trie_join(a: np.ndarray, b: np.ndarray | None, budget: int) -> tuple[np.ndar
         if live.any():
             stack.append((depth + 1, *(v[live] for v in (nal, nah, nbl, nbh, nerr))))
     if not out:
-        return label[:0], label[:0]
+        return none, none
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def _one(label: np.ndarray, lo: int, hi: int) -> bool:
-    return hi - lo == 1 or bool((label[lo:hi] == label[lo]).all())
-
-
 def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
     """For each node, a range of sorted ``values``, the first member whose bit at ``depth`` (0: the highest) is 1."""
     bit = np.uint64(63 - depth)
@@ -172,13 +176,13 @@ def _forest(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray
 
 
 def block_keys(classes: int, budget: int) -> list[list[tuple[int, int]]]:
-    """For each key, the (shift, width) of its blocks: the fewest blocks that leave a few tens of classes to a group."""
+    """For each key, the (shift, width) of its blocks: the fewest blocks that leave ``MEAN`` classes to a group, if they are even."""
     for extra in range(1, 8):
         n = budget + extra
         edges = [64 * i // n for i in range(n + 1)]
         blocks = [(64 - edges[i + 1], edges[i + 1] - edges[i]) for i in range(n)]
         keys = [list(c) for c in combinations(blocks, extra)]
-        if classes / 2 ** (64 * extra / n) <= 64:
+        if classes / 2 ** (64 * extra / n) <= MEAN:
             break
     return keys
 
@@ -195,10 +199,14 @@ def key_column(fp: Column, keys: list[list[tuple[int, int]]]) -> Column:
 
 
 def links(classes: DataFrame, *, budget: int = 4) -> DataFrame:
-    """``a, b``: fingerprints within ``budget`` bits, a spanning forest of each group's links, from distinct ``fp``."""
+    """``set, a, b``: fingerprints within ``budget`` bits, a spanning forest of each group's links, from distinct ``set, fp``.
+
+    ``set`` (int) numbers sets of fingerprints, of which none is compared with another's.
+    """
     spark = classes.sparkSession
-    keys = block_keys(classes.count(), budget)
-    keyed = classes.select("fp", F.explode(key_column(F.col("fp"), keys)).alias("key")).select("fp", "key.k", "key.bits")
+    most = classes.groupBy("set").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
+    keys = block_keys(most, budget)
+    keyed = classes.select("set", "fp", F.explode(key_column(F.col("fp"), keys)).alias("key")).select("fp", (F.col("set") * len(keys) + F.col("key.k")).alias("k"), "key.bits")
     large = stored(keyed.groupBy("k", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select(F.col("k").alias("l_k"), F.col("bits").alias("l_bits"), "n"), "simhash-large")
     # the keys of large groups: at most len(keys) / GROUP for each class
     at = large.count()
@@ -208,51 +216,56 @@ def links(classes: DataFrame, *, budget: int = 4) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     near = near.withColumn("other", other).select("fp", "k", "bits", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("c"))
     near = near.repartition(tasks(spark), "k", "bits", "i", "j").sortWithinPartitions("k", "bits", "i", "j", "c")
+    n_keys = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            v, c = group["fp"], group["c"]
-            if group["i"] == group["j"]:
-                a, b = np.sort(v), None
-                both = a
-            else:
-                a, b = np.sort(v[c == group["i"]]), np.sort(v[c == group["j"]])
-                both = np.concatenate([a, b])
-            x, y = trie_join(a, b, budget)
+        for k, group, i, j, c, values in _groups(batches):
+            order = np.lexsort((values, c, group))
+            k, group, i, j, c, values = (x[order] for x in (k, group, i, j, c, values))
+            # runs of one group and chunk, and which of them are joined: those of a group's two chunks, or one with itself
+            new = np.concatenate([[True], (group[1:] != group[:-1]) | (c[1:] != c[:-1])])
+            lo = np.flatnonzero(new)
+            hi = np.append(lo[1:], len(values))
+            alone = i[lo] == j[lo]
+            pair = np.flatnonzero(group[lo][1:] == group[lo][:-1])
+            left, right = np.concatenate([np.flatnonzero(alone), pair]), np.concatenate([np.flatnonzero(alone), pair + 1])
+            x, y = trie_join(values, (lo[left], hi[left], lo[right], hi[right]), budget)
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(both[x].view(np.int64)), pa.array(both[y].view(np.int64))], ["a", "b"])
+                found = [pa.array((k[x] // n_keys).astype(np.int32)), pa.array(values[x].view(np.int64)), pa.array(values[y].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(found, ["set", "a", "b"])
 
-    return near.mapInArrow(run, "a long, b long")
+    return near.mapInArrow(run, "set int, a long, b long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """The sorted rows' groups; one is held at a time, and none has more than GROUP rows or so."""
-    held: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch[n].to_numpy(zero_copy_only=False) for n in ("k", "bits", "i", "j", "c", "fp")]
-        cut = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1]) | (cols[3][1:] != cols[3][:-1])) + 1
-        edges = [0, *cut.tolist(), batch.num_rows]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            part = tuple(x[lo:hi] for x in cols)
-            if held and any(held[0][i][0] != part[i][0] for i in range(4)):
-                yield _group(held)
-                held = []
-            held.append(part)
-    if held:
-        yield _group(held)
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Key, number of the group, chunks, own chunk and fingerprint of whole groups, some ``TOGETHER`` members at a time; no group has more than GROUP or so."""
+    held: list[list[np.ndarray]] = []
+    size = 0
 
+    def cut(last: bool) -> tuple[np.ndarray, ...] | None:
+        nonlocal held, size
+        k, bits, i, j, c, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (bits[1:] != bits[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        stop = len(k) if last else int(np.flatnonzero(new)[-1])
+        rest = [x[stop:] for x in (k, bits, i, j, c, fp)]
+        held, size = [rest], len(rest[0])
+        return None if not stop else tuple(x[:stop] for x in (k, np.cumsum(new), i, j, c, fp.view(np.uint64)))
 
-def _group(held: list[tuple[np.ndarray, ...]]) -> dict:
-    return {"i": held[0][2][0], "j": held[0][3][0], "c": np.concatenate([h[4] for h in held]), "fp": np.concatenate([h[5] for h in held]).astype(np.int64).view(np.uint64)}
+    for batch in batches:
+        if batch.num_rows:
+            held.append([batch[n].to_numpy(zero_copy_only=False) for n in ("k", "bits", "i", "j", "c", "fp")])
+            size += batch.num_rows
+        if size >= TOGETHER and (whole := cut(False)):
+            yield whole
+    if size and (whole := cut(True)):
+        yield whole
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 4, seed: int = 42, budget: int = 4) -> DataFrame:
     """``doc_id, fp, component_id`` for each row of ``docs(doc_id, text)``; the component's smallest doc_id is its id."""
     prints = stored(fingerprints(docs, words=words, seed=seed), "simhash-prints")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    found = stored(links(classes.select("fp"), budget=budget), "simhash-links")
+    found = stored(links(classes.select(F.lit(0).alias("set"), "fp"), budget=budget), "simhash-links")
     # only classes with a link to another need the search for components
     edges = found.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     roots = connected(edges).select(F.col("node").alias("n_fp"), "root")

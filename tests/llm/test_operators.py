@@ -272,35 +272,48 @@ def test_near_duplicates(messy, group, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == components(fp)
 
 
-def test_trie_join_finds_every_component():
+def test_trie_join_finds_every_component(monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     v = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(6)]]))
-    for budget in (0, 2, 4):
-        x, y = simhash.trie_join(v, None, budget)
-        assert (np.bitwise_count(v[x] ^ v[y]) <= budget).all() and len(x) < len(v)
-        want = components(dict(enumerate(v.tolist())), budget)
-        root = dict(zip(range(len(v)), range(len(v)), strict=True))
-
-        def find(i, root=root):
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        for a, b in zip(x.tolist(), y.tolist(), strict=True):
-            a, b = sorted((find(a), find(b)))
-            root[b] = a
-        assert {i: find(i) for i in root} == want
     half = len(v) // 2
-    a, b = np.sort(v[:half]), np.sort(v[half:])
-    x, y = simhash.trie_join(a, b, 4)
-    assert (np.bitwise_count(np.concatenate([a, b])[x] ^ np.concatenate([a, b])[y]) <= 4).all()
+    both = np.concatenate([v, v[:half], v[half:]])  # a run joined with itself, and two runs joined with each other
+    n = len(v)
+    roots = (np.array([0, n]), np.array([n, n + half]), np.array([0, n + half]), np.array([n, 2 * n]))
+    for budget, leaf in ((0, 64), (2, 1), (4, 64), (4, 1), (10, 16)):
+        monkeypatch.setattr(simhash, "LEAF", leaf)
+        monkeypatch.setattr(simhash, "SLAB", 500)
+        monkeypatch.setattr(simhash, "PAIRS", 300)
+        x, y = simhash.trie_join(both, roots, budget)
+        assert (np.bitwise_count(both[x] ^ both[y]) <= budget).all() and len(x) < 2 * n
+        for lo, hi, pairs in ((0, n, None), (n, 2 * n, (n, n + half))):
+            own = dict(enumerate(both[lo:hi].tolist(), lo))
+            want = components(own, budget) if pairs is None else across(own, budget, pairs[1])
+            root = {i: i for i in own}
+            for a, b in ((a, b) for a, b in zip(x.tolist(), y.tolist(), strict=True) if lo <= a < hi):
+                a, b = sorted((root[a], root[b]))
+                root = {k: a if r == b else r for k, r in root.items()}
+            assert root == want
+
+
+def across(fp, budget, middle):
+    """Components of the pairs from both sides of ``middle`` only."""
+    root = {i: i for i in fp}
+    for i in fp:
+        for j in fp:
+            if i < middle <= j and (fp[i] ^ fp[j]).bit_count() <= budget:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    return root
 
 
 def test_near_duplicates_edges(odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == 6 and [r.component_id for r in rows if r.doc_id is None] == [None]
+    x, y = "one two three four five six seven", "a b c d e f g h"
+    rows = simhash.near_duplicates(odd.sparkSession.createDataFrame([(3, x), (5, x), (5, y), (None, y)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in rows) == [(0, 5), (3, 3), (5, 3), (5, 5)]
 
 
 def test_block_keys_hold_for_all_sizes():
