@@ -1,17 +1,16 @@
-"""Near copies by the Jaccard similarity of word shingles, exact: a prefix filter, then a comparison of whole sets.
+"""Near copies: pairs that the SimHash trie join finds, checked by the Jaccard similarity of their word shingles.
 
-A text is the set of the XXH64 hashes of its shingles of ``words`` words (of all its words, if it has fewer). Two texts
-are linked if their sets' similarity is ``percent`` % or more, and the links' connected components are the groups of near copies.
+A text is the set of its shingles of ``words`` words (of all its words, if it has fewer). Two texts are near copies if their sets'
+similarity is ``percent`` % or more; the links' connected components are the groups of near copies.
 
-* Equal texts are one class, found by a hash of the text; links are between classes.
-* All shingles have one order. A set of n that is similar enough to another shares ceil(n * percent / 100) shingles with it at least,
-  so both have one of their first n - ceil(n * percent / 100) + 1 in common: the classes that meet under one of these include all pairs.
-  Any order is right; shingles found often in a bounded sample of texts come last, so that few classes meet by chance.
-* Shingles under which the same classes meet are settled once.
-* Classes that meet are first compared by sizes and bitmaps (the parity of the shingles by their lowest bits, which bounds the difference
-  of two sets from below). This loses no pair and leaves few that aren't similar; components of what is left are groups.
-* The texts of a group are fetched once and compared set by set; pairs that are connected already add nothing.
-* More than ``MEET`` classes under one shingle, or ``GROUP`` in a group, are cut into chunks, every two of which are a task of their own.
+1. Equal texts are one class. Each class has ``prints`` SimHashes of 64 bits; for each of these the trie join (:mod:`quarry.llm.simhash`)
+   finds all pairs within ``budget`` bits, as spanning forests. Classes with an equal SimHash are linked to the smallest of them.
+   At a similarity of s two SimHashes differ in 64 acos(2 s / (1 + s)) / pi bits on average (9.7 at 0.8, 6.6 at 0.9), so a pair
+   is found by one of them or through others of its group; the README has the recall that was measured.
+2. A pair that is further apart over all SimHashes than ``FAR`` of their bits is dropped: at 0.8 that is four standard deviations away.
+3. In each group of pairs the class with most of them is compared with all others of the group, set by set, then again one among those that
+   this did not join; what pairs are left between different components are then compared one by one. So the sets that are
+   moved grow with the classes and the pairs found, not with the square of a group, and no group is held by one task.
 
 Defined results: null text is the empty text; texts without words are near copies of each other and of no other; a null doc_id
 is a value like any other; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -24,18 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected
-from quarry.llm.scratch import stored, tasks
+from quarry.llm.scratch import stored
+from quarry.llm.simhash import fingerprint, links
 
-#: Classes that one task compares at most, by bitmaps and by sets.
-MEET, GROUP = 4096, 2048
-#: Texts whose shingles are counted for the order, and shingles that it places last. Neither touches the result.
-SAMPLE, OFTEN = 20_000, 100_000
-#: Bits of a bitmap.
-BITS = 1024
+#: Share of all SimHashes' bits in which a pair that is compared differs at most.
+FAR = 0.25
+#: How often a group's best connected class is compared with the others.
+STARS = 2
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -49,50 +47,13 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([digest(joined[s:e]) for s, e in zip(starts, stops, strict=True)]), np.uint64))
 
 
-def prefix(own: np.ndarray, often: np.ndarray, times: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set, of which it shares one at least with each set that is similar enough."""
-    rank = np.zeros(len(own), np.int64)
-    if len(often):
-        at = np.minimum(np.searchsorted(often, own), len(often) - 1)
-        rank = np.where(often[at] == own, times[at], 0)
-    return own[np.lexsort((own, rank))[: len(own) + (-len(own) * percent) // 100 + 1]]
-
-
-def bitmap(own: np.ndarray) -> np.ndarray:
-    """The parity of the number of shingles with the same lowest bits."""
-    return np.packbits((np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(bool))
-
-
-def compare(size: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs that are similar enough; with ``side``, of those from different sides.
-
-    Without ``sets``, of the pairs that can be by their ``size`` and bitmaps ``bits`` (rows of bytes).
-    """
-    words = np.ascontiguousarray(bits).view(np.uint64)
-    label = np.arange(len(size))
-    x, y = [], []
-    for i in range(len(size) - 1):
-        other = label[i + 1 :] != label[i]
-        if side is not None:
-            other &= side[i + 1 :] != side[i]
-        j = np.flatnonzero(other) + i + 1
-        total = size[i] + size[j]
-        differ = np.bitwise_count(words[j] ^ words[i]).sum(1, dtype=np.int64)
-        most = np.minimum(np.minimum(size[i], size[j]), (total - differ) // 2)
-        worth = (100 + percent) * most >= percent * total
-        j, total = j[worth], total[worth]
-        if sets is not None and len(j):
-            found = np.concatenate([sets[k] for k in j.tolist()])
-            hit = sets[i][np.minimum(np.searchsorted(sets[i], found), size[i] - 1)] == found
-            shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[j]) - size[j])
-            j = j[(100 + percent) * shared >= percent * total]
-        if len(j):
-            labels, at = np.unique(label[j], return_index=True)
-            x.append(np.full(len(at), i))
-            y.append(j[at])
-            label[np.isin(label, labels)] = label[i]
-    none = label[:0]
-    return (np.concatenate(x), np.concatenate(y)) if x else (none, none)
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets' Jaccard similarity is ``percent`` % or more."""
+    total = len(a) + len(b)
+    if (100 + percent) * min(len(a), len(b)) < percent * total:
+        return False
+    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return (100 + percent) * shared >= percent * total
 
 
 def text_key(text: Column) -> Column:
@@ -100,107 +61,92 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found in three texts of a sample or more, sorted, and in how many."""
+def _prints(docs: DataFrame, words: int, prints: int) -> DataFrame:
+    """``key, fps``: the SimHashes of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                found = [shingles(t.as_py(), words) for t in b["text"].slice(i, 512)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
+            fp = np.array([fingerprint(t.as_py(), words, prints=prints) for t in b["text"]], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array(list(fp), pa.list_(pa.int64()))], ["key", "fps"])
 
-    part = max(1, -(-docs.count() // SAMPLE))
-    sample = docs.filter(F.pmod(text_key(F.col("text")), F.lit(part)) == 0).select("text")
-    often = sample.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n >= 3")
-    rows = often.orderBy(F.desc("n"), "token").limit(OFTEN).toArrow()
-    token, n = rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-    order = np.argsort(token)
-    return token[order], n[order]
+    made = docs.select("key", "text").mapInArrow(run, "key long, fps array<long>")
+    return stored(made.groupBy("key").agg(F.first("fps").alias("fps")), "similar-prints")
 
 
-def _prints(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``key, size, bits, tokens``: class, number of shingles, bitmap and prefix of each text."""
-    often, times = _frequent(docs, words)
+def _pairs(prints: DataFrame, n: int, budget: int) -> DataFrame:
+    """``src, dst`` (src < dst): pairs of classes that the trie join finds and that aren't too far apart over all ``n`` SimHashes."""
+    each = prints.select("key", F.posexplode("fps").alias("set", "fp"))
+    first = stored(each.groupBy("set", "fp").agg(F.min("key").alias("rep")), "similar-sets")
+    found = stored(links(first.select("set", "fp"), budget=budget), "similar-links")
+    a, b = (first.select(F.col("set").alias(f"{x}_set"), F.col("fp").alias(f"{x}_fp"), F.col("rep").alias(f"{x}_rep")) for x in "ab")
+    linked = found.join(a, (F.col("set") == F.col("a_set")) & (F.col("a") == F.col("a_fp"))).join(b, (F.col("set") == F.col("b_set")) & (F.col("b") == F.col("b_fp")))
+    same = each.join(first.select(F.col("set").alias("f_set"), F.col("fp").alias("f_fp"), "rep"), (F.col("set") == F.col("f_set")) & (F.col("fp") == F.col("f_fp")))
+    pairs = linked.select(F.col("a_rep").alias("x"), F.col("b_rep").alias("y")).unionByName(same.select(F.col("rep").alias("x"), F.col("key").alias("y")))
+    pairs = pairs.filter("x <> y").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct()
+    own = [prints.select(F.col("key").alias(f"{x}_key"), F.col("fps").alias(f"{x}_fps")) for x in "ab"]
+    pairs = pairs.join(own[0], F.col("src") == F.col("a_key")).join(own[1], F.col("dst") == F.col("b_key"))
+    apart = F.aggregate(F.zip_with("a_fps", "b_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return stored(pairs.filter(apart <= int(FAR * 64 * n)).select("src", "dst"), "similar-pairs")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``s_key, own``: the shingles of the wanted classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                found = [shingles(t.as_py(), words) for t in part["text"]]
-                first = [prefix(x, often, times, percent) for x in found]
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in first])]), pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
-                cols = [part["key"], pa.array([len(x) for x in found], pa.int32()), pa.array([bitmap(x).tobytes() for x in found], pa.binary()), tokens]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "size", "bits", "tokens"])
-
-    return stored(docs.select("key", "text").mapInArrow(run, "key long, size int, bits binary, tokens array<long>"), "similar-prints")
-
-
-def _meetings(prints: DataFrame) -> DataFrame:
-    """``g, key, n, size, bits``: classes that meet others under a token ``g`` of their prefixes, and how many meet there."""
-    same = Window.partitionBy("g")
-    tokens = prints.select(F.explode("tokens").alias("g"), "key")
-    met = tokens.withColumns({"low": F.min("key").over(same), "high": F.max("key").over(same)}).filter("low < high").select("g", "key").distinct()
-    met = stored(met, "similar-met")
-    # tokens with the same classes are settled once
-    members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("s1"), F.bit_xor(F.xxhash64(F.lit("s2"), "key")).alias("s2")]
-    once = met.groupBy("g").agg(*members).groupBy("n", "s1", "s2").agg(F.min("g").alias("o_g"))
-    met = met.join(once, F.col("g") == F.col("o_g")).select("g", "key", "n")
-    bits = prints.groupBy(F.col("key").alias("b_key")).agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
-    return met.join(bits, F.col("key") == F.col("b_key")).select("g", "key", "n", "size", "bits")
-
-
-def _links(members: DataFrame, most: int, words: int, percent: int) -> DataFrame:
-    """``src, dst``: links between the classes of each group ``g`` of ``n``, by ``text`` if there is one, else by ``size`` and ``bits``."""
-    held = ["text"] if "text" in members.columns else ["size", "bits"]
-    chunks = F.when(F.col("n") <= most, 1).otherwise(F.ceil(F.col("n") / (most // 2))).cast("int")
-    rows = members.withColumn("chunks", chunks).withColumn("c", F.pmod("key", F.col("chunks")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("g", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "key", *held)
-    rows = rows.repartition(tasks(members.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j", "key")
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array([shingles(t.as_py(), words).tobytes() for t in b["text"]], pa.binary())], ["s_key", "own"])
+
+    # of a class's rows one is enough; the copies that a third of all rows may be are dropped before the text is moved
+    met = docs.select("key", "text").join(wanted, F.col("key") == F.col("node"), "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    return stored(met.mapInArrow(run, "s_key long, own binary"), "similar-texts")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``src, dst`` whose sets are similar enough."""
+    a, b = (sets.select(F.col("s_key").alias(f"{x}_key"), F.col("own").alias(f"{x}_own"), F.octet_length("own").alias(f"{x}_n")) for x in "ab")
+    # sizes settle some pairs before any set is moved
+    sizes = (F.lit(100) * F.least("a_n", "b_n")) >= F.lit(percent) * F.greatest("a_n", "b_n")
+    small = pairs.join(a.drop("a_own"), F.col("src") == F.col("a_key")).join(b.drop("b_own"), F.col("dst") == F.col("b_key")).filter(sizes).select("src", "dst")
+    met = small.join(a, F.col("src") == F.col("a_key")).join(b, F.col("dst") == F.col("b_key")).select("src", "dst", "a_own", "b_own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), group in _groups(batches, held):
-            keys, c, *own = zip(*group, strict=True)
-            if held == ["text"]:
-                sets = [shingles(t, words) for t in own[0]]
-                size, bits = np.array([len(x) for x in sets]), np.stack([bitmap(x) for x in sets])
-            else:
-                sets, size = None, np.array(own[0], np.int64)
-                bits = np.frombuffer(b"".join(own[1]), np.uint8).reshape(len(size), -1)
-            x, y = compare(size, bits, sets, None if i == j else np.array(c), percent)
-            if len(x):
-                key = np.array(keys, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[y])], ["src", "dst"])
-
-    return rows.mapInArrow(run, "src long, dst long")
-
-
-def _groups(batches: Iterator[pa.RecordBatch], held: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """The sorted rows' groups of two classes or more, each class once; one is held at a time."""
-    group: list[tuple] = []
-    now = None
-    for b in batches:
-        for *name, key, c, x, y in zip(*(b[n].to_pylist() for n in ("g", "i", "j", "key", "c", held[0], held[-1])), strict=True):
-            if name != now:
-                if len(group) > 1:
-                    yield tuple(now), group
-                group, now = [], name
-            if not group or group[-1][0] != key:
-                group.append((key, c, x, y))
-    if len(group) > 1:
-        yield tuple(now), group
-
-
-def similar_documents(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+        for batch in batches:
+            both = zip(batch["a_own"], batch["b_own"], strict=True)
+            near = pa.array([alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in both], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["src"], batch["dst"]], ["src", "dst"]).filter(near)
+
+    return met.mapInArrow(run, "src long, dst long")
+
+
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components of ``joined(node, root)``."""
+    a, b = (joined.select(F.col("node").alias(f"{x}_node"), F.col("root").alias(f"{x}_root")) for x in "ab")
+    met = pairs.join(a, F.col("src") == F.col("a_node"), "left").join(b, F.col("dst") == F.col("b_node"), "left")
+    return met.filter(F.coalesce("a_root", "src") != F.coalesce("b_root", "dst")).select("src", "dst")
+
+
+def similar_classes(docs: DataFrame, *, words: int, percent: int, budget: int, prints: int) -> DataFrame:
+    """``node, root`` for each class of ``docs(key, text)`` that has a near copy: the component's smallest class."""
+    pairs = _pairs(_prints(docs, words, prints), prints, budget)
+    groups = stored(connected(pairs), "similar-groups").select(F.col("node").alias("g_node"), F.col("root").alias("g"))
+    sets = _sets(docs, groups.select(F.col("g_node").alias("node")), words)
+    good = pairs.limit(0)
+    joined = good.select(F.col("src").alias("node"), F.col("dst").alias("root"))
+    for _ in range(STARS):
+        ends = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node")))
+        degree = ends.groupBy("node").agg(F.count("*").alias("n"))
+        best = degree.join(groups, F.col("node") == F.col("g_node")).groupBy("g").agg(F.max_by("node", F.struct("n", -F.col("node"))).alias("best"))
+        open_ = groups.join(degree, F.col("g_node") == F.col("node"), "left_semi").join(best.withColumnRenamed("g", "b_g"), F.col("g") == F.col("b_g"))
+        star = open_.filter("g_node <> best").select(F.least("g_node", "best").alias("src"), F.greatest("g_node", "best").alias("dst"))
+        good = stored(good.unionByName(_alike(_apart(star, joined), sets, percent)), "similar-good")
+        joined = stored(connected(good), "similar-joined")
+        pairs = stored(_apart(pairs, joined), "similar-open")
+    good = stored(good.unionByName(_alike(pairs, sets, percent)), "similar-good")
+    return connected(good)
+
+
+def similar_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, budget: int = 10, prints: int = 3) -> DataFrame:
     """``doc_id, key, root`` for each row of ``docs(doc_id, text)``: its class and the component's smallest class."""
     docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
-    maybe = _links(_meetings(_prints(docs, words, percent)), MEET, words, percent)
-    maybe = stored(connected(stored(maybe, "similar-maybe")).select(F.col("node").alias("m_key"), F.col("root").alias("g")), "similar-groups")
-    lists = maybe.join(maybe.groupBy(F.col("g").alias("n_g")).agg(F.count("*").alias("n")), F.col("g") == F.col("n_g")).select("m_key", "g", "n")
-    # of the rows of a class, those of its smallest id are enough
-    firsts = docs.groupBy(F.col("key").alias("f_key")).agg(F.min("doc_id").alias("f_id"))
-    lists = lists.join(firsts, F.col("m_key") == F.col("f_key")).select("m_key", "f_id", "g", "n")
-    wanted = docs.join(lists, (F.col("key") == F.col("m_key")) & F.coalesce(F.col("doc_id") == F.col("f_id"), F.col("f_id").isNull())).select("g", "n", "key", "text")
-    found = stored(_links(wanted, GROUP, words, percent), "similar-links")
-    roots = connected(found).select(F.col("node").alias("r_key"), "root")
+    roots = similar_classes(docs, words=words, percent=percent, budget=budget, prints=prints).select(F.col("node").alias("r_key"), "root")
     return docs.select("doc_id", "key").join(roots, F.col("key") == F.col("r_key"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))

@@ -5,7 +5,8 @@ from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
-from test_operators import SPACE, brute_fingerprint, brute_mix, components
+from test_operators import SPACE, brute_mix
+from test_similar import brute_groups
 
 import corpus_pipeline as P
 
@@ -46,7 +47,7 @@ def test_stages(spark, folder):
     assert all(r.n_chars == len(r.text) for r in docs.collect())
 
     docs = P.stored(P.drop_near_copies(spark, docs, folder), "t3")
-    near = components({i: brute_fingerprint(t) for i, t in lines.items()})
+    near = brute_groups(lines)
     assert docs.columns == P.COLUMNS and sorted(r.doc_id for r in docs.collect()) == sorted(set(near.values()))
 
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
