@@ -19,7 +19,6 @@ from quarry.llm.packing import pack, pieces
 from quarry.llm.queries import tokenizer_path
 from quarry.llm.scratch import stored
 from quarry.llm.similar import similar_documents, text_key
-from quarry.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 QUALITY = 0.3
@@ -43,18 +42,9 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of op7's SimHash (4 words, 4 bits), the document with the smallest doc_id; no stage, as it misses copies."""
-    docs = docs.select(COLUMNS)
-    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("f_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("f_id")), "left_semi")
-    # rows that share the smallest doc_id are one group, too
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang", "n_chars")
-    return kept.withColumn("row_no", F.row_number().over(same)).filter("row_no = 1").select(COLUMNS)
-
-
-def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents whose shingles of ``WORDS`` words are ``SIMILAR`` % alike (Jaccard, exact), the one with the smallest doc_id.
+    """Of each component of near copies, the document with the smallest doc_id.
 
+    The SimHash trie join finds the pairs, by shingles of ``WORDS`` words; those are near copies whose shingles are ``SIMILAR`` % alike (Jaccard).
     Rows are told apart by doc_id and text; of kept rows that share a doc_id, other than null, one stays.
     """
     docs = docs.select(COLUMNS)
@@ -85,7 +75,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality", keep_quality),
     ("line_dedup", drop_common_lines),
-    ("near_dedup", drop_similar),
+    ("near_dedup", drop_near_copies),
     ("mix", mix_sources),
     ("pack", pack_sequences),
 ]
