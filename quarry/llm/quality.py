@@ -7,11 +7,12 @@ a linear model with hinge loss is fitted to the scaled indicators by dual coordi
 sigmoid fitted on rows held back turns the margin into a score from 0 to 1.
 
 The model is fitted on the driver, on a bounded sample (``max_rows``) of the labelled rows, and sent
-to the executors: at most ``max_grams`` n-grams with their weights. Every row is scored, on its whole text.
+to the executors: at most ``max_grams`` n-grams with their weights. Of labelled rows with equal text one is
+used. The driver holds one partition of the sample's texts at a time, and of each text the numbers of its n-grams. Every row is scored, on its whole text.
 
 Defined results: null text is the empty text, whose score follows from the intercept; with no labelled
 rows, or rows of one label only, every score is that label's share (0.5 without rows); rows that repeat get
-the same score; an empty table gives no rows; other columns are ignored, whatever their names.
+the same score; an empty table gives no rows; other columns are neither read nor returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ def grams(text: str) -> set[str]:
     out = set(t)
     out.update({f"{a} {b}" for a, b in set(zip(t, t[1:], strict=False))})
     if len(t) > 1:
-        a = np.array([hash(x) for x in t])
+        number: dict[str, int] = {}
+        a = np.fromiter((number.setdefault(x, len(number)) for x in t), np.int64, len(t))
         same = np.concatenate([[False], a[1:] == a[:-1], [False]])
         edge = np.flatnonzero(same[1:] != same[:-1])
         longest = int((edge[1::2] - edge[::2]).max()) + 1 if len(edge) else 1
@@ -66,6 +68,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -35, 35)))
 
 
+def log_count_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """For each indicator, the logarithm of its smoothed share of the positive rows over that of the negative ones."""
+    return np.log((pos + 1) / (n_pos + 2)) - np.log((neg + 1) / (n_neg + 2))
+
+
 def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n: int, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Weights of the linear model with hinge loss; ``rows`` have the places and values of what isn't 0."""
     w, alpha = np.zeros(n), np.zeros(len(rows))
@@ -109,29 +116,23 @@ def sigmoid_fit(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(sample: DataFrame, *, min_rows: int = 5, max_grams: int = 100_000, cost: float = 1.0) -> Model:
     """Fit on ``sample(text, label)``. The sample is read twice: for counts by hash, then for the n-grams kept."""
     buckets = 1 << 22
-    counts, seen, positive, total = np.zeros(buckets, np.int32), set(), 0, 0
-    for text, label in streamed(sample):
-        if (h := zlib.crc32(text.encode("utf-8", "surrogatepass"))) in seen:
-            continue  # copies of a text would count its n-grams as if they were common
-        seen.add(h)
+    counts, positive, total = np.zeros(buckets, np.int32), 0, 0
+    for text, label, _ in streamed(sample):
         positive, total = positive + label, total + 1
         counts[np.unique(np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams(text)), np.int64))] += 1
     if positive in (0, total):
         return Model({}, 0.0, 1.0, 0.0, flat=positive / total if total else 0.5)
-    seen.clear()
     number: dict[str, int] = {}  # of the n-grams that may be kept; texts are held as numbers, not strings
-    docs: list[tuple[int, int, np.ndarray]] = []
-    for text, label in streamed(sample):
-        if (h := zlib.crc32(text.encode("utf-8", "surrogatepass"))) in seen:
-            continue
-        seen.add(h)
+    docs: list[tuple[int, np.ndarray]] = []
+    for text, label, _ in streamed(sample):
         kept = sorted(g for g in grams(text) if counts[zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets] >= min_rows)
-        docs.append((h, label, np.array([number.setdefault(g, len(number)) for g in kept], np.int32)))
+        docs.append((label, np.array([number.setdefault(g, len(number)) for g in kept], np.int32)))
     del counts
-    docs.sort(key=lambda d: d[0])
     n_pos, n_neg = positive, total - positive
-    have = [sum((np.bincount(d, minlength=len(number)) for _, y, d in docs if y == label), np.zeros(len(number), np.int64)) for label in (0, 1)]
-    ratio = np.log((have[1] + 1) / (n_pos + 2)) - np.log((have[0] + 1) / (n_neg + 2))
+    have = [np.zeros(len(number), np.int64) for _ in (0, 1)]
+    for label, d in docs:
+        have[label][d] += 1
+    ratio = log_count_ratio(have[1], have[0], n_pos, n_neg)
     names = list(number)
     usable = np.flatnonzero(have[0] + have[1] >= min_rows).tolist()
     weight = np.abs(ratio) * np.minimum(have[0] + have[1], 50)
@@ -139,8 +140,8 @@ def fit(sample: DataFrame, *, min_rows: int = 5, max_grams: int = 100_000, cost:
     place = np.full(len(number) + 1, -1, np.int64)
     place[best] = np.arange(len(best))
     scale = np.append(ratio[best], 1.0)  # the last is the intercept
-    rows, y = [], np.array([1 if label else -1 for _, label, _ in docs])
-    for _, _, d in docs:
+    rows, y = [], np.array([1 if label else -1 for label, _ in docs])
+    for _, d in docs:
         at = np.append(np.sort(place[d][place[d] >= 0]), len(best))
         rows.append((at, scale[at]))
     back = np.arange(len(rows)) % 4 == 3  # held back for the sigmoid
@@ -157,19 +158,16 @@ def fit(sample: DataFrame, *, min_rows: int = 5, max_grams: int = 100_000, cost:
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score``; the model travels to the executors once."""
+    """``doc_id, score`` for each row of ``docs(doc_id, text)``; the model travels to the executors once."""
+    rows = docs.select("doc_id", "text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = sent.value.score(t.as_py() for t in b["text"])
-            cols = [b.column(i) for i in range(b.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(s, pa.float64())], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    names = docs.columns
-    at, kept = names.index("text"), [c for c in names if c != "text"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def score_column(docs: DataFrame, model: Model):

@@ -6,8 +6,9 @@ for the person spoken to, capitals, punctuation, and how much is obfuscated. Tre
 loss are boosted over 32 quantile bins of each feature; predictions for rows left out are made
 monotone against the labels (pool adjacent violators) to give the final score.
 
-The learned lexicon of a row's features never comes from that row: the sample is split in two, and each half
-is described by the other's lexicon. The model is fitted on the driver on at most ``max_rows`` labelled rows.
+The learned lexicon of a row's features never comes from that row: the sample is split in two by the texts' hashes, and each half
+is described by the other's lexicon. At most ``max_rows`` labelled rows are used, of those with equal text one. Words are counted and features
+made on the executors; the driver gets the words of the lexicon and the rows' features, not their texts, and fits the trees.
 
 Defined results: null text is the empty text and gets the score of its features (no words, no hits); with no
 labelled rows, or rows of one label only, every score is that label's share (0.5 without rows); rows that repeat get
@@ -24,11 +25,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.sample import labelled_sample, remainder, streamed
+from quarry.llm.sample import labelled_sample, part_of, remainder
 
 #: Insults that any list of them has.
 INSULTS = frozenset(
@@ -56,23 +56,49 @@ class Lexicon:
     stems: frozenset[str] = frozenset()
 
 
-def learn_lexicon(sets: Iterable[tuple[frozenset[str], int]], min_rows: int = 5) -> Lexicon:
-    """Words, and beginnings of words, that toxic texts have and others hardly ever."""
-    count: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
-    n = [0, 0]
-    for words, label in sets:
-        n[label] += 1
-        count[label].update(words)
-        count[label].update({f"{w[:k]}*" for w in words for k in STEMS if len(w) > k})
-    kept = set()
-    for w, p in count[1].items():
-        # a rate among toxic texts ten times that among others, with room for chance
-        if p >= min_rows and (p - math.sqrt(p)) / n[1] > 10 * (count[0][w] + 1) / (n[0] + 1):
-            kept.add(w)
+def tokens(text: str) -> set[str]:
+    """The words of a text, and their beginnings with a star."""
+    words = set(WORD.findall(text.lower()))
+    return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
+
+
+def telling(toxic: Column, other: Column, n_toxic: int, n_other: int, min_rows: int = 5) -> Column:
+    """Whether toxic texts have a token and others hardly ever: a rate ten times that among others, with room for chance."""
+    return (toxic >= min_rows) & ((toxic - F.sqrt(toxic)) / max(1, n_toxic) > 10 * (other + 1) / (n_other + 1))
+
+
+def lexicon_of(kept: Iterable[str]) -> Lexicon:
+    kept = set(kept)
     stems = {w[:-1] for w in kept if w[-1] == "*"}
     return Lexicon(frozenset(w for w in kept if w[-1] != "*"), frozenset(s for s in stems if not any(s[:k] in stems for k in STEMS if k < len(s))))
 
 
+def learn_lexicons(sample: DataFrame) -> list[Lexicon]:
+    """The lexicons of each half of ``sample(text, label, hash)`` and of all of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count: Counter[tuple[str, int]] = Counter()
+            for text, label, h in zip(b["text"].to_pylist(), b["label"].to_pylist(), b["hash"].to_pylist(), strict=True):
+                cell = 2 * part_of(h, 2, 0) + label
+                count.update((w, cell) for w in tokens(text))
+            rows = list(count.items())
+            for i in range(0, len(rows), 50_000):
+                part = rows[i : i + 50_000]
+                cols = [pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.int32()), pa.array([n for _, n in part], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["token", "cell", "n"])
+
+    half = F.pmod(F.conv(F.substring("hash", 1, 8), 16, 10).cast("long"), F.lit(2))
+    size = {r["cell"]: r["n"] for r in sample.groupBy((2 * half + F.col("label")).cast("int").alias("cell")).agg(F.count("*").alias("n")).collect()}
+    of = lambda cells: F.coalesce(F.sum(F.when(F.col("cell").isin(cells), F.col("n"))), F.lit(0))
+    counted = sample.select("text", "label", "hash").mapInArrow(run, "token string, cell int, n long")
+    parts = (([1], [0]), ([3], [2]), ([1, 3], [0, 2]))
+    counted = counted.groupBy("token").agg(*[of(cells).alias(f"{kind}{i}") for i, part in enumerate(parts) for kind, cells in zip("to", part, strict=True)])
+    tell = [telling(F.col(f"t{i}"), F.col(f"o{i}"), sum(size.get(c, 0) for c in t), sum(size.get(c, 0) for c in o)) for i, (t, o) in enumerate(parts)]
+    rows = counted.select("token", *[t.alias(f"k{i}") for i, t in enumerate(tell)]).filter("k0 or k1 or k2").collect()
+    return [lexicon_of(r["token"] for r in rows if r[f"k{i}"]) for i in range(3)]
+
+
 NAMES = ("words", "listed", "listed_rate", "learned", "learned_rate", "learned_distinct", "stem", "stem_rate", "stem_distinct", "hits", "hit_rate", "near_you", "you_rate",
          "capitals", "shouted", "exclaims", "asks", "mark_runs", "punctuation", "odd_rate", "odd_hits", "spaced", "stretched", "mean_length")
 
@@ -177,14 +203,9 @@ def boost(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 3, rate
 
 def isotonic(m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: the middle of each block of margins, and its smoothed share of labels."""
-    blocks: list[list[float]] = []
-    for at in np.unique(m):
-        mine = y[m == at] if len(m) < 2000 else None
-        blocks.append([at, at, float(mine.sum()) if mine is not None else 0.0, float(len(mine)) if mine is not None else 0.0])
-    if len(m) >= 2000:
-        values, place = np.unique(m, return_inverse=True)
-        s, n = np.bincount(place, y), np.bincount(place)
-        blocks = [[a, a, float(b), float(c)] for a, b, c in zip(values, s, n, strict=True)]
+    values, place = np.unique(m, return_inverse=True)
+    s, n = np.bincount(place, y), np.bincount(place)
+    blocks = [[a, a, float(b), float(c)] for a, b, c in zip(values, s, n, strict=True)]
     out: list[list[float]] = []
     for b in blocks:
         out.append(b)
@@ -215,33 +236,28 @@ class Model:
 
 
 def fit(sample: DataFrame) -> Model:
-    """Fit on ``sample(text, label)``."""
-    texts: list[tuple[str, int]] = []
-    seen: set[int] = set()
-    for text, label in streamed(sample):
-        w = text.split()
-        # one text of those that share the smallest hash of five words: near copies aren't so many proofs
-        least = min((xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 4))), default=0)
-        if least not in seen:
-            seen.add(least)
-            texts.append((text, label))
-    texts.sort()
-    y = np.array([label for _, label in texts], np.float64)
-    if len(texts) < 8 or y.sum() < 4 or (1 - y).sum() < 4:
-        return Model(Lexicon(), None, np.zeros(0), np.zeros(0), float(y.mean()) if len(y) else 0.5)
-    sets = [(frozenset(WORD.findall(t.lower())), label) for t, label in texts]
-    half = np.arange(len(texts)) % 2
-    x = np.zeros((len(texts), len(NAMES)))
-    for part in (0, 1):
-        lexicon = learn_lexicon(s for s, h in zip(sets, half, strict=True) if h != part)
-        for i in np.flatnonzero(half == part):
-            x[i] = features(texts[i][0], lexicon)
-    fold = (np.arange(len(texts)) // 2) % 3
-    margins = np.zeros(len(texts))
+    """Fit on ``sample(text, label, hash)``."""
+    n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).head()
+    if n < 8 or positive < 4 or n - positive < 4:
+        return Model(Lexicon(), None, np.zeros(0), np.zeros(0), positive / n if n else 0.5)
+    first, second, whole = learn_lexicons(sample)
+    other = [second, first]  # each half is described by what the other shows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [features(t, other[part_of(h, 2, 0)]) for t, h in zip(b["text"].to_pylist(), b["hash"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["hash"], b["label"], pa.array(rows, pa.list_(pa.float64()))], ["hash", "label", "x"])
+
+    rows = sample.select("text", "label", "hash").mapInArrow(run, "hash string, label int, x array<double>").toArrow().sort_by("hash")
+    x = np.array(rows["x"].to_pylist(), np.float64)
+    y = rows["label"].to_numpy().astype(np.float64)
+    fold = np.array([part_of(h, 3, 8) for h in rows["hash"].to_pylist()])
+    margins = np.zeros(len(y))
     for f in range(3):
-        margins[fold == f] = boost(x[fold != f], y[fold != f]).margin(x[fold == f])
+        if (fold == f).any() and (fold != f).any():
+            margins[fold == f] = boost(x[fold != f], y[fold != f]).margin(x[fold == f])
     px, pp = isotonic(margins, y)
-    return Model(learn_lexicon(sets), boost(x, y), px, pp)
+    return Model(whole, boost(x, y), px, pp)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

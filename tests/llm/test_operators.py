@@ -144,6 +144,83 @@ def test_trees_and_isotonic():
     assert (np.diff(pp) >= 0).all() and (np.diff(px) >= 0).all()
 
 
+def test_isotonic_is_the_best_monotone_fit():
+    rng = np.random.default_rng(5)
+    m, y = rng.integers(0, 25, 60).astype(float), rng.integers(0, 2, 60).astype(float)
+    order = np.argsort(m, kind="stable")
+    m, y = m[order], y[order]
+    first, last = np.searchsorted(m, m, "left"), np.searchsorted(m, m, "right")
+    mean = lambda a, b: y[a:b].mean()
+    # the max-min formula, over whole ties
+    starts = sorted(set(first))
+    want = [max(min(mean(a, b) for b in sorted(set(last)) if b >= last[i]) for a in starts if a <= first[i]) for i in range(60)]
+    px, pp = toxicity.isotonic(m, y)
+    got = np.interp(m, px, pp)
+    blocks = Counter(round(w, 9) for w in want)
+    for i in range(60):
+        n = blocks[round(want[i], 9)]
+        assert abs(got[i] - (want[i] * n + 0.05) / (n + 0.1)) < 1e-9
+
+
+def test_log_count_ratio_and_dual_solver():
+    rows = [{0, 1}, {0, 2}, {0, 3}, {1, 2}, {2, 3}, {3}]
+    y = np.array([1, 1, 1, -1, -1, -1])
+    have = np.array([[sum(g in r for r, z in zip(rows, y) if z == side) for g in range(4)] for side in (1, -1)])
+    want = [math.log((have[0][g] + 1) / 5) - math.log((have[1][g] + 1) / 5) for g in range(4)]
+    ratio = quality.log_count_ratio(have[0], have[1], 3, 3)
+    assert np.allclose(ratio, want)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(30, 5))
+    z = np.where(x[:, 0] + 0.3 * rng.normal(size=30) > 0, 1, -1)
+    cost = np.full(30, 0.7)
+    w = quality.dual_coordinate_descent([(np.arange(5), r) for r in x], z, 5, cost, rounds=3000)
+    # the same by projected gradient on the dual
+    q = (x * z[:, None]) @ (x * z[:, None]).T
+    alpha = np.zeros(30)
+    for _ in range(20_000):
+        alpha = np.clip(alpha + (1 - q @ alpha) / np.linalg.norm(q, 2), 0, cost)
+    assert np.allclose(w, (alpha * z) @ x, atol=5e-3)
+
+
+def test_sample_counts_texts_once(spark):
+    from quarry.llm.sample import labelled_sample, streamed
+
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, None), (6, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 0), (4, 1), (5, 1), (6, 0), (9, 1)], "doc_id long, toxic int")
+    want = sorted((sha(t), t, y) for t, y in (("a", 0), ("b", 1), ("", 1)))
+    for part in (docs, docs.repartition(3)):
+        got = [(h, t, y) for t, y, h in streamed(labelled_sample(part, labels, "toxic", F.lit(True), 100))]
+        assert got == want
+    assert labelled_sample(docs, labels, "toxic", F.lit(True), 2).count() <= 2
+
+
+def brute_lexicons(rows):
+    """Tokens that each half and the whole show to be toxic."""
+    out = []
+    for halves in ((0,), (1,), (0, 1)):
+        mine = [(toxicity.tokens(t), y) for t, y in rows if int(sha(t)[:8], 16) % 2 in halves]
+        n = Counter(y for _, y in mine)
+        count = {y: Counter(w for s, z in mine if z == y for w in s) for y in (0, 1)}
+        out.append({w for w, p in count[1].items() if p >= 5 and (p - math.sqrt(p)) / max(1, n[1]) > 10 * (count[0][w] + 1) / (n[0] + 1)})
+    return out
+
+
+def test_lexicons_and_order(spark):
+    docs, labels = labelled(spark)
+    from quarry.llm.sample import labelled_sample
+
+    sample = labelled_sample(docs, labels, "toxic", F.lit(True), 1000)
+    rows = [(r.text, r.label) for r in sample.collect()]
+    got = toxicity.learn_lexicons(sample)
+    for lexicon, want in zip(got, brute_lexicons(rows), strict=True):
+        stems = {w[:-1] for w in want if w[-1] == "*"}
+        assert lexicon.words == {w for w in want if w[-1] != "*"}
+        assert lexicon.stems == {s for s in stems if not any(s != o and s.startswith(o) for o in stems)}
+    one = {r.doc_id: r.score for r in toxicity.scores(docs, toxicity.train(docs, labels)).collect()}
+    other = docs.repartition(5, "text")
+    assert one == {r.doc_id: r.score for r in toxicity.scores(other, toxicity.train(other, labels)).collect()}
+
+
 def labelled(spark, n=400):
     rows = []
     for i in range(n):
@@ -156,7 +233,7 @@ def labelled(spark, n=400):
 
 def test_classifiers_learn(spark):
     docs, labels = labelled(spark)
-    q = {r.doc_id: r.score for r in quality.scores(docs.select("doc_id", "text"), quality.train(docs, labels)).collect()}
+    q = {r.doc_id: r.score for r in quality.scores(docs, quality.train(docs, labels)).collect()}
     t = {r.doc_id: r.score for r in toxicity.scores(docs, toxicity.train(docs, labels)).collect()}
     for r in labels.collect():
         assert (q[r.doc_id] >= 0.3) == bool(r.quality) and (t[r.doc_id] >= 0.7) == bool(r.toxic)
@@ -166,6 +243,10 @@ def test_classifier_edges(spark, odd, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = odd.select("doc_id", "text")
     assert [r.score for r in quality.scores(docs, quality.train(docs, none)).collect()] == [0.5] * 6
+    assert quality.scores(odd, quality.train(odd, none)).columns == toxicity.scores(odd, toxicity.train(odd, none)).columns == ["doc_id", "score"]
+    long = spark.createDataFrame([(1, "you idiot! " * 60_000), (2, "")], "doc_id long, text string")
+    known = labelled(spark)
+    assert all(0 <= r.score <= 1 for m in (quality, toxicity) for r in m.scores(long, m.train(*known)).collect())
     assert [r.score for r in toxicity.scores(docs, toxicity.train(docs, none)).collect()] == [0.5] * 6
     one = spark.createDataFrame([(2, 1, 1), (None, 0, 0), (1, None, None)], "doc_id long, quality int, toxic int")
     assert all(0 <= r.score <= 1 for r in quality.scores(docs, quality.train(docs, one, allowed=F.lit(True))).collect())
