@@ -1,9 +1,11 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into blocks of text at block-level tags. A block's features are its number of words and
-its link density, those of the blocks before and after it, and what encloses it: an
-article, something that is never part of one, or an element whose class or id says so. A decision
-tree, trained on the small labelled table below when the module is first used, keeps or drops it.
+its link density, those of the blocks before and after it, whether it is a heading, and what encloses it: an
+article, an element that is made for other things (``nav``, ``footer``, ``form``, hidden ones), and how strongly a class, id or role says
+that it is none of the text. A decision tree, trained on the small labelled table below when the module is first used, keeps or drops
+each block. What encloses a block is a feature like the others: link lists go and long sections named like a widget stay, in an
+article too, as the labelled blocks show.
 
 Defined results: null or empty html gives the empty text; markup that is never closed is closed by what
 encloses it, unclosed script, style, title and textarea elements and comments by the end of the page; rows that repeat
@@ -16,7 +18,6 @@ import html
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|title|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*>|<[!?][^>]*>""",
     re.DOTALL | re.IGNORECASE,
 )
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
 #: Elements that don't end a block.
@@ -35,94 +36,175 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HOLDERS = frozenset("label legend article main section div nav header footer aside form ul ol dl table figure fieldset dialog menu button select noscript template svg object iframe blockquote".split())
 #: Elements that are no part of an article.
 OUTSIDE = frozenset("label legend nav footer aside form dialog menu button select noscript template svg object iframe fieldset".split())
+#: Elements that the next one of their kind closes.
+SIBLINGS = frozenset("li dt dd tr td th option".split())
 #: Words in a class or id, and roles, of what is no part of an article.
-HINTS = frozenset(
-    "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification popup modal overlay newsletter "
-    "subscribe subscription signup login share sharing social related recommended recommendations trending sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager "
-    "footer masthead topbar comment comments commentlist reply replies respond disqus discussion widget toolbar search copyright contentinfo complementary dialog alert form".split()
+STRONG = frozenset(
+    "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay newsletter "
+    "subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager "
+    "footer masthead topbar comment comments commentlist reply replies respond disqus contentinfo complementary dialog".split()
 )
+#: The same of what is mostly none, but that an article's own sections are called, too.
+WEAK = frozenset("notice notification login share sharing social related recommended recommendations trending discussion widget toolbar search copyright alert form".split())
 #: The same of what is an article.
 CONTENT = frozenset("article post entry content story main maincontent articlebody".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold no other block.
+BARE = HEADINGS | {"p", "pre", "hr"}
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "outside", "hinted", "heading")
-#: The labelled table, of blocks that nothing around them tells apart: the first six features, heading, then 1 if the block is main text.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "outside", "hint", "heading")
+#: The labelled table: the features in this order (hint: 2 strong, 1 weak), then 1 if the block is main text.
 LABELLED = """
-70 0 8 0 85 0 0 1
-110 0.02 60 0 95 0 0 1
-40 0.1 90 0 60 0 0 1
-28 0 75 0 45 0 0 1
-22 0 30 0 50 0 0 1
-9 0 60 0 70 0 0 1
-6 0 45 0 55 0 0 1
-14 0 80 0 35 0 0 1
-55 0 1 1 4 0 0 1
-35 0 5 0 0 0 0 1
-7 0 2 1 65 0 1 1
-5 0 70 0 50 0 1 1
-10 0 1 0 90 0 1 1
-1 1 1 1 1 1 0 0
-2 1 2 1 3 1 0 0
-4 1 1 1 30 0 0 0
-3 0.9 60 0 3 1 0 0
-5 0.8 4 1 5 1 0 0
-8 0.9 7 0.9 9 0.9 0 0
-12 0.8 10 1 11 0.9 0 0
-18 0.7 3 1 4 1 0 0
-2 0 1 1 1 1 0 0
-3 0 0 0 2 1 0 0
-4 0 3 0 2 0 0 0
-6 0 5 0.5 4 1 0 0
-8 0 3 1 0 0 0 0
-5 0 4 0 0 0 0 0
-3 0 2 1 3 1 1 0
-2 0 3 0 4 1 1 0
-19 0 1 0 19 0 0 1
-19 0 19 0 1 0 0 1
-15 0 20 0 18 0 0 1
-12 0 15 0 14 0 0 1
-11 0 30 0 0 0 0 1
-10 0 12 0 25 0 0 1
-13 0 2 0 40 0 0 1
-17 0.2 22 0 16 0 0 1
-25 0.3 30 0 28 0 0 1
-8 0 25 0 30 0 0 1
-3 0 40 0 35 0 0 1
-2 0 25 0 22 0 0 1
-10 0 18 0 9 0 0 1
-14 0 0 0 20 0 0 1
-1 0 0 0 19 0 1 1
-2 0 0 0 30 0 1 1
-5 0 19 0 20 0 1 1
-3 0 2 0 15 0 1 1
-9 0 2 1 2 1 0 0
-14 0.6 5 1 6 1 0 0
-6 0 0 0 3 1 0 0
-5 0 1 0.5 2 1 0 0
-10 0 3 1 0 0 0 0
-7 0 30 0 0 0 0 0
-5 0 25 0 2 1 0 0
-20 1 15 1 15 1 0 0
-15 0.9 12 1 13 1 0 0
-30 0.9 25 1 28 1 0 0
-45 0.8 40 0.9 35 0.9 0 0
-22 0.7 60 0 3 1 0 0
-12 1 50 0 40 1 0 0
-2 1 2 1 40 0 0 0
-3 1 4 1 19 0 0 0
-4 1 40 0 30 1 0 0
-6 1 19 0 0 0 0 0
-3 0 2 1 2 1 1 0
-50 0 2 0 4 1 0 1
-30 0 40 0 3 1 0 1
-20 0 60 0 5 1 0 1
-90 0 50 0 6 1 0 1
-3 0 4 1 40 0 1 1
-4 0 2 1 60 0 1 1
-2 0 4 1 0 0 0 0
-3 0 30 0 0 0 0 0
-40 0 0 0 0 0 0 1
-4 0 0 0 0 0 0 1
+70 0 8 0 85 0 1 0 0 0 1
+110 0.02 60 0 95 0 1 0 0 0 1
+40 0.1 90 0 60 0 1 0 0 0 1
+28 0 75 0 45 0 1 0 0 0 1
+22 0 30 0 50 0 1 0 0 0 1
+9 0 60 0 70 0 1 0 0 0 1
+6 0 45 0 55 0 1 0 0 0 1
+3 0 40 0 35 0 1 0 0 0 1
+2 0 25 0 22 0 1 0 0 0 1
+12 0 3 1 80 0 1 0 0 0 1
+55 0 1 1 4 0 1 0 0 0 1
+35 0 5 0 0 0 1 0 0 0 1
+8 0 30 0 12 0 1 0 0 0 1
+5 0 12 0 14 0 1 0 0 0 1
+1 0 9 0 20 0 1 0 0 0 1
+4 0 0 0 3 0 1 0 0 0 1
+3 0 4 0 0 0 1 0 0 0 1
+2 0 2 1 2 0 1 0 0 0 1
+17 0.2 22 0 16 0 1 0 0 0 1
+25 0.3 30 0 28 0 1 0 0 0 1
+60 0.4 70 0 50 0 1 0 0 0 1
+30 0.45 40 0 45 0 1 0 0 0 1
+9 0.4 60 0 30 0 1 0 0 0 1
+25 0 40 0 5 1 1 0 0 0 1
+9 0 40 0 4 1 1 0 0 0 1
+4 0 40 0 3 1 1 0 0 0 1
+15 0 3 1 4 1 1 0 0 0 1
+40 0.1 20 0 12 0.5 1 0 0 0 1
+18 0 25 0 20 0.3 1 0 0 0 1
+6 0 8 0 5 0.8 1 0 0 0 1
+12 0 5 0 4 1 1 0 0 0 1
+70 0 60 0 3 1 1 0 0 0 1
+6 0 0 0 3 1 1 0 0 1 1
+9 0 2 1 30 0.4 1 0 0 1 1
+7 0 2 1 65 0 1 0 0 1 1
+5 0 70 0 50 0 1 0 0 1 1
+10 0 1 0 90 0 1 0 0 1 1
+1 0 0 0 19 0 1 0 0 1 1
+3 0 2 1 4 0 1 0 0 1 1
+6 0 9 0 40 0 1 0 0 1 1
+3 0.3 12 0 40 0 1 0 0 1 1
+1 1 1 1 1 1 0 1 0 0 0
+2 1 2 1 3 1 0 1 0 0 0
+4 1 1 1 30 0 0 1 0 0 0
+1 1 0 0 1 1 0 1 2 0 0
+2 1 2 1 2 1 0 0 2 0 0
+3 1 1 1 9 0 0 1 2 0 0
+3 0.9 60 0 3 1 0 0 0 0 0
+5 0.8 4 1 5 1 0 0 0 0 0
+8 0.9 7 0.9 9 0.9 0 0 0 0 0
+12 0.8 10 1 11 0.9 0 0 0 0 0
+18 0.7 3 1 4 1 0 0 0 0 0
+20 1 15 1 15 1 0 0 0 0 0
+45 0.8 40 0.9 35 0.9 0 0 1 0 0
+22 0.7 60 0 3 1 0 0 0 0 0
+3 1 4 1 4 1 1 0 0 0 0
+5 1 40 0 6 1 1 0 0 0 0
+6 1 5 1 60 0 1 0 0 0 0
+9 0.9 8 1 7 1 1 0 0 0 0
+4 0.8 3 1 5 0.9 1 0 1 0 0
+15 0.9 12 1 13 1 1 0 0 0 0
+12 1 50 0 40 0 1 0 0 0 0
+2 1 70 0 50 0 1 0 0 0 0
+7 0.7 8 1 6 1 1 0 2 0 0
+14 0.6 5 1 6 1 0 0 0 0 0
+6 0 2 1 9 0 0 0 2 0 0
+12 0 1 1 12 0 0 0 2 0 0
+18 0 1 1 10 0 0 0 2 0 0
+30 0 3 1 14 0 0 0 2 0 0
+50 0 4 1 60 0 0 0 2 0 0
+9 0 40 0 60 0 1 0 2 0 0
+3 0 60 0 45 0 1 0 2 0 0
+25 0.1 70 0 80 0 1 0 2 0 0
+45 0 30 0 40 0 1 0 2 0 0
+80 0 45 0 60 0 1 0 2 0 0
+15 0 12 0 16 0 1 0 2 0 0
+2 0 60 0 3 0 1 0 2 1 0
+4 0 1 1 6 0 0 0 2 1 0
+40 0 2 0 55 0 0 0 2 0 0
+55 0 3 0.5 30 0 0 0 2 0 0
+6 0 40 0 0 0 0 1 0 0 0
+12 0 60 0 0 0 0 1 0 0 0
+18 0 30 0 0 0 0 1 0 0 0
+25 0.1 8 0 0 0 0 1 0 0 0
+40 0 50 0 12 0 0 1 0 0 0
+9 0 6 0 45 0 0 1 0 0 0
+4 0 3 1 9 0 0 1 0 0 0
+70 0 40 0 55 0 0 1 0 0 0
+3 0 2 0 2 1 0 1 0 1 0
+5 0 40 0 4 0 1 1 0 0 0
+2 0 3 0 30 0 1 1 0 0 0
+30 0 60 0 70 0 1 1 0 0 0
+60 0 80 0 50 0 1 1 0 0 0
+4 0 50 0 8 0 1 1 0 1 0
+9 0 30 0 40 0 1 1 2 0 0
+60 0 45 0 70 0 1 0 1 0 1
+35 0.1 6 0 50 0 1 0 1 0 1
+90 0 70 0 0 0 1 0 1 0 1
+25 0 40 0 30 0 1 0 1 0 1
+18 0 60 0 55 0 1 0 1 0 1
+30 0 8 0 4 1 1 0 1 0 1
+26 0 26 0 9 0 1 0 1 0 1
+24 0 30 0 6 0 1 0 1 0 1
+45 0.2 4 0 20 0.3 1 0 1 0 1
+22 0 3 0 25 0 1 0 1 0 1
+3 0 60 0 45 0 1 0 1 1 1
+2 0 35 0 50 0 1 0 1 1 1
+4 0 60 0 3 0 1 0 1 0 0
+2 0 50 0 4 0.5 1 0 1 0 0
+3 0 4 0 2 1 1 0 1 0 0
+2 0 40 0 5 0.6 1 0 1 1 0
+5 0.5 30 0 3 1 1 0 1 0 0
+6 0 5 0 4 0 1 0 1 0 0
+12 0 3 1 9 0 0 0 1 0 0
+20 0 2 1 30 0 0 0 1 0 0
+5 0 4 0 2 1 0 0 1 0 0
+30 0 20 0 3 1 0 0 1 0 0
+2 0 1 1 1 1 0 0 0 0 0
+3 0 0 0 2 1 0 0 0 0 0
+4 0 3 0 2 0 0 0 0 0 0
+6 0 5 0.5 4 1 0 0 0 0 0
+8 0 3 1 0 0 0 0 0 0 0
+5 0 4 0 0 0 0 0 0 0 0
+3 0 2 1 3 1 0 0 0 1 0
+2 0 3 0 4 1 0 0 0 1 0
+9 0 2 1 2 1 0 0 0 0 0
+6 0 0 0 3 1 0 0 0 0 0
+10 0 3 1 0 0 0 0 0 0 0
+7 0 30 0 0 0 0 0 0 0 0
+5 0 25 0 2 1 0 0 0 0 0
+3 0 30 0 0 0 0 0 0 0 0
+4 0 0 0 0 0 0 0 0 0 0
+19 0 1 0 19 0 0 0 0 0 1
+15 0 20 0 18 0 0 0 0 0 1
+12 0 15 0 14 0 0 0 0 0 1
+11 0 30 0 0 0 0 0 0 0 1
+13 0 2 0 40 0 0 0 0 0 1
+8 0 25 0 30 0 0 0 0 0 1
+3 0 40 0 35 0 0 0 0 0 1
+2 0 25 0 22 0 0 0 0 0 1
+1 0 0 0 19 0 0 0 0 1 1
+5 0 19 0 20 0 0 0 0 1 1
+7 0 2 1 65 0 0 0 0 1 1
+4 0 2 1 60 0 0 0 0 1 1
+50 0 2 0 4 1 0 0 0 0 1
+30 0 40 0 3 1 0 0 0 0 1
+90 0 50 0 6 1 0 0 0 0 1
+40 0 0 0 0 0 0 0 0 0 1
+110 0.02 60 0 95 0 0 0 0 0 1
+25 0.3 30 0 28 0 0 0 0 0 1
 """
 
 
@@ -160,40 +242,45 @@ class Tree:
         return node.label
 
 
+#: Copies of each labelled block, and blocks that a leaf of the tree holds at least.
+COPIES, LEAST = 40, 40
+
+
 @cache
 def tree() -> Tree:
-    """The tree for LABELLED, where each block stands again as it is in an article (main text), outside of any or hinted (none)."""
+    """The tree for LABELLED, where each block stands for those like it: copies with other numbers of words, of its neighbours' above all, and other link densities."""
     table = np.array([[float(v) for v in line.split()] for line in LABELLED.strip().splitlines()])
-    rows = []
-    for article, outside, hinted in product((0, 1), repeat=3):
-        flags = np.tile([article, outside, hinted], (len(table), 1))
-        label = np.zeros(len(table)) if outside or hinted else np.ones(len(table)) if article else table[:, 7]
-        rows.append(np.column_stack([table[:, :6], flags, table[:, 6], label]))
-    rows = np.concatenate(rows)
-    return Tree(rows[:, :-1], rows[:, -1])
+    table = np.repeat(table, COPIES, axis=0)
+    rng = np.random.default_rng(0)
+    for at, spread in ((0, 0.25), (2, 0.7), (4, 0.7)):
+        table[:, at] = np.rint(table[:, at] * np.exp(rng.normal(0, spread, len(table))))
+        table[:, at] = np.maximum(table[:, at], at == 0)
+    for at in (1, 3, 5):
+        table[:, at] = np.clip(table[:, at] + (table[:, at] > 0) * rng.normal(0, 0.07, len(table)), 0, 1)
+    return Tree(table[:, :-1], table[:, -1], LEAST)
 
 
-def _context(name: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Whether an element is an article, is no part of any, and is said by its class or id not to be."""
-    article, outside, hinted = name in ("article", "main"), name in OUTSIDE, False
+def _context(name: str, attributes: str) -> tuple[bool, bool, int]:
+    """Whether an element is an article, is made for other things or hidden, and how strongly its class, id or role says that it is no text."""
+    article, outside, hint = name in ("article", "main"), name in OUTSIDE, 0
     for key, *values in ATTR.findall(attributes):
         value, key = next((v for v in values if v), ""), key.lower()
         if key == "style":
             outside |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE))
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             outside = True
-        else:
+        elif key in ("class", "id", "role"):
             words = {w.lower() for w in NAME.findall(value)}
-            hinted |= bool(words & HINTS) or (key == "role" and "banner" in words)
-            article |= bool(words & CONTENT) and not words & HINTS
-    return article, outside, hinted
+            hint = max(hint, 2 if words & STRONG else 1 if words & WEAK else 0)
+            article |= bool(words & CONTENT) and not words & (STRONG | WEAK)
+    return article, outside, hint
 
 
 def blocks(page: str) -> list[tuple[str, list[float]]]:
     """The text of each block, white space made single, and its features."""
-    found: list[tuple[str, float, bool, bool, bool, bool]] = []
-    open_: list[tuple[str, bool, bool, bool]] = []
-    state = (False, False, False)
+    found: list[tuple[str, float, bool, bool, int, bool]] = []
+    open_: list[tuple[str, bool, bool, int]] = []
+    state = (False, False, 0)
     parts: list[str] = []
     linked = 0
     in_link = heading = False
@@ -206,10 +293,12 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         parts.clear()
         linked = 0
 
-    def enclosing() -> tuple[bool, bool, bool]:
+    def enclosing() -> tuple[bool, bool, int]:
         # hints outside the innermost article don't count: page-wide wrappers have all kinds of names
         last = max((i for i, x in enumerate(open_) if x[1]), default=-1)
-        return last >= 0, any(x[2] for x in open_), any(x[3] for x in open_[last + (last >= 0) :]) or (last >= 0 and open_[last][3])
+        # a page's header holds no text of the article; one within an article holds its heading
+        outside = any(x[2] for x in open_) or (last < 0 and any(x[0] == "header" for x in open_))
+        return last >= 0, outside, max((x[3] for x in open_[max(last, 0) :]), default=0)
 
     at = 0
     for m in TAG.finditer(page):
@@ -231,32 +320,30 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             continue
         close()
         in_link = False
-        if name in HEADINGS:
-            heading = not m[2]
-        elif name in HOLDERS or name == "body":
-            if not m[2]:
-                if not m[4].endswith("/") and name != "body":
-                    open_.append((name, *_context(name, m[4])))
-            else:
-                for i in range(len(open_) - 1, -1, -1):
-                    if open_[i][0] == name:
-                        del open_[i:]
-                        break
-            state = enclosing()
-            # a page's header holds no text of the article; one within an article holds its heading
-            if any(x[0] == "header" for x in open_) and not state[0]:
-                state = (state[0], True, state[2])
-            heading = False
-        elif not m[2]:
-            heading = False
+        heading = name in HEADINGS and not m[2]
+        # a paragraph or heading ends where any other block begins
+        if open_ and open_[-1][0] in BARE:
+            open_.pop()
+        if m[2]:
+            for i in range(len(open_) - 1, -1, -1):
+                if open_[i][0] == name:
+                    del open_[i:]
+                    break
+        else:
+            if name in SIBLINGS and open_ and open_[-1][0] == name:
+                open_.pop()
+            seen = _context(name, m[4]) if m[4] or name in HOLDERS else (False, False, 0)
+            if name != "body" and not m[4].endswith("/") and (name in HOLDERS or any(seen)):
+                open_.append((name, *seen))
+        state = enclosing()
     parts.append(page[at:])
     close()
     counts = [(float(len(t.split())), d) for t, d, *_ in found]
     none = (0.0, 0.0)
     out = []
-    for i, (text, _, article, outside, hinted, is_heading) in enumerate(found):
+    for i, (text, _, article, outside, hint, is_heading) in enumerate(found):
         around = (counts[i], counts[i - 1] if i else none, counts[i + 1] if i + 1 < len(counts) else none)
-        out.append((text, [v for pair in around for v in pair] + [float(v) for v in (article, outside, hinted, is_heading)]))
+        out.append((text, [v for pair in around for v in pair] + [float(v) for v in (article, outside, hint, is_heading)]))
     return out
 
 
