@@ -3,7 +3,8 @@
 For files that lower-case, drop white space and encode each word by itself, equal
 white-space-free chunks have equal ids. They are kept in a bounded memo; chunks not yet in it are
 encoded together, by merging pairs in all words at once on arrays. Chunks with characters
-outside a range in which normalisation is the identity, and all other files, go to the library.
+outside a range in which normalisation is the identity, those in which a special token may stand, and all other files, go
+to the library, used as it comes: a special token's string in a text is that token.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
 #: The one description of a file's steps before the model for which chunks stand alone.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WORDS = regex.compile(SPLIT)
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+#: The same as SPLIT in lower-cased plain text.
+PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 ASCII_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 LIMIT = 600_000
 NONE = np.int32(1 << 30)
@@ -39,7 +40,6 @@ class Encoder:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -55,6 +55,10 @@ class Encoder:
             and model.get("end_of_word_suffix")
             and not (model.get("continuing_subword_prefix") or model.get("dropout") or model.get("ignore_merges"))
         )
+        # special tokens without white space around or in them are found inside a chunk
+        added = spec.get("added_tokens") or []
+        self.chunks = self.chunks and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or set(x["content"]) & set(" \t\n\r\x0b\x0c") for x in added)
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in added)).search if added else None
         if not self.chunks:
             return
         vocab, end = model["vocab"], model["end_of_word_suffix"]
@@ -140,11 +144,13 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Put the ids of chunks into the memo."""
-        find, plain = WORDS.findall, PLAIN.fullmatch
+        find, plain = PLAIN_WORDS.findall, PLAIN.fullmatch
         simple = [c for c in chunks if len(c) <= 48 and plain(c)]
-        other = chunks if not simple else [c for c in chunks if len(c) > 48 or not plain(c)] if len(simple) < len(chunks) else []
+        if self.special and (own := [c for c in simple if self.special(c)]):
+            simple = list(set(simple).difference(own))
+        other = list(set(chunks).difference(simple)) if len(simple) < len(chunks) else []
         # words are found in all chunks at once: a blank is in no word
-        split = [find(c) for c in " \n".join(simple).lower().split(" \n")]
+        split = [[c] if c.isalpha() else find(c) for c in " \n".join(simple).lower().split(" \n")]
         new = sorted(set(chain.from_iterable(split)), key=len)
         coded = [w.encode() for w in new]
         known: dict[str, bytes] = {}

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quarry.llm import fingerprint, html_text, line_dedup, lyndon, mixing, neighbours, packing, quality, simhash, suffix_dedup, toxicity
 from quarry.llm.bpe import Encoder
@@ -413,10 +414,25 @@ def test_connected(spark):
 
 
 # 8 packing
+def plain_library(path):
+    """The ids that the library gives, used as it comes."""
+    library = Tokenizer.from_file(path)
+    return lambda t: [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(t, add_special_tokens=False)]
+
+
 def test_encoder_is_the_library():
-    e = Encoder(tokenizer_path("word_bpe_49k.json"))
-    t = ["", "  ", "It's a <|endoftext|> test\x1cx  y ź naïve İstanbul", "x" * 70 + " " + "ab" * 300, "don't 123abc 你好 ÀÉß", "áè  x y"]
-    assert e.encode(t) == [np.array(x.ids, "<u4").tobytes() for x in e.library.encode_batch(t, add_special_tokens=False)]
+    path = tokenizer_path("word_bpe_49k.json")
+    t = ["", "  ", "It's a <|endoftext|> test\x1cx  y ź naïve İstanbul", "x" * 70 + " " + "ab" * 300, "don't 123abc 你好 ÀÉß", "áè  x y"]
+    t += ["a<|endoftext|>b", "<|startoftext|>", "<|ENDOFTEXT|> <|end", "<| endoftext |>", "x" * 60 + "<|endoftext|>" + "é" * 60, "Word\u00a0word\u2003x\u2028y", "\U0001f600 a\u0301 ﬁ"]
+    assert Encoder(path).encode(t) == plain_library(path)(t)
+
+
+def test_encoder_is_the_library_on_a_whole_table():
+    import pyarrow.parquet as pq
+
+    path = tokenizer_path("word_bpe_49k.json")
+    t = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    assert Encoder(path).encode(t) == plain_library(path)(t)
 
 
 def plain_best_fit(items, capacity):
@@ -433,10 +449,10 @@ def plain_best_fit(items, capacity):
 def test_packing(messy, odd, nothing):
     path = tokenizer_path("word_bpe_49k.json")
     for docs in (messy, odd):
-        e = Encoder(path)
+        encode = plain_library(path)
         want = []
         for r in docs.select("doc_id", "text").collect():
-            ids = np.frombuffer(e.encode([r.text or ""])[0] + b"\0\0\0\0", "<u4")
+            ids = np.frombuffer(encode([r.text or ""])[0] + b"\0\0\0\0", "<u4")
             want += [(r.doc_id, k, lo, len(c), zlib.crc32(c.tobytes())) for k, lo in enumerate(range(0, len(ids), 256)) if len(c := ids[lo : lo + 256])]
         got = packing.pack(packing.pieces(docs, path, capacity=256), capacity=256).collect()
         order = lambda x: (x[0] is None, x[0] or 0, *x[1:])
