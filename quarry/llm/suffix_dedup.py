@@ -6,12 +6,14 @@ same one); strings never cross documents and are judged on the input.
 1. Every string of ``length`` bytes (a window) is named by the smallest hash of the grams of ``GRAM`` bytes in it, its anchor. Equal windows
    have equal anchors, and windows that follow each other mostly share theirs: they are one piece. An anchor that is found
    once proves its windows unique, which settles nearly all text without comparing any.
-2. Pieces meet by anchor; those in which an anchor stands twice may repeat themselves and go to step 3 as well. Equal pieces (anchor and content hash) are repeats but for the first. If all pieces of an anchor are equal, that is all.
-3. Of anchors with different pieces, the first piece of each content is fetched. A group of at most ``GROUP`` of them is joined
-   into one text, whose suffix array (linear grouping by Lyndon prefixes, :mod:`quarry.llm.lyndon`) brings equal windows together; neighbours
+2. Pieces meet by anchor. Pieces of one anchor with one content hash (64 bits each, so 128 in all; their bytes are not compared) are copies, and
+   repeats but for the first. If an anchor has one content only, that is all, unless it stands twice in a window, as then a piece may repeat itself.
+3. Of the other anchors the first piece of each content is fetched. The pieces of an anchor are joined into one
+   text, whose suffix array (linear grouping by Lyndon prefixes, :mod:`quarry.llm.lyndon`) brings equal windows together; neighbours
    are compared byte by byte, and all but the first of equal windows are repeats.
-4. Larger groups (a passage that very many documents share, each time before other text) are settled window by window: each window
-   by its 128-bit hash, once for every 200,000 windows before they are shuffled. This handles the rest exactly; nothing is capped.
+4. Where an anchor's pieces are more than ``CALL`` bytes (a passage that very many documents share, each time before other text), they are dealt into
+   parts. Each part has its own suffix array; the first of its equal windows are then compared between the parts, by
+   their 128-bit hashes. Nothing is capped.
 5. The repeats of each document are united and cut out.
 
 Only numbers are shuffled in steps 1 and 2; texts are shuffled twice, once to fetch pieces and once to cut.
@@ -39,11 +41,9 @@ GRAM = 24
 CHUNK = 1 << 21
 #: Most windows of a piece.
 RUN = 1024
-#: Most different pieces of one anchor in one suffix array, and bytes of text in one call.
-GROUP, CALL = 64, 3 << 19
+#: Bytes of text in one call, and of an anchor's pieces in one suffix array.
+CALL = 3 << 19
 SMALL = 700
-#: Windows of large groups that are compared with each other before they are shuffled.
-WINDOWS = 200_000
 #: The lowest bits of a hash, in which its place in a chunk fits.
 PLACE = np.uint64((1 << 23) - 1)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -172,52 +172,17 @@ def _find(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 
 
 def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``kind, g1, g2, doc, th, start, n, piece``: the wanted pieces' bytes (kind 0), and of large groups each window once for
-    every ``WINDOWS`` of them (kind 1) and the runs of those that repeat one of these (kind 2)."""
-    large: list[tuple[int, int, int, int, bytes]] = []
-    waiting = 0
+    """Rows ``m, part, parts, doc, th, start, piece``: the wanted pieces' bytes, each in a part of its anchor's."""
+    names = ["m", "part", "parts", "doc", "th", "start", "piece"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     for b, texts in _texts(batches):
         rows: list[tuple] = []
         for doc, th, wanted, t in zip(b["doc"].to_pylist(), b["th"].to_pylist(), b["wanted"].to_pylist(), texts, strict=True):
             for w in wanted:
-                piece = t[w["start"] : w["start"] + w["n"] + length - 1]
-                if w["large"]:
-                    large.append((doc, th, w["start"], w["n"], piece))
-                    waiting += w["n"]
-                else:
-                    rows.append((0, w["m"], 0, doc, th, w["start"], w["n"], piece))
+                part = xxhash.xxh64_intdigest(f"{doc} {th} {w['start']}") % w["parts"] if w["parts"] > 1 else 0
+                rows.append((w["m"], part, w["parts"], doc, th, w["start"], t[w["start"] : w["start"] + w["n"] + length - 1]))
         for i in range(0, len(rows), 20_000):
-            yield _fetched(*zip(*rows[i : i + 20_000], strict=True))
-        if waiting >= WINDOWS:
-            yield from _windows(large, length)
-            large, waiting = [], 0
-    if large:
-        yield from _windows(large, length)
-
-
-def _fetched(*columns) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["kind", "g1", "g2", "doc", "th", "start", "n", "piece"])
-
-
-def _windows(pieces_: list[tuple[int, int, int, int, bytes]], length: int) -> Iterator[pa.RecordBatch]:
-    """Single windows of pieces, equal ones only once: the others are repeats whatever else there is."""
-    count = np.array([x[3] for x in pieces_])
-    doc, th, base = (np.repeat(np.array([x[k] for x in pieces_], np.int64), count) for k in range(3))
-    start = base + ranges(np.zeros(len(count), np.int64), count)
-    digest = xxhash.xxh3_128_digest
-    names = b"".join([digest(t[i : i + length]) for *_, n, t in pieces_ for i in range(n)])
-    g1, g2 = np.frombuffer(names, ">i8").reshape(-1, 2).astype(np.int64).T
-    order = np.lexsort((start, th, doc, g2, g1))
-    again = np.concatenate([[False], (g1[order][1:] == g1[order][:-1]) & (g2[order][1:] == g2[order][:-1])])
-    once, more = order[~again], order[again]
-    for i in range(0, len(once), 20_000):
-        k = once[i : i + 20_000]
-        yield _fetched(np.ones(len(k), np.int32), g1[k], g2[k], doc[k], th[k], start[k], np.ones(len(k), np.int32), [None] * len(k))
-    if len(more):
-        d, t, s, n = _runs(doc[more], th[more], start[more])
-        zero = np.zeros(len(d), np.int64)
-        yield _fetched(zero.astype(np.int32) + 2, zero, zero, d, t, s, n, [None] * len(d))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[i : i + 20_000], strict=True), types, strict=True)], names)
 
 
 def _runs(doc: np.ndarray, th: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -230,38 +195,48 @@ def _runs(doc: np.ndarray, th: np.ndarray, start: np.ndarray) -> tuple[np.ndarra
     return doc[at], th[at], start[at], np.diff(np.append(at, len(doc))).astype(np.int32)
 
 
+RUNS = ["kind", "g1", "g2", "doc", "th", "start", "n"]
+
+
 def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``doc, th, start, n`` of repeated windows, from pieces sorted by group; similar sizes share a call."""
+    """Rows ``RUNS``: repeated windows (kind 0), from pieces sorted by anchor and part, and of an anchor in parts the
+    first of equal windows by their hash (kind 1). Groups of similar sizes share a call."""
     waiting: dict[bool, list[list[tuple]]] = {False: [], True: []}
     size = {False: 0, True: 0}
     group: list[tuple] = []
     key = None
 
-    def put(g: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def call(large: bool) -> Iterator[pa.RecordBatch]:
+        if waiting[large]:
+            yield from equal_windows(waiting[large], length)
+        waiting[large], size[large] = [], 0
+
+    def put(g: list[tuple], parts: int) -> Iterator[pa.RecordBatch]:
+        if parts > 1:
+            yield from equal_windows([g], length, firsts=True)
+            return
         total = sum(len(x[3]) + 1 for x in g)
         large = total > SMALL
+        if size[large] + total > CALL:
+            yield from call(large)
         waiting[large].append(g)
         size[large] += total
-        if size[large] >= CALL:
-            yield equal_windows(waiting[large], length)
-            waiting[large], size[large] = [], 0
 
     for b in batches:
-        for g1, *row in zip(*(b[c].to_pylist() for c in ("g1", "doc", "th", "start", "piece")), strict=True):
-            if g1 != key and group:
-                yield from put(group)
+        for m, part, parts, *row in zip(*(b[c].to_pylist() for c in ("m", "part", "parts", "doc", "th", "start", "piece")), strict=True):
+            if (m, part, parts) != key and group:
+                yield from put(group, key[2])
                 group = []
-            key = g1
+            key = (m, part, parts)
             group.append(tuple(row))
     if group:
-        yield from put(group)
+        yield from put(group, key[2])
     for large in (False, True):
-        if waiting[large]:
-            yield equal_windows(waiting[large], length)
+        yield from call(large)
 
 
-def equal_windows(groups: list[list[tuple]], length: int) -> pa.RecordBatch:
-    """All windows of the groups' pieces ``(doc, th, start, bytes)`` that equal an earlier one of their group, as runs."""
+def equal_windows(groups: list[list[tuple]], length: int, firsts: bool = False) -> Iterator[pa.RecordBatch]:
+    """All windows of the groups' pieces ``(doc, th, start, bytes)`` that equal an earlier one of their group, as runs; with ``firsts`` also the hashes of the others."""
     rows = [x for g in groups for x in g]
     sizes = np.array([len(x[3]) for x in rows])
     data = np.frombuffer(b"\0".join(x[3] for x in rows) + b"\0", np.uint8)
@@ -286,7 +261,16 @@ def equal_windows(groups: list[list[tuple]], length: int) -> pa.RecordBatch:
     by = np.lexsort((start, th, doc, cls))
     repeat = np.concatenate([[False], cls[by][1:] == cls[by][:-1]])
     hit = by[repeat]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in _runs(doc[hit], th[hit], start[hit])], ["doc", "th", "start", "n"])
+    d, t, s, n = _runs(doc[hit], th[hit], start[hit])
+    zero = np.zeros(len(d), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero.astype(np.int32), zero, zero, d, t, s, n)], RUNS)
+    if firsts:
+        raw, digest, first = data.tobytes(), xxhash.xxh3_128_digest, by[~repeat]
+        for i in range(0, len(first), 20_000):
+            k = first[i : i + 20_000]
+            g1, g2 = np.frombuffer(b"".join(digest(raw[j : j + length]) for j in order[k].tolist()), ">i8").reshape(-1, 2).astype(np.int64).T
+            one = np.ones(len(k), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, g1.copy(), g2.copy(), doc[k], th[k], start[k], one)], RUNS)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -328,25 +312,26 @@ def remove_repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
     place = F.struct("doc", "th", "start")
     found = found.withColumns({"c_before": F.lag("c").over(own), "before": F.lag(place).over(own)})
     again = F.col("c_before").eqNullSafe(F.col("c"))
-    found = found.withColumn("again", again).withColumn("pieces", F.sum((~again).cast("int")).over(group))
+    fresh = F.when(~again, F.abs("n") + (length - 1)).otherwise(0).cast("long")
+    found = found.withColumn("again", again).withColumns({"pieces": F.sum((~again).cast("int")).over(group), "bytes": F.sum(fresh).over(group)})
     repeat = (F.col("kind") == 1) | (F.col("again") & (F.col("before") != place))
     wanted = ~F.col("again") & ((F.col("pieces") > 1) | (F.col("n") < 0)) & (F.col("kind") == 0)
-    found = found.select("doc", "th", "start", F.abs("n").alias("n"), "m", repeat.alias("repeat"), wanted.alias("wanted"), (F.col("pieces") > GROUP).alias("large"))
+    parts = F.when(F.col("bytes") <= CALL, 1).otherwise(F.ceil(F.col("bytes") / (CALL // 2))).cast("int")
+    found = found.select("doc", "th", "start", F.abs("n").alias("n"), "m", repeat.alias("repeat"), wanted.alias("wanted"), parts.alias("parts"))
     found = stored(found.filter("repeat or wanted"), "repeats")
 
-    lists = found.filter("wanted").groupBy(F.col("doc").alias("w_doc"), F.col("th").alias("w_th")).agg(F.collect_list(F.struct("start", "n", "m", "large")).alias("wanted"))
+    lists = found.filter("wanted").groupBy(F.col("doc").alias("w_doc"), F.col("th").alias("w_th")).agg(F.collect_list(F.struct("start", "n", "m", "parts")).alias("wanted"))
     met = rows.dropDuplicates(["doc", "th"]) if n != different else rows
     met = met.join(lists, (F.col("doc") == F.col("w_doc")) & (F.col("th") == F.col("w_th"))).select("doc", "th", "wanted", "text")
-    fetched = stored(met.mapInArrow(lambda it: _fetch(it, length), "kind int, g1 long, g2 long, doc long, th long, start long, n int, piece binary"), "pieces")
+    fetched = met.mapInArrow(lambda it: _fetch(it, length), "m long, part int, parts int, doc long, th long, start long, piece binary")
+    dealt = fetched.repartition(tasks(spark), "m", "part").sortWithinPartitions("m", "part", "doc", "th", "start")
+    runs = stored(dealt.mapInArrow(lambda it: _sorted_groups(it, length), "kind int, g1 long, g2 long, doc long, th long, start long, n int"), "repeat-runs")
 
-    light = fetched.filter("kind = 0").repartition(max(6, tasks(spark) // 4), "g1").sortWithinPartitions("g1", "doc", "th", "start")
-    light = light.mapInArrow(lambda it: _sorted_groups(it, length), "doc long, th long, start long, n int")
-    heavy = fetched.filter("kind = 1").select("g1", "g2", "doc", "th", "start")
+    heavy = runs.filter("kind = 1").select("g1", "g2", "doc", "th", "start")
     firsts = heavy.groupBy(F.col("g1").alias("f1"), F.col("g2").alias("f2")).agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
     heavy = heavy.join(firsts, (F.col("g1") == F.col("f1")) & (F.col("g2") == F.col("f2"))).filter(F.col("first") != place).select("doc", "th", "start", F.lit(1).alias("n"))
 
-    known = fetched.filter("kind = 2").select("doc", "th", "start", "n")
-    marks = found.filter("repeat").select("doc", "th", "start", "n").unionByName(light).unionByName(known).unionByName(heavy)
+    marks = found.filter("repeat").select("doc", "th", "start", "n").unionByName(runs.filter("kind = 0").select("doc", "th", "start", "n")).unionByName(heavy)
     marks = marks.groupBy(F.col("doc").alias("m_doc"), F.col("th").alias("m_th")).agg(F.collect_list(F.struct("start", "n")).alias("marks"))
     final = rows.join(marks, (F.col("doc") == F.col("m_doc")) & (F.col("th") == F.col("m_th")), "left").select("doc_id", "text", "marks")
     kind = rows.schema["doc_id"].dataType

@@ -281,9 +281,9 @@ def test_suffix_arrays():
             assert (order[edges[i] : edges[i + 1]] - edges[i]).tolist() == sorted(range(len(p)), key=lambda j: p[j:].tolist())
 
 
-@pytest.mark.parametrize("group", [64, 2])
-def test_repeats(messy, group, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "GROUP", group)  # 2: large groups are settled window by window
+@pytest.mark.parametrize("call", [3 << 19, 400])
+def test_repeats(messy, call, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CALL", call)  # 400: the pieces of most anchors are dealt into parts
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(messy).collect()}
     assert got == brute_repeats(texts(messy), 100)
 
