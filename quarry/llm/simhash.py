@@ -40,11 +40,11 @@ from quarry.llm.scratch import stored, tasks
 #: Members of a group that one task joins at most with as many others.
 GROUP = 4096
 #: Pairs of nodes that one step handles at most, and pairs of members that are compared at once.
-SLAB, PAIRS = 1 << 20, 1 << 21
+SLAB, PAIRS = 1 << 16, 1 << 16
 #: Pairs of nodes with so many pairs of members are leaves.
 LEAF = 64
 #: Members of all groups that are joined together, and of one group on average at most.
-TOGETHER, MEAN = 1 << 17, 256
+TOGETHER, MEAN = 1 << 16, 256
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42, prints: int = 1) -> list[int]:
@@ -106,13 +106,17 @@ def trie_join(values: np.ndarray, roots: tuple[np.ndarray, ...], budget: int) ->
         size = (ah - al) * (bh - bl)
         leaf = (size <= LEAF) | (depth == 64)
         if leaf.any():
-            low, high, other, end, n = (v[leaf] for v in (al, ah, bl, bh, size))
-            cut = np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum() + PAIRS, PAIRS), "left") + 1
+            low, high, other, end = (v[leaf] for v in (al, ah, bl, bh))
+            own, wide = high - low, end - other
+            # a row for each left member, with the range of its right ones; then some PAIRS pairs at a time
+            left = np.arange(own.sum()) + np.repeat(low - np.cumsum(own) + own, own)
+            first, count = np.repeat(other, own), np.repeat(wide, own)
+            ends = np.cumsum(count)
+            cut = np.searchsorted(ends, np.arange(PAIRS, ends[-1] + PAIRS, PAIRS), "left") + 1
             for lo, hi in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True):
-                m, wide = n[lo:hi], (end - other)[lo:hi]
-                at = np.repeat(np.arange(len(m)), m)
-                k = np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m)
-                x, y = low[lo:hi][at] + k // wide[at], other[lo:hi][at] + k % wide[at]
+                m = count[lo:hi]
+                x = np.repeat(left[lo:hi], m)
+                y = np.arange(len(x)) + np.repeat(first[lo:hi] - np.cumsum(m) + m, m)
                 near = (np.bitwise_count(values[x] ^ values[y]) <= budget) & (x != y)
                 if near.any():
                     out.append(_forest(label, x[near], y[near]))
@@ -187,15 +191,12 @@ def block_keys(classes: int, budget: int) -> list[list[tuple[int, int]]]:
     return keys
 
 
-def key_column(fp: Column, keys: list[list[tuple[int, int]]]) -> Column:
-    """All keys of a fingerprint: an array of (number of the key, its bits)."""
-    made = []
-    for i, blocks in enumerate(keys):
-        bits = F.lit(0).cast("long")
-        for shift, width in blocks:
-            bits = F.shiftleft(bits, width).bitwiseOR(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)))
-        made.append(F.struct(F.lit(i).alias("k"), bits.alias("bits")))
-    return F.array(*made)
+def key_bits(fp: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
+    """The bits of some blocks of each fingerprint, one after the other."""
+    bits = np.zeros(len(fp), np.uint64)
+    for shift, width in blocks:
+        bits = bits << np.uint64(width) | fp >> np.uint64(shift) & np.uint64((1 << width) - 1)
+    return bits
 
 
 def links(classes: DataFrame, *, budget: int = 4) -> DataFrame:
@@ -204,56 +205,72 @@ def links(classes: DataFrame, *, budget: int = 4) -> DataFrame:
     ``set`` (int) numbers sets of fingerprints, of which none is compared with another's.
     """
     spark = classes.sparkSession
-    most = classes.groupBy("set").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
-    keys = block_keys(most, budget)
-    keyed = classes.select("set", "fp", F.explode(key_column(F.col("fp"), keys)).alias("key")).select("fp", (F.col("set") * len(keys) + F.col("key.k")).alias("k"), "key.bits")
-    large = stored(keyed.groupBy("k", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select(F.col("k").alias("l_k"), F.col("bits").alias("l_bits"), "n"), "simhash-large")
-    # the keys of large groups: at most len(keys) / GROUP for each class
+    sizes = classes.groupBy("set").agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*")).head()
+    keys = block_keys(sizes[0] or 0, budget)
+    n_keys, wide = len(keys), max(sum(w for _, w in k) for k in keys)
+    if wide + (n_keys * (sizes[1] or 1)).bit_length() > 62:
+        raise ValueError("too many sets of fingerprints")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, fp = b["set"].to_numpy().astype(np.int64), b["fp"].to_numpy().view(np.uint64)
+            for i, blocks in enumerate(keys):
+                yield pa.RecordBatch.from_arrays([pa.array((of * n_keys + i) << wide | key_bits(fp, blocks).astype(np.int64)), b["fp"]], ["g", "fp"])
+
+    rows = classes.select("set", "fp")
+    # large groups are known from a part of the classes that holds 16 times GROUP of a set at least
+    part = max(1, (sizes[0] or 0) // (16 * GROUP))
+    seen = rows.filter(F.pmod(F.xxhash64("fp"), F.lit(part)) == 0).mapInArrow(keyed, "g long, fp long")
+    large = stored(seen.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") * part > GROUP).select(F.col("g").alias("l_g"), (F.col("n") * part).alias("n")), "simhash-large")
+    near = rows.repartition(tasks(spark), "fp").mapInArrow(keyed, "g long, fp long")
     at = large.count()
-    near = keyed.join(F.broadcast(large) if at <= 100_000 else large, (F.col("k") == F.col("l_k")) & (F.col("bits") == F.col("l_bits")), "left")
+    # at most 16 n_keys of them in a set
+    near = near.join(F.broadcast(large) if at <= 100_000 else large, F.col("g") == F.col("l_g"), "left") if at else near.withColumn("n", F.lit(None).cast("long"))
     chunks = F.coalesce(F.ceil(F.col("n") / (GROUP // 2)), F.lit(1)).cast("int")
     near = near.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    near = near.withColumn("other", other).select("fp", "k", "bits", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("c"))
-    near = near.repartition(tasks(spark), "k", "bits", "i", "j").sortWithinPartitions("k", "bits", "i", "j", "c")
-    n_keys = len(keys)
+    near = near.withColumn("other", other) if at else near.withColumn("other", F.lit(0))
+    near = near.select("g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("c"), "fp")
+    near = near.repartition(tasks(spark), "g", "i", "j").sortWithinPartitions("g", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, group, i, j, c, values in _groups(batches):
+        for g, group, i, j, c, values in _groups(batches):
             order = np.lexsort((values, c, group))
-            k, group, i, j, c, values = (x[order] for x in (k, group, i, j, c, values))
+            g, group, i, j, c, values = (x[order] for x in (g, group, i, j, c, values))
             # runs of one group and chunk, and which of them are joined: those of a group's two chunks, or one with itself
             new = np.concatenate([[True], (group[1:] != group[:-1]) | (c[1:] != c[:-1])])
             lo = np.flatnonzero(new)
             hi = np.append(lo[1:], len(values))
-            alone = i[lo] == j[lo]
+            alone = (i[lo] == j[lo]) & (hi - lo > 1)
             pair = np.flatnonzero(group[lo][1:] == group[lo][:-1])
             left, right = np.concatenate([np.flatnonzero(alone), pair]), np.concatenate([np.flatnonzero(alone), pair + 1])
+            if not len(left):
+                continue
             x, y = trie_join(values, (lo[left], hi[left], lo[right], hi[right]), budget)
             if len(x):
-                found = [pa.array((k[x] // n_keys).astype(np.int32)), pa.array(values[x].view(np.int64)), pa.array(values[y].view(np.int64))]
+                found = [pa.array(((g[x] >> wide) // n_keys).astype(np.int32)), pa.array(values[x].view(np.int64)), pa.array(values[y].view(np.int64))]
                 yield pa.RecordBatch.from_arrays(found, ["set", "a", "b"])
 
     return near.mapInArrow(run, "set int, a long, b long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Key, number of the group, chunks, own chunk and fingerprint of whole groups, some ``TOGETHER`` members at a time; no group has more than GROUP or so."""
+    """Key, number of the group, chunks, own chunk and fingerprint of whole groups, some ``TOGETHER`` members at a time; few groups have more than GROUP."""
     held: list[list[np.ndarray]] = []
     size = 0
 
     def cut(last: bool) -> tuple[np.ndarray, ...] | None:
         nonlocal held, size
-        k, bits, i, j, c, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (bits[1:] != bits[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        stop = len(k) if last else int(np.flatnonzero(new)[-1])
-        rest = [x[stop:] for x in (k, bits, i, j, c, fp)]
+        g, i, j, c, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        stop = len(g) if last else int(np.flatnonzero(new)[-1])
+        rest = [x[stop:] for x in (g, i, j, c, fp)]
         held, size = [rest], len(rest[0])
-        return None if not stop else tuple(x[:stop] for x in (k, np.cumsum(new), i, j, c, fp.view(np.uint64)))
+        return None if not stop else tuple(x[:stop] for x in (g, np.cumsum(new), i, j, c, fp.view(np.uint64)))
 
     for batch in batches:
         if batch.num_rows:
-            held.append([batch[n].to_numpy(zero_copy_only=False) for n in ("k", "bits", "i", "j", "c", "fp")])
+            held.append([batch[n].to_numpy(zero_copy_only=False) for n in ("g", "i", "j", "c", "fp")])
             size += batch.num_rows
         if size >= TOGETHER and (whole := cut(False)):
             yield whole

@@ -8,8 +8,8 @@ similarity is ``percent`` % or more; the links' connected components are the gro
    At a similarity of s two SimHashes differ in 64 acos(2 s / (1 + s)) / pi bits on average (9.7 at 0.8, 6.6 at 0.9), so a pair
    is found by one of them or through others of its group; the README has the recall that was measured.
 2. A pair that is further apart over all SimHashes than ``FAR`` of their bits is dropped: at 0.8 that is four standard deviations away.
-3. In each group of pairs the class with most of them is compared with all others of the group, set by set, then again one among those that
-   this did not join; what pairs are left between different components are then compared one by one. So the sets that are
+3. In each group of pairs the class with most of them is compared with all others of the group, set by set; what
+   pairs are left that this did not join are then compared one by one. So the sets that are
    moved grow with the classes and the pairs found, not with the square of a group, and no group is held by one task.
 
 Defined results: null text is the empty text; texts without words are near copies of each other and of no other; a null doc_id
@@ -32,8 +32,8 @@ from quarry.llm.simhash import fingerprint, links
 
 #: Share of all SimHashes' bits in which a pair that is compared differs at most.
 FAR = 0.25
-#: How often a group's best connected class is compared with the others.
-STARS = 2
+#: Whether each group's best connected class is compared with the others first; without, all pairs found are compared one by one.
+STARS = True
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -130,22 +130,20 @@ def similar_classes(docs: DataFrame, *, words: int, percent: int, budget: int, p
     pairs = _pairs(_prints(docs, words, prints), prints, budget)
     groups = stored(connected(pairs), "similar-groups").select(F.col("node").alias("g_node"), F.col("root").alias("g"))
     sets = _sets(docs, groups.select(F.col("g_node").alias("node")), words)
-    good = pairs.limit(0)
-    joined = good.select(F.col("src").alias("node"), F.col("dst").alias("root"))
-    for _ in range(STARS):
-        ends = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node")))
-        degree = ends.groupBy("node").agg(F.count("*").alias("n"))
-        best = degree.join(groups, F.col("node") == F.col("g_node")).groupBy("g").agg(F.max_by("node", F.struct("n", -F.col("node"))).alias("best"))
-        open_ = groups.join(degree, F.col("g_node") == F.col("node"), "left_semi").join(best.withColumnRenamed("g", "b_g"), F.col("g") == F.col("b_g"))
-        star = open_.filter("g_node <> best").select(F.least("g_node", "best").alias("src"), F.greatest("g_node", "best").alias("dst"))
-        good = stored(good.unionByName(_alike(_apart(star, joined), sets, percent)), "similar-good")
-        joined = stored(connected(good), "similar-joined")
-        pairs = stored(_apart(pairs, joined), "similar-open")
-    good = stored(good.unionByName(_alike(pairs, sets, percent)), "similar-good")
-    return connected(good)
-
-
-def similar_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, budget: int = 10, prints: int = 3) -> DataFrame:
+    if not STARS:
+        return connected(stored(_alike(pairs, sets, percent), "similar-good"))
+    ends = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node")))
+    degree = ends.groupBy("node").agg(F.count("*").alias("n")).join(groups, F.col("node") == F.col("g_node"))
+    best = degree.groupBy(F.col("g").alias("b_g")).agg(F.max_by("node", F.struct("n", -F.col("node"))).alias("best"))
+    star = groups.join(best, F.col("g") == F.col("b_g")).filter("g_node <> best").select(F.col("g_node").alias("src"), F.col("best").alias("dst"))
+    star = stored(_alike(star, sets, percent), "similar-star")
+    # the star's links name their components: both ends have the group's best class as root
+    joined = star.select(F.col("src").alias("node"), F.col("dst").alias("root"))
+    rest = _alike(_apart(pairs, joined), sets, percent)
+    return connected(stored(star.unionByName(rest), "similar-good"))
+
+
+def similar_documents(docs: DataFrame, *, words: int = 5, percent: int = 80, budget: int = 10, prints: int = 2) -> DataFrame:
     """``doc_id, key, root`` for each row of ``docs(doc_id, text)``: its class and the component's smallest class."""
     docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
     roots = similar_classes(docs, words=words, percent=percent, budget=budget, prints=prints).select(F.col("node").alias("r_key"), "root")
