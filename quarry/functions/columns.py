@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 #: Words are runs of letters, digits and underscores of any script (a plain ``\\w`` is ASCII in the JVM).
 TOKEN = r"[\p{L}\p{N}_]+"
-#: Navigation pages that documentation generators write.
+#: White space that is stripped at the ends of texts.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Navigation pages that documentation generators write, and families of their names.
 GENERATED_NAMES = (
     "annotated.html", "classes.html", "hierarchy.html", "files.html", "namespaces.html", "namespacemembers.html", "functions.html", "globals.html", "pages.html", "modules.html",
     "todo.html", "deprecated.html", "bug.html", "inherits.html", "genindex.html", "search.html", "py-modindex.html", "modindex.html",
@@ -20,6 +22,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def strip(text: Column) -> Column:
+    """The text without white space at both ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def n_words(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)))
 
@@ -28,13 +35,13 @@ def quality_score(text: Column, title: Column) -> Column:
     """Length-based score from 0 to 1, with bonuses for a title and for 50 and 100 words; blank text scores 0."""
     words = n_words(text)
     bonus = lambda c: F.when(c, F.lit(0.1)).otherwise(F.lit(0.0))
-    total = F.least(words / F.lit(200.0), F.lit(1.0)) + bonus(F.coalesce(F.trim(title), F.lit("")) != "") + bonus(words > 50) + bonus(words > 100)
-    return F.when(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s]+", " ")) == "", F.lit(0.0)).otherwise(F.least(F.lit(1.0), total))
+    total = F.least(words / F.lit(200.0), F.lit(1.0)) + bonus(F.coalesce(strip(title), F.lit("")) != "") + bonus(words > 50) + bonus(words > 100)
+    return F.when(strip(F.coalesce(text, F.lit(""))) == "", F.lit(0.0)).otherwise(F.least(F.lit(1.0), total))
 
 
 def passes_gate(text: Column, title: Column, *, min_score: float = 0.3, min_chars: int = 50) -> Column:
     """Whether a page is long enough and its unrounded score reaches the minimum."""
-    whole = F.trim(F.concat(F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(text, F.lit(""))))
+    whole = strip(F.concat(F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(text, F.lit(""))))
     return (F.length(whole) >= min_chars) & (quality_score(text, title) >= min_score)
 
 
@@ -96,11 +103,21 @@ def position_key(position: Column, chunk_id: Column) -> Column:
     return F.struct(F.coalesce(at, F.lit(float("inf"))).alias("at"), F.coalesce(chunk_id.cast("double"), F.lit(float("inf"))).alias("id"))
 
 
+#: The owner and the member at the end of a qualified name, and the kinds of pages that declare members.
+OWNED = r"([A-Za-z_][A-Za-z0-9_]*)::~?[A-Za-z_][A-Za-z0-9_]*\s*$"
+DECLARING = ("class", "struct", "interface")
+
+
 def declaring_files(hierarchy: Column) -> Column:
-    """File names of the pages that may declare the class in front of ``::`` (underscores are doubled there)."""
-    owner = F.regexp_extract(hierarchy, r"([A-Za-z_][A-Za-z0-9_]*)::", 1)
+    """File names of the pages that may declare the member at the end of a qualified name (underscores of its owner are doubled there)."""
+    owner = F.regexp_extract(F.coalesce(hierarchy, F.lit("")), OWNED, 1)
     made = F.replace(owner, F.lit("_"), F.lit("__"))
-    return F.when(owner == "", F.array().cast("array<string>")).otherwise(F.array(*[F.concat(F.lit(p), made, F.lit(".html")) for p in ("class", "struct", "namespace")]))
+    return F.when(owner == "", F.array().cast("array<string>")).otherwise(F.array(*[F.concat(F.lit(p), made, F.lit(".html")) for p in DECLARING]))
+
+
+def declares(url: Column, hierarchy: Column) -> Column:
+    """Whether a row's page is one that declares its symbol."""
+    return F.array_contains(declaring_files(hierarchy), file_name(F.substring_index(F.coalesce(url, F.lit("")), "#", 1)))
 
 
 def preview(text: Column, size: int = 200) -> Column:

@@ -5,12 +5,23 @@ Facts are rows ``run, mode, question_id, metric, score, request_time`` (one for
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A side of at most so many rows is broadcast.
+FEW = 10_000
 P = 6
 
 
+def small(frame: DataFrame) -> DataFrame:
+    """A frame to broadcast if it has few rows."""
+    return F.broadcast(frame) if frame.limit(FEW + 1).count() <= FEW else frame
+
+
+
 def metric_means(facts: DataFrame, *by: str) -> DataFrame:
     """Mean of each metric; a missing score counts 0."""
     return facts.groupBy(*by, "metric").agg(F.round(F.avg(F.coalesce("score", F.lit(0.0))), P).alias("mean_score"), F.count("*").alias("n"))
@@ -24,10 +35,94 @@ def overall(facts: DataFrame, *by: str) -> DataFrame:
 
 def extremes(scored: DataFrame, by: str, n: int = 3) -> DataFrame:
     """The ``n`` best and the ``n`` worst of (by, overall); the two sets overlap where there are few."""
-    up, down = Window.orderBy(F.col("overall").desc(), by), Window.orderBy("overall", F.col(by).desc())
-    out = scored.withColumns({"r": F.row_number().over(up), "s": F.row_number().over(down)})
-    end = lambda name, c: out.filter(F.col(c) <= n).select(F.lit(name).alias("side"), by, "overall")
-    return end("top", "r").unionByName(end("bottom", "s"))
+    up, down = [F.col("overall").desc(), F.col(by)], [F.col("overall"), F.col(by).desc()]
+    end = lambda name, order: scored.orderBy(*order).limit(n).select(F.lit(name).alias("side"), by, "overall")
+    return end("top", up).unionByName(end("bottom", down))
+
+
+def top_trials(trials: DataFrame, k: int) -> DataFrame:
+    """The ``k`` completed trials with the highest values, the first of equals; each task keeps no more than ``k``."""
+    return trials.filter((F.col("state") == "COMPLETE") & F.col("value").isNotNull()).orderBy(F.col("value").desc(), "number").limit(k)
+
+
+def validated(trials: DataFrame, runs: DataFrame, k: int) -> DataFrame:
+    """``number, value, mean, sd, runs`` of the ``k`` best trials, by the mean of their validation runs ``(trial, value)``, those without any last."""
+    out = top_trials(trials, k).join(validation(runs).withColumnRenamed("trial", "number"), "number", "left")
+    place = Window.orderBy(F.col("mean").desc_nulls_last(), F.col("value").desc(), "number")
+    return out.select("number", "value", "mean", "sd", "runs", F.row_number().over(place).alias("place"))
+
+
+def module_statistics(chunks: DataFrame, registered: DataFrame, categories: tuple[str, ...] = ("dev", "user", "methodology")) -> DataFrame:
+    """A row for each registered ``(module, description)``, those without chunks too, with its chunks by category and in all, and one in all with a null module."""
+    counts = [F.count_if(F.col("doc_category") == c).alias(c) for c in categories]
+    found = chunks.groupBy(F.col("module").alias("c_module")).agg(*counts, F.count("*").alias("total"))
+    names = [*categories, "total"]
+    each = registered.join(found, F.col("module") == F.col("c_module"), "left").select("module", "description", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
+    whole = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).select(F.lit(None).cast("string").alias("module"), F.lit(None).cast("string").alias("description"), *names)
+    return each.unionByName(whole)
+
+
+def token_usage(messages: DataFrame, by: str) -> DataFrame:
+    """Tokens of each conversation from ``(<by>, role, tokens)``, in all and by side; null where no message reports any."""
+    side = lambda r: F.sum(F.when(F.col("role") == r, F.col("tokens")))
+    return messages.groupBy(by).agg(F.sum("tokens").alias("total_tokens"), side("user").alias("input_tokens"), side("assistant").alias("output_tokens"), F.count("*").alias("messages"))
+
+
+def numbered(rows: DataFrame, within: str, *order: str) -> DataFrame:
+    """Rows with ``label``, their number within a mode."""
+    return rows.withColumn("label", F.row_number().over(Window.partitionBy(within).orderBy(*order)))
+
+
+def first_groups(rows: DataFrame, by: str, n: int) -> DataFrame:
+    """The rows of the first ``n`` values of a column, as a plot shows them."""
+    return rows.join(F.broadcast(rows.select(by).distinct().orderBy(by).limit(n)), by, "left_semi")
+
+
+def in_dataset_order(answers: DataFrame, dataset: DataFrame) -> DataFrame:
+    """Answers, made in any order, in that of the dataset's ``question_id``; questions without an answer are rows of nulls."""
+    return dataset.select("question_id").join(answers, "question_id", "left").orderBy("question_id")
+
+
+def summary(answers: DataFrame) -> DataFrame:
+    """One row over ``(scores map, request_time, steps, tokens)``: means of metrics and time over all answers, of steps and tokens over those that report them (null if none does)."""
+    metrics = answers.select(F.explode("scores").alias("metric", "score")).groupBy("metric").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("m"))
+    by_metric = metrics.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", F.round("m", P))))).alias("averages"), F.round(F.avg("m"), P).alias("overall"))
+    rest = answers.agg(F.count("*").alias("examples"), F.round(F.avg("request_time"), P).alias("mean_s"), F.round(F.avg("steps"), P).alias("mean_steps"), F.round(F.avg("tokens"), P).alias("mean_tokens"))
+    return rest.crossJoin(by_metric)
+
+
+#: The metrics, and those that are graded by retrieved documents.
+METRICS = ("correctness", "relevance", "groundedness", "retrieval_relevance")
+BY_DOCUMENTS = ("groundedness", "retrieval_relevance")
+
+
+def run_metrics(answers: DataFrame, judges: dict, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """``question_id, metric, score, explanation`` from ``(question_id, question, answer, reference, documents array<string>)``.
+
+    A judge is a function from ``(question, answer, reference, documents)`` to a mapping with score and explanation. What is graded by documents gets 0
+    without a call where there are none; a judge that fails, or gives no number from 0 to 10, gives 0 with the reason; an unknown metric, too.
+    """
+    rows = answers.select("question_id", "question", "answer", "reference", "documents")
+
+    def grade_one(metric: str, r: dict) -> tuple[float, str]:
+        if metric in BY_DOCUMENTS and not r["documents"]:
+            return 0.0, "no documents"
+        if metric not in judges:
+            return 0.0, f"unknown metric: {metric}"
+        try:
+            made = judges[metric](r["question"], r["answer"], r["reference"], r["documents"] or [])
+            score = float(made["score"])
+            return (score, str(made.get("explanation") or "")) if 0 <= score <= 10 else (0.0, "no usable grade")
+        except Exception as e:  # a judge is a model behind a network
+            return 0.0, f"error: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [(r["question_id"], m, *grade_one(m, r)) for r in b.to_pylist() for m in metrics]
+            kinds = [b.schema.field("question_id").type, pa.string(), pa.float64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], t) for i, t in enumerate(kinds)], ["question_id", "metric", "score", "explanation"])
+
+    return rows.mapInArrow(run, f"question_id {rows.schema['question_id'].dataType.simpleString()}, metric string, score double, explanation string")
 
 
 def best_and_worst(facts: DataFrame) -> DataFrame:
@@ -41,7 +136,7 @@ def best_and_worst(facts: DataFrame) -> DataFrame:
 
 def mode_comparison(facts: DataFrame) -> DataFrame:
     """Mean over a mode's runs of the runs' means by metric; a run without a metric counts 0 for it."""
-    runs = facts.select("mode", "run").distinct().crossJoin(F.broadcast(facts.select("metric").distinct()))
+    runs = facts.select("mode", "run").distinct().crossJoin(small(facts.select("metric").distinct()))
     means = facts.groupBy("mode", "run", "metric").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("m"))
     joined = runs.join(means, ["mode", "run", "metric"], "left")
     return joined.groupBy("mode", "metric").agg(F.round(F.avg(F.coalesce("m", F.lit(0.0))), P).alias("mean_score"), F.count("*").alias("runs"))
@@ -80,9 +175,9 @@ def by_dimensions(facts: DataFrame, dimensions: list[str]) -> DataFrame:
 
 
 def deviations(facts: DataFrame) -> DataFrame:
-    """How far each run's mean is from the mean of all runs, by metric."""
-    m = metric_means(facts, "run")
-    return m.select("run", "metric", F.round(F.col("mean_score") - F.avg("mean_score").over(Window.partitionBy("metric")), P).alias("deviation"))
+    """How far each run's mean is from the mean of all runs, by metric; rounded at the end only."""
+    m = facts.groupBy("run", "metric").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("m"))
+    return m.select("run", "metric", F.round(F.col("m") - F.avg("m").over(Window.partitionBy("metric")), P).alias("deviation"))
 
 
 def quality_and_time(facts: DataFrame) -> DataFrame:
@@ -126,7 +221,7 @@ def grid(**choices: DataFrame) -> DataFrame:
     """All combinations of the parameters' values; without parameters, one empty one."""
     out = None
     for frame in choices.values():
-        out = frame if out is None else out.crossJoin(F.broadcast(frame))
+        out = frame if out is None else out.crossJoin(small(frame))
     if out is None:
         raise ValueError("a grid needs the session: give it at least one parameter")
     return out

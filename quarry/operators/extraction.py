@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
-from quarry.operators.chunking import char_windows
+from quarry.operators.chunking import char_windows, token_windows
 from quarry.operators.html_tree import Node, has_class, is_tag, parse
 
 NOISE = is_tag("script", "style", "noscript")
@@ -24,6 +24,7 @@ CHROME = is_tag("script", "style", "noscript", "nav")
 CHROME_CLASSES = has_class("sphinxsidebar", "related", "footer")
 PAGE_NOISE = is_tag("script", "style", "nav", "footer", "header")
 PAGE_IDS = frozenset(("nav-tree", "nav-path", "top", "side-nav"))
+#: The owner and the member at the end of a qualified name.
 OWNER = re.compile(r"([A-Za-z_]\w*)::~?[A-Za-z_]\w*\s*$")
 BLANKS = re.compile(r"\n{3,}")
 CUT = "\n[cut]"
@@ -101,13 +102,13 @@ def page_title(tree: Node, name: str) -> str:
     return re.sub(r"\.[^.]*$", "", re.sub(r"[#?].*$", "", name).rstrip("/").rsplit("/", 1)[-1])
 
 
-def page_text(tree: Node, category: str, limit: int = 8000) -> str:
-    """Readable text of a page, cut at ``limit`` characters with a mark."""
+def page_text(tree: Node, category: str, limit: int | None = 8000) -> str:
+    """Readable text of a page, cut at ``limit`` characters with a mark; whole without one."""
     body = tree.find(is_tag("body")) or tree
     skip = lambda n: PAGE_NOISE(n) or n.attrs.get("id") in PAGE_IDS
     root = content_root(tree, category)
     text = BLANKS.sub("\n\n", (root if root is not body else body).text("\n", skip))
-    return text if len(text) <= limit else text[:limit] + CUT
+    return text if limit is None or len(text) <= limit else text[:limit] + CUT
 
 
 def split_sections(tree: Node, category: str) -> list[tuple[str | None, str]]:
@@ -133,6 +134,11 @@ def split_sections(tree: Node, category: str) -> list[tuple[str | None, str]]:
     return found or [(None, markdown(root))]
 
 
+def has_symbols(tree: Node) -> bool:
+    """Whether the page has symbol blocks, inherited ones included."""
+    return tree.find(lambda n: n.tag == "div" and "memitem" in n.classes) is not None
+
+
 def symbols(tree: Node) -> list[dict[str, str]]:
     """The page's own symbols: anchor, name, signature and description of each block that isn't inherited."""
     out = []
@@ -145,8 +151,8 @@ def symbols(tree: Node) -> list[dict[str, str]]:
         doc = item.find(has_class("memdoc"))
         before = item.parent.children[: item.parent.children.index(item)]
         anchor = next((c.attrs["id"] for c in reversed(before) if isinstance(c, Node) and c.tag == "a" and c.attrs.get("id")), "")
-        name = " ".join(named.text(" ").split()) if named else ""
-        out.append({"anchor": anchor, "name": name or signature[:80], "signature": signature, "text": markdown(doc) if doc else ""})
+        name = " ".join("".join(x.strip() for x in named.strings()).split()) if named else signature[:80]
+        out.append({"anchor": anchor, "name": name, "signature": signature, "text": doc.text("\n") if doc else ""})
     return out
 
 
@@ -156,26 +162,31 @@ def class_of(names: list[str]) -> str:
     return max(votes, key=lambda k: votes[k]) if votes else ""  # max() keeps the first of equals
 
 
+def member_name(row: Node, anchor: str) -> str:
+    """The text of the row's link to the anchor: others lead to types."""
+    link = row.find(lambda n: n.tag == "a" and n.attrs.get("href", "").endswith(f"#{anchor}"))
+    return "".join(x.strip() for x in link.strings()) if link else ""
+
+
 def class_summary(tree: Node, anchors: set[str], owner: str) -> str:
-    """The class's description, and a line with signature and brief for each declared member of the page's tables."""
+    """The class's description, and a line with name, signature and brief for each declared member of the page's tables; empty without tables."""
+    tables = tree.find_all(lambda n: n.tag == "table" and "memberdecls" in n.classes)
     block = tree.find(lambda n: n.tag == "div" and "textblock" in n.classes)
-    parts = [markdown(block)] if block else []
-    for table in tree.find_all(lambda n: n.tag == "table" and "memberdecls" in n.classes):
+    parts = [" ".join(block.text(" ").split())] if block and tables else []
+    for table in tables:
         rows: dict[str, list[str]] = {}
-        names: dict[str, str] = {}
         for row in table.find_all(is_tag("tr")):
             for cls in row.classes:
                 kind, _, anchor = cls.partition(":")
                 if kind in ("memitem", "memdesc") and anchor in anchors:
-                    cell = rows.setdefault(anchor, ["", ""])
+                    cell = rows.setdefault(anchor, ["", "", ""])
                     cell[kind == "memdesc"] = " ".join(row.text(" ").split())
-                    link = row.find(lambda n, a=anchor: n.tag == "a" and n.attrs.get("href", "").endswith(f"#{a}"))
-                    if kind == "memitem" and link:
-                        names[anchor] = " ".join(link.text(" ").split())
+                    if kind == "memitem":
+                        cell[2] = member_name(row, anchor)
         if rows:
-            head = table.find(is_tag("h2", "h3"))
-            lines = [f"{owner}::{names[a]}: {sig}  {brief}".rstrip() if owner and a in names else f"{sig}  {brief}".rstrip() for a, (sig, brief) in rows.items()]
-            parts.append("\n".join([" ".join(head.text(" ").split())] * bool(head) + lines))
+            head = table.find(is_tag("h2"))
+            lines = [f"{owner}::{name}  {sig}  {brief}" if owner and name else f"{sig}  {brief}" for sig, brief, name in rows.values()]
+            parts.append("\n".join(x for x in [head.text().strip() if head else "", *(line.strip() for line in lines)] if x))
     return "\n\n".join(p for p in parts if p)
 
 
@@ -189,8 +200,20 @@ def code_blocks(tree: Node) -> list[str]:
     return kept[:5]
 
 
-def page_chunks(page: str, name: str, category: str, size: int = 1000, overlap: int = 200) -> list[dict]:
-    """All chunks of a page, in order, with the position of each in its section."""
+def chunker(*, size: int = 1000, overlap: int = 200, tokenizer: tuple[Callable[[str], list[int]], Callable[[list[int]], str]] | None = None, use_tokens: bool = False, max_tokens: int = 384, overlap_tokens: int = 50) -> Callable[[str], list[str]]:
+    """The function that cuts texts: by tokens where that is asked for and there is a tokenizer (encode, decode), else by characters."""
+    if use_tokens and tokenizer:
+        return lambda t: token_windows(t, *tokenizer, max_tokens, overlap_tokens)
+    return lambda t: char_windows(t, size, overlap)
+
+
+def short_enough(text: str, encode: Callable[[str], list[int]] | None, most: int = 512) -> bool:
+    """Whether a chunk has no more tokens than an embedding model takes; without a tokenizer every one is kept."""
+    return encode is None or len(encode(text)) <= most
+
+
+def page_chunks(page: str, name: str, category: str, cut: Callable[[str], list[str]] = char_windows, encode: Callable[[str], list[int]] | None = None) -> list[dict]:
+    """All chunks of a page, in order, with the position of each in its section; one that is too long goes and leaves a gap."""
     tree = parse(page)
     title = page_title(tree, name)
     groups: list[dict] = []
@@ -199,37 +222,39 @@ def page_chunks(page: str, name: str, category: str, size: int = 1000, overlap:
         owner = class_of([s["name"] for s in own])
         summary = class_summary(tree, {s["anchor"] for s in own if s["anchor"]}, owner)
         if summary:
-            groups.append({"id": "__summary", "heading": title, "texts": [f"{title}\n\n{t}" for t in char_windows(summary, size, overlap)]})
+            groups.append({"id": "__summary", "heading": title, "symbol": "", "anchor": "", "texts": [f"{title}\n\n{t}" for t in cut(summary)]})
         for s in own:
             ident = s["anchor"] or re.sub(r"\W", "_", s["name"].lower())[:50]
-            body = f"{s['signature']}\n\n{s['text']}".strip()
-            groups.append({"id": ident, "heading": s["name"], "symbol": s["name"], "anchor": s["anchor"] or None, "texts": char_windows(body, size, overlap)})
+            groups.append({"id": ident, "heading": s["name"], "symbol": s["name"], "anchor": s["anchor"], "texts": cut(f"{s['signature']}\n\n{s['text']}")})
     else:
         for heading, text in split_sections(tree, category):
-            body = f"{heading or title}\n\n{text}"
-            groups.append({"id": re.sub(r"\W", "_", heading.lower())[:50] if heading else "root", "heading": heading or title, "texts": char_windows(body, size, overlap)})
+            if text.strip():
+                body = text if heading is not None else f"{title}\n\n{text}"
+                groups.append({"id": re.sub(r"\W", "_", heading.lower())[:50] if heading else "root", "heading": heading or title, "texts": cut(body)})
     code = code_blocks(tree)
     out: list[dict] = []
     for g in groups:
-        texts = [(i, t) for i, t in enumerate(g["texts"]) if t.strip()]
-        for i, t in texts:
-            out.append({"chunk_id": len(out), "title": title, "hierarchy": g["heading"], "section": g["id"], "pos": i + 1, "total": len(g["texts"]), "symbol_name": g.get("symbol"), "anchor_id": g.get("anchor"), "content": t, "has_code": bool(code)})
+        for i, t in enumerate(g["texts"]):
+            if t.strip() and short_enough(t, encode):
+                out.append({"chunk_id": len(out), "title": title, "hierarchy": g["heading"], "section": g["id"], "pos": i + 1, "total": len(g["texts"]), "symbol_name": g.get("symbol"), "anchor_id": g.get("anchor"), "content": t, "has_code": bool(code), "code_blocks": code})
     return out
 
 
-def _map(pages: DataFrame, schema: str, rows_of) -> DataFrame:
-    """``page_id`` and the rows that ``rows_of(html, url)`` makes of each page."""
-    names = [c.split()[0] for c in schema.split(", ")]
-    rows = pages.select("page_id", "url", "html")
-    types = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
-    kinds = [types[c.split()[1]] for c in schema.split(", ")]
+def _map(pages: DataFrame, schema: str, rows_of, category: str = "user") -> DataFrame:
+    """``page_id`` and the rows that ``rows_of(html, url, category)`` makes of each page; a column ``doc_category`` of the pages goes before ``category``."""
+    fields = [c.split() for c in schema.split(", ")]
+    names = [c for c, _ in fields]
+    own = F.col("doc_category") if "doc_category" in pages.columns else F.lit(category)
+    rows = pages.select("page_id", "url", "html", own.alias("category"))
+    types = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    kinds = [types[k] for _, k in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                 at, made = [], []
-                for i, (url, html) in enumerate(zip(b["url"].to_pylist(), b["html"].to_pylist(), strict=True)):
-                    found = rows_of(html or "", url or "")
+                for i, (url, html, kind) in enumerate(zip(*(b[c].to_pylist() for c in ("url", "html", "category")), strict=True)):
+                    found = rows_of(html or "", url or "", kind or "user")
                     at += [i] * len(found)
                     made += found
                 cols = [pa.array([m[n] for m in made], k) for n, k in zip(names, kinds, strict=True)]
@@ -239,28 +264,76 @@ def _map(pages: DataFrame, schema: str, rows_of) -> DataFrame:
 
 
 def pages(source: DataFrame, category: str = "user") -> DataFrame:
-    """``page_id, title, text`` of each page."""
+    """``page_id, title, text, has_symbols`` of each page; the text is cut for reading."""
 
-    def one(html: str, url: str) -> list[dict]:
+    def one(html: str, url: str, kind: str) -> list[dict]:
         tree = parse(html)
-        return [{"title": page_title(tree, url), "text": page_text(tree, category)}]
+        return [{"title": page_title(tree, url), "text": page_text(tree, kind), "has_symbols": has_symbols(tree)}]
 
-    return _map(source, "title string, text string", one)
+    return _map(source, "title string, text string, has_symbols boolean", one, category)
 
 
 def sections(source: DataFrame, category: str = "user") -> DataFrame:
     """``page_id, ord, section, n_chars`` of each section of each page."""
 
-    def many(html: str, url: str) -> list[dict]:
-        return [{"ord": i, "heading": h, "text": t} for i, (h, t) in enumerate(split_sections(parse(html), category))]
+    def many(html: str, url: str, kind: str) -> list[dict]:
+        return [{"ord": i, "heading": h, "text": t} for i, (h, t) in enumerate(split_sections(parse(html), kind))]
 
-    out = _map(source, "ord int, heading string, text string", many)
+    out = _map(source, "ord int, heading string, text string", many, category)
     return out.select("page_id", "ord", C.section_id(F.col("page_id").cast("string"), F.col("heading")).alias("section"), F.length("text").alias("n_chars"))
 
 
-def chunks(source: DataFrame, *, category: str = "user", min_score: float = 0.3) -> DataFrame:
-    """Chunks of the pages that pass the quality gate, with their metadata."""
-    schema = "chunk_id int, title string, hierarchy string, section string, pos int, total int, symbol_name string, anchor_id string, content string, has_code boolean"
-    made = _map(source, schema, lambda html, url: page_chunks(html, url, category))
-    ok = pages(source, category).filter(C.passes_gate(F.col("text"), F.col("title"), min_score=min_score)).select("page_id", C.quality_score(F.col("text"), F.col("title")).alias("quality_score"))
-    return made.join(ok, "page_id").withColumn("chunk_position", F.concat(F.col("pos").cast("string"), F.lit("/"), F.col("total").cast("string")))
+CHUNK = "chunk_id int, title string, hierarchy string, section string, pos int, total int, symbol_name string, anchor_id string, content string, has_code boolean, code_blocks array<string>, whole string"
+
+
+def chunks(source: DataFrame, *, category: str = "user", min_score: float = 0.3, project: str = "docs", cut: Callable[[str], list[str]] = char_windows, encode: Callable[[str], list[int]] | None = None) -> DataFrame:
+    """Chunks of the pages that pass the quality gate, with their metadata, in one pass over the pages.
+
+    ``source(page_id, url, html)`` may have ``module, doc_category, base_url, module_description``. The gate and the score are of the page's whole text.
+    """
+    # the first chunk of a page carries its whole text, for the gate
+    def many(html: str, url: str, kind: str) -> list[dict]:
+        made = page_chunks(html, url, kind, cut, encode)
+        text = page_text(parse(html), kind, None)
+        return [m | {"whole": text if i == 0 else None} for i, m in enumerate(made)]
+
+    made = _map(source, CHUNK, many, category)
+    first = made.filter("chunk_id = 0").filter(C.passes_gate(F.col("whole"), F.col("title"), min_score=min_score))
+    ok = first.select("page_id", F.round(C.quality_score(F.col("whole"), F.col("title")), 2).alias("quality_score"))
+    has = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in source.columns else F.lit(default)
+    about = source.select(
+        "page_id", F.coalesce("url", F.lit("")).alias("file"), has("module", "").alias("module"), has("doc_category", category).alias("doc_category"),
+        has("base_url", "").alias("parent_doc_id"), has("module_description", "").alias("module_description"),
+    )
+    out = made.drop("whole").join(ok, "page_id").join(about, "page_id")
+    page = C.page_url(F.col("parent_doc_id"), F.col("file"))
+    anchored = F.coalesce(F.nullif(F.col("anchor_id"), F.lit("")).isNotNull(), F.lit(False))
+    return out.select(
+        "page_id", "chunk_id", "title", "hierarchy", "section", "pos", "total", "symbol_name", "anchor_id", "content", "has_code", "code_blocks", "quality_score", "module", "doc_category",
+        "parent_doc_id", "module_description", "file", F.concat(F.col("pos").cast("string"), F.lit("/"), F.col("total").cast("string")).alias("chunk_position"),
+        F.when(anchored, F.concat(page, F.lit("#"), F.col("anchor_id"))).otherwise(page).alias("url"), F.concat(page, F.lit("#"), F.col("section")).alias("section_id"),
+        C.doc_type(C.file_name(F.col("file")), F.col("doc_category")).alias("doc_type"),
+        F.concat(F.lit(f"{project} "), F.col("module"), F.lit(" "), F.initcap("doc_category"), F.lit(" Documentation")).alias("source"),
+    )
+
+
+#: The order in which a module's kinds of pages are processed.
+CATEGORIES = ("dev", "user", "methodology")
+
+
+def build_corpus(spark: SparkSession, roots: list[dict[str, str]], *, project: str = "docs", **options) -> DataFrame:
+    """Chunks of all registered folders with ``ord``: modules in the order given, categories in that of ``CATEGORIES``, then files and places in them.
+
+    ``roots`` are mappings with ``module, doc_category, path`` and perhaps ``base_url`` and ``description``. All folders are one plan.
+    """
+    from quarry.sources.files import html_pages
+
+    order = list(dict.fromkeys(r["module"] for r in roots))
+    found = None
+    for r in roots:
+        at = order.index(r["module"]) * len(CATEGORIES) + CATEGORIES.index(r["doc_category"])
+        literal = {"at": F.lit(at), "module": F.lit(r["module"]), "doc_category": F.lit(r["doc_category"]), "base_url": F.lit(r.get("base_url", "")), "module_description": F.lit(r.get("description", ""))}
+        one = html_pages(spark, r["path"]).withColumns(literal).withColumn("page_id", F.concat_ws("/", F.lpad(F.col("at").cast("string"), 6, "0"), "url"))
+        found = one if found is None else found.unionByName(one)
+    made = chunks(found, project=project, **options)
+    return made.withColumn("ord", F.struct("page_id", "chunk_id"))

@@ -10,19 +10,20 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-FENCE = re.compile(r"```([\w+#-]*)[ \t]*\n(.*?)```", re.DOTALL)
+FENCE = re.compile(r"```(\w*)\n(.*?)```", re.DOTALL)
+#: A name before a parenthesis, and words of C++ that aren't calls of what is documented.
 CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
-#: Words of C++ that stand before a parenthesis without being calls.
-KEYWORDS = frozenset("if for while switch return sizeof catch decltype alignof typeid static_cast dynamic_cast const_cast reinterpret_cast new delete throw".split())
+KEYWORDS = frozenset(
+    "if else for while do switch case break continue return new delete sizeof static_cast dynamic_cast "
+    "reinterpret_cast const_cast typename template namespace using auto printf cout cin endl assert".split()
+)
 BUILTINS = frozenset(dir(builtins)) | KEYWORDS
 
 
 def code_blocks(answer: str) -> list[tuple[str, str]]:
-    """(language, code) of the fenced blocks; without any, the whole answer if it is Python with more than a name."""
+    """(language, code) of the fenced blocks; without any, the whole answer if it is Python."""
     found = [(lang.lower(), code) for lang, code in FENCE.findall(answer)]
-    if found:
-        return found
-    return [("python", answer)] if _tree(answer) and CALL.search(answer) else []
+    return found or ([("python", answer)] if _tree(answer) is not None else [])
 
 
 def _tree(code: str) -> ast.AST | None:
@@ -33,35 +34,32 @@ def _tree(code: str) -> ast.AST | None:
 
 
 def calls(language: str, code: str) -> list[str]:
-    """Names of the functions called, in order: by syntax if the block is Python, else names before a parenthesis."""
-    tree = _tree(code) if language in ("", "py", "python", "python3") else None
+    """Names of the functions called: by syntax if the block is Python, else names before a parenthesis."""
+    tree = _tree(code) if language in ("", "py", "python") else None
     if tree is None:
-        return [n for n in CALL.findall(code) if n not in KEYWORDS]
+        return CALL.findall(code)
     named = [(n.lineno, n.col_offset, n.func.id if isinstance(n.func, ast.Name) else n.func.attr) for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, (ast.Name, ast.Attribute))]
     return [name for *_, name in sorted(named)]
 
 
 def arities(name: str, text: str) -> list[int]:
-    """The different numbers of arguments with which ``name(...)`` is written in a text; unbalanced ones are passed over."""
-    out: list[int] = []
-    for m in re.finditer(rf"\b{re.escape(name)}\s*\(", text, re.IGNORECASE):
-        depth, commas, filled, at = 1, 0, False, m.end()
+    """The different numbers of arguments with which ``name(...)`` is written in a text, parentheses inside one argument aside; unbalanced ones are passed over."""
+    out: set[int] = set()
+    for m in re.finditer(re.escape(name) + r"\s*\(", text):
+        depth, commas, at = 1, 0, m.end()
         while at < len(text) and depth:
-            c = text[at]
-            depth += (c in "([{") - (c in ")]}")
-            commas += c == "," and depth == 1
-            filled |= depth > 0 and not c.isspace()
+            depth += (text[at] == "(") - (text[at] == ")")
+            commas += text[at] == "," and depth == 1
             at += 1
-        n = commas + 1 if filled else 0
-        if not depth and n not in out:
-            out.append(n)
-    return out
+        if not depth:
+            out.add(commas + 1 if text[m.end() : at - 1].strip() else 0)
+    return sorted(out)
 
 
 def check(answer: str, observations: str, known: Callable[[str], bool] | None = None) -> list[tuple[str, str, str]]:
     """(call, kind, reason) for each name, at its first call, that isn't in the observations or is there with several numbers of arguments.
 
-    ``known`` may clear a name that isn't there, as a standard function; without it nothing is cleared.
+    ``known`` may clear a name that isn't there, as a standard function; without it, or where it fails, nothing is cleared.
     """
     out, seen, low = [], set(BUILTINS), observations.lower()
     for language, code in code_blocks(answer):
@@ -71,13 +69,20 @@ def check(answer: str, observations: str, known: Callable[[str], bool] | None =
             seen.add(name)
             if name.lower() in low:
                 if len(n := arities(name, observations)) > 1:
-                    out.append((name, "ambiguous_overload", f"written with {', '.join(map(str, sorted(n)))} arguments"))
-            elif not (known and known(name)):
+                    out.append((name, "ambiguous_overload", f"written with {', '.join(map(str, n))} arguments"))
+            elif not _cleared(known, name):
                 out.append((name, "unknown_name", "not in the retrieved text"))
     return out
 
 
-def flags(answers: DataFrame, keys: list[str]) -> DataFrame:
+def _cleared(known: Callable[[str], bool] | None, name: str) -> bool:
+    try:
+        return bool(known and known(name))
+    except Exception:  # the classifier is a model behind a network
+        return False
+
+
+def flags(answers: DataFrame, keys: list[str], known: Callable[[str], bool] | None = None) -> DataFrame:
     """``<keys>, call, kind, reason`` for each flag of ``answers(<keys>, answer, observations)``."""
     rows = answers.select(*keys, "answer", "observations")
     n = len(keys)
@@ -86,7 +91,7 @@ def flags(answers: DataFrame, keys: list[str]) -> DataFrame:
         for b in batches:
             at, made = [], []
             for i, (answer, seen) in enumerate(zip(b["answer"].to_pylist(), b["observations"].to_pylist(), strict=True)):
-                found = check(answer or "", seen or "")
+                found = check(answer or "", seen or "", known)
                 at += [i] * len(found)
                 made += found
             taken = [b.column(i).take(pa.array(at, pa.int64())) for i in range(n)]

@@ -6,10 +6,14 @@ unique and breaks ties. Questions are rows ``query_id, query``. A ranked list is
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import page_key, position_key, tokens
+from quarry.functions.columns import page_key, position_key, strip, tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: So many terms of questions, of some tens of bytes each, are broadcast; more meet the corpus by shuffle.
@@ -89,6 +93,21 @@ def title_search(corpus: DataFrame, questions: DataFrame, k: int, *, module: str
     return ranked(bm25_scores(corpus, questions, "title").join(first, "ord"), k, "url", "ord").select("query_id", "rank", "ord", "score")
 
 
+def rerank(pool: DataFrame, corpus: DataFrame, questions: DataFrame, scorer: Callable[[list[str], list[str]], list[float]]) -> DataFrame:
+    """``query_id, rank, ord, score``: the pool in the order of a scorer of (question, text) pairs, which gets whole batches; of equals the one ranked first."""
+    rows = pool.select("query_id", "rank", "ord").join(corpus.select("ord", "content"), "ord").join(questions.select("query_id", "query"), "query_id").select("query_id", "rank", "ord", "query", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = scorer([x or "" for x in b["query"].to_pylist()], [x or "" for x in b["content"].to_pylist()]) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b["query_id"], b["rank"], b["ord"], pa.array([float(x) for x in made], pa.float64())], ["query_id", "rank", "ord", "score"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("query_id", "rank", "ord"))
+    scored = rows.mapInArrow(run, f"{kinds}, score double")
+    place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rank", "ord")
+    return scored.withColumn("rank", F.row_number().over(place) - 1).select("query_id", "rank", "ord", "score")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -100,23 +119,64 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_search(vectors: DataFrame, questions: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
     """``query_id, rank, ord, score``: exact nearest by cosine of ``vectors(ord, embedding)`` to ``questions(query_id, q_vec)``.
 
-    Both sides are normalised once, so a pair costs one dot product. A batch of at most ``BROADCAST_QUESTIONS`` questions is
-    broadcast, a larger one is joined in blocks of rows by Spark; only ``k`` rows a question leave a task.
+    A batch of at most ``BROADCAST_QUESTIONS`` questions is sent to every task, which multiplies it with blocks of its vectors and keeps
+    ``k`` rows a question of each block; larger batches are cut into lots of that size. Vectors of another length than the questions' take no part.
     """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(dot(c, c)))
     side = vectors if allowed is None else vectors.filter(allowed)
-    side = side.select("ord", unit(F.col("embedding")).alias("v"))
-    asked = questions.select("query_id", unit(F.col("q_vec")).alias("q"))
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_QUESTIONS else asked
-    return ranked(side.crossJoin(asked).select("query_id", "ord", F.round(dot(F.col("q"), F.col("v")), 9).alias("score")), k)
+    side = side.filter(F.col("embedding").isNotNull()).select(F.col("ord").cast("long").alias("ord"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = questions.filter(F.col("q_vec").isNotNull()).select("query_id", F.col("q_vec").cast("array<double>").alias("q"))
+    kind = asked.schema["query_id"].dataType.simpleString()
+    n, found = asked.count(), None
+    lots = -(-n // BROADCAST_QUESTIONS)
+    for lot in range(max(1, lots)):
+        part = asked if lots <= 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(lots)) == lot)
+        one = side.mapInArrow(_multiplied(part, k), f"query_id {kind}, ord long, score double")
+        found = one if found is None else found.unionByName(one)
+    return ranked(found, k)
+
+
+def _multiplied(asked: DataFrame, k: int):
+    """For Arrow batches of vectors, the ``k`` best of each block for each question."""
+    rows = asked.toArrow()
+    names = rows["query_id"].combine_chunks()
+    flat = rows["q"].to_pylist()
+    width = max(map(len, flat), default=0)
+    q = np.array([v for v in flat if len(v) == width], np.float64).reshape(-1, width)
+    names = names.filter(pa.array([len(v) == width for v in flat], pa.bool_()))
+    size = np.sqrt((q * q).sum(1, keepdims=True))
+    sent = asked.sparkSession.sparkContext.broadcast((np.divide(q, size, out=np.full_like(q, np.nan), where=size > 0), names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, named = sent.value
+        for whole in batches:
+            for b in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
+                vectors = [v if v is not None and len(v) == width else [np.nan] * width for v in b["v"].to_pylist()]
+                v = np.array(vectors, np.float64).reshape(-1, width)
+                ids = b["ord"].to_numpy(zero_copy_only=False)
+                with np.errstate(all="ignore"):
+                    score = np.round(unit @ (v / np.sqrt((v * v).sum(1, keepdims=True))).T, 9)
+                for lo in range(0, len(score), 256):
+                    part = score[lo : lo + 256]
+                    worst = np.where(np.isnan(part), np.inf, -part)
+                    take = min(k, part.shape[1])
+                    # all that tie with the last of the best are kept: the order of ord decides later
+                    last = np.partition(worst, take - 1, axis=1)[:, take - 1 : take]
+                    at, j = np.nonzero((worst <= last) & np.isfinite(worst))
+                    yield pa.RecordBatch.from_arrays([named.take(pa.array(at + lo)), pa.array(ids[j]), pa.array(part[at, j])], ["query_id", "ord", "score"])
+
+    return run
 
 
 def max_sim(query_vectors: DataFrame, doc_vectors: DataFrame) -> DataFrame:
     """``query_id, doc_id, score``: each question vector's best dot product with the document's vectors, added up.
 
-    From ``query_vectors(query_id, q_pos, q_vec)`` (broadcast: a batch of questions) and ``doc_vectors(doc_id, d_vec)``.
+    From ``query_vectors(query_id, q_pos, q_vec)``, broadcast up to ``BROADCAST_QUESTIONS`` of them, and ``doc_vectors(doc_id, d_vec)``, which should be
+    those of the fused pool. With a ``query_id`` in ``doc_vectors`` each question meets its own candidates only.
     """
-    pairs = doc_vectors.crossJoin(F.broadcast(query_vectors)).select("query_id", "q_pos", "doc_id", dot(F.col("q_vec"), F.col("d_vec")).alias("s"))
+    few = query_vectors.count() <= BROADCAST_QUESTIONS
+    asked = F.broadcast(query_vectors) if few else query_vectors
+    met = doc_vectors.join(asked, "query_id") if "query_id" in doc_vectors.columns else doc_vectors.crossJoin(asked)
+    pairs = met.select("query_id", "q_pos", "doc_id", dot(F.col("q_vec"), F.col("d_vec")).alias("s"))
     return pairs.groupBy("query_id", "doc_id", "q_pos").agg(F.max("s").alias("best")).groupBy("query_id", "doc_id").agg(F.round(F.sum("best"), 9).alias("score"))
 
 
@@ -188,7 +248,14 @@ def rebuild(parts: DataFrame, key: str = "section_id", overlap: int = 500) -> Da
         return F.concat(acc, F.substr(body, size + 1))
 
     out = parts.groupBy(key).agg(frags.alias("frags"), F.min("ord").alias("ord"))
-    return out.select(key, "ord", F.trim(F.aggregate("frags", F.lit(""), step)).alias("text"))
+    return out.select(key, "ord", strip(F.aggregate("frags", F.lit(""), step)).alias("text"))
+
+
+def rebuild_pages(parts: DataFrame) -> DataFrame:
+    """``page, text`` from the fragments of whole pages: their sections in the corpus's order, blank lines between; a page is what stands before # in section_id."""
+    sections = rebuild(parts.filter(F.coalesce("section_id", F.lit("")) != "")).filter("text <> ''").withColumn("page", F.substring_index("section_id", "#", 1))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
+    return sections.filter("page <> ''").groupBy("page").agg(strip(F.array_join(texts, "\n\n")).alias("text"))
 
 
 def batches(ranked_rows: DataFrame, size: int = 10) -> DataFrame:

@@ -11,6 +11,9 @@ from quarry.functions import columns as C
 from quarry.operators import chunking, extraction, grounding
 from quarry.operators import evaluation as E
 from quarry.operators import retrieval as R
+from quarry.plans import answers as A
+from quarry.plans.config import Settings
+from quarry.sources import files
 from quarry.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,7 +85,9 @@ def bm25_title_pages(spark, d):
     return shown(R.title_search(T.corpus(spark, d), T.questions(spark, d), 10))
 
 
-@query(f"WITH {CORPUS}, {ASKED}, {bm25_sql('content', 'body')} SELECT term, df, round(idf, 6) AS idf FROM body_idf")
+@query(f"""WITH {CORPUS}, n AS (SELECT count(*) AS n FROM corpus), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOK.format("content")})) AS term FROM corpus) GROUP BY term),
+raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf0 FROM df, n), mean AS (SELECT avg(idf0) AS m FROM raw)
+SELECT term, df, round(CASE WHEN idf0 >= 0 THEN idf0 ELSE 0.25 * m END, 6) AS idf FROM raw, mean""")
 def idf_table(spark, d):
     """§2.6.1: document frequency and floored weight of each word."""
     return R.idf_table(T.corpus(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
@@ -176,8 +181,8 @@ ALL_RANKED = f"WITH {CORPUS}, r AS (SELECT module AS query_id, row_number() OVER
 
 
 def by_module(spark, d):
-    """All documents as ranked lists, one for each module."""
-    c = T.corpus(spark, d)
+    """All documents as ranked lists, one for each module. Only ids and short columns are sorted; a hash stands for the text."""
+    c = T.corpus(spark, d).select("ord", "url", "module", F.sha1(F.coalesce("content", F.lit(""))).alias("content"))
     return c.withColumn("query_id", F.col("module")).withColumn("rank", F.row_number().over(Window.partitionBy("module").orderBy("ord")) - 1)
 
 
@@ -210,12 +215,91 @@ def budget_expand(spark, d):
     return R.spend_budget(c.select(F.floor(F.col("ord") / 10).alias("query_id"), (F.col("ord") % 10).alias("rank"), "ord", F.length("content").alias("cost")), 6000)
 
 
-@query(None)
+WHITE_SQL = "'" + C.WHITE + "'"
+#: Sections of these tables have two fragments at most.
+SECTIONS = f"""frags AS (SELECT section_id, ord, title, coalesce(content, '') AS c, row_number() OVER (PARTITION BY section_id ORDER BY pos, ord) AS i FROM corpus),
+pairs AS (SELECT a.section_id, a.c AS a, CASE WHEN a.c <> '' AND starts_with(b.c, b.title || chr(10) || chr(10)) THEN substr(b.c, length(b.title) + 3) ELSE b.c END AS b, least(a.ord, coalesce(b.ord, a.ord)) AS ord
+  FROM frags a LEFT JOIN frags b ON a.section_id = b.section_id AND b.i = 2 WHERE a.i = 1),
+sections AS (SELECT section_id, ord, trim(a || coalesce(substr(b, 1 + coalesce(list_max(list_filter(range(1, least(500, length(a), length(b)) + 1), lambda n: right(a, n::INT) = left(b, n::INT))), 0)::INT), ''), {WHITE_SQL}) AS text FROM pairs)"""
+
+
+@query(f"WITH {CORPUS}, {SECTIONS} SELECT section_id, ord, length(text) AS n_chars, sha256(text) AS sha256 FROM sections")
 def section_rebuild(spark, d):
     """Sections put together again from their fragments."""
     return R.rebuild(T.corpus(spark, d)).select("section_id", "ord", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
 
 
+@query(f"""WITH {CORPUS}, {SECTIONS}, p AS (SELECT split_part(section_id, '#', 1) AS page, trim(string_agg(text, chr(10) || chr(10) ORDER BY ord), {WHITE_SQL}) AS text FROM sections WHERE text <> '' GROUP BY 1)
+SELECT page, length(text) AS n_chars, sha256(text) AS sha256 FROM p""")
+def page_rebuild(spark, d):
+    """Whole pages put together again from their sections."""
+    return R.rebuild_pages(T.corpus(spark, d)).select("page", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+
+
+SYMBOLS = """symbols AS (SELECT doc_id AS ord, text AS content, 'a' || (doc_id % 5)::VARCHAR || '_' || (doc_id % 7)::VARCHAR AS anchor_id, 'void Mod_' || (doc_id % 7)::VARCHAR || '::m' || (doc_id % 5)::VARCHAR AS hierarchy,
+  'docs/' || ['class', 'struct', 'page'][doc_id % 3 + 1] || 'Mod__' || (doc_id % 11)::VARCHAR || '.html#a' || (doc_id % 5)::VARCHAR AS url, 'docs/p' || (doc_id % 13)::VARCHAR || '.html#s' || (doc_id % 2)::VARCHAR AS section_id FROM documents)"""
+
+
+def symbols(spark, d):
+    """``documents`` as copies of symbols, some of them on the page that declares theirs."""
+    i = F.col("doc_id")
+    text = lambda n: (i % n).cast("string")
+    kind = F.element_at(F.array(*map(F.lit, ("class", "struct", "page"))), (i % 3 + 1).cast("int"))
+    return T.read(spark, d, "documents").select(
+        i.alias("ord"), F.col("text").alias("content"), F.concat(F.lit("a"), text(5), F.lit("_"), text(7)).alias("anchor_id"), F.concat(F.lit("void Mod_"), text(7), F.lit("::m"), text(5)).alias("hierarchy"),
+        F.concat(F.lit("docs/"), kind, F.lit("Mod__"), text(11), F.lit(".html#a"), text(5)).alias("url"), F.concat(F.lit("docs/p"), text(13), F.lit(".html#s"), text(2)).alias("section_id"),
+    )
+
+
+@query(f"""WITH {SYMBOLS}, r AS (SELECT ord // 100 AS query_id, ord % 100 AS rank, *, split_part(split_part(url, '#', 1), '/', 2) IN ('class' || 'Mod__' || (ord % 7)::VARCHAR || '.html', 'structMod__' || (ord % 7)::VARCHAR || '.html', 'interfaceMod__' || (ord % 7)::VARCHAR || '.html') AS declares FROM symbols),
+g AS (SELECT query_id, anchor_id, min(rank) AS pos, coalesce(arg_max(ord, rank) FILTER (WHERE declares), arg_min(ord, rank)) AS ord FROM r GROUP BY ALL),
+o AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS rank, g.ord, section_id FROM g JOIN symbols USING (ord)),
+f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY query_id, section_id ORDER BY rank) = 1)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS rank, ord, section_id FROM f""")
+def context_representatives(spark, d):
+    """Copies of a symbol are represented by the one on its declaring page, sections by their first row."""
+    c = symbols(spark, d)
+    return A.representatives(c, c.select(F.floor(F.col("ord") / 100).alias("query_id"), (F.col("ord") % 100).alias("rank"), "ord"))
+
+
+@query(f"""WITH {CORPUS}, {SECTIONS}, one AS (SELECT ord // 20 AS query_id, ord % 20 AS spot, ord, section_id, content, 'short ' || ord::VARCHAR AS capped, row_number() OVER (PARTITION BY ord // 20, sha1(content) ORDER BY ord) AS copy FROM corpus),
+first_copy AS (SELECT *, row_number() OVER (PARTITION BY query_id, section_id ORDER BY spot) AS k FROM one WHERE copy = 1),
+picked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY spot) - 1 AS rank, ord, section_id, capped FROM first_copy WHERE k = 1),
+rows_ AS (SELECT p.*, s.text FROM picked p JOIN sections s USING (section_id) WHERE rank < 8),
+fold AS (SELECT query_id, rank, ord, CASE WHEN length(text) <= 9000 THEN text ELSE capped END AS content, 9000 - length(CASE WHEN length(text) <= 9000 THEN text ELSE capped END) AS rest FROM rows_ WHERE rank = 0
+  UNION ALL SELECT r.query_id, r.rank, r.ord, CASE WHEN length(r.text) <= rest THEN r.text ELSE r.capped END, rest - length(CASE WHEN length(r.text) <= rest THEN r.text ELSE r.capped END) FROM fold JOIN rows_ r ON r.query_id = fold.query_id AND r.rank = fold.rank + 1)
+SELECT query_id, rank, ord, length(content) AS n_chars, sha256(content) AS sha256 FROM fold""".replace("WITH corpus", "WITH RECURSIVE corpus"))
+def context_selection(spark, d):
+    """Representatives, each as its whole section while a budget of 9000 characters lasts, else as a short text."""
+    c = T.corpus(spark, d).withColumn("section_text", F.concat(F.lit("short "), F.col("ord").cast("string")))
+    pool = c.select(F.floor(F.col("ord") / 20).alias("query_id"), (F.col("ord") % 20).cast("int").alias("rank"), "ord")
+    out = A.select_context(c, pool, Settings(top_n_after_rerank=8, expansion_char_budget=9000))
+    return out.select("query_id", "rank", "ord", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("sha256"))
+
+
+@query(f"""{BODY}, found AS (SELECT * FROM ({RANKED} body_score) WHERE rank < 40),
+copies AS (SELECT query_id, sha1(content) AS h, min(rank) AS rank, arg_min(ord, rank) AS ord FROM found JOIN corpus USING (ord) GROUP BY ALL),
+found_pages AS (SELECT query_id, split_part(url, '#', 1) AS filepath, min(rank) AS rank FROM copies c JOIN corpus USING (ord) GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS rank, filepath FROM found_pages QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10""")
+def page_search(spark, d):
+    """The ten best pages for each question, by chunks four times as deep."""
+    c = T.corpus(spark, d)
+    return A.search_pages(c, page_index(c), T.questions(spark, d), 10)
+
+
+def page_index(c):
+    path = F.substring_index("url", "#", 1)
+    return c.groupBy(path.alias("filepath")).agg(F.min_by("title", "ord").alias("title"), F.min("module").alias("module"), F.min("doc_category").alias("doc_category")).withColumn("filename", C.file_name(F.col("filepath")))
+
+
+@query(None)
+def page_search_sections(spark, d):
+    """The sections or short pages found for each question, as a numbered listing."""
+    c = T.corpus(spark, d)
+    found = A.search_pages(c, page_index(c), T.questions(spark, d), 15, by_section=True)
+    return A.listing(found, page_index(c)).select("query_id", F.length("listing").alias("n_chars"), F.sha2("listing", 256).alias("sha256"))
+
+
 @query(f"{ALL_RANKED} SELECT query_id, rank // 10 AS batch, count(*) AS n, string_agg(ord::VARCHAR, ',' ORDER BY rank) AS ords FROM r GROUP BY ALL")
 def deep_dive_batches(spark, d):
     """Ranked rows in lots of ten."""
@@ -256,19 +340,19 @@ def qualified_filename_join(spark, d):
 
 
 PATHS = """paths AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'a/functions_' || lang || '.html' WHEN 1 THEN 'a/_modules/x.html' WHEN 2 THEN 'class_' || source || '.html' WHEN 3 THEN 'dir_0a' || (doc_id % 7)::VARCHAR || '.html'
-  WHEN 4 THEN 'b/genindex.html' WHEN 5 THEN 'my_genindex.html' WHEN 6 THEN 'tutorial_' || source || '.html' WHEN 7 THEN 'x/api/how' || lang || '.html' ELSE 'a/file_8h_source.html' END AS path FROM documents)"""
+  WHEN 4 THEN 'b/' || ['genindex', 'classes', 'my_classes', 'todo', 'search', 'research', 'py-modindex'][doc_id % 7 + 1] || '.html' WHEN 5 THEN 'my_genindex.html' WHEN 6 THEN 'tutorial_' || source || '.html' WHEN 7 THEN 'x/api/how' || lang || '.html' ELSE 'a/file_8h_source.html' END AS path FROM documents)"""
 
 
 def paths(spark, d):
     t = T.read(spark, d, "documents")
     i, lang, src = F.col("doc_id") % 9, F.col("lang"), F.col("source")
     out = F.when(i == 0, F.concat(F.lit("a/functions_"), lang, F.lit(".html"))).when(i == 1, "a/_modules/x.html").when(i == 2, F.concat(F.lit("class_"), src, F.lit(".html")))
-    out = out.when(i == 3, F.concat(F.lit("dir_0a"), (F.col("doc_id") % 7).cast("string"), F.lit(".html"))).when(i == 4, "b/genindex.html").when(i == 5, "my_genindex.html")
+    out = out.when(i == 3, F.concat(F.lit("dir_0a"), (F.col("doc_id") % 7).cast("string"), F.lit(".html"))).when(i == 4, F.concat(F.lit("b/"), F.element_at(F.array(*map(F.lit, ("genindex", "classes", "my_classes", "todo", "search", "research", "py-modindex"))), (F.col("doc_id") % 7 + 1).cast("int")), F.lit(".html"))).when(i == 5, "my_genindex.html")
     out = out.when(i == 6, F.concat(F.lit("tutorial_"), src, F.lit(".html"))).when(i == 7, F.concat(F.lit("x/api/how"), lang, F.lit(".html"))).otherwise("a/file_8h_source.html")
     return t.select("doc_id", out.alias("path"))
 
 
-@query(f"""WITH {PATHS} SELECT doc_id, path FROM paths WHERE NOT (split_part(path, '/', -1) IN ('genindex.html', 'functions.html', 'globals.html', 'search.html')
+@query(f"""WITH {PATHS} SELECT doc_id, path FROM paths WHERE NOT (split_part(path, '/', -1) IN ({", ".join(f"'{n}'" for n in C.GENERATED_NAMES)})
   OR regexp_matches(split_part(path, '/', -1), '^([^/]*_source|(functions|globals|namespacemembers|classmembers)_[A-Za-z0-9_]*|dir_[0-9a-f]+)\\.html$') OR list_contains(string_split(path, '/'), '_modules'))""")
 def generated_page_antifilter(spark, d):
     """Pages that no generator wrote for navigation."""
@@ -284,8 +368,8 @@ def doc_type_classify(spark, d):
     return paths(spark, d).select("doc_id", C.doc_type(n, F.lit("dev")).alias("dev_type"), C.doc_type(n, F.lit("user")).alias("user_type"))
 
 
-SCORE = f"""scored AS (SELECT doc_id, title, text, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 0 ELSE least(1.0::DOUBLE, least(w / 200.0::DOUBLE, 1.0::DOUBLE)
-  + CASE WHEN trim(title) <> '' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN w > 50 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN w > 100 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END) END AS q
+SCORE = f"""scored AS (SELECT doc_id, title, text, CASE WHEN trim(text, {WHITE_SQL}) = '' THEN 0 ELSE least(1.0::DOUBLE, least(w / 200.0::DOUBLE, 1.0::DOUBLE)
+  + CASE WHEN trim(title, {WHITE_SQL}) <> '' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN w > 50 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN w > 100 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END) END AS q
   FROM (SELECT doc_id, text, split_part(text, chr(10), 1) AS title, len({TOK.format("text")}) AS w FROM documents))"""
 
 
@@ -296,17 +380,21 @@ def quality_score(spark, d):
     return t.select("doc_id", F.round(C.quality_score(F.col("text"), C.first_line(F.col("text"))), 6).alias("score"))
 
 
-@query(f"WITH {SCORE} SELECT doc_id FROM scored WHERE q >= 0.6 AND length(trim(title || chr(10) || chr(10) || text)) >= 50")
+@query(f"WITH {SCORE} SELECT doc_id FROM scored WHERE q >= 0.6 AND length(trim(title || chr(10) || chr(10) || text, {WHITE_SQL})) >= 50")
 def quality_gate(spark, d):
     """pages long and good enough."""
     return T.read(spark, d, "documents").filter(C.passes_gate(F.col("text"), C.first_line(F.col("text")), min_score=0.6)).select("doc_id")
 
 
-@query("""SELECT source AS module, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'fr') AS fr, count(*) FILTER (WHERE lang = 'de') AS de, count(*) AS total FROM documents GROUP BY ROLLUP (source)""")
+@query("""WITH r AS (SELECT DISTINCT source AS module, 'about ' || source AS description FROM documents UNION ALL SELECT 'unused', 'no chunks'),
+c AS (SELECT source AS module, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'fr') AS fr, count(*) FILTER (WHERE lang = 'de') AS de, count(*) AS total FROM documents GROUP BY source)
+SELECT module, description, coalesce(en, 0) AS en, coalesce(fr, 0) AS fr, coalesce(de, 0) AS de, coalesce(total, 0) AS total FROM r LEFT JOIN c USING (module)
+UNION ALL SELECT NULL, NULL, sum(en)::BIGINT, sum(fr)::BIGINT, sum(de)::BIGINT, sum(total)::BIGINT FROM c""")
 def module_stats(spark, d):
-    """A1, A2, A4: documents of each module by category, and in all."""
-    counts = [F.count_if(F.col("lang") == x).alias(x) for x in ("en", "fr", "de")]
-    return T.read(spark, d, "documents").rollup("source").agg(*counts, F.count("*").alias("total")).withColumnRenamed("source", "module")
+    """A1, A2, A4: chunks of each registered module by category, and in all."""
+    c = T.corpus(spark, d)
+    registered = c.select("module", F.concat(F.lit("about "), F.col("module")).alias("description")).distinct().unionByName(spark.createDataFrame([("unused", "no chunks")], "module string, description string"))
+    return E.module_statistics(c, registered, ("en", "fr", "de"))
 
 
 @query("SELECT DISTINCT source AS module FROM documents")
@@ -353,22 +441,38 @@ def page_titles(spark, d):
     return extraction.pages(T.read(spark, d, "pages")).select("page_id", "title")
 
 
-@query(None)
+#: Pages of these tables hold one article without second level headings.
+PAGE_SQL = f"""bodies AS (SELECT page_id, string_split(regexp_replace(regexp_extract(html, '<article[^>]*>(.*)</article>', 1, 's'), '<[^>]*>', chr(1), 'g'), chr(1)) AS parts,
+  trim(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '\\s+', ' ', 'g')) AS raw_title FROM pages),
+texts AS (SELECT page_id, array_to_string(list_filter(list_transform(parts, lambda x: trim(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), {WHITE_SQL})), lambda x: x <> ''), chr(10)) AS text,
+  replace(replace(replace(replace(raw_title, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') AS title FROM bodies)"""
+
+
+@query(f"WITH {PAGE_SQL}, c AS (SELECT page_id, CASE WHEN length(text) > 8000 THEN left(text, 8000) || chr(10) || '[cut]' ELSE text END AS t FROM texts) SELECT page_id, length(t) AS n_chars, sha256(t) AS sha256 FROM c")
 def page_text(spark, d):
     """Text of pages, cut at 8000 characters."""
     return extraction.pages(T.read(spark, d, "pages")).select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
 
 
-@query(None)
+@query(f"WITH {PAGE_SQL} SELECT page_id, 0 AS ord, page_id::VARCHAR || '#root' AS section, length(text) AS n_chars FROM texts")
 def section_split(spark, d):
     """Sections of pages."""
     return extraction.sections(T.read(spark, d, "pages"))
 
 
-@query(None)
+PAGE_CHUNKS = CHUNKS.format(end=END).replace("FROM documents)", "FROM (SELECT page_id AS doc_id, title || chr(10) || chr(10) || text AS text FROM good))", 1).replace("RECURSIVE t AS", f"""RECURSIVE {PAGE_SQL},
+words AS (SELECT *, len({TOK.format("text")}) AS w FROM texts),
+scored AS (SELECT *, CASE WHEN trim(text, {WHITE_SQL}) = '' THEN 0 ELSE least(1.0::DOUBLE, least(w / 200.0::DOUBLE, 1.0::DOUBLE) + CASE WHEN title <> '' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN w > 50 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN w > 100 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END) END AS q FROM words),
+good AS (SELECT * FROM scored WHERE q >= 0.3 AND length(trim(title || chr(10) || chr(10) || text, {WHITE_SQL})) >= 50),
+t AS""", 1)
+
+
+@query(f"""WITH {PAGE_CHUNKS}, c AS (SELECT doc_id AS page_id, pos, cuts.n, substr(t.text, s + 1, ({END}) - s) AS raw FROM cuts JOIN t USING (doc_id))
+SELECT page_id, pos AS chunk_id, (pos + 1)::VARCHAR || '/' || (count(*) OVER (PARTITION BY page_id))::VARCHAR AS chunk_position, sha256(CASE WHEN c.n > 1000 THEN trim(raw, {WHITE_SQL}) ELSE raw END) AS sha256, p.url || '#root' AS section_id FROM c JOIN pages p USING (page_id)""")
 def page_chunks(spark, d):
-    """Pages as enriched chunks."""
-    return extraction.chunks(T.read(spark, d, "pages"), category="user")
+    """Pages as enriched chunks."""
+    out = extraction.chunks(T.read(spark, d, "pages"), category="user")
+    return out.select("page_id", "chunk_id", "chunk_position", F.sha2("content", 256).alias("sha256"), "section_id")
 
 
 @query("""SELECT conv_id, CASE WHEN count(u) = 0 THEN NULL ELSE sum(u) END AS total_tokens, sum(u) FILTER (WHERE role = 'user') AS input_tokens, sum(u) FILTER (WHERE role = 'assistant') AS output_tokens, count(*) AS messages
@@ -376,8 +480,7 @@ FROM (SELECT conv_id, role, CASE WHEN turn % 5 = 4 THEN NULL ELSE length(text) E
 def token_usage_by_conv(spark, d):
     """A5: usage of each conversation; unreported stays null."""
     u = F.when(F.col("turn") % 5 != 4, F.length("text").cast("long"))
-    side = lambda r: F.sum(F.when(F.col("role") == r, F.col("u")))
-    return T.read(spark, d, "conversations").withColumn("u", u).groupBy("conv_id").agg(F.sum("u").alias("total_tokens"), side("user").alias("input_tokens"), side("assistant").alias("output_tokens"), F.count("*").alias("messages"))
+    return E.token_usage(T.read(spark, d, "conversations").withColumn("tokens", u), "conv_id")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 0.0::DOUBLE ELSE least(value, 10.0::DOUBLE) END AS score, event_id % 4 = 3 AS is_error FROM events")
@@ -460,7 +563,7 @@ def scores_by_tag(spark, d):
     return E.by_dimensions(T.facts(spark, d).withColumn("level", F.col("question_id") % 3), ["mode", "level"])
 
 
-@query(f"WITH {MEANS} SELECT run, metric, round(mean_score - avg(mean_score) OVER (PARTITION BY metric), 6) AS deviation FROM means")
+@query(f"WITH {FACTS}, m AS (SELECT run, metric, avg(score) AS m FROM facts GROUP BY ALL) SELECT run, metric, round(m - avg(m) OVER (PARTITION BY metric), 6) AS deviation FROM m")
 def deviation_matrix(spark, d):
     """Deviation of each run from the mean."""
     return E.deviations(T.facts(spark, d))
@@ -504,14 +607,95 @@ def grid_product(spark, d):
     """All combinations of parameters, numbered within a mode."""
     modes = T.read(spark, d, "events").select(F.col("event_type").alias("mode")).distinct()
     ks, ms = (spark.createDataFrame([(x,) for x in v], f"{n} {t}") for n, t, v in (("k", "int", (20, 40, 60)), ("metric", "string", ("a", "b"))))
-    return E.grid(mode=modes, k=ks, metric=ms).withColumn("label", F.row_number().over(Window.partitionBy("mode").orderBy("k", "metric")))
+    return E.numbered(E.grid(mode=modes, k=ks, metric=ms), "mode", "k", "metric")
 
 
-@query("""SELECT DISTINCT conv_id AS ord, first(turn ORDER BY turn) OVER (PARTITION BY conv_id, role) AS turn, role FROM conversations""")
+@query("""WITH b AS (SELECT conv_id AS query_id, CASE role WHEN 'user' THEN 0 ELSE 1 END AS kind, turn AS seq, 'p' || (length(text) % 3)::VARCHAR || '.html' AS filepath, text AS content FROM conversations),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, filepath ORDER BY kind, seq) AS k FROM b)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY kind, seq) - 1 AS place, filepath, sha256(content) AS sha256 FROM f WHERE k = 1""")
 def source_merge(spark, d):
-    """The first message of each kind in a conversation."""
-    c = T.read(spark, d, "conversations")
-    return c.groupBy(F.col("conv_id").alias("ord"), "role").agg(F.min("turn").alias("turn")).select("ord", "turn", "role")
+    """Pages read (here what users said), then sections found, each page once."""
+    c = T.read(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("seq"), F.concat(F.lit("p"), (F.length("text") % 3).cast("string"), F.lit(".html")).alias("filepath"), "text", "role")
+    read, found = c.filter("role = 'user'").withColumnRenamed("text", "content"), c.filter("role <> 'user'").withColumnRenamed("text", "section_text")
+    return A.merge_sources(read, found).select("query_id", "place", "filepath", F.sha2("content", 256).alias("sha256"))
+
+
+@query("""WITH s AS (SELECT conv_id AS query_id, turn // 2 AS step, turn % 2 AS rank, 'p' || (length(text) % 3)::VARCHAR AS filepath, CASE WHEN length(text) % 4 = 0 THEN '' ELSE 's' || (length(text) % 4)::VARCHAR END AS section_id FROM conversations)
+SELECT query_id, step, rank, filepath, section_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id, CASE WHEN section_id = '' THEN filepath ELSE section_id END ORDER BY step, rank) = 1""")
+def sections_seen(spark, d):
+    """Of sections found at several steps, each the first time only."""
+    n, turn = F.length("text"), F.col("turn")
+    section = F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("s"), (n % 4).cast("string")))
+    c = T.read(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.floor(turn / 2).alias("step"), (turn % 2).alias("rank"), F.concat(F.lit("p"), (n % 3).cast("string")).alias("filepath"), section.alias("section_id"))
+    return A.new_sections(c)
+
+
+@query("""SELECT item_id AS query_id, length(p) AS n_chars, sha256(p) AS sha256 FROM (SELECT item_id, 'You answer questions about docs. Its modules:' || chr(10) || '- a' || chr(10) || '- b' || chr(10) || chr(10) || 'Rest on the documentation below and on nothing else; say which module and kind of page you cite; say so if it does not hold the answer; decline what is about something else.'
+  || chr(10) || chr(10) || 'Documentation:' || chr(10) || 'ctx ' || item_id::VARCHAR || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer:' AS p FROM benchmark)""")
+def prompt_build(spark, d):
+    """Prompts with their modules, context and question."""
+    q = T.questions(spark, d).withColumn("context", F.concat(F.lit("ctx "), F.col("query_id").cast("string")))
+    return q.select("query_id", A.prompt(F.col("query"), F.col("context"), "docs", ["a", "b"]).alias("p")).select("query_id", F.length("p").alias("n_chars"), F.sha2("p", 256).alias("sha256"))
+
+
+@query("""SELECT lpad(doc_id::VARCHAR, 6, '0') AS id, doc_id AS ord, round(length(text) / 7.0::DOUBLE, 3) AS first, 2 AS width FROM documents""")
+def vector_index_rows(spark, d):
+    """Ids and vectors of chunks, by a stand-in for an embedding model."""
+    out = files.vector_index(T.corpus(spark, d).select("ord", "content"), lambda texts: [[round(len(t) / 7, 3), 1.0] for t in texts])
+    return out.select("id", "ord", F.round(F.col("embedding")[0].cast("double"), 3).alias("first"), F.size("embedding").alias("width"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, text, turn % 3 = 0 AS bare FROM conversations), x AS (SELECT conv_id, turn, text, bare, unnest(['correctness', 'relevance', 'groundedness', 'retrieval_relevance']) AS metric FROM m)
+SELECT conv_id * 1000 + turn AS question_id, metric, CASE WHEN bare AND metric IN ('groundedness', 'retrieval_relevance') THEN 0.0::DOUBLE WHEN metric = 'relevance' AND turn % 2 = 0 THEN 0.0::DOUBLE WHEN metric = 'retrieval_relevance' THEN 0.0::DOUBLE ELSE (length(text) % 11)::DOUBLE END AS score,
+  CASE WHEN bare AND metric IN ('groundedness', 'retrieval_relevance') THEN 'no documents' WHEN metric = 'relevance' AND turn % 2 = 0 THEN 'error: failed' WHEN metric = 'retrieval_relevance' THEN 'unknown metric: retrieval_relevance' ELSE 'fine' END AS explanation FROM x""")
+def judged_metrics(spark, d):
+    """K5, K6: four metrics of each answer, by stand-ins for judges, one of which fails at times and one of which is missing."""
+
+    def length(question, answer, reference, documents):
+        return {"score": len(answer) % 11, "explanation": "fine"}
+
+    def failing(question, answer, reference, documents):
+        if question == "even":
+            raise RuntimeError("failed")
+        return length(question, answer, reference, documents)
+
+    turn = F.col("turn")
+    rows = T.read(spark, d, "conversations").select(
+        (F.col("conv_id") * 1000 + turn).alias("question_id"), F.when(turn % 2 == 0, "even").otherwise("odd").alias("question"), F.col("text").alias("answer"), F.lit("r").alias("reference"),
+        F.when(turn % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("text")).alias("documents"),
+    )
+    return E.run_metrics(rows, {"correctness": length, "relevance": failing, "groundedness": length})
+
+
+@query("""SELECT count(*) AS examples, round(avg(length(text)), 6) AS mean_s, round(avg(CASE WHEN turn % 2 = 0 THEN turn END), 6) AS mean_steps, NULL::DOUBLE AS mean_tokens, round((avg(length(text) % 11) + avg(coalesce(CASE WHEN turn % 3 > 0 THEN turn % 11 END, 0))) / 2, 6) AS overall FROM conversations""")
+def run_summary(spark, d):
+    """Means over all answers, and of steps and tokens over those that report them."""
+    turn, n = F.col("turn"), F.length("text")
+    scores = F.create_map(F.lit("a"), (n % 11).cast("double"), F.lit("b"), F.when(turn % 3 > 0, (turn % 11).cast("double")))
+    rows = T.read(spark, d, "conversations").select(scores.alias("scores"), n.cast("double").alias("request_time"), F.when(turn % 2 == 0, turn).alias("steps"), F.lit(None).cast("long").alias("tokens"))
+    return E.summary(rows).select("examples", "mean_s", "mean_steps", "mean_tokens", "overall")
+
+
+@query("""WITH t AS (SELECT event_id AS number, value FROM events WHERE event_type <> 'error' AND value IS NOT NULL ORDER BY value DESC, event_id LIMIT 20),
+v AS (SELECT event_id % 500 AS trial, avg(value) AS m, stddev_samp(value) AS s, count(*) AS runs FROM events GROUP BY 1)
+SELECT number, value, round(m, 6) AS mean, round(coalesce(s, 0), 6) AS sd, runs, row_number() OVER (ORDER BY round(m, 6) DESC NULLS LAST, value DESC, number) AS place FROM (SELECT t.number, t.value, v.m, CASE WHEN v.trial IS NULL THEN NULL ELSE coalesce(v.s, 0) END AS s0, v.s, v.runs FROM t LEFT JOIN v ON t.number = v.trial)""".replace("round(coalesce(s, 0), 6) AS sd", "round(s0, 6) AS sd"))
+def validated_trials(spark, d):
+    """The twenty best trials, by the mean of their validation runs."""
+    runs = T.read(spark, d, "events").select((F.col("event_id") % 500).alias("trial"), "value")
+    return E.validated(T.trials(spark, d), runs, 20)
+
+
+@query(f"WITH {FACTS} SELECT run, metric, question_id, score, event_id FROM facts WHERE question_id IN (SELECT DISTINCT question_id FROM facts ORDER BY question_id LIMIT 10)")
+def first_questions(spark, d):
+    """T4: facts of the first ten questions."""
+    return E.first_groups(T.facts(spark, d), "question_id", 10).select("run", "metric", "question_id", "score", "event_id")
+
+
+@query("""SELECT b.item_id AS question_id, count(c.turn) AS answers FROM benchmark b LEFT JOIN conversations c ON c.conv_id = b.item_id GROUP BY ALL""")
+def dataset_order(spark, d):
+    """T5: answers in the dataset's order, questions without one too."""
+    a = T.read(spark, d, "conversations").groupBy(F.col("conv_id").alias("question_id")).agg(F.count("*").alias("answers"))
+    return E.in_dataset_order(a, T.questions(spark, d).withColumnRenamed("query_id", "question_id")).select("question_id", F.coalesce("answers", F.lit(0)).alias("answers"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview FROM documents")
@@ -532,9 +716,17 @@ def section_ids(spark, d):
     return T.read(spark, d, "benchmark").select("item_id", C.section_id(F.lit("http://x"), F.col("text")).alias("section_id"))
 
 
-@query(None)
+NOT_CALLS = ", ".join(f"'{n}'" for n in sorted(grounding.BUILTINS))
+
+
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]{{3,12}}') AS w FROM documents), a AS (SELECT doc_id, w[1] AS a, w[2] AS b, w[3] || 'Zq' AS c FROM w WHERE len(w) >= 3),
+calls AS (SELECT DISTINCT doc_id, unnest([a, b, c, 'printf']) AS name, a || '(x) and ' || a || ' ( x, y ), ' || b || '(a, b)' AS seen FROM a),
+n AS (SELECT doc_id, name, contains(lower(seen), lower(name)) AS known, len(list_distinct(list_transform(regexp_extract_all(seen, name || '\\s*\\(([^()]*)\\)', 1), lambda x: length(x) - length(replace(x, ',', ''))))) AS counts FROM calls WHERE name NOT IN ({NOT_CALLS}))
+SELECT doc_id, name AS call, CASE WHEN known THEN 'ambiguous_overload' ELSE 'unknown_name' END AS kind FROM n WHERE NOT known OR counts > 1""")
 def grounding_flags(spark, d):
-    """Calls in answers that their conversation doesn't mention."""
-    c = T.read(spark, d, "conversations")
-    said = c.groupBy("conv_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("observations"))
-    return grounding.flags(c.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer")).join(said, "conv_id"), ["conv_id", "turn"])
+    """Calls in answers that the text seen doesn't mention, or mentions with several numbers of arguments."""
+    w = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{3,12}"), F.lit(0))
+    t = T.read(spark, d, "documents").select("doc_id", w.alias("w")).filter(F.size("w") >= 3).select("doc_id", F.col("w")[0].alias("a"), F.col("w")[1].alias("b"), F.concat(F.col("w")[2], F.lit("Zq")).alias("c"))
+    answer = F.concat(F.lit("Use:\n```cpp\n"), F.col("a"), F.lit("(1);\n"), F.col("b"), F.lit("(a, b);\n"), F.col("c"), F.lit("(2);\nprintf(3);\n```\n"))
+    seen = F.concat(F.col("a"), F.lit("(x) and "), F.col("a"), F.lit(" ( x, y ), "), F.col("b"), F.lit("(a, b)"))
+    return grounding.flags(t.select("doc_id", answer.alias("answer"), seen.alias("observations")), ["doc_id"]).select("doc_id", "call", "kind")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import is_generated
@@ -26,9 +30,17 @@ def html_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of JSON lines with ``ord``, which follows files and the order in them; blank lines are no rows."""
+    """Chunks of JSON lines with ``ord`` from 0, which follows the files' names and the lines in them; blank lines are no rows.
+
+    A file may be read in several splits and a task may read several files, so rows are numbered within their split, and
+    the splits, of which one row each is gathered, in the order of their files and starts.
+    """
     lines = spark.read.schema(CHUNK).json(path).filter("title IS NOT NULL OR content IS NOT NULL OR url IS NOT NULL")
-    return lines.withColumn("ord", F.monotonically_increasing_id())
+    lines = lines.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("file_start"), F.monotonically_increasing_id().alias("row"))
+    splits = lines.groupBy("file_path", "file_start").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file_path", "file_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("file_path", "file_start", (before - F.col("first")).alias("offset"))
+    return lines.join(offsets, ["file_path", "file_start"]).withColumn("ord", F.col("row") + F.col("offset")).drop("file_path", "file_start", "row", "offset")
 
 
 def flat(chunks_: DataFrame) -> DataFrame:
@@ -49,8 +61,75 @@ def write_corpus(chunks_: DataFrame, path: str) -> None:
     chunks_.write.mode("overwrite").json(f"{path}/chunks.jsonl")
 
 
+def write_statistics(stats: DataFrame, path: str) -> None:
+    """The statistics of a corpus, a row for each module and one in all, as one JSON file."""
+    stats.coalesce(1).write.mode("overwrite").json(path)
+
+
+def vector_index(chunks_: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """``id, embedding`` and the chunk's columns: ids are places in the corpus with six digits at least, ``embed`` gets batches of texts.
+
+    Without ``embed`` the rows have a null embedding, for a model that runs elsewhere.
+    """
+    rows = chunks_.withColumn("id", F.when(F.col("ord") < 1_000_000, F.lpad(F.col("ord").cast("string"), 6, "0")).otherwise(F.col("ord").cast("string")))
+    if embed is None:
+        return rows.withColumn("embedding", F.lit(None).cast("array<float>"))
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 100) for i in range(0, whole.num_rows, 100)):
+                made = embed([x or "" for x in b["content"].to_pylist()])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.list_(pa.float32()))], [*names, "embedding"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{schema}, embedding array<float>")
+
+
+def write_vector_index(chunks_: DataFrame, path: str, embed: Callable[[list[str]], list[list[float]]] | None = None) -> None:
+    """The vector index as Parquet by module, in place of what is there."""
+    vector_index(chunks_, embed).write.mode("overwrite").partitionBy("module").parquet(path)
+
+
+def write_page_index(pages: DataFrame, path: str) -> None:
+    """``filepath, filename, title, module, doc_category`` of each page as JSON lines."""
+    pages.select("filepath", "filename", "title", "module", "doc_category").write.mode("overwrite").json(path)
+
+
 def page_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PAGE_INDEX).option("multiLine", True).json(path)
+    """The page index, from a JSON list or JSON lines. A missing one is a FileNotFoundError, one that isn't JSON a ValueError."""
+    try:
+        text = spark.read.text(path, wholetext=True)
+        lists = text.filter(F.ltrim("value").startswith("[")).limit(1).count() > 0
+    except AnalysisException as e:
+        raise FileNotFoundError(path) from e
+    rows = spark.read.schema(f"{PAGE_INDEX}, _bad STRING").option("multiLine", lists).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    bad = rows.select("_bad", "filepath").filter("_bad IS NOT NULL OR filepath IS NULL").limit(1).collect()
+    if bad:
+        raise ValueError(f"{path}: not a page index")
+    return rows.drop("_bad")
+
+
+def write_results(rows: DataFrame, folder: str, prefix: str, stamp: str) -> str:
+    """Results of a run as ``<folder>/<prefix>_<stamp>.json``, JSON lines; the path."""
+    path = f"{folder.rstrip('/')}/{prefix}_{stamp}.json"
+    rows.write.mode("errorifexists").json(path)
+    return path
+
+
+def serialised(messages: DataFrame) -> DataFrame:
+    """One trace for each run from ``run, timestamp, question, metadata, index, role, content, tool_calls, tool_name, usage``: messages in order, and their tokens in all (null if none reports any)."""
+    used = F.col("usage.input_tokens") + F.col("usage.output_tokens")
+    one = F.struct(*[F.col(c) for c in ("index", "role", "content", "tool_calls", "tool_name", "usage")])
+    return messages.groupBy("run", "timestamp", "question", "metadata").agg(F.sum(used).alias("total_tokens"), F.array_sort(F.collect_list(F.struct(F.col("index").alias("at"), one.alias("m")))).alias("m")).select(
+        "timestamp", "question", "metadata", "total_tokens", F.transform("m", lambda x: x["m"]).alias("messages")
+    )
+
+
+def write_traces(traces_: DataFrame, folder: str) -> None:
+    """Traces as JSON lines, a folder ``trace_<timestamp>.json`` for each timestamp."""
+    name = F.concat(F.lit("trace_"), F.col("timestamp"), F.lit(".json"))
+    traces_.withColumn("trace", name).write.mode("append").partitionBy("trace").json(folder)
 
 
 def run_facts(spark: SparkSession, path: str) -> DataFrame:
@@ -70,7 +149,8 @@ def latest(spark: SparkSession, folder: str, prefix: str) -> str | None:
 
 
 def traces(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TRACE).option("multiLine", True).json(path)
+    """Traces of a folder, one a file, in the order of their timestamps."""
+    return spark.read.schema(TRACE).option("recursiveFileLookup", True).option("multiLine", True).json(path).filter("timestamp IS NOT NULL").orderBy("timestamp")
 
 
 def questions(spark: SparkSession, path: str, limit: int | None = None, seed: int | None = None) -> DataFrame:

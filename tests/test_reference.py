@@ -104,7 +104,11 @@ def test_scalar_functions(spark):
     assert [path(p) for p in ("a/genindex.html", "my_genindex.html", "functions_x.html", "functions.htm", "dir_0a.html", "dir_xyz.html", "a/_modules/x.html", "a/my_modules/x.html", "b_source.html")] == [True, False, True, False, True, False, True, False, True]
     assert value(spark, C.section_id(F.lit("u"), F.lit("A b-Ç!"))) == "u#a_b_ç_" and value(spark, C.section_id(F.lit("u"), F.lit(None).cast("string"))) == "u#root"
     assert value(spark, C.qualified_name(F.lit("http://h/a/b.html?x#y"))) == "a/b.html" and value(spark, C.qualified_name(F.lit("b.html"))) == "b.html"
-    assert value(spark, C.declaring_files(F.lit("My_C::run"))) == ["classMy__C.html", "structMy__C.html", "namespaceMy__C.html"]
+    assert value(spark, C.declaring_files(F.lit("My_C::run"))) == ["classMy__C.html", "structMy__C.html", "interfaceMy__C.html"]
+    last = value(spark, C.declaring_files(F.lit("std::shared_ptr< Model_R > Model_F::last")))
+    assert last[0] == "classModel__F.html" and value(spark, C.declaring_files(F.lit("plain"))) == []
+    assert value(spark, C.declares(F.lit("x/structMy__C.html#a"), F.lit("My_C::~My_C "))) and not value(spark, C.declares(F.lit("classOther.html"), F.lit("My_C::run")))
+    assert value(spark, C.strip(F.lit("\n\u00a0 a b\t\u2003"))) == "a b" and not value(spark, C.passes_gate(F.lit("w\n" * 20), F.lit("\n" * 20), min_score=0.0))
     assert [value(spark, C.duration(F.lit(s))) for s in (5, 65, 3725)] == ["5s", "1m05s", "1h02m05s"]
     assert value(spark, C.citation_base(F.create_map(F.lit("dev"), F.lit(""), F.lit("user"), F.lit("b/")), F.lit("dev"))) == "b/"
     tags = value(spark, C.tag_dimensions(F.array(*map(F.lit, ("howto", "Easy", "En", "m1", "m2")))))
@@ -125,10 +129,15 @@ def test_symbols_and_summary():
     assert [(s["anchor"], s["name"]) for s in own] == [("a1", "void C::run")]
     assert extraction.class_of(["void C::run", "D::a", "C::b"]) == "C"
     summary = extraction.class_summary(tree, {"a1"}, "C")
-    assert "About the class." in summary and "C::run:" in summary and "Runs it." in summary and "old" not in summary
+    assert summary == "About the class.\n\nPublic\nC::run  void T run (int x)  Runs it."
+    assert extraction.class_summary(parse("<div class=textblock>About</div>"), set(), "C") == "" and extraction.has_symbols(tree) and not extraction.has_symbols(parse("<p>a"))
     chunks = extraction.page_chunks(DEV, "classC.html", "dev")
     assert [c["section"] for c in chunks] == ["__summary", "a1"] and [c["chunk_id"] for c in chunks] == [0, 1]
-    assert "```\ncode_block_here()\n```" in chunks[1]["content"] and chunks[1]["has_code"]
+    assert chunks[1]["content"].endswith("Runs the inherited thing.\ncode_block_here()") and chunks[1]["code_blocks"] == ["code_block_here()"]
+    kept = extraction.page_chunks("<article><h1>T</h1><p>" + "one two three. " * 200 + "</p></article>", "t.html", "user", encode=lambda t: t.split() * (10 if t.startswith("T") else 1))
+    assert [(c["chunk_id"], c["pos"]) for c in kept][:2] == [(0, 2), (1, 3)]  # the first is too long and leaves a gap
+    by_tokens = extraction.chunker(use_tokens=True, tokenizer=(str.split, " ".join), max_tokens=4, overlap_tokens=2)
+    assert by_tokens("a b c d e f") == ["a b c d", "c d e f"] and extraction.chunker(use_tokens=True)("a b") == ["a b"]
 
 
 def test_sections_titles_and_text():
@@ -148,12 +157,18 @@ def test_pages_to_chunks(spark):
 
 
 def test_grounding(spark):
-    seen = "call foo(a, b) or foo(a) and bar(x[1, 2])"
+    seen = "call foo(a, b) or foo\n(\na\n) and bar(x(1, 2))"
     answer = "```python\nfoo(1)\nbar(2)\nprint(3)\nmissing(4)\nmissing(5)\n```"
     assert [(c, k) for c, k, _ in grounding.check(answer, seen)] == [("foo", "ambiguous_overload"), ("missing", "unknown_name")]
     assert grounding.check("just prose about things", seen) == [] and grounding.check("```cpp\nif (x) baz(1);\n```", seen)[0][0] == "baz"
     assert grounding.check(answer, seen, known=lambda n: True)[0][0] == "foo"
-    assert grounding.arities("f", "f() f ( ) f(a,(b,c)) f(a, b") == [0, 2]
+    assert grounding.arities("f", "f() f ( ) f(a,(b,c)) f(a, b") == [0, 2] and grounding.arities("f", "F(a, b) f([1, 2])") == [2]
+    assert grounding.check('```cpp\nprintf("x"); assert(y); while (a) cout(1);\n```', "") == []
+
+    def failing(name):
+        raise RuntimeError
+
+    assert grounding.check("```cpp\nbaz(1);\n```", "", known=failing)[0][1] == "unknown_name"
     rows = spark.createDataFrame([(1, answer, seen), (2, None, None)], "id long, answer string, observations string")
     assert grounding.flags(rows, ["id"]).count() == 2
 
@@ -198,15 +213,99 @@ def test_settings(tmp_path):
 
 def test_answers(spark, docs):
     q = ask(spark, "zeta mesh", "gamma")
-    got = {r.query_id: r for r in answers.answer(docs, q, config.Settings(), generate=lambda query, context: f"{len(context)}").collect()}
+    got = {r.query_id: r for r in answers.answer(docs, q, config.Settings(), generate=lambda queries, contexts: [f"{len(c)}" for c in contexts]).collect()}
     assert got[1].error is None and "p1.html" in got[1].sources and int(got[1].answer) == got[1].context_chars
     assert answers.answer(docs, q, config.Settings(), module="none").collect()[0].error == "unknown module: none"
-    pool = answers.retrieve(docs, q, config.Settings())
-    pages = answers.expand_pages(docs, pool).collect()
-    assert all(r.n_chars <= 15000 for r in pages)
     index = spark.createDataFrame([("x/p1.html", "p1.html")], "filepath string, filename string")
-    assert {r.filepath for r in answers.search_pages(docs, index, pool, 5).collect()} == {"x/p1.html"}
-    assert answers.search_pages(docs, index, pool, 5, exclude=["x/p1.html"]).count() == 0
+    assert {r.filepath for r in answers.search_pages(docs, index, q, 5).collect()} == {"x/p1.html"}
+    assert answers.search_pages(docs, index, q, 5, exclude=["x/p1.html"]).count() == 0
+    dive = answers.deep_dive(docs, answers.retrieve(docs, q, config.Settings()), q, lambda queries, texts: [f"{a}:{len(t)}" for a, t in zip(queries, texts)], size=1)
+    assert {r.query_id: r.summary for r in dive.collect()}[1].count("gamma:") == 1
+
+
+def section_corpus(spark, pages):
+    """A corpus from ``{section_id: [texts of its fragments]}`` in that order."""
+    rows, n = [], 0
+    for section, parts in pages.items():
+        for i, text in enumerate(parts):
+            rows.append((n, "T", text, section, section, f"{i + 1}/{len(parts)}", i, "m", "user", f"short {n}"))
+            n += 1
+    return spark.createDataFrame(rows, CORPUS + ", section_text string")
+
+
+def test_expansion_takes_short_pages_once_and_sections_of_long_ones(spark):
+    c = section_corpus(spark, {"a.html#1": ["one"], "a.html#2": ["two"], "b.html#1": ["x" * 900], "b.html#2": ["y" * 300], "c.html#1": ["z" * 700]})
+    pool = spark.createDataFrame([(0, r, o) for r, o in enumerate((1, 0, 2, 3, 4))], "query_id long, rank int, ord long")
+    rows = answers.expand_pages(c, pool, max_page=1000, char_budget=1020, top_n=4).orderBy("rank").collect()
+    # page a once; b is long: its first section fits, the second doesn't; c is short and doesn't fit either
+    assert [(r.ord, r.took) for r in rows] == [(1, "page"), (2, "section"), (3, "capped"), (4, "capped")]
+    assert rows[0].text == "one\n\ntwo" and rows[1].text == "x" * 900 and rows[2].text == "short 3"
+    bare = answers.expand_pages(c.drop("section_text"), pool, max_page=1000, char_budget=1020, top_n=4).orderBy("rank").collect()
+    assert [(r.ord, r.took) for r in bare] == [(1, "page"), (2, "section"), (3, "chunk")]  # a page that doesn't fit is left out
+    assert answers.expand_pages(c, pool, top_n=1).count() == 1
+
+
+def test_context_prefers_the_declaring_page(spark):
+    rows = [(0, "sub.html#a1", "My_C::run"), (1, "classMy__C.html#a1", "My_C::run"), (2, "sub2.html#a1", "My_C::run"), (3, "page.html", "")]
+    made = [(o, "t", f"text {o}", u, f"s{o}", "1/1", 0, "m", "dev", "a1" if "#" in u else "", h) for o, u, h in rows]
+    c = spark.createDataFrame(made, CORPUS + ", anchor_id string, hierarchy string")
+    pool = spark.createDataFrame([(0, r, r) for r in range(4)], "query_id long, rank int, ord long")
+    assert [(r.rank, r.ord) for r in answers.representatives(c, pool).orderBy("rank").collect()] == [(0, 1), (1, 3)]
+    q = ask(spark, "which")
+    worst_first = answers.representatives(c, pool, questions=q, scorer=lambda queries, texts: [int(t[-1]) for t in texts]).orderBy("rank").collect()
+    assert [r.ord for r in worst_first] == [3, 1]
+
+
+def test_page_search_by_sections_and_rerank(spark):
+    c = section_corpus(spark, {"d/a.html#1": ["alpha beta"], "d/a.html#2": ["alpha"], "d/b.html#1": ["alpha gamma gamma"], "d/x.html#1": ["nothing here at all"]})
+    index = spark.createDataFrame([(f"root/d/{n}.html", f"{n}.html", n, "m", "user") for n in "abx"], "filepath string, filename string, title string, module string, doc_category string")
+    q = ask(spark, "beta gamma")
+    pages = answers.search_pages(c, index, q, 5).orderBy("rank").collect()
+    assert {r.filepath for r in pages} == {"root/d/a.html", "root/d/b.html"}
+    best = answers.search_pages(c, index, q, 5, scorer=lambda queries, texts: [float("beta" in t) for t in texts]).orderBy("rank").collect()
+    assert best[0].filepath == "root/d/a.html"
+    found = answers.search_pages(c, index, q, 5, by_section=True)
+    text = answers.listing(found, index).head().listing
+    assert text.startswith("[1] ") and "a.html | a | m/user\nalpha beta\n\nalpha" in text and text.count("[") == 2
+
+
+def test_models_are_batched_and_may_fail(spark, docs):
+    q = ask(spark, "one", "two")
+
+    def broken(texts):
+        raise RuntimeError
+
+    assert [r.query for r in answers.rewritten(q, broken).orderBy("query_id").collect()] == ["one", "two"]
+    assert [r.query for r in answers.rewritten(q, lambda texts: [t.upper() for t in texts]).orderBy("query_id").collect()] == ["ONE", "TWO"]
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.6, 0.8])], "ord long, embedding array<float>")
+    settings = config.Settings(bm25_enabled=False, hyde_enabled=True, k_standard=1)
+    pool = answers.retrieve(docs, q, settings, vectors=vectors, embed=lambda texts: [[1.0, 0.0] if t == "ONE" else [0.0, 1.0] for t in texts], rewrite=lambda texts: [t.upper() for t in texts])
+    assert [(r.query_id, r.ord) for r in pool.orderBy("query_id").collect()] == [(0, 0), (1, 1)]
+    assert answers.stages(settings, deep_dive=True, has_scorer=True)["bypassed_by_deep_dive"] == ["reranker"]
+    assert answers.stages(config.Settings(), has_rewrite=True) == {"reranker": False, "hyde": False, "bm25": True, "title_boost": True}
+
+
+def test_dense_search_is_exact(spark):
+    import numpy as np
+
+    v = np.random.default_rng(0).normal(size=(60, 5))
+    v[7] = v[3]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(60, None), (61, [0.0] * 5), (62, [1.0])], "ord long, embedding array<double>")
+    asked = df.filter("ord < 4").withColumnsRenamed({"ord": "query_id", "embedding": "q_vec"})
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = [(q, r, int(o)) for q in range(4) for r, o in enumerate(np.lexsort((np.arange(60), -np.round(u @ u[q], 9)))[:5])]
+    assert [(r.query_id, r.rank, r.ord) for r in R.dense_search(df, asked, 5).orderBy("query_id", "rank").collect()] == want
+
+
+def test_prompt_and_emitted(spark):
+    import json
+
+    assert value(spark, answers.prompt(F.lit("Q?"), F.lit("ctx"), "docs", ["m"])).endswith("Documentation:\nctx\n\nQuestion: Q?\n\nAnswer:")
+    rows = [(1, "a", None, None, [("t", "long", "short", "secret")]), (2, None, "bad", {"k": "v"}, None)]
+    df = spark.createDataFrame(rows, "query_id long, answer string, error string, filters map<string,string>, sources array<struct<title:string,full_content:string,content:string,private:string>>")
+    got = [json.loads(r.json) for r in answers.emitted(df).orderBy("query_id").collect()]
+    assert got[0]["sources"] == [{"title": "t", "module": None, "doc_category": None, "doc_type": None, "url": None, "content": "long"}] and got[0]["filters"] == {}
+    assert got[1] == {"answer": None, "error": "bad", "filters": {"k": "v"}, "sources": []}
 
 
 def test_files_and_stream(spark, tmp_path):
@@ -219,6 +318,33 @@ def test_files_and_stream(spark, tmp_path):
     assert [(r.url, r.html) for r in files.html_pages(spark, f"file://{tmp_path}/html").collect()] == [("a/x.html", "<p>ok </p>")]
     (tmp_path / "c.jsonl").write_text('{"title":"t","content":"c","metadata":{"section_id":"s"}}\n\n{"title":"u","content":null}\n')
     flat = files.flat(files.chunks(spark, f"file://{tmp_path}/c.jsonl")).orderBy("ord").collect()
+    (tmp_path / "many").mkdir()
+    for name in ("b", "a", "c"):
+        (tmp_path / "many" / f"{name}.jsonl").write_text("".join(f'{{"title":"{name}{i:03d}"}}\n\n' for i in range(30 if name == "a" else 7)))
+    many = files.chunks(spark, f"file://{tmp_path}/many").orderBy("ord").collect()
+    assert [r.ord for r in many] == list(range(44)) and [r.title for r in many] == sorted(r.title for r in many)
+    index = spark.createDataFrame([("x/a.html", "a.html", "A", "m", "dev")], files.PAGE_INDEX)
+    files.write_page_index(index, f"{tmp_path}/pages.json")
+    assert files.page_index(spark, f"file://{tmp_path}/pages.json").collect() == index.collect()
+    (tmp_path / "list.json").write_text('[{"filepath": "p", "filename": "q"}]')
+    assert files.page_index(spark, f"file://{tmp_path}/list.json").head().filepath == "p"
+    (tmp_path / "bad.json").write_text("[{")
+    for path, error in (("none.json", FileNotFoundError), ("bad.json", ValueError)):
+        with pytest.raises(error):
+            files.page_index(spark, f"file://{tmp_path}/{path}")
+    said = [("r", "2024_1", "q", {"k": "v"}, i, "ai", f"m{i}", None, None, (1, 2) if i else None) for i in range(3)]
+    messages = spark.createDataFrame(said, "run string, timestamp string, question string, metadata map<string,string>, index int, role string, content string, tool_calls array<struct<name:string,args:string>>, tool_name string, usage struct<input_tokens:long,output_tokens:long>")
+    files.write_traces(files.serialised(messages), f"{tmp_path}/traces")
+    trace = files.traces(spark, f"file://{tmp_path}/traces").collect()
+    assert len(trace) == 1 and trace[0].total_tokens == 6 and [m.content for m in trace[0].messages] == ["m0", "m1", "m2"]
+    corpus_ = spark.createDataFrame([(0, "c", "m"), (1_000_000, "d", "m")], "ord long, content string, module string")
+    files.write_vector_index(corpus_, f"{tmp_path}/vectors", lambda texts: [[1.0] for _ in texts])
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/vectors").collect()) == ["000000", "1000000"]
+    assert "bench_1.json" in files.write_results(index, str(tmp_path), "bench", "1") and files.write_statistics(index, f"{tmp_path}/stats.json") is None
+    roots = [{"module": "m", "doc_category": c, "path": f"file://{tmp_path}/html", "base_url": "http://h/"} for c in ("user", "dev")]
+    (tmp_path / "html" / "a" / "y.html").write_text("<article><h1>T</h1><p>" + "many words here " * 100 + "</p></article>")
+    built = extraction.build_corpus(spark, roots).orderBy("ord").collect()
+    assert [r.doc_category for r in built] == sorted((r.doc_category for r in built), key=extraction.CATEGORIES.index) and built[0].url == "http://h/a/y.html" and built[0].section_id == "http://h/a/y.html#root"
     assert [(r.title, r.content, r.section_id, r.has_code, r.anchor_id) for r in flat] == [("t", "c", "s", False, None), ("u", "", "", False, None)]
     page = spark.createDataFrame([(1, "a.html", "<article><h1>T</h1><p>" + "many words here " * 100 + "</p></article>")], "page_id long, url string, html string")
     page.write.parquet(f"{tmp_path}/in")
