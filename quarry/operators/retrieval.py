@@ -22,45 +22,53 @@ BROADCAST_TERMS = 200_000
 BROADCAST_QUESTIONS = 20_000
 
 
-def term_documents(corpus: DataFrame, text: str = "content") -> DataFrame:
-    """``term, df``: in how many rows each term is. Counts are added up before the shuffle."""
-    return corpus.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-
-
 def lengths(corpus: DataFrame, text: str = "content") -> DataFrame:
     return corpus.select("ord", F.size(tokens(F.col(text))).alias("dl"))
 
 
-def idf_table(corpus: DataFrame, text: str = "content") -> DataFrame:
-    """``term, df, idf``; negative values are raised to a share of the average over all terms."""
-    n = corpus.agg(F.count("*").alias("n"))
-    raw = term_documents(corpus, text).crossJoin(F.broadcast(n)).withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def term_statistics(corpus: DataFrame, text: str = "content") -> DataFrame:
+    """``term, df, words``: document frequencies in one pass over the corpus; the row of the empty term has the number of rows as df, and of their words."""
+    words = tokens(F.col(text))
+    once = corpus.select(words.alias("w")).select(F.size("w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("w"))).alias("term"))
+    return once.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("words"))
+
+
+def weights(statistics: DataFrame) -> DataFrame:
+    """``term, df, idf`` from :func:`term_statistics`; negative values are raised to a share of the average over all terms."""
+    n = statistics.filter("term = ''").select(F.col("df").alias("n"))
+    raw = statistics.filter("term <> ''").crossJoin(F.broadcast(n)).withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("idf0").alias("avg_idf"))
     idf = F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(F.lit(EPSILON) * F.col("avg_idf"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
 
 
+def idf_table(corpus: DataFrame, text: str = "content") -> DataFrame:
+    """``term, df, idf`` of a corpus."""
+    return weights(term_statistics(corpus, text))
+
+
 def question_terms(questions: DataFrame) -> DataFrame:
     """``query_id, term, qtf``: repeated words of a question count each time."""
     return questions.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_scores(corpus: DataFrame, questions: DataFrame, text: str = "content") -> DataFrame:
+def bm25_scores(corpus: DataFrame, questions: DataFrame, text: str = "content", statistics: DataFrame | None = None) -> DataFrame:
     """``query_id, ord, score`` of all rows that share a word with the question, rounded to 9 places.
 
-    Statistics are of the whole corpus, whatever is filtered later. Only postings of the
+    Statistics are of the whole corpus, whatever is filtered later; a stored table of :func:`term_statistics` saves their pass. Only postings of the
     questions' words are made: each row's words meet the (few) question terms by broadcast.
     """
+    statistics = term_statistics(corpus, text) if statistics is None else statistics
     asked = question_terms(questions)
     words = asked.select("term").distinct()
     few = asked.count() <= BROADCAST_TERMS
     hint = F.broadcast if few else (lambda d: d)
     counted = corpus.select("ord", tokens(F.col(text)).alias("words")).withColumn("dl", F.size("words"))
-    mean = counted.agg(F.avg("dl").alias("avgdl"))
+    mean = statistics.filter("term = ''").select((F.col("words") / F.col("df")).alias("avgdl"))
     # explode only what the questions ask for: tf by (ord, term) then needs no shuffle of the others
     postings = counted.select("ord", "dl", F.explode("words").alias("term")).join(hint(words), "term", "left_semi").groupBy("ord", "dl", "term").agg(F.count("*").alias("tf"))
-    weights = idf_table(corpus, text).join(hint(words), "term", "left_semi").select("term", "idf")
-    found = postings.join(hint(weights), "term").join(hint(asked), "term").crossJoin(F.broadcast(mean))
+    weight = weights(statistics).join(hint(words), "term", "left_semi").select("term", "idf")
+    found = postings.join(hint(weight), "term").join(hint(asked), "term").crossJoin(F.broadcast(mean))
     part = F.col("qtf") * F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return found.groupBy("query_id", "ord").agg(F.round(F.sum(part), 9).alias("score"))
 
