@@ -43,6 +43,33 @@ def test_fingerprint_edits(messy):
     assert len({own[i] for i in t if t[i] == t[13]}) == 1
 
 
+def brute_digest(b):
+    """Codes and length of a digest, from the definition."""
+    counts, n = [0] * 1024, len(b)
+    for i in range(n):
+        x = (b[i] * 0x9E3779B1 + b[(i + 5) % n] * 0x85EBCA77 + b[(i + 11) % n] * 0xC2B2AE3D) % 2**32
+        x = (x ^ x >> 15) * 0x2C1B3C6D % 2**32
+        counts[(x ^ x >> 13) >> 22] += 1
+    q = [sorted(counts)[k] for k in (255, 511, 767)]
+    return [sum(c > x for x in q) for c in counts], round(8 * math.log1p(n))
+
+
+def test_fingerprint_digest_and_likeness(messy):
+    t = texts(messy)
+    ids = sorted(t)
+    digest = {i: brute_digest(t[i].encode()) for i in ids}
+    got = {r.doc_id: r for r in fingerprint.with_next(messy).collect()}
+    for k, i in enumerate(ids):
+        a, b = t[i], t[ids[(k + 1) % len(ids)]]
+        codes, n = digest[i]
+        packed = bytes(codes[j] << 6 | codes[j + 1] << 4 | codes[j + 2] << 2 | codes[j + 3] for j in range(0, 1024, 4))
+        assert got[i].fingerprint == f"{n:02x}{packed.hex()}"
+        half = len(a) // 2
+        for other, near in ((brute_digest((a[: len(a) - half] + b[:half]).encode()), got[i].near_edited), (digest[ids[(k + 1) % len(ids)]], got[i].near_next)):
+            apart = sum(abs(x - y) for x, y in zip(codes, other[0])) + min(512, 8 * abs(n - other[1]))
+            assert math.isclose(near, 1 - apart / (3 * 1024 + 512))
+
+
 def test_fingerprint_edges(odd, nothing):
     assert fingerprint.with_next(nothing).count() == 0
     rows = fingerprint.with_next(odd).collect()
