@@ -45,6 +45,20 @@ def passes_gate(text: Column, title: Column, *, min_score: float = 0.3, min_char
     return (F.length(whole) >= min_chars) & (quality_score(text, title) >= min_score)
 
 
+def round2(value: Column) -> Column:
+    """Two decimal places: the nearer of the two numbers around, by the exact binary value, the even one in a tie."""
+    v = value.cast("double")
+    product = v * 100
+    # what the product lost by rounding, from the upper and the lower half of the value's bits
+    shifted = v * 134217729.0
+    upper = shifted - (shifted - v)
+    lost = (upper * 100 - product) + (v - upper) * 100
+    low = F.floor(product)
+    part = product - low
+    up = (part > 0.5) | ((part == 0.5) & ((lost > 0) | ((lost == 0) & (low % 2 != 0))))
+    return (low + F.when(up, 1).otherwise(0)) / F.lit(100.0)
+
+
 def first_line(text: Column) -> Column:
     return F.substring_index(F.coalesce(text, F.lit("")), "\n", 1)
 

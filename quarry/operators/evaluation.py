@@ -204,12 +204,23 @@ def running_mean(facts: DataFrame, by: str, order: str, value: str) -> DataFrame
 
 
 def prune(steps: DataFrame, *, keep_top_pct: float = 25.0, first: int = 10, interval: int = 5) -> DataFrame:
-    """``trial, step, best_so_far, cut, pruned`` of ``(trial, step, mean_so_far)``: at each checked step a trial whose best value
-    until then is below the share of trials to keep is pruned."""
+    """``trial, step, best_so_far, cut, pruned`` of ``(trial, step, mean_so_far)``: from ``first`` on at each ``interval``-th step, and at the last of
+    all, a trial whose best value until then is below the share to keep of the other trials' values at the step is pruned; without others none is.
+    """
     upto = Window.partitionBy("trial").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    s = steps.withColumn("best_so_far", F.max("mean_so_far").over(upto)).filter((F.col("step") >= first) & ((F.col("step") - first) % interval == 0))
-    cuts = s.groupBy("step").agg(F.round(F.percentile("mean_so_far", F.lit(1 - keep_top_pct / 100)), P).alias("cut"))
-    return s.join(cuts, "step").select("trial", "step", "best_so_far", "cut", (F.col("best_so_far") < F.col("cut")).alias("pruned"))
+    last = steps.agg(F.max("step").alias("last"))
+    s = steps.withColumn("best_so_far", F.max("mean_so_far").over(upto)).crossJoin(F.broadcast(last))
+    s = s.filter((F.col("step") >= first) & ((F.col("step") % interval == 0) | (F.col("step") == F.col("last")))).drop("last")
+    # the percentile of the others' sorted values: those from a trial's own place on move down by one
+    at = Window.partitionBy("step").orderBy("mean_so_far", "trial")
+    s = s.withColumns({"i": F.row_number().over(at) - 1, "n": F.count("*").over(Window.partitionBy("step"))})
+    s = s.withColumn("h", (1 - keep_top_pct / 100) * (F.col("n") - 2)).withColumn("lo", F.floor("h").cast("int"))
+    near = [F.max(F.when(F.col("i") == F.col("lo") + k, F.col("mean_so_far"))).alias(f"s{k}") for k in range(3)]
+    s = s.join(s.groupBy(F.col("step").alias("c_step")).agg(*near), F.col("step") == F.col("c_step"))
+    low = F.when(F.col("lo") < F.col("i"), F.col("s0")).otherwise(F.col("s1"))
+    high = F.coalesce(F.when(F.col("lo") + 1 < F.col("i"), F.col("s1")).otherwise(F.col("s2")), low)
+    cut = F.when(F.col("n") > 1, F.round(low + (F.col("h") - F.col("lo")) * (high - low), P))
+    return s.withColumn("cut", cut).select("trial", "step", "best_so_far", "cut", F.coalesce(F.col("best_so_far") < F.col("cut"), F.lit(False)).alias("pruned"))
 
 
 def validation(runs: DataFrame) -> DataFrame:

@@ -299,7 +299,7 @@ def chunks(source: DataFrame, *, category: str = "user", min_score: float = 0.3,
 
     made = _map(source, CHUNK, many, category)
     first = made.filter("chunk_id = 0").filter(C.passes_gate(F.col("whole"), F.col("title"), min_score=min_score))
-    ok = first.select("page_id", F.round(C.quality_score(F.col("whole"), F.col("title")), 2).alias("quality_score"))
+    ok = first.select("page_id", C.round2(C.quality_score(F.col("whole"), F.col("title"))).alias("quality_score"))
     has = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in source.columns else F.lit(default)
     about = source.select(
         "page_id", F.coalesce("url", F.lit("")).alias("file"), has("module", "").alias("module"), has("doc_category", category).alias("doc_category"),

@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import math
 import random
 from dataclasses import dataclass, field, fields, is_dataclass
 from pathlib import Path
-from typing import Any
+from typing import Any, get_args, get_type_hints
 
 
 @dataclass(frozen=True)
@@ -133,11 +134,53 @@ def check_space(space: dict[str, dict], fixed: dict[str, Any], settings: type =
             raise ValueError(f"{name}: needs choices")
 
 
+def draw(spec: dict, rng: random.Random) -> Any:
+    """One value of a parameter: whole numbers by ``step``, real ones by their logarithm with ``log``."""
+    if spec["type"] == "int":
+        return rng.randrange(spec["low"], spec["high"] + 1, spec.get("step", 1))
+    if spec["type"] == "float":
+        if spec.get("log"):
+            return math.exp(rng.uniform(math.log(spec["low"]), math.log(spec["high"])))
+        return rng.uniform(spec["low"], spec["high"])
+    return rng.random() < 0.5 if spec["type"] == "bool" else rng.choice(spec["choices"])
+
+
 def sample_space(space: dict[str, dict], fixed: dict[str, Any], trials: int, seed: int = 0) -> list[dict]:
     """Random parameters for each trial, the same for the same seed; fixed ones first."""
     rng = random.Random(seed)
-    draw = {"int": lambda s: rng.randint(s["low"], s["high"]), "float": lambda s: rng.uniform(s["low"], s["high"]), "bool": lambda s: rng.random() < 0.5, "categorical": lambda s: rng.choice(s["choices"])}
-    return [fixed | {name: draw[spec["type"]](spec) for name, spec in space.items()} for _ in range(trials)]
+    return [fixed | {name: draw(spec, rng) for name, spec in space.items()} for _ in range(trials)]
+
+
+def sample_trials(space: dict[str, Any], fixed: dict[str, dict[str, Any]], trials: int, seed: int = 0) -> list[dict]:
+    """For each trial ``mode, params, extraction, names``: a mode is drawn, then the parameters of that mode alone, those of ``model`` and of ``extraction`` always.
+
+    ``names`` are the values drawn under ``<block>__<parameter>``, as blocks may have parameters of one name. Without an extraction block it is None.
+    """
+    rng, out = random.Random(seed), []
+    for _ in range(trials):
+        mode = rng.choice(space["mode"]["choices"])
+        drawn = {b: {name: draw(spec, rng) for name, spec in space[b].items()} for b in (mode, "model", "extraction") if b in space}
+        merged = {b: fixed.get(b, {}) | drawn[b] for b in drawn}
+        params = merged.get(mode, fixed.get(mode, {})) | merged.get("model", {})
+        names = {"mode": mode} | {f"{b}__{k}": v for b, own in drawn.items() for k, v in own.items()}
+        out.append({"mode": mode, "params": params, "extraction": merged.get("extraction"), "names": names})
+    return out
+
+
+#: Names of types in a JSON schema.
+JSON_TYPES = {str: "string", float: "number", int: "number", bool: "boolean"}
+
+
+def json_schema(kind: type, name: str) -> dict:
+    """The strict JSON schema of a typed dictionary or data class; a string in an annotated type is the field's description."""
+    properties = {}
+    for field_name, annotation in get_type_hints(kind, include_extras=True).items():
+        args = get_args(annotation)
+        prop = {"type": JSON_TYPES.get(args[0] if args else annotation, "string")}
+        about = [a for a in args[1:] if isinstance(a, str)]
+        properties[field_name] = prop | ({"description": about[0]} if about else {})
+    schema = {"type": "object", "properties": properties, "required": list(properties), "additionalProperties": False}
+    return {"name": name, "strict": True, "schema": schema}
 
 
 def as_dict(settings: Any) -> dict:

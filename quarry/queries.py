@@ -588,8 +588,9 @@ def running_mean(spark, d):
 
 
 @query("""WITH s AS (SELECT user_id AS trial, row_number() OVER w AS step, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 9) AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-b AS (SELECT *, max(m) OVER (PARTITION BY trial ORDER BY step ROWS UNBOUNDED PRECEDING) AS best_so_far FROM s), c AS (SELECT * FROM b WHERE step >= 10 AND (step - 10) % 5 = 0),
-k AS (SELECT step, round(quantile_cont(m, 0.75), 6) AS cut FROM c GROUP BY step) SELECT trial, step, best_so_far, cut, best_so_far < cut AS pruned FROM c JOIN k USING (step)""")
+b AS (SELECT *, max(m) OVER (PARTITION BY trial ORDER BY step ROWS UNBOUNDED PRECEDING) AS best_so_far FROM s), c AS (SELECT * FROM b WHERE step >= 10 AND (step % 5 = 0 OR step = (SELECT max(step) FROM s))),
+k AS (SELECT x.trial, x.step, round(quantile_cont(y.m, 0.75), 6) AS cut FROM c x LEFT JOIN c y ON x.step = y.step AND x.trial <> y.trial GROUP BY ALL)
+SELECT trial, step, best_so_far, cut, coalesce(best_so_far < cut, false) AS pruned FROM c JOIN k USING (trial, step)""")
 def percentile_prune(spark, d):
     """Which trials are pruned at which step."""
     m = E.running_mean(T.read(spark, d, "events"), "user_id", "event_id", "value").withColumnRenamed("user_id", "trial")

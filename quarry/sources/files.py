@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import is_generated
+from quarry.plans.config import config_hash
 
 CHUNK = """title STRING, content STRING, url STRING, doc_type STRING, hierarchy STRING, chunk_id INT, module STRING, doc_category STRING,
 metadata STRUCT<parent_doc_id:STRING, chunk_position:STRING, total_chunks:INT, quality_score:DOUBLE, has_code:BOOLEAN, code_blocks:ARRAY<STRING>, section_id:STRING,
@@ -61,6 +63,23 @@ def write_corpus(chunks_: DataFrame, path: str) -> None:
     chunks_.write.mode("overwrite").json(f"{path}/chunks.jsonl")
 
 
+def built_once(spark: SparkSession, folder: str, settings: dict, build: Callable[[], DataFrame]) -> DataFrame:
+    """The corpus that ``build`` makes for these settings, from the folder named by their hash if it is there already.
+
+    It is written to a folder of its own first and then renamed, so that a corpus is whole or not there; of two builders at once the first wins and the other reads its corpus.
+    """
+    path = f"{folder.rstrip('/')}/{config_hash(settings)}"
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at(path)):
+        made = f"{path}.{uuid.uuid4().hex}"
+        build().write.parquet(made)
+        if files.exists(at(path)) or not files.rename(at(made), at(path)):
+            files.delete(at(made), True)
+    return spark.read.parquet(path)
+
+
 def write_statistics(stats: DataFrame, path: str) -> None:
     """The statistics of a corpus, a row for each module and one in all, as one JSON file."""
     stats.coalesce(1).write.mode("overwrite").json(path)

@@ -211,6 +211,61 @@ def test_settings(tmp_path):
             config.check_space(bad, {})
 
 
+def test_rounding_like_the_exact_value(spark):
+    values = [0.125, 0.375, 1.005, 2.675, 0.615, 0.285, 0.0, 1.0, 0.999, 0.995, *[i / 997 for i in range(200)]]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", C.round2(F.col("v")).alias("r")).orderBy("i").collect()
+    assert [r.r for r in got] == [round(v, 2) for v in values]
+
+
+def test_pruning_looks_at_other_trials(spark):
+    rows = [(t, s, float(t)) for t in range(5) for s in range(1, 23)] + [(9, 23, 1.0)]
+    got = E.prune(spark.createDataFrame(rows, "trial int, step int, mean_so_far double"), first=10, interval=5).collect()
+    assert {r.step for r in got} == {10, 15, 20, 23}
+    at = {r.trial: (r.cut, r.pruned) for r in got if r.step == 10}
+    # of the others 0, 1, 2, 3 the 75th percentile is 2.25; of 1, 2, 3, 4 it is 3.25
+    assert at[4] == (2.25, False) and at[0] == (3.25, True) and at[3] == (2.5, False)
+    assert [(r.cut, r.pruned) for r in got if r.step == 23] == [(None, False)]
+
+
+def test_trials_schema_and_cache(spark, tmp_path):
+    from typing import Annotated, TypedDict
+
+    from quarry.sources import files
+
+    space = {"mode": {"choices": ["rag", "agentic"]}, "rag": {"k": {"type": "int", "low": 2, "high": 8, "step": 3}}, "agentic": {"k": {"type": "int", "low": 100, "high": 100}}, "model": {"t": {"type": "float", "low": 0.01, "high": 1, "log": True}}}
+    trials = config.sample_trials(space, {"rag": {"f": 1}}, 30, 3)
+    assert trials == config.sample_trials(space, {"rag": {"f": 1}}, 30, 3) and {t["mode"] for t in trials} == {"rag", "agentic"}
+    for t in trials:
+        assert t["params"].keys() == ({"k", "t", "f"} if t["mode"] == "rag" else {"k", "t"}) and t["extraction"] is None
+        assert t["params"]["k"] in ((2, 5, 8) if t["mode"] == "rag" else (100,)) and f"{t['mode']}__k" in t["names"] and 0.01 <= t["params"]["t"] <= 1
+
+    class Grade(TypedDict):
+        score: Annotated[float, ..., "from 0 to 10"]
+        explanation: str
+
+    schema = config.json_schema(Grade, "grade")["schema"]
+    assert schema["properties"] == {"score": {"type": "number", "description": "from 0 to 10"}, "explanation": {"type": "string"}} and schema["required"] == ["score", "explanation"]
+    made = []
+    for settings in ({"a": 1}, {"a": 1, "_b": 2}, {"a": 2}):
+        assert files.built_once(spark, f"{tmp_path}/cache", settings, lambda: made.append(1) or spark.range(3)).count() == 3
+    assert len(made) == 2
+
+
+def test_evaluation_of_answers(spark):
+    rows = [({"a": 4.0, "b": None}, 1.0, 3, None), ({"a": 2.0}, 3.0, None, None)]
+    got = E.summary(spark.createDataFrame(rows, "scores map<string,double>, request_time double, steps int, tokens long")).head()
+    assert (got.examples, got.mean_s, got.mean_steps, got.mean_tokens, got.averages, got.overall) == (2, 2.0, 3.0, None, {"a": 3.0, "b": 0.0}, 1.5)
+    asked = spark.createDataFrame([(1, "q", "x", "r", ["d"]), (2, "q", "x", "r", None)], "question_id int, question string, answer string, reference string, documents array<string>")
+
+    def judge(question, answer, reference, documents):
+        return {"score": "8", "explanation": None}
+
+    graded = {(r.question_id, r.metric): (r.score, r.explanation) for r in E.run_metrics(asked, {"groundedness": judge, "relevance": lambda *a: {"score": 11}, "correctness": lambda *a: 1 / 0}).collect()}
+    assert graded[1, "groundedness"] == (8.0, "") and graded[2, "groundedness"] == (0.0, "no documents") and graded[1, "relevance"][0] == 0.0
+    assert graded[1, "correctness"][1].startswith("error: ") and graded[1, "retrieval_relevance"][1].startswith("unknown metric")
+    assert {r.metric for r in E.run_metrics(asked, {"relevance": judge}, ("relevance",)).collect()} == {"relevance"}
+
+
 def test_answers(spark, docs):
     q = ask(spark, "zeta mesh", "gamma")
     got = {r.query_id: r for r in answers.answer(docs, q, config.Settings(), generate=lambda queries, contexts: [f"{len(c)}" for c in contexts]).collect()}
