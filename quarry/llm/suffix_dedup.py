@@ -11,9 +11,9 @@ same one); strings never cross documents and are judged on the input.
 3. Of the other anchors the first piece of each content is fetched. The pieces of an anchor are joined into one
    text, whose suffix array (linear grouping by Lyndon prefixes, :mod:`quarry.llm.lyndon`) brings equal windows together; neighbours
    are compared byte by byte, and all but the first of equal windows are repeats.
-4. Where an anchor's pieces are more than ``CALL`` bytes (a passage that very many documents share, each time before other text), they are dealt into
-   parts. Each part has its own suffix array; the first of its equal windows are then compared between the parts, by
-   their 128-bit hashes. Nothing is capped.
+4. Where an anchor's pieces are more than ``PART`` bytes (a passage that many documents share, each time before other text), they are dealt into
+   parts, as many small arrays at once take less time a byte than a large one. Each part has its own suffix array; the first of its equal windows
+   are then compared between the parts, by their 128-bit hashes. Nothing is capped.
 5. The repeats of each document are united and cut out.
 
 Only numbers are shuffled in steps 1 and 2; texts are shuffled twice, once to fetch pieces and once to cut.
@@ -42,7 +42,7 @@ CHUNK = 1 << 21
 #: Most windows of a piece.
 RUN = 1024
 #: Bytes of text in one call, and of an anchor's pieces in one suffix array.
-CALL = 3 << 19
+CALL, PART = 3 << 19, 1 << 13
 SMALL = 700
 #: The lowest bits of a hash, in which its place in a chunk fits.
 PLACE = np.uint64((1 << 23) - 1)
@@ -201,26 +201,24 @@ RUNS = ["kind", "g1", "g2", "doc", "th", "start", "n"]
 def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows ``RUNS``: repeated windows (kind 0), from pieces sorted by anchor and part, and of an anchor in parts the
     first of equal windows by their hash (kind 1). Groups of similar sizes share a call."""
-    waiting: dict[bool, list[list[tuple]]] = {False: [], True: []}
-    size = {False: 0, True: 0}
+    kinds = [(large, several) for several in (False, True) for large in (False, True)]
+    waiting: dict[tuple[bool, bool], list[list[tuple]]] = {k: [] for k in kinds}
+    size = dict.fromkeys(kinds, 0)
     group: list[tuple] = []
     key = None
 
-    def call(large: bool) -> Iterator[pa.RecordBatch]:
-        if waiting[large]:
-            yield from equal_windows(waiting[large], length)
-        waiting[large], size[large] = [], 0
+    def call(kind: tuple[bool, bool]) -> Iterator[pa.RecordBatch]:
+        if waiting[kind]:
+            yield from equal_windows(waiting[kind], length, firsts=kind[1])
+        waiting[kind], size[kind] = [], 0
 
     def put(g: list[tuple], parts: int) -> Iterator[pa.RecordBatch]:
-        if parts > 1:
-            yield from equal_windows([g], length, firsts=True)
-            return
         total = sum(len(x[3]) + 1 for x in g)
-        large = total > SMALL
-        if size[large] + total > CALL:
-            yield from call(large)
-        waiting[large].append(g)
-        size[large] += total
+        kind = (total > SMALL, parts > 1)
+        if size[kind] + total > CALL:
+            yield from call(kind)
+        waiting[kind].append(g)
+        size[kind] += total
 
     for b in batches:
         for m, part, parts, *row in zip(*(b[c].to_pylist() for c in ("m", "part", "parts", "doc", "th", "start", "piece")), strict=True):
@@ -231,8 +229,8 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
             group.append(tuple(row))
     if group:
         yield from put(group, key[2])
-    for large in (False, True):
-        yield from call(large)
+    for kind in kinds:
+        yield from call(kind)
 
 
 def equal_windows(groups: list[list[tuple]], length: int, firsts: bool = False) -> Iterator[pa.RecordBatch]:
@@ -316,7 +314,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
     found = found.withColumn("again", again).withColumns({"pieces": F.sum((~again).cast("int")).over(group), "bytes": F.sum(fresh).over(group)})
     repeat = (F.col("kind") == 1) | (F.col("again") & (F.col("before") != place))
     wanted = ~F.col("again") & ((F.col("pieces") > 1) | (F.col("n") < 0)) & (F.col("kind") == 0)
-    parts = F.when(F.col("bytes") <= CALL, 1).otherwise(F.ceil(F.col("bytes") / (CALL // 2))).cast("int")
+    parts = F.when(F.col("bytes") <= PART, 1).otherwise(F.ceil(F.col("bytes") / PART)).cast("int")
     found = found.select("doc", "th", "start", F.abs("n").alias("n"), "m", repeat.alias("repeat"), wanted.alias("wanted"), parts.alias("parts"))
     found = stored(found.filter("repeat or wanted"), "repeats")
 
