@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry.llm.scratch import stored
@@ -15,14 +15,14 @@ def connected(edges: DataFrame, *, rounds: int = 200) -> DataFrame:
     and need a number of rounds about the logarithm of the longest path. Each round's table
     is written to the shared folder. Self-links and repeated links are allowed.
     """
-    edges = stored(_both(edges).filter("src > dst").distinct(), "links")
-    before = None
+    edges, now = _written(_both(edges).filter("src > dst").distinct())
     for _ in range(rounds):
-        sums = edges.agg(F.count("*"), F.sum(F.col("src").cast("decimal(38,0)")), F.sum(F.col("dst").cast("decimal(38,0)")), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).head()
-        if sums == before or sums[0] == 0:
+        if not now[0]:
+            break
+        before = now
+        edges, now = _written(_small_star(_large_star(edges)))
+        if now == before:
             break
-        before = sums
-        edges = stored(_small_star(_large_star(edges)), "links")
     else:
         raise RuntimeError(f"components not found in {rounds} rounds")
     # all links are now from a node to its root
@@ -30,6 +30,16 @@ def connected(edges: DataFrame, *, rounds: int = 200) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct())
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links as a table, and sums over them that are counted as it is written, so that two rounds with equal ones are told by no job of their own."""
+    seen = Observation()
+    number = lambda c: F.coalesce(F.sum(c.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    sums = [F.count("*").alias("n"), number(F.col("src")).alias("s"), number(F.col("dst")).alias("d"), number(F.xxhash64("src", "dst")).alias("h")]
+    table = stored(edges.observe(seen, *sums), "links")
+    got = seen.get
+    return table, tuple(got[k] for k in ("n", "s", "d", "h"))
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 

@@ -17,6 +17,7 @@ the same score; an empty table gives no rows; other columns are neither read nor
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import zlib
@@ -73,17 +74,18 @@ def log_count_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) ->
     return np.log((pos + 1) / (n_pos + 2)) - np.log((neg + 1) / (n_neg + 2))
 
 
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n: int, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Weights of the linear model with hinge loss; ``rows`` have the places and values of what isn't 0."""
-    w, alpha = np.zeros(n), np.zeros(len(rows))
-    norm = np.array([float(v @ v) for _, v in rows])
+def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Weights of the linear model with hinge loss; ``rows`` have the places of the indicators that are 1, whose values are ``scale``."""
+    w, alpha = np.zeros(len(scale)), np.zeros(len(rows))
+    norm = np.array([float(scale[at] @ scale[at]) for at in rows])
     rng = np.random.default_rng(7)
     for _ in range(rounds):
         most = 0.0
         for i in rng.permutation(len(rows)):
-            at, v = rows[i]
             if norm[i] == 0:
                 continue
+            at = rows[i]
+            v = scale[at]
             g = y[i] * float(w[at] @ v) - 1
             new = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
             if new != alpha[i]:
@@ -140,19 +142,20 @@ def fit(sample: DataFrame, *, min_rows: int = 5, max_grams: int = 100_000, cost:
     place = np.full(len(number) + 1, -1, np.int64)
     place[best] = np.arange(len(best))
     scale = np.append(ratio[best], 1.0)  # the last is the intercept
-    rows, y = [], np.array([1 if label else -1 for label, _ in docs])
+    rows: list[np.ndarray] = []
+    y = np.array([1 if label else -1 for label, _ in docs])
     for _, d in docs:
-        at = np.append(np.sort(place[d][place[d] >= 0]), len(best))
-        rows.append((at, scale[at]))
+        rows.append(np.append(np.sort(place[d][place[d] >= 0]), len(best)).astype(np.int32))
+    del docs
     back = np.arange(len(rows)) % 4 == 3  # held back for the sigmoid
     even = np.where(y > 0, cost * len(y) / (2 * n_pos), cost * len(y) / (2 * n_neg))
     if len(set(y[~back])) == 2 and len(set(y[back])) == 2:
         part = [rows[i] for i in np.flatnonzero(~back)]
-        w = dual_coordinate_descent(part, y[~back], len(scale), even[~back])
-        slope, shift = sigmoid_fit(np.array([w[at] @ v for at, v in (rows[i] for i in np.flatnonzero(back))]), y[back])
+        w = dual_coordinate_descent(part, scale, y[~back], even[~back])
+        slope, shift = sigmoid_fit(np.array([w[rows[i]] @ scale[rows[i]] for i in np.flatnonzero(back)]), y[back])
     else:
         slope, shift = 1.0, 0.0
-    w = dual_coordinate_descent(rows, y, len(scale), even)
+    w = dual_coordinate_descent(rows, scale, y, even)
     final = w * scale
     return Model({names[k]: float(final[i]) for i, k in enumerate(best) if final[i]}, float(final[-1]), slope, shift)
 
@@ -184,4 +187,7 @@ def score_column(docs: DataFrame, model: Model):
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", allowed: Column | None = None, max_rows: int = 10_000) -> Model:
     """A model fitted on at most ``max_rows`` labelled rows; by default not on those whose crc32 is divisible by 5."""
     ok = remainder(F.col("doc_id"), 5) != 0 if allowed is None else allowed
-    return fit(labelled_sample(docs, labels, label, ok, max_rows))
+    model = fit(labelled_sample(docs, labels, label, ok, max_rows))
+    gc.collect()  # the sample's n-grams are some hundred MB, which a driver would otherwise keep through later stages
+    pa.default_memory_pool().release_unused()
+    return model
