@@ -37,6 +37,7 @@ RULES = ("symbols", "long_words", "short_words", "repeated_lines", "repeated_wor
 
 
 def _next(c: str) -> Column:
+    """The array without its first element."""
     return F.slice(c, 2, F.greatest(F.size(c), F.lit(1)))
 
 
@@ -57,18 +58,19 @@ def features(docs: DataFrame) -> DataFrame:
         "doc_id", "lang", F.array_remove(F.split("flat", " "), "").alias("w"), F.length(F.replace("flat", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
         (F.length("text") - F.length(bare)).cast("long").alias("n_symbols"), lines.alias("lines"),
     )
-    # windows of three words, each with its place; the last two places have none
-    two = F.zip_with("w", _next("w"), lambda a, b: F.concat(a, F.lit(" "), b))
-    three = F.zip_with(two, F.slice("w", 3, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    placed = F.array_sort(F.transform(three, lambda x, i: F.struct(x.alias("k"), i.alias("i"))))
+    # windows of three words, each with its place, in the order of their words; in the last two places words are missing, so they equal none
+    n = F.greatest(F.size("w"), F.lit(1))
+    placed = F.sort_array(F.arrays_zip(F.col("w"), F.slice("w", 2, n), F.slice("w", 3, n), F.sequence(F.lit(0), n - 1)))
     rows = rows.select(
         "doc_id", "lang", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols", F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), placed.alias("s"),
     )
     counts = "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"
     # equal windows are neighbours now
-    same = F.filter(F.zip_with("s", _next("s"), lambda a, b: F.when(a["k"] == b["k"], F.array(a["i"], b["i"]))), lambda x: x.isNotNull())
-    rows = rows.select(*counts, F.array_sort(F.array_distinct(F.flatten(same))).alias("q"))
+    pair = F.arrays_zip(F.col("s"), _next("s"))
+    equal = F.filter(pair, lambda x: (x["s"]["w"] == x["1"]["w"]) & (x["s"]["1"] == x["1"]["1"]) & (x["s"]["2"] == x["1"]["2"]))
+    places = F.flatten(F.transform(equal, lambda x: F.array(x["s"]["3"], x["1"]["3"])))
+    rows = rows.select(*counts, F.sort_array(F.array_distinct(places)).alias("q"))
     covered = F.zip_with("q", _next("q"), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
     return rows.select(*counts, F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_repeat_words"))
 
