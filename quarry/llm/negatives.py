@@ -228,7 +228,9 @@ def hard_negatives(
     # negatives: a window for each different score of a class's positives
     score = F.col("positive_score")
     spans = mine.filter("positive_score >= 0").select("cid", "label", "positive_score").distinct()
-    lo, hi = F.expr(f"({low} * positive_score + 99) div 100"), F.expr(f"{high} * positive_score div 100")
+    # ceil(low / 100 * score) and floor(high / 100 * score), whose products may not fit a long
+    lo = F.expr(f"{low} * (positive_score div 100) + ({low} * (positive_score % 100) + 99) div 100")
+    hi = F.expr(f"{high} * (positive_score div 100) + {high} * (positive_score % 100) div 100")
     spans = spans.groupBy("cid", "label").agg(F.collect_list(window(score, lo, hi)).alias("windows"))
     units = _units(classes, n, "size")
     bounds = F.broadcast(_bounds(units, "size"))
