@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.columns import tag_dimensions
+
 #: A side of at most so many rows is broadcast.
 FEW = 10_000
 P = 6
@@ -79,8 +81,10 @@ def first_groups(rows: DataFrame, by: str, n: int) -> DataFrame:
 
 
 def in_dataset_order(answers: DataFrame, dataset: DataFrame) -> DataFrame:
-    """Answers, made in any order, in that of the dataset's ``question_id``; questions without an answer are rows of nulls."""
-    return dataset.select("question_id").join(answers, "question_id", "left").orderBy("question_id")
+    """Answers, made in any order, in that of the dataset: of its ``place``, where it was shuffled, else of ``question_id``; questions without an answer are rows of nulls."""
+    if "place" not in dataset.columns:
+        return dataset.select("question_id").join(answers, "question_id", "left").orderBy("question_id")
+    return dataset.select("question_id", F.col("place").alias("__place")).join(answers, "question_id", "left").orderBy("__place").drop("__place")
 
 
 def summary(answers: DataFrame) -> DataFrame:
@@ -96,31 +100,62 @@ METRICS = ("correctness", "relevance", "groundedness", "retrieval_relevance")
 BY_DOCUMENTS = ("groundedness", "retrieval_relevance")
 
 
-def run_metrics(answers: DataFrame, judges: dict, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+def batched(judge):
+    """Marks a judge that gets whole batches: lists of questions, answers, references and documents, for a list of mappings."""
+    judge.batched = True
+    return judge
+
+
+def run_metrics(answers: DataFrame, judges: dict, metrics: tuple[str, ...] = METRICS, size: int = 64) -> DataFrame:
     """``question_id, metric, score, explanation`` from ``(question_id, question, answer, reference, documents array<string>)``.
 
-    A judge is a function from ``(question, answer, reference, documents)`` to a mapping with score and explanation. What is graded by documents gets 0
-    without a call where there are none; a judge that fails, or gives no number from 0 to 10, gives 0 with the reason; an unknown metric, too.
+    A judge is a function from ``(question, answer, reference, documents)`` to a mapping with score and explanation, or one marked by :func:`batched`, which
+    gets ``size`` answers at a time. What is graded by documents gets 0 without a call where there are none; a judge that fails, or gives no
+    number from 0 to 10, gives 0 with the reason (for all of its batch if the whole call fails); an unknown metric, too.
     """
     rows = answers.select("question_id", "question", "answer", "reference", "documents")
 
-    def grade_one(metric: str, r: dict) -> tuple[float, str]:
-        if metric in BY_DOCUMENTS and not r["documents"]:
-            return 0.0, "no documents"
-        if metric not in judges:
-            return 0.0, f"unknown metric: {metric}"
+    def one_by_one(judge):
+        def run(*lists):
+            for args in zip(*lists, strict=True):
+                try:
+                    yield judge(*args)
+                except Exception as e:  # a judge is a model behind a network
+                    yield e
+
+        return run
+
+    def checked(made) -> tuple[float, str]:
         try:
-            made = judges[metric](r["question"], r["answer"], r["reference"], r["documents"] or [])
+            if isinstance(made, Exception):
+                raise made
             score = float(made["score"])
             return (score, str(made.get("explanation") or "")) if 0 <= score <= 10 else (0.0, "no usable grade")
-        except Exception as e:  # a judge is a model behind a network
+        except Exception as e:
             return 0.0, f"error: {e}"
 
+    def graded(metric: str, batch: list[dict]) -> list[tuple[float, str]]:
+        if metric not in judges:
+            missing = 0.0, f"unknown metric: {metric}"
+            return [(0.0, "no documents") if metric in BY_DOCUMENTS and not r["documents"] else missing for r in batch]
+        asked = [r for r in batch if metric not in BY_DOCUMENTS or r["documents"]]
+        judge = judges[metric] if getattr(judges[metric], "batched", False) else one_by_one(judges[metric])
+        try:
+            made = list(judge(*([r[c] for r in asked] for c in ("question", "answer", "reference")), [r["documents"] or [] for r in asked])) if asked else []
+            if len(made) != len(asked):
+                raise ValueError("another number of grades than answers")
+        except Exception as e:
+            made = [e] * len(asked)
+        given = iter(made)
+        return [checked(next(given)) if metric not in BY_DOCUMENTS or r["documents"] else (0.0, "no documents") for r in batch]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [(r["question_id"], m, *grade_one(m, r)) for r in b.to_pylist() for m in metrics]
-            kinds = [b.schema.field("question_id").type, pa.string(), pa.float64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], t) for i, t in enumerate(kinds)], ["question_id", "metric", "score", "explanation"])
+        for whole in batches:
+            for b in (whole.slice(i, size) for i in range(0, whole.num_rows, size)):
+                batch = b.to_pylist()
+                made = [(r["question_id"], m, *g) for m in metrics for r, g in zip(batch, graded(m, batch), strict=True)]
+                kinds = [b.schema.field("question_id").type, pa.string(), pa.float64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], t) for i, t in enumerate(kinds)], ["question_id", "metric", "score", "explanation"])
 
     return rows.mapInArrow(run, f"question_id {rows.schema['question_id'].dataType.simpleString()}, metric string, score double, explanation string")
 
@@ -162,11 +197,32 @@ def time_by_question(facts: DataFrame) -> DataFrame:
 
 
 def quartiles(facts: DataFrame) -> DataFrame:
-    """Quartiles of the scores by run and metric, interpolated."""
+    """Quartiles of the scores by run and metric, interpolated; exact, so a group's different scores are held together. :func:`score_sketches` are for groups beyond that."""
     q = F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return facts.groupBy("run", "metric").agg(q.alias("q"), F.count("score").alias("n")).select("run", "metric", "n", *[F.round(F.col("q")[i], P).alias(f"q{i + 1}") for i in range(3)])
 
 
+#: Size parameter of quantile sketches, and the share of a group by which the rank of their quantiles is off at most (with a probability of 99 %).
+SKETCH, RANK_ERROR = 800, 0.0043
+
+
+def score_sketches(facts: DataFrame, *by: str) -> DataFrame:
+    """``<by>, sketch, n``: a mergeable sketch of each group's scores, of bounded size however many there are; sketches of parts are put together by :func:`merged_sketches`."""
+    known = facts.filter(F.col("score").isNotNull())
+    return known.groupBy(*by).agg(F.kll_sketch_agg_double(F.col("score").cast("double"), F.lit(SKETCH)).alias("sketch"), F.count("*").alias("n"))
+
+
+def merged_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """The sketches of coarser groups."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("sketch"), F.sum("n").alias("n"))
+
+
+def sketched_quartiles(sketches: DataFrame) -> DataFrame:
+    """``q1, q2, q3`` of each sketch: values whose rank is within ``RANK_ERROR`` of the quartile's."""
+    q = [F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(f"q{i + 1}") for i, p in enumerate((0.25, 0.5, 0.75))]
+    return sketches.select(*[c for c in sketches.columns if c != "sketch"], *q)
+
+
 def by_dimensions(facts: DataFrame, dimensions: list[str]) -> DataFrame:
     """Mean scores by run and metric along each dimension, all in one pass over the facts."""
     sides = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("label")) for d in dimensions]))
@@ -174,6 +230,15 @@ def by_dimensions(facts: DataFrame, dimensions: list[str]) -> DataFrame:
     return rows.groupBy("run", "metric", "d.dimension", "d.label").agg(F.round(F.avg(F.coalesce("score", F.lit(0.0))), P).alias("mean_score"), F.count("*").alias("n"))
 
 
+def by_tags(facts: DataFrame) -> DataFrame:
+    """Mean scores by run and metric along what the questions' ``tags`` say: difficulty, language, type, and each of their modules."""
+    d = tag_dimensions(F.col("tags"))
+    one = [F.struct(F.lit(c).alias("dimension"), d[c].alias("label")) for c in ("difficulty", "language", "type")]
+    modules = F.transform(d["modules"], lambda m: F.struct(F.lit("module").alias("dimension"), m.alias("label")))
+    rows = facts.select("run", "metric", "score", F.explode(F.concat(F.array(*one), modules)).alias("d"))
+    return rows.groupBy("run", "metric", "d.dimension", "d.label").agg(F.round(F.avg(F.coalesce("score", F.lit(0.0))), P).alias("mean_score"), F.count("*").alias("n"))
+
+
 def deviations(facts: DataFrame) -> DataFrame:
     """How far each run's mean is from the mean of all runs, by metric; rounded at the end only."""
     m = facts.groupBy("run", "metric").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("m"))
@@ -239,12 +304,14 @@ def grid(**choices: DataFrame) -> DataFrame:
 
 
 def parse_reply(raw, schema: str = "explanation string, score string"):
-    """A judge's reply as a struct: whole, from a fenced block, or with the explanation's missing quote put in."""
+    """A judge's reply as a struct: whole, from a fenced block, or with the explanation's missing quote put in; else its ``content``, as it came."""
     fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     repaired = F.regexp_replace(raw, r'"explanation"\s*:\s*(?!")', '"explanation": "')
     read = lambda c: F.from_json(c, schema)
     ok = lambda s: F.when(s["score"].isNotNull() | s["explanation"].isNotNull(), s)
-    return F.coalesce(ok(read(raw)), ok(read(fenced)), ok(read(repaired)))
+    raw_only = F.from_json(F.to_json(F.struct(raw.alias("content"))), f"{schema}, content string")
+    found = F.coalesce(ok(read(raw)), ok(read(fenced)), ok(read(repaired)))
+    return F.coalesce(found.withField("content", F.lit(None).cast("string")), raw_only)
 
 
 def grade(reply):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quarry.functions import columns as C
 from quarry.operators.chunking import char_windows, token_windows
 from quarry.operators.html_tree import Node, has_class, is_tag, parse
+from quarry.sources.store import with_positions
 
 NOISE = is_tag("script", "style", "noscript")
 CHROME = is_tag("script", "style", "noscript", "nav")
@@ -214,7 +215,11 @@ def short_enough(text: str, encode: Callable[[str], list[int]] | None, most: int
 
 def page_chunks(page: str, name: str, category: str, cut: Callable[[str], list[str]] = char_windows, encode: Callable[[str], list[int]] | None = None) -> list[dict]:
     """All chunks of a page, in order, with the position of each in its section; one that is too long goes and leaves a gap."""
-    tree = parse(page)
+    return tree_chunks(parse(page), name, category, cut, encode)
+
+
+def tree_chunks(tree: Node, name: str, category: str, cut: Callable[[str], list[str]] = char_windows, encode: Callable[[str], list[int]] | None = None) -> list[dict]:
+    """:func:`page_chunks` of a page that is parsed."""
     title = page_title(tree, name)
     groups: list[dict] = []
     own = symbols(tree) if category == "dev" else []
@@ -240,13 +245,23 @@ def page_chunks(page: str, name: str, category: str, cut: Callable[[str], list[s
     return out
 
 
-def _map(pages: DataFrame, schema: str, rows_of, category: str = "user") -> DataFrame:
-    """``page_id`` and the rows that ``rows_of(html, url, category)`` makes of each page; a column ``doc_category`` of the pages goes before ``category``."""
+WORD = re.compile(r"\w+")
+
+
+def page_score(text: str, title: str, min_score: float, min_chars: int = 50) -> float | None:
+    """The quality score of a page's whole text, of two places; None where the page is too short or its unrounded score below the minimum."""
+    words = len(WORD.findall(text))
+    score = min(1.0, min(words / 200.0, 1.0) + (0.1 if title.strip() else 0.0) + (0.1 if words > 50 else 0.0) + (0.1 if words > 100 else 0.0)) if text.strip() else 0.0
+    return round(score, 2) if score >= min_score and len(f"{title}\n\n{text}".strip()) >= min_chars else None
+
+
+def _map(pages: DataFrame, schema: str, rows_of, category: str = "user", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``page_id``, the columns ``keep``, and the rows that ``rows_of(html, url, category)`` makes of each page; a column ``doc_category`` of the pages goes before ``category``."""
     fields = [c.split() for c in schema.split(", ")]
     names = [c for c, _ in fields]
     own = F.col("doc_category") if "doc_category" in pages.columns else F.lit(category)
-    rows = pages.select("page_id", "url", "html", own.alias("category"))
-    types = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    rows = pages.select("page_id", "url", "html", own.alias("category"), *keep)
+    types = {"int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     kinds = [types[k] for _, k in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,9 +273,11 @@ def _map(pages: DataFrame, schema: str, rows_of, category: str = "user") -> Data
                     at += [i] * len(found)
                     made += found
                 cols = [pa.array([m[n] for m in made], k) for n, k in zip(names, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([b["page_id"].take(pa.array(at, pa.int64())), *cols], ["page_id", *names])
+                taken = [b[c].take(pa.array(at, pa.int64())) for c in ("page_id", *keep)]
+                yield pa.RecordBatch.from_arrays([*taken, *cols], ["page_id", *keep, *names])
 
-    return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, {schema}")
+    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("page_id", *keep))
+    return rows.mapInArrow(run, f"{kept}, {schema}")
 
 
 def pages(source: DataFrame, category: str = "user") -> DataFrame:
@@ -283,7 +300,7 @@ def sections(source: DataFrame, category: str = "user") -> DataFrame:
     return out.select("page_id", "ord", C.section_id(F.col("page_id").cast("string"), F.col("heading")).alias("section"), F.length("text").alias("n_chars"))
 
 
-CHUNK = "chunk_id int, title string, hierarchy string, section string, pos int, total int, symbol_name string, anchor_id string, content string, has_code boolean, code_blocks array<string>, whole string"
+CHUNK = "chunk_id int, title string, hierarchy string, section string, pos int, total int, symbol_name string, anchor_id string, content string, has_code boolean, code_blocks array<string>, quality_score double"
 
 
 def chunks(source: DataFrame, *, category: str = "user", min_score: float = 0.3, project: str = "docs", cut: Callable[[str], list[str]] = char_windows, encode: Callable[[str], list[int]] | None = None) -> DataFrame:
@@ -291,21 +308,14 @@ def chunks(source: DataFrame, *, category: str = "user", min_score: float = 0.3,
 
     ``source(page_id, url, html)`` may have ``module, doc_category, base_url, module_description``. The gate and the score are of the page's whole text.
     """
-    # the first chunk of a page carries its whole text, for the gate
     def many(html: str, url: str, kind: str) -> list[dict]:
-        made = page_chunks(html, url, kind, cut, encode)
-        text = page_text(parse(html), kind, None)
-        return [m | {"whole": text if i == 0 else None} for i, m in enumerate(made)]
-
-    made = _map(source, CHUNK, many, category)
-    first = made.filter("chunk_id = 0").filter(C.passes_gate(F.col("whole"), F.col("title"), min_score=min_score))
-    ok = first.select("page_id", C.round2(C.quality_score(F.col("whole"), F.col("title"))).alias("quality_score"))
-    has = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in source.columns else F.lit(default)
-    about = source.select(
-        "page_id", F.coalesce("url", F.lit("")).alias("file"), has("module", "").alias("module"), has("doc_category", category).alias("doc_category"),
-        has("base_url", "").alias("parent_doc_id"), has("module_description", "").alias("module_description"),
-    )
-    out = made.drop("whole").join(ok, "page_id").join(about, "page_id")
+        tree = parse(html)
+        score = page_score(page_text(tree, kind, None), page_title(tree, url), min_score)
+        return [] if score is None else [m | {"quality_score": score} for m in tree_chunks(tree, url, kind, cut, encode)]
+
+    has = lambda c, default: (F.coalesce(F.col(c), F.lit(default)) if c in source.columns else F.lit(default)).alias(c)
+    about = source.select("page_id", "url", "html", F.coalesce("url", F.lit("")).alias("file"), has("module", ""), has("doc_category", category), has("base_url", "").alias("parent_doc_id"), has("module_description", ""))
+    out = _map(about, CHUNK, many, category, ("file", "module", "doc_category", "parent_doc_id", "module_description"))
     page = C.page_url(F.col("parent_doc_id"), F.col("file"))
     anchored = F.coalesce(F.nullif(F.col("anchor_id"), F.lit("")).isNotNull(), F.lit(False))
     return out.select(
@@ -322,7 +332,7 @@ CATEGORIES = ("dev", "user", "methodology")
 
 
 def build_corpus(spark: SparkSession, roots: list[dict[str, str]], *, project: str = "docs", **options) -> DataFrame:
-    """Chunks of all registered folders with ``ord``: modules in the order given, categories in that of ``CATEGORIES``, then files and places in them.
+    """Chunks of all registered folders with ``ord``, a dense long from 0: modules in the order given, categories in that of ``CATEGORIES``, then files and places in them.
 
     ``roots`` are mappings with ``module, doc_category, path`` and perhaps ``base_url`` and ``description``. All folders are one plan.
     """
@@ -336,4 +346,4 @@ def build_corpus(spark: SparkSession, roots: list[dict[str, str]], *, project: s
         one = html_pages(spark, r["path"]).withColumns(literal).withColumn("page_id", F.concat_ws("/", F.lpad(F.col("at").cast("string"), 6, "0"), "url"))
         found = one if found is None else found.unionByName(one)
     made = chunks(found, project=project, **options)
-    return made.withColumn("ord", F.struct("page_id", "chunk_id"))
+    return with_positions(made, "page_id", "chunk_id")

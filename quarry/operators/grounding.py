@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ast
 import builtins
+import functools
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: A block of code in an answer.
 FENCE = re.compile(r"```(\w*)\n(.*?)```", re.DOTALL)
 #: A name before a parenthesis, and words of C++ that aren't calls of what is documented.
 CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
@@ -83,15 +85,16 @@ def _cleared(known: Callable[[str], bool] | None, name: str) -> bool:
 
 
 def flags(answers: DataFrame, keys: list[str], known: Callable[[str], bool] | None = None) -> DataFrame:
-    """``<keys>, call, kind, reason`` for each flag of ``answers(<keys>, answer, observations)``."""
+    """``<keys>, call, kind, reason`` for each flag of ``answers(<keys>, answer, observations)``; a task asks ``known`` once for each name."""
     rows = answers.select(*keys, "answer", "observations")
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = known and functools.lru_cache(maxsize=10_000)(functools.partial(_cleared, known))
         for b in batches:
             at, made = [], []
             for i, (answer, seen) in enumerate(zip(b["answer"].to_pylist(), b["observations"].to_pylist(), strict=True)):
-                found = check(answer or "", seen or "", known)
+                found = check(answer or "", seen or "", once)
                 at += [i] * len(found)
                 made += found
             taken = [b.column(i).take(pa.array(at, pa.int64())) for i in range(n)]

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import page_key, position_key, strip, tokens
+from quarry.operators import keyword_index
+from quarry.operators.best import Best
+from quarry.operators.keyword_index import EPSILON, KeywordIndex, part, question_terms
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
 #: So many terms of questions, of some tens of bytes each, are broadcast; more meet the corpus by shuffle.
 BROADCAST_TERMS = 200_000
 #: So many vectors of questions are broadcast.
@@ -47,11 +49,6 @@ def idf_table(corpus: DataFrame, text: str = "content") -> DataFrame:
     return weights(term_statistics(corpus, text))
 
 
-def question_terms(questions: DataFrame) -> DataFrame:
-    """``query_id, term, qtf``: repeated words of a question count each time."""
-    return questions.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-
-
 def bm25_scores(corpus: DataFrame, questions: DataFrame, text: str = "content", statistics: DataFrame | None = None) -> DataFrame:
     """``query_id, ord, score`` of all rows that share a word with the question, rounded to 9 places.
 
@@ -69,8 +66,8 @@ def bm25_scores(corpus: DataFrame, questions: DataFrame, text: str = "content",
     postings = counted.select("ord", "dl", F.explode("words").alias("term")).join(hint(words), "term", "left_semi").groupBy("ord", "dl", "term").agg(F.count("*").alias("tf"))
     weight = weights(statistics).join(hint(words), "term", "left_semi").select("term", "idf")
     found = postings.join(hint(weight), "term").join(hint(asked), "term").crossJoin(F.broadcast(mean))
-    part = F.col("qtf") * F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return found.groupBy("query_id", "ord").agg(F.round(F.sum(part), 9).alias("score"))
+    one = F.col("qtf") * F.col("idf") * part(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    return found.groupBy("query_id", "ord").agg(F.round(F.sum(one), 9).alias("score"))
 
 
 def ranked(scores: DataFrame, k: int, *tie: Column | str) -> DataFrame:
@@ -88,16 +85,26 @@ def equal_filters(module: str | None = None, category: str | None = None) -> Col
     return out
 
 
-def bm25_search(corpus: DataFrame, questions: DataFrame, k: int, *, module: str | None = None, category: str | None = None) -> DataFrame:
-    """``query_id, rank, ord, score``: filters apply after scoring."""
-    allowed = corpus.filter(equal_filters(module, category)).select("ord")
-    return ranked(bm25_scores(corpus, questions).join(allowed, "ord", "left_semi"), k)
+def bm25_search(corpus: DataFrame, questions: DataFrame, k: int, *, module: str | None = None, category: str | None = None, index: KeywordIndex | None = None) -> DataFrame:
+    """``query_id, rank, ord, score``: filters apply after scoring. With a stored ``index`` of the texts they aren't read."""
+    filtered = any(x is not None and x.lower() != "all" for x in (module, category))
+    allowed = corpus.filter(equal_filters(module, category)).select(F.col("ord").cast("long").alias("ord"))
+    if index is not None:
+        return keyword_index.search(index, questions, k, allowed=allowed if filtered else None)
+    scores = bm25_scores(corpus, questions)
+    return ranked(scores.join(allowed, "ord", "left_semi") if filtered else scores, k)
 
 
-def title_search(corpus: DataFrame, questions: DataFrame, k: int, *, module: str | None = None, category: str | None = None) -> DataFrame:
-    """``query_id, rank, ord, score`` by titles: statistics by row, results one row (the page's first) for each page."""
-    rows = corpus.filter(equal_filters(module, category)).select("ord", "url", page_key(F.col("url"), F.col("title")).alias("page"), position_key(F.col("chunk_position"), F.col("chunk_id")).alias("at"))
+def title_search(corpus: DataFrame, questions: DataFrame, k: int, *, module: str | None = None, category: str | None = None, index: KeywordIndex | None = None) -> DataFrame:
+    """``query_id, rank, ord, score`` by titles: statistics by row, results one row (the page's first) for each page.
+
+    A page is its address or, for rows without one, the row's ``file``. ``index`` may be a stored one of the titles.
+    """
+    file = F.coalesce(F.col("file"), F.lit("")) if "file" in corpus.columns else F.lit("")
+    rows = corpus.filter(equal_filters(module, category)).select(F.col("ord").cast("long").alias("ord"), "url", page_key(F.col("url"), file).alias("page"), position_key(F.col("chunk_position"), F.col("chunk_id")).alias("at"))
     first = rows.groupBy("page").agg(F.min_by(F.struct("ord", "url"), F.struct("at", "ord")).alias("r")).select("r.ord", "r.url")
+    if index is not None:
+        return keyword_index.search(index, questions, k, allowed=first, tie=("url", "ord"))
     return ranked(bm25_scores(corpus, questions, "title").join(first, "ord"), k, "url", "ord").select("query_id", "rank", "ord", "score")
 
 
@@ -124,53 +131,58 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def units(vectors: list, width: int) -> np.ndarray:
+    """Vectors of ``width`` numbers with length 1; those that have another width, or no direction, are NaN."""
+    v = np.array([x if x is not None and len(x) == width else [np.nan] * width for x in vectors], np.float64).reshape(len(vectors), width)
+    with np.errstate(all="ignore"):
+        return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
 def dense_search(vectors: DataFrame, questions: DataFrame, k: int, allowed: Column | None = None) -> DataFrame:
     """``query_id, rank, ord, score``: exact nearest by cosine of ``vectors(ord, embedding)`` to ``questions(query_id, q_vec)``.
 
-    A batch of at most ``BROADCAST_QUESTIONS`` questions is sent to every task, which multiplies it with blocks of its vectors and keeps
-    ``k`` rows a question of each block; larger batches are cut into lots of that size. Vectors of another length than the questions' take no part.
+    A lot of at most ``BROADCAST_QUESTIONS`` questions is sent to every task, which multiplies it with blocks of its vectors and keeps the
+    ``k`` best of each question over all of them; larger batches are cut into lots of that size. Vectors of another length than the questions' take no part.
     """
     side = vectors if allowed is None else vectors.filter(allowed)
     side = side.filter(F.col("embedding").isNotNull()).select(F.col("ord").cast("long").alias("ord"), F.col("embedding").cast("array<double>").alias("v"))
     asked = questions.filter(F.col("q_vec").isNotNull()).select("query_id", F.col("q_vec").cast("array<double>").alias("q"))
     kind = asked.schema["query_id"].dataType.simpleString()
-    n, found = asked.count(), None
-    lots = -(-n // BROADCAST_QUESTIONS)
-    for lot in range(max(1, lots)):
-        part = asked if lots <= 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(lots)) == lot)
+    found = None
+    for part in lots(asked):
         one = side.mapInArrow(_multiplied(part, k), f"query_id {kind}, ord long, score double")
         found = one if found is None else found.unionByName(one)
     return ranked(found, k)
 
 
-def _multiplied(asked: DataFrame, k: int):
-    """For Arrow batches of vectors, the ``k`` best of each block for each question."""
+def lots(asked: DataFrame) -> list[DataFrame]:
+    """Questions in lots that may be broadcast, of about ``BROADCAST_QUESTIONS`` rows."""
+    n = -(-asked.count() // BROADCAST_QUESTIONS)
+    return [asked] if n <= 1 else [asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+
+
+def gathered(asked: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    """Ids and unit vectors of a lot; of the lengths of vectors, the longest counts."""
     rows = asked.toArrow()
-    names = rows["query_id"].combine_chunks()
     flat = rows["q"].to_pylist()
     width = max(map(len, flat), default=0)
-    q = np.array([v for v in flat if len(v) == width], np.float64).reshape(-1, width)
-    names = names.filter(pa.array([len(v) == width for v in flat], pa.bool_()))
-    size = np.sqrt((q * q).sum(1, keepdims=True))
-    sent = asked.sparkSession.sparkContext.broadcast((np.divide(q, size, out=np.full_like(q, np.nan), where=size > 0), names))
+    fits = [len(v) == width for v in flat]
+    return rows["query_id"].combine_chunks().filter(pa.array(fits, pa.bool_())), units([v for v, f in zip(flat, fits, strict=True) if f], width)
+
+
+def _multiplied(asked: DataFrame, k: int):
+    """For Arrow batches of vectors, the ``k`` best of a task for each question."""
+    names, q = gathered(asked)
+    sent = asked.sparkSession.sparkContext.broadcast((q, names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, named = sent.value
+        q, names = sent.value
+        best, every = Best(len(q), k), np.arange(len(q))
         for whole in batches:
             for b in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
-                vectors = [v if v is not None and len(v) == width else [np.nan] * width for v in b["v"].to_pylist()]
-                v = np.array(vectors, np.float64).reshape(-1, width)
-                ids = b["ord"].to_numpy(zero_copy_only=False)
-                with np.errstate(all="ignore"):
-                    score = np.round(unit @ (v / np.sqrt((v * v).sum(1, keepdims=True))).T, 9)
-                for lo in range(0, len(score), 256):
-                    part = score[lo : lo + 256]
-                    worst = np.where(np.isnan(part), np.inf, -part)
-                    take = min(k, part.shape[1])
-                    # all that tie with the last of the best are kept: the order of ord decides later
-                    last = np.partition(worst, take - 1, axis=1)[:, take - 1 : take]
-                    at, j = np.nonzero((worst <= last) & np.isfinite(worst))
-                    yield pa.RecordBatch.from_arrays([named.take(pa.array(at + lo)), pa.array(ids[j]), pa.array(part[at, j])], ["query_id", "ord", "score"])
+                score = np.round(q @ units(b["v"].to_pylist(), q.shape[1]).T, 9)
+                best.add(every, np.where(np.isnan(score), np.inf, -score), b["ord"].to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(best.q)), pa.array(best.ord), pa.array(-best.worst)], ["query_id", "ord", "score"])
 
     return run
 
@@ -178,14 +190,47 @@ def _multiplied(asked: DataFrame, k: int):
 def max_sim(query_vectors: DataFrame, doc_vectors: DataFrame) -> DataFrame:
     """``query_id, doc_id, score``: each question vector's best dot product with the document's vectors, added up.
 
-    From ``query_vectors(query_id, q_pos, q_vec)``, broadcast up to ``BROADCAST_QUESTIONS`` of them, and ``doc_vectors(doc_id, d_vec)``, which should be
-    those of the fused pool. With a ``query_id`` in ``doc_vectors`` each question meets its own candidates only.
+    From ``query_vectors(query_id, q_pos, q_vec)`` and ``doc_vectors(doc_id, d_vec)``, which should be those of the fused pool. With a ``query_id`` in
+    ``doc_vectors`` each question meets its own candidates only, by a join. Without, all question vectors are sent to every task in lots
+    and multiplied with blocks of vectors; a block gives one row for each question vector and document.
     """
-    few = query_vectors.count() <= BROADCAST_QUESTIONS
-    asked = F.broadcast(query_vectors) if few else query_vectors
-    met = doc_vectors.join(asked, "query_id") if "query_id" in doc_vectors.columns else doc_vectors.crossJoin(asked)
-    pairs = met.select("query_id", "q_pos", "doc_id", dot(F.col("q_vec"), F.col("d_vec")).alias("s"))
-    return pairs.groupBy("query_id", "doc_id", "q_pos").agg(F.max("s").alias("best")).groupBy("query_id", "doc_id").agg(F.round(F.sum("best"), 9).alias("score"))
+    if "query_id" in doc_vectors.columns:
+        best = doc_vectors.join(query_vectors, "query_id").select("query_id", "q_pos", "doc_id", dot(F.col("q_vec"), F.col("d_vec")).alias("s"))
+    else:
+        best = None
+        side = doc_vectors.select("doc_id", F.col("d_vec").cast("array<double>").alias("v")).filter("v IS NOT NULL")
+        asked = query_vectors.filter(F.col("q_vec").isNotNull()).select("query_id", "q_pos", F.col("q_vec").cast("array<double>").alias("q"))
+        kinds = ", ".join(f"{c} {f.schema[c].dataType.simpleString()}" for c, f in (("query_id", asked), ("q_pos", asked), ("doc_id", side)))
+        for part in lots(asked):
+            one = side.mapInArrow(_best_products(part), f"{kinds}, s double")
+            best = one if best is None else best.unionByName(one)
+    return best.groupBy("query_id", "doc_id", "q_pos").agg(F.max("s").alias("best")).groupBy("query_id", "doc_id").agg(F.round(F.sum("best"), 9).alias("score"))
+
+
+def _best_products(asked: DataFrame):
+    """For Arrow batches of documents' vectors, the best product of each question vector with those of one document in a block."""
+    rows = asked.toArrow()
+    q = np.array(rows["q"].to_pylist(), np.float64).reshape(rows.num_rows, -1)
+    sent = asked.sparkSession.sparkContext.broadcast((q, rows["query_id"].combine_chunks(), rows["q_pos"].combine_chunks()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, names, places = sent.value
+        for whole in batches:
+            for b in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
+                if not len(q) or not b.num_rows:
+                    continue
+                docs = b["doc_id"].dictionary_encode()
+                of = docs.indices.fill_null(len(docs.dictionary)).to_numpy(zero_copy_only=False)
+                order = np.argsort(of, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0])
+                v = np.array(b["v"].to_pylist(), np.float64).reshape(-1, q.shape[1])[order]
+                top = np.maximum.reduceat(q @ v.T, starts, axis=1)
+                n, m = top.shape
+                doc = b["doc_id"].take(pa.array(order[starts])).take(pa.array(np.tile(np.arange(m), n)))
+                at = pa.array(np.repeat(np.arange(n), m))
+                yield pa.RecordBatch.from_arrays([names.take(at), places.take(at), doc, pa.array(top.ravel())], ["query_id", "q_pos", "doc_id", "s"])
+
+    return run
 
 
 def fuse(lists: DataFrame, key: list[str], k: int | None = None, rrf_k: int = 60) -> DataFrame:
@@ -239,24 +284,40 @@ def spend_budget(candidates: DataFrame, budget: int) -> DataFrame:
     return folded.select("query_id", "o.rank", "o.ord", "o.spent")
 
 
-def rebuild(parts: DataFrame, key: str = "section_id", overlap: int = 500) -> DataFrame:
-    """``<key>, text`` from ``(key, title, content, chunk_position, ord)``: fragments in order, without repeated titles and overlaps.
+def joined(parts: list[tuple[str | None, str | None]], overlap: int = 500) -> str:
+    """One text from (title, content) in order: a title repeated at the head of a fragment goes, and the longest beginning, of ``overlap`` characters at most, that ends what is there already.
 
-    A fragment's longest beginning of at most ``overlap`` characters that ends what is there already is left out.
+    Only the last ``overlap`` characters of what is there are looked at, so the time is linear in the text.
     """
+    out: list[str] = []
+    tail = ""
+    for title, content in parts:
+        body, head = content or "", f"{title or ''}\n\n"
+        if tail and body.startswith(head):
+            body = body[len(head) :]
+        at = tail.find(body[0], max(0, len(tail) - len(body))) if body else -1
+        while at >= 0 and not body.startswith(tail[at:]):
+            at = tail.find(body[0], at + 1)
+        new = body[len(tail) - at :] if at >= 0 else body
+        out.append(new)
+        tail = (tail + new)[-overlap:]
+    return "".join(out)
+
+
+def rebuild(parts: DataFrame, key: str = "section_id", overlap: int = 500) -> DataFrame:
+    """``<key>, ord, text`` from ``(key, title, content, chunk_position, ord)``: fragments in order, see :func:`joined`."""
     at = F.coalesce(F.substring_index(F.coalesce("chunk_position", F.lit("")), "/", 1).try_cast("int"), F.lit(0))
     frags = F.array_sort(F.collect_list(F.struct(at.alias("at"), "ord", F.col("title"), F.col("content"))))
+    out = parts.groupBy(key).agg(frags.alias("frags"), F.min("ord").alias("ord")).select(key, "ord", F.col("frags.title").alias("titles"), F.col("frags.content").alias("contents"))
 
-    def step(acc: Column, x: Column) -> Column:
-        head = F.concat(F.coalesce(x["title"], F.lit("")), F.lit("\n\n"))
-        body = F.when((acc != "") & x["content"].startswith(head), F.substr(x["content"], F.length(head) + 1)).otherwise(x["content"])
-        most = F.least(F.lit(overlap), F.length(acc), F.length(body))
-        # of sizes from the largest to 1, the first at which the two agree
-        size = F.coalesce(F.get(F.filter(F.when(most > 0, F.sequence(most, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>")), lambda n: F.right(acc, n) == F.left(body, n)), F.lit(0)), F.lit(0))
-        return F.concat(acc, F.substr(body, size + 1))
-
-    out = parts.groupBy(key).agg(frags.alias("frags"), F.min("ord").alias("ord"))
-    return out.select(key, "ord", strip(F.aggregate("frags", F.lit(""), step)).alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                made = [joined(list(zip(t, c, strict=True)), overlap) for t, c in zip(b["titles"].to_pylist(), b["contents"].to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b[key], b["ord"], pa.array(made, pa.string())], [key, "ord", "text"])
+
+    kinds = ", ".join(f"`{c}` {out.schema[c].dataType.simpleString()}" for c in (key, "ord"))
+    return out.mapInArrow(run, f"{kinds}, text string").withColumn("text", strip(F.col("text")))
 
 
 def rebuild_pages(parts: DataFrame) -> DataFrame:

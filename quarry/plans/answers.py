@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import declares, preview, qualified_name, strip
 from quarry.operators import retrieval as R
+from quarry.operators.keyword_index import KeywordIndex
 from quarry.plans.config import Settings
+from quarry.sources.store import stored
 
 Texts = Callable[[list[str]], list[str]]
 Scorer = Callable[[list[str], list[str]], list[float]]
@@ -64,11 +66,13 @@ def embedded(questions: DataFrame, embed: Callable[[list[str]], list[list[float]
 def retrieve(
     corpus: DataFrame, questions: DataFrame, settings: Settings, *, dense: DataFrame | None = None, vectors: DataFrame | None = None,
     embed: Callable[[list[str]], list[list[float]]] | None = None, rewrite: Texts | None = None, deep_dive: bool = False, module: str | None = None, category: str | None = None,
+    texts: KeywordIndex | None = None, titles: KeywordIndex | None = None,
 ) -> DataFrame:
     """``query_id, rank, ord``: the fused pool of the channels that are switched on; a single channel is left as it is.
 
     ``dense`` is the vector channel's ranked list, if there is one, or it is made from ``vectors(ord, embedding)`` with the ``embed`` model,
-    for the text that ``rewrite`` makes of the question where that is switched on. Keywords always are the question's own.
+    for the text that ``rewrite`` makes of the question where that is switched on. Keywords always are the question's own; with stored indexes
+    of ``texts`` and ``titles`` the corpus's texts aren't read for them.
     """
     depth, pool = settings.depth(deep_dive=deep_dive)
     if dense is None and vectors is not None and embed is not None:
@@ -77,9 +81,9 @@ def retrieve(
         dense = R.dense_search(vectors.join(allowed, "ord", "left_semi"), embedded(asked, embed), depth)
     lists = [] if dense is None else [dense.filter(F.col("rank") < depth)]
     if (settings.bm25_enabled and not (deep_dive and lists)) or dense is None:
-        lists.append(R.bm25_search(corpus, questions, depth, module=module, category=category))
+        lists.append(R.bm25_search(corpus, questions, depth, module=module, category=category, index=texts))
         if settings.title_boost_enabled:
-            lists.append(R.title_search(corpus, questions, 10, module=module, category=category))
+            lists.append(R.title_search(corpus, questions, 10, module=module, category=category, index=titles))
     if len(lists) == 1:
         return lists[0].select("query_id", "rank", "ord").filter(F.col("rank") < pool)
     return fused(corpus, lists, pool)
@@ -102,6 +106,7 @@ def _field(corpus: DataFrame, name: str) -> Column:
 
 def representatives(corpus: DataFrame, pool: DataFrame, *, questions: DataFrame | None = None, scorer: Scorer | None = None) -> DataFrame:
     """``query_id, rank, ord, section_id``: copies of a symbol collapsed (the one on its declaring page stands for all), reranked or not, one row a section."""
+    pool = stored(pool.select("query_id", "rank", "ord"), "pool")
     rows = pool.join(corpus.select("ord", "content", _field(corpus, "anchor_id"), _field(corpus, "hierarchy"), _field(corpus, "url")), "ord")
     one = R.collapse_copies(rows.withColumn("declares", declares(F.col("url"), F.col("hierarchy")))).select("query_id", "rank", "ord")
     if scorer is not None and questions is not None:
@@ -111,14 +116,22 @@ def representatives(corpus: DataFrame, pool: DataFrame, *, questions: DataFrame
     return one.withColumn("rank", (F.row_number().over(place) - 1).cast("int")).select("query_id", "rank", "ord", "section_id")
 
 
+def _sections(corpus: DataFrame, one: DataFrame) -> DataFrame:
+    """The rows of the corpus in the sections of ``one``; a corpus stored by :func:`quarry.sources.files.write_sections` isn't moved for that."""
+    wanted = one.filter(F.coalesce("section_id", F.lit("")) != "").select(F.col("section_id").alias("w_section")).distinct()
+    key = "section_key" if "section_key" in corpus.columns else "section_id"
+    return corpus.join(wanted, F.col(key) == F.col("w_section"), "left_semi")
+
+
 def select_context(corpus: DataFrame, pool: DataFrame, settings: Settings, *, questions: DataFrame | None = None, scorer: Scorer | None = None) -> DataFrame:
     """``query_id, rank, ord, content``: the first representatives, each its whole section where the budget lasts, else the corpus's ``section_text`` or the chunk.
 
-    Only sections of the representatives are put together.
+    Only sections of the representatives are put together. The representatives are written before they meet the corpus, so that Spark knows
+    their size, and sends them to the corpus where they are few.
     """
-    one = representatives(corpus, pool, questions=questions, scorer=scorer).filter(F.col("rank") < settings.top_n_after_rerank)
-    met = corpus.join(one.select("section_id").distinct(), "section_id", "left_semi")
-    sections = R.rebuild(met).select("section_id", F.col("text").alias("section"))
+    one = stored(representatives(corpus, pool, questions=questions, scorer=scorer).filter(F.col("rank") < settings.top_n_after_rerank), "representatives")
+    met = _sections(corpus, one)
+    sections = R.rebuild(met, "section_key" if "section_key" in corpus.columns else "section_id").toDF("section_id", "s_ord", "section").drop("s_ord")
     full = one.join(sections, "section_id", "left").join(corpus.select("ord", "content", _field(corpus, "section_text")), "ord")
     known = F.coalesce(F.nullif("section_id", F.lit("")).isNotNull() & (F.coalesce("section", F.lit("")) != ""), F.lit(False))
     full = full.withColumns({"full": F.when(known, F.length("section")), "capped": F.length("section_text")})
@@ -183,12 +196,13 @@ def expand_pages(corpus: DataFrame, pool: DataFrame, *, top_n: int = 5, char_bud
 def page_of(rows: DataFrame, page_index: DataFrame) -> DataFrame:
     """``rows`` with ``filepath`` of the page that their ``url`` is on, by the last two parts of the address, else by the bare name; rows of no known page go.
 
-    Of pages with the same two parts the last path counts, of those with the same name the first. The index has a row for each page, a
-    small share of the chunks; Spark broadcasts it where its size allows.
+    Of pages with the same two parts the last row of the index counts, of those with the same name the first: in the order of its column ``ord``, or of its
+    paths where it has none. The index has a row for each page, a small share of the chunks; Spark broadcasts it where its size allows.
     """
-    index = page_index.select("filepath", qualified_name(F.col("filepath")).alias("full"), F.col("filename").alias("bare"))
-    full = index.groupBy("full").agg(F.max("filepath").alias("p1"))
-    bare = index.groupBy("bare").agg(F.min("filepath").alias("p2"))
+    at = F.col("ord") if "ord" in page_index.columns else F.col("filepath")
+    index = page_index.select("filepath", qualified_name(F.col("filepath")).alias("full"), F.col("filename").alias("bare"), F.struct(at, F.col("filepath")).alias("at"))
+    full = index.groupBy("full").agg(F.max_by("filepath", "at").alias("p1"))
+    bare = index.groupBy("bare").agg(F.min_by("filepath", "at").alias("p2"))
     met = rows.withColumn("full", qualified_name(F.col("url"))).withColumn("bare", F.substring_index("full", "/", -1))
     met = met.join(full, "full", "left").join(bare, "bare", "left").withColumn("filepath", F.coalesce("p1", "p2"))
     return met.filter(F.col("filepath").isNotNull()).drop("full", "bare", "p1", "p2")
@@ -197,17 +211,18 @@ def page_of(rows: DataFrame, page_index: DataFrame) -> DataFrame:
 def search_pages(
     corpus: DataFrame, page_index: DataFrame, questions: DataFrame, k: int = 50, *, dense: DataFrame | None = None, title_boost: bool = False,
     exclude: list[str] | None = None, scorer: Scorer | None = None, by_section: bool = False, top_n: int = 5, char_budget: int = 15000,
+    texts: KeywordIndex | None = None, titles: KeywordIndex | None = None,
 ) -> DataFrame:
     """``query_id, rank, filepath`` of the ``k`` best pages, by all channels four times as deep, fused whole, copies of symbols collapsed.
 
     A page stands where its first chunk does, or by the score of that chunk. With ``by_section`` the results are ``top_n`` expanded
-    sections, at most one for each page, with ``section_id`` and ``section_text``.
+    sections, at most one for each page, with ``section_id`` and ``section_text``. ``texts`` and ``titles`` may be stored keyword indexes.
     """
     deep = 4 * k
     lists = [] if dense is None else [dense.filter(F.col("rank") < deep)]
-    lists.append(R.bm25_search(corpus, questions, deep))
+    lists.append(R.bm25_search(corpus, questions, deep, index=texts))
     if title_boost:
-        lists.append(R.title_search(corpus, questions, deep))
+        lists.append(R.title_search(corpus, questions, deep, index=titles))
     pool = lists[0].select("query_id", "rank", "ord") if len(lists) == 1 else fused(corpus, lists)
     if by_section:
         found = expand_pages(corpus, pool, top_n=top_n, char_budget=char_budget, questions=questions, scorer=scorer).withColumnRenamed("text", "section_text")

@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
+from quarry.functions import sql
 from quarry.operators import chunking, extraction, grounding
 from quarry.operators import evaluation as E
+from quarry.operators import keyword_index, vector_index
 from quarry.operators import retrieval as R
 from quarry.plans import answers as A
 from quarry.plans.config import Settings
 from quarry.sources import files
+from quarry.sources import store
 from quarry.sources import tables as T
+from quarry.streaming import trials
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,14 +89,39 @@ def bm25_title_pages(spark, d):
     return shown(R.title_search(T.corpus(spark, d), T.questions(spark, d), 10))
 
 
-@query(f"""WITH {CORPUS}, n AS (SELECT count(*) AS n FROM corpus), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOK.format("content")})) AS term FROM corpus) GROUP BY term),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf0 FROM df, n), mean AS (SELECT avg(idf0) AS m FROM raw)
-SELECT term, df, round(CASE WHEN idf0 >= 0 THEN idf0 ELSE 0.25 * m END, 6) AS idf FROM raw, mean""")
+@query(f"""WITH {CORPUS}, df AS (SELECT term, count(DISTINCT ord) AS df FROM (SELECT ord, unnest({TOK.format("content")}) AS term FROM corpus) GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln((SELECT count(*) FROM corpus) - df + 0.5) - ln(df + 0.5) AS idf0 FROM df)
+SELECT term, df, round(CASE WHEN idf0 >= 0 THEN idf0 ELSE 0.25 * (SELECT avg(idf0) FROM raw) END, 6) AS idf FROM raw""")
 def idf_table(spark, d):
     """§2.6.1: document frequency and floored weight of each word."""
     return R.idf_table(T.corpus(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def text_index(spark, d, text="content"):
+    """A keyword index of the corpus, in the shared folder."""
+    path = store.shared_path(spark, f"{text}-index")
+    keyword_index.write_index(T.corpus(spark, d), path, text)
+    return keyword_index.open_index(spark, path)
+
+
+@query(ORACLES["bm25_topk"])
+def bm25_index_topk(spark, d):
+    """The ten best documents for each question, from a stored inverted index whose blocks are passed over by their maxima."""
+    return shown(keyword_index.search(text_index(spark, d), T.questions(spark, d), 10))
+
+
+@query(ORACLES["bm25_filtered_topk"])
+def bm25_index_filtered_topk(spark, d):
+    """The same, statistics of all documents, results of one module and category."""
+    return shown(R.bm25_search(T.corpus(spark, d), T.questions(spark, d), 10, module="src7", category="en", index=text_index(spark, d)))
+
+
+@query(ORACLES["bm25_title_pages"])
+def title_index_pages(spark, d):
+    """The ten best pages by title for each question, from a stored index of titles."""
+    return shown(R.title_search(T.corpus(spark, d), T.questions(spark, d), 10, index=text_index(spark, d, "title")))
+
+
 @query(f"WITH {CORPUS} SELECT ord, len({TOK.format('content')}) AS dl FROM corpus")
 def doc_lengths(spark, d):
     """words of each document."""
@@ -120,6 +149,26 @@ def dense_filtered_topk(spark, d):
     return shown(R.dense_search(*vectors(spark, d), 10, F.col("label") == 3))
 
 
+def cells(spark, d):
+    """A vector index of ``embeddings``, in the shared folder, and its questions."""
+    v, q = vectors(spark, d)
+    path = store.shared_path(spark, "vector-index")
+    vector_index.write_index(v, path, cells=32, keep=("label",))
+    return vector_index.open_index(spark, path), q
+
+
+@query(ORACLES["dense_topk"])
+def vector_index_topk(spark, d):
+    """The ten nearest vectors by cosine, from a stored index of cells, all of which are read."""
+    return shown(vector_index.search(*cells(spark, d), 10))
+
+
+@query(ORACLES["dense_filtered_topk"])
+def vector_index_filtered_topk(spark, d):
+    """The same with a filter on the stored rows."""
+    return shown(vector_index.search(*cells(spark, d), 10, allowed=F.col("label") == 3))
+
+
 @query("""WITH q AS (SELECT label AS query_id, vec_id AS q_pos, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0)
 SELECT query_id, doc_id, round(sum(best), 6) AS score FROM (
   SELECT query_id, q_pos, label AS doc_id, max(list_dot_product(q, embedding::DOUBLE[])) AS best FROM q, embeddings GROUP BY ALL) GROUP BY ALL""")
@@ -292,11 +341,29 @@ def page_index(c):
     return c.groupBy(path.alias("filepath")).agg(F.min_by("title", "ord").alias("title"), F.min("module").alias("module"), F.min("doc_category").alias("doc_category")).withColumn("filename", C.file_name(F.col("filepath")))
 
 
-@query(None)
+@query(f"""{BODY.replace('WITH corpus', 'WITH RECURSIVE corpus', 1)}, {SECTIONS}, found AS (SELECT * FROM ({RANKED} body_score) WHERE rank < 60),
+whole_pages AS (SELECT split_part(section_id, '#', 1) AS page, trim(string_agg(text, chr(10) || chr(10) ORDER BY ord), {WHITE_SQL}) AS page_text FROM sections WHERE text <> '' GROUP BY 1),
+copies AS (SELECT query_id, sha1(content) AS h, min(rank) AS spot, arg_min(ord, rank) AS ord FROM found JOIN corpus USING (ord) GROUP BY ALL),
+firsts AS (SELECT query_id, spot, ord, section_id, content FROM copies JOIN corpus USING (ord) QUALIFY row_number() OVER (PARTITION BY query_id, section_id ORDER BY spot, ord) = 1),
+cand AS (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY spot) AS k, split_part(section_id, '#', 1) AS page, page_text, s.text AS section, coalesce(length(page_text), 0) AS whole, coalesce(length(s.text), 0) AS full_n
+  FROM firsts f LEFT JOIN whole_pages p ON p.page = split_part(f.section_id, '#', 1) LEFT JOIN sections s USING (section_id)),
+choice AS (SELECT *, whole > 0 AND whole <= 8000 AS short FROM cand),
+fold AS (
+  SELECT DISTINCT query_id, 0::BIGINT AS k, 15000::BIGINT AS rest, []::VARCHAR[] AS seen, 0 AS n, NULL::VARCHAR AS took FROM choice
+  UNION ALL
+  SELECT query_id, k, rest - CASE took WHEN 'page' THEN whole WHEN 'section' THEN full_n ELSE 0 END, CASE WHEN n < 5 AND short THEN list_append(seen, page) ELSE seen END, n + (took IS NOT NULL)::INT, took
+  FROM (SELECT f.query_id, c.k, f.rest, f.seen, f.n, c.short, c.whole, c.full_n, c.page,
+          CASE WHEN f.n >= 5 OR (c.short AND list_contains(f.seen, c.page)) THEN NULL WHEN c.short THEN CASE WHEN c.whole <= f.rest THEN 'page' END WHEN c.full_n > 0 AND c.full_n <= f.rest THEN 'section' ELSE 'chunk' END AS took
+        FROM fold f JOIN choice c ON c.query_id = f.query_id AND c.k = f.k + 1)),
+taken AS (SELECT c.query_id, c.page, row_number() OVER (PARTITION BY c.query_id ORDER BY c.k) AS i, CASE took WHEN 'page' THEN page_text WHEN 'section' THEN section ELSE content END AS text
+  FROM choice c JOIN fold f ON f.query_id = c.query_id AND f.k = c.k WHERE took IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c.query_id, c.page ORDER BY c.k) = 1),
+about AS (SELECT split_part(url, '#', 1) AS page, arg_min(title, ord) AS title, min(module) AS module, min(doc_category) AS doc_category FROM corpus GROUP BY 1),
+items AS (SELECT query_id, i, '[' || (row_number() OVER (PARTITION BY query_id ORDER BY i))::VARCHAR || '] ' || split_part(page, '/', -1) || ' | ' || title || ' | ' || module || '/' || doc_category || chr(10) || coalesce(text, '') AS item FROM taken JOIN about USING (page))
+SELECT query_id, length(l) AS n_chars, sha256(l) AS sha256 FROM (SELECT query_id, string_agg(item, chr(10) || chr(10) ORDER BY i) AS l FROM items GROUP BY query_id)""")
 def page_search_sections(spark, d):
     """The sections or short pages found for each question, as a numbered listing."""
     c = T.corpus(spark, d)
-    found = A.search_pages(c, page_index(c), T.questions(spark, d), 15, by_section=True)
+    found = A.search_pages(c, page_index(c), T.questions(spark, d), 15, by_section=True, texts=text_index(spark, d))
     return A.listing(found, page_index(c)).select("query_id", F.length("listing").alias("n_chars"), F.sha2("listing", 256).alias("sha256"))
 
 
@@ -428,6 +495,15 @@ def char_chunks(spark, d):
     return chunking.chunk_rows(T.read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "pos", F.when(F.col("total") > 1, F.length("chunk")).otherwise(F.length(F.btrim("chunk", F.lit(" \n\t\r")))).alias("n_chars"))
 
 
+@query(ORACLES["char_chunks"])
+def sql_char_chunks(spark, d):
+    """The same by a table function in Spark SQL."""
+    sql.register(spark)
+    T.read(spark, d, "documents").createOrReplaceTempView("quarry_documents")
+    white = " \\n\\t\\r"
+    return spark.sql(f"""SELECT d.doc_id, c.pos, CASE WHEN c.total > 1 THEN length(c.chunk) ELSE length(btrim(c.chunk, '{white}')) END AS n_chars FROM quarry_documents d, LATERAL chunk_text(d.text, 1000, 200) c""")
+
+
 @query(f"WITH {CHUNKS.format(end=END)} SELECT source, count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM cuts JOIN documents USING (doc_id) GROUP BY source")
 def chunk_stats(spark, d):
     """Chunks of each module."""
@@ -563,6 +639,23 @@ def scores_by_tag(spark, d):
     return E.by_dimensions(T.facts(spark, d).withColumn("level", F.col("question_id") % 3), ["mode", "level"])
 
 
+TAGS = """CASE question_id % 4 WHEN 0 THEN ['Easy', 'En', 'howto', 'm' || (question_id % 5)::VARCHAR, 'core'] WHEN 1 THEN ['hard', 'api'] WHEN 2 THEN ['Fr'] ELSE [] END"""
+
+
+@query(f"""WITH {FACTS}, t AS (SELECT * REPLACE (floor(score) AS score), {TAGS} AS tags FROM facts), r AS (SELECT *, list_filter(tags, lambda x: lower(x) NOT IN ('easy', 'medium', 'hard') AND x NOT IN ('Fr', 'En')) AS others FROM t),
+x AS (SELECT run, metric, score, 'difficulty' AS dimension, coalesce(list_filter(tags, lambda x: lower(x) IN ('easy', 'medium', 'hard'))[1], 'unspecified') AS label FROM r
+  UNION ALL SELECT run, metric, score, 'language', coalesce(list_filter(tags, lambda x: x IN ('Fr', 'En'))[1], 'unspecified') FROM r
+  UNION ALL SELECT run, metric, score, 'type', coalesce(others[1], CASE WHEN len(tags) = 0 THEN 'untagged' ELSE 'unspecified' END) FROM r
+  UNION ALL SELECT run, metric, score, 'module', unnest(CASE WHEN len(others) > 1 THEN others[2:] ELSE ['unspecified'] END) FROM r)
+SELECT run, metric, dimension, label, round(avg(score), 6) AS mean_score, count(*) AS n FROM x GROUP BY ALL""")
+def scores_by_question_tags(spark, d):
+    """Means along what the questions' own tags say."""
+    i = F.col("question_id") % 4
+    tags = F.when(i == 0, F.array(F.lit("Easy"), F.lit("En"), F.lit("howto"), F.concat(F.lit("m"), (F.col("question_id") % 5).cast("string")), F.lit("core")))
+    tags = tags.when(i == 1, F.array(F.lit("hard"), F.lit("api"))).when(i == 2, F.array(F.lit("Fr"))).otherwise(F.array().cast("array<string>"))
+    return E.by_tags(T.facts(spark, d).withColumns({"tags": tags, "score": F.floor("score").cast("double")}))
+
+
 @query(f"WITH {FACTS}, m AS (SELECT run, metric, avg(score) AS m FROM facts GROUP BY ALL) SELECT run, metric, round(m - avg(m) OVER (PARTITION BY metric), 6) AS deviation FROM m")
 def deviation_matrix(spark, d):
     """Deviation of each run from the mean."""
@@ -597,6 +690,16 @@ def percentile_prune(spark, d):
     return E.prune(m)
 
 
+@query(ORACLES["percentile_prune"])
+def streamed_prune(spark, d):
+    """The same decisions from a stream of answers with keyed state."""
+    rows = T.read(spark, d, "events").select(F.col("user_id").alias("trial"), F.col("event_id").alias("at"), "value")
+    path, out = store.shared_path(spark, "answers"), store.shared_path(spark, "steps")
+    rows.write.parquet(path)
+    trials.start(spark.readStream.schema(rows.schema).parquet(path), out, store.shared_path(spark, "stream")).awaitTermination()
+    return trials.decisions(spark, out)
+
+
 @query("SELECT user_id AS trial, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd, count(*) AS runs FROM events GROUP BY user_id")
 def validation_mean_sd(spark, d):
     """Mean and deviation of repeated runs."""
