@@ -47,7 +47,10 @@ def acquire(spark: SparkSession, lock: str, stale: float) -> bool:
     me = uuid.uuid4().hex
     if not files.exists(at(lock)):
         files.create(at(f"{lock}.{me}/{me}"), True).close()
-        files.rename(at(f"{lock}.{me}"), at(lock))
+        try:
+            files.rename(at(f"{lock}.{me}"), at(lock))
+        except Exception:  # another one made or removed the lock while we were renaming
+            files.delete(at(f"{lock}.{me}"), True)
         if files.exists(at(f"{lock}/{me}")):
             return True
         files.delete(at(f"{lock}/{lock.rsplit('/', 1)[-1]}.{me}"), True)
