@@ -2,9 +2,8 @@
 
 quality classifier -> line dedup -> near-dedup -> mixing to target weights -> best-fit packing
 
-Every stage but the last returns the columns of ``documents``. Rows that share a doc_id are documents of
-their own up to the near-dedup, after which a doc_id is in one row (rows without a doc_id stay documents of their own); null texts are empty texts; an empty table
-passes through as an empty table; other columns are dropped by the first stage, whatever their names.
+Every stage but the last returns the columns of ``documents``. Rows that share a doc_id, or have none, are documents of
+their own, told apart by their texts; null texts are empty texts; an empty table passes through as an empty table; other columns are dropped by the first stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,12 +44,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each component of near copies, the document with the smallest doc_id.
 
     The SimHash trie join finds the pairs, by shingles of ``WORDS`` words; those are near copies whose shingles are ``SIMILAR`` % alike (Jaccard).
-    Rows are told apart by doc_id and text; of kept rows that share a doc_id, other than null, one stays.
+    Rows are told apart by doc_id and text: other texts of one doc_id stay, rows with the same doc_id and text are one.
     """
     docs = docs.select(COLUMNS)
     row = F.xxhash64("doc_id", text_key(F.col("text")))
     first = similar_documents(docs, words=WORDS, percent=SIMILAR).groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.*")
-    first = first.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("key"))).agg(F.min("key").alias("key"))
     kept = docs.withColumn("row", row).join(first.select(F.xxhash64("doc_id", "key").alias("f_row")), F.col("row") == F.col("f_row"), "left_semi")
     same = Window.partitionBy("row").orderBy("source", "lang", "n_chars")
     return kept.withColumn("row_no", F.row_number().over(same)).filter("row_no = 1").select(COLUMNS)
