@@ -13,6 +13,7 @@ The index doesn't change with the corpus: rows added later need a new one.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +30,8 @@ from quarry.sources.store import stored, tasks, with_positions
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: So many terms of questions are sent to every task; a larger batch is cut into lots.
 BROADCAST_TERMS = 200_000
+#: Postings that a task collects before it passes them on.
+PIECES = 1_000_000
 #: Questions that are scored in one matrix.
 PIECE = 256
 #: Scores are rounded to 9 places, so a bound may be below one by this.
@@ -45,18 +48,40 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A posting for each word of each row; the empty word stands for the row itself."""
-    for whole in batches:
-        for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-            at, term, tf, dl = [], [], [], []
-            for i, words in enumerate(b["words"].to_pylist()):
+def _postings(width: int):
+    """For Arrow batches of ``ord, text``, pieces of blocks: of a word and a range the rows that the task has seen since it last emptied its lists. The empty word stands for the row itself."""
+    word = re.compile(r"\w+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {"": 0}
+        at, ords, tfs, dls = [], [], [], []
+
+        def emptied() -> pa.RecordBatch:
+            t, o, f, d = (np.array(x, k) for x, k in ((at, np.int64), (ords, np.int64), (tfs, np.int32), (dls, np.int32)))
+            order = np.lexsort((o, o // width, t))
+            t, o, f, d = t[order], o[order], f[order], d[order]
+            starts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (o[1:] // width != o[:-1] // width)])
+            rows = pa.StructArray.from_arrays([pa.array(o), pa.array(f), pa.array(d)], ["ord", "tf", "dl"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(t)], pa.int32()), rows)
+            return pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()).take(pa.array(t[starts])), pa.array(o[starts] // width), lists], ["term", "range", "p"])
+
+        for b in batches:
+            for number, text in zip(b["ord"].to_pylist(), b["text"].to_pylist(), strict=True):
+                words = word.findall((text or "").lower())
                 own = Counter(words)
-                at += [i] * (len(own) + 1)
-                term += ["", *own]
-                tf += [0, *own.values()]
-                dl += [len(words)] * (len(own) + 1)
-            yield pa.RecordBatch.from_arrays([b["ord"].take(pa.array(at, pa.int64())), pa.array(term, pa.string()), pa.array(tf, pa.int32()), pa.array(dl, pa.int32())], ["ord", "term", "tf", "dl"])
+                at.append(0)
+                at += [known.setdefault(w, len(known)) for w in own]
+                tfs.append(0)
+                tfs += own.values()
+                ords += [number] * (len(own) + 1)
+                dls += [len(words)] * (len(own) + 1)
+                if len(at) > PIECES:
+                    yield emptied()
+                    known, at, ords, tfs, dls = {"": 0}, [], [], [], []
+        if at:
+            yield emptied()
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -76,11 +101,10 @@ class KeywordIndex:
 
 def write_index(corpus: DataFrame, path: str, text: str = "content", *, buckets: int = 64, width: int = 1024) -> None:
     """Index ``corpus(ord, <text>)``, in place of what is at ``path``. ``ord`` should be unique and rather dense."""
-    words = corpus.select(F.col("ord").cast("long").alias("ord"), tokens(F.col(text)).alias("words"))
-    postings = words.mapInArrow(_counted, "ord long, term string, tf int, dl int")
-    at = F.floor(F.col("ord") / width).cast("long")
+    rows = corpus.select(F.col("ord").cast("long").alias("ord"), F.col(text).alias("text"))
+    pieces = rows.mapInArrow(_postings(width), "term string, range long, p array<struct<ord:long,tf:int,dl:int>>")
     # at most `width` postings in a group, however frequent the term
-    grouped = postings.groupBy("term", at.alias("range")).agg(F.sort_array(F.collect_list(F.struct("ord", "tf", "dl"))).alias("p"))
+    grouped = pieces.groupBy("term", "range").agg(F.flatten(F.collect_list("p")).alias("p"))
     grouped = stored(grouped, "postings")
     whole = grouped.filter("term = ''").select(F.explode("p.dl").alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
     whole = stored(whole.withColumns({"mean": F.col("words") / F.greatest("n", F.lit(1)), "buckets": F.lit(buckets), "width": F.lit(width)}), "about")

@@ -264,6 +264,18 @@ def budget_expand(spark, d):
     return R.spend_budget(c.select(F.floor(F.col("ord") / 10).alias("query_id"), (F.col("ord") % 10).alias("rank"), "ord", F.length("content").alias("cost")), 6000)
 
 
+CHUNKS = """RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents),
+cuts AS (
+  SELECT doc_id, 0 AS pos, 0::BIGINT AS s, n, 1000::BIGINT AS raw_end FROM t
+  UNION ALL
+  SELECT c.doc_id, c.pos + 1, c.e - 200, c.n, c.e - 200 + 1000
+  FROM (SELECT cuts.*, {end} AS e FROM cuts JOIN t USING (doc_id)) c WHERE c.n > 1000 AND c.e - 200 < c.n)"""
+END = """CASE WHEN cuts.raw_end >= cuts.n OR cuts.n <= 1000 THEN cuts.raw_end ELSE
+  CASE WHEN greatest(strpos(reverse(substr(text, cuts.raw_end - 100 + 1, 100)), '.'), strpos(reverse(substr(text, cuts.raw_end - 100 + 1, 100)), chr(10))) = 0 THEN cuts.raw_end
+  ELSE cuts.raw_end - least(CASE WHEN strpos(reverse(substr(text, cuts.raw_end - 100 + 1, 100)), '.') = 0 THEN 1000 ELSE strpos(reverse(substr(text, cuts.raw_end - 100 + 1, 100)), '.') END,
+    CASE WHEN strpos(reverse(substr(text, cuts.raw_end - 100 + 1, 100)), chr(10)) = 0 THEN 1000 ELSE strpos(reverse(substr(text, cuts.raw_end - 100 + 1, 100)), chr(10)) END) + 1 END END"""
+
+
 WHITE_SQL = "'" + C.WHITE + "'"
 #: Sections of these tables have two fragments at most.
 SECTIONS = f"""frags AS (SELECT section_id, ord, title, coalesce(content, '') AS c, row_number() OVER (PARTITION BY section_id ORDER BY pos, ord) AS i FROM corpus),
@@ -278,6 +290,21 @@ def section_rebuild(spark, d):
     return R.rebuild(T.corpus(spark, d)).select("section_id", "ord", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
 
 
+@query(f"""WITH {CHUNKS.format(end=END)}, pieces AS (SELECT doc_id, pos, CASE WHEN cuts.n > 1000 THEN trim(substr(text, s + 1, ({END}) - s), {WHITE_SQL}) ELSE text END AS c FROM cuts JOIN t USING (doc_id)),
+fold AS (
+  SELECT doc_id, pos, c AS acc FROM pieces WHERE pos = 0
+  UNION ALL
+  SELECT f.doc_id, p.pos, acc || substr(c, 1 + coalesce(list_max(list_filter(range(1, least(500, length(acc), length(c)) + 1), lambda n: right(acc, n::INT) = left(c, n::INT))), 0)::INT) FROM fold f JOIN pieces p ON p.doc_id = f.doc_id AND p.pos = f.pos + 1)
+SELECT doc_id, pos + 1 AS fragments, length(trim(acc, {WHITE_SQL})) AS n_chars, sha256(trim(acc, {WHITE_SQL})) AS sha256 FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) = 1""")
+def chunks_rebuilt(spark, d):
+    """Documents cut into overlapping chunks and put together again, of as many fragments as there are."""
+    c = chunking.chunk_rows(T.read(spark, d, "documents").select("doc_id", "text"))
+    place = F.concat((F.col("pos") + 1).cast("string"), F.lit("/"), F.col("total").cast("string"))
+    parts = c.select("doc_id", F.lit("").alias("title"), F.col("chunk").alias("content"), place.alias("chunk_position"), F.col("pos").alias("ord"), "total")
+    counts = parts.groupBy("doc_id").agg(F.count("*").cast("int").alias("fragments"))
+    return R.rebuild(parts, "doc_id").join(counts, "doc_id").select("doc_id", "fragments", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+
+
 @query(f"""WITH {CORPUS}, {SECTIONS}, p AS (SELECT split_part(section_id, '#', 1) AS page, trim(string_agg(text, chr(10) || chr(10) ORDER BY ord), {WHITE_SQL}) AS text FROM sections WHERE text <> '' GROUP BY 1)
 SELECT page, length(text) AS n_chars, sha256(text) AS sha256 FROM p""")
 def page_rebuild(spark, d):
@@ -477,18 +504,6 @@ def copies_by_category(spark, d):
     return g.groupBy("lang").agg(F.sum("n").alias("documents"), F.count("*").alias("texts"), F.sum("c").alias("chars"))
 
 
-CHUNKS = """RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents),
-cuts AS (
-  SELECT doc_id, 0 AS pos, 0::BIGINT AS s, n, 1000::BIGINT AS raw_end FROM t
-  UNION ALL
-  SELECT c.doc_id, c.pos + 1, c.e - 200, c.n, c.e - 200 + 1000
-  FROM (SELECT cuts.*, {end} AS e FROM cuts JOIN t USING (doc_id)) c WHERE c.n > 1000 AND c.e - 200 < c.n)"""
-END = """CASE WHEN cuts.raw_end >= cuts.n OR cuts.n <= 1000 THEN cuts.raw_end ELSE
-  CASE WHEN greatest(strpos(reverse(substr(text, cuts.raw_end - 100 + 1, 100)), '.'), strpos(reverse(substr(text, cuts.raw_end - 100 + 1, 100)), chr(10))) = 0 THEN cuts.raw_end
-  ELSE cuts.raw_end - least(CASE WHEN strpos(reverse(substr(text, cuts.raw_end - 100 + 1, 100)), '.') = 0 THEN 1000 ELSE strpos(reverse(substr(text, cuts.raw_end - 100 + 1, 100)), '.') END,
-    CASE WHEN strpos(reverse(substr(text, cuts.raw_end - 100 + 1, 100)), chr(10)) = 0 THEN 1000 ELSE strpos(reverse(substr(text, cuts.raw_end - 100 + 1, 100)), chr(10)) END) + 1 END END"""
-
-
 @query(f"WITH {CHUNKS.format(end=END)} SELECT doc_id, pos, length(trim(substr(text, s + 1, ({END}) - s), ' ' || chr(10) || chr(9) || chr(13))) AS n_chars FROM cuts JOIN t USING (doc_id)")
 def char_chunks(spark, d):
     """Overlapping chunks of characters that end at a full stop or line if they can."""
@@ -823,14 +838,18 @@ def section_ids(spark, d):
 NOT_CALLS = ", ".join(f"'{n}'" for n in sorted(grounding.BUILTINS))
 
 
-@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]{{3,12}}') AS w FROM documents), a AS (SELECT doc_id, w[1] AS a, w[2] AS b, w[3] || 'Zq' AS c FROM w WHERE len(w) >= 3),
-calls AS (SELECT DISTINCT doc_id, unnest([a, b, c, 'printf']) AS name, a || '(x) and ' || a || ' ( x, y ), ' || b || '(a, b)' AS seen FROM a),
+@query(f"""WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{{3,12}}')) AS w FROM documents),
+seen AS (SELECT a.doc_id, a.w, coalesce(b.text, '') || coalesce((SELECT string_agg(chr(10) || x || '(x) ' || x || ' ( x, y )', '') FROM (SELECT unnest(list_filter(a.w, lambda x: length(x) = 5)) AS x)), '') AS seen FROM w a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1),
+calls AS (SELECT doc_id, unnest(w) AS name, seen FROM seen),
 n AS (SELECT doc_id, name, contains(lower(seen), lower(name)) AS known, len(list_distinct(list_transform(regexp_extract_all(seen, name || '\\s*\\(([^()]*)\\)', 1), lambda x: length(x) - length(replace(x, ',', ''))))) AS counts FROM calls WHERE name NOT IN ({NOT_CALLS}))
 SELECT doc_id, name AS call, CASE WHEN known THEN 'ambiguous_overload' ELSE 'unknown_name' END AS kind FROM n WHERE NOT known OR counts > 1""")
 def grounding_flags(spark, d):
-    """Calls in answers that the text seen doesn't mention, or mentions with several numbers of arguments."""
-    w = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{3,12}"), F.lit(0))
-    t = T.read(spark, d, "documents").select("doc_id", w.alias("w")).filter(F.size("w") >= 3).select("doc_id", F.col("w")[0].alias("a"), F.col("w")[1].alias("b"), F.concat(F.col("w")[2], F.lit("Zq")).alias("c"))
-    answer = F.concat(F.lit("Use:\n```cpp\n"), F.col("a"), F.lit("(1);\n"), F.col("b"), F.lit("(a, b);\n"), F.col("c"), F.lit("(2);\nprintf(3);\n```\n"))
-    seen = F.concat(F.col("a"), F.lit("(x) and "), F.col("a"), F.lit(" ( x, y ), "), F.col("b"), F.lit("(a, b)"))
-    return grounding.flags(t.select("doc_id", answer.alias("answer"), seen.alias("observations")), ["doc_id"]).select("doc_id", "call", "kind")
+    """An answer calls all words of a document, what was seen is the next document and its own five-letter words with one and two arguments; calls that it doesn't mention, or mentions with several numbers of arguments."""
+    w = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{3,12}"), F.lit(0)))
+    t = T.read(spark, d, "documents").select("doc_id", w.alias("w"))
+    after = T.read(spark, d, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("after"))
+    answer = F.concat(F.lit("Use:\n```cpp\n"), F.array_join(F.transform("w", lambda x: F.concat(x, F.lit("(1);\n"))), ""), F.lit("```\n"))
+    twice = F.transform(F.filter("w", lambda x: F.length(x) == 5), lambda x: F.concat(F.lit("\n"), x, F.lit("(x) "), x, F.lit(" ( x, y )")))
+    seen = F.concat(F.coalesce("after", F.lit("")), F.array_join(twice, ""))
+    rows = t.join(after, "doc_id", "left").select("doc_id", answer.alias("answer"), seen.alias("observations"))
+    return grounding.flags(rows, ["doc_id"]).select("doc_id", "call", "kind")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators.extraction import chunks
+from quarry.sources import snapshots
 
 SCHEMA = "page_id BIGINT, url STRING, html STRING"
 
@@ -25,6 +26,19 @@ def start(pages: DataFrame, out: str, checkpoint: str, *, category: str = "user"
     return pages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def start_snapshots(pages: DataFrame, out: str, checkpoint: str, *, category: str = "user") -> StreamingQuery:
+    """Each batch of pages as a change of the corpus at ``out`` (:mod:`quarry.sources.snapshots`): a page that comes again loses all its old chunks, even if it has none now.
+
+    A batch that runs again makes one snapshot more with the same chunks.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), "page_id").alias("p")).select("url", "p.*")
+        snapshots.upsert(chunks(last, category=category), out, removed=last.select(F.coalesce("url", F.lit("")).alias("file")))
+
+    return pages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def current(spark: SparkSession, out: str) -> DataFrame:
     """Of each page the chunks of the last batch that had it."""
     rows = spark.read.parquet(out)

@@ -99,3 +99,17 @@ def test_sketches_keep_their_error(spark):
             assert abs(at - p) <= E.RANK_ERROR
         assert merged[metric].n == len(scores)
     assert E.sketched_quartiles(E.score_sketches(facts.limit(0), "run")).count() == 0
+
+
+def test_pages_as_a_stream_of_changes(spark, tmp_path):
+    from quarry.streaming import ingest
+
+    page = lambda words: f"<article><h1>T</h1><p>{words * 200}</p></article>"
+    out = f"file://{tmp_path}/corpus"
+    for rows in ([(1, "a.html", page("many words here ")), (2, "b.html", page("other words there "))], [(3, "a.html", page("one "))], [(4, "b.html", "<p>short</p>")]):
+        spark.createDataFrame(rows, ingest.SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        ingest.start_snapshots(ingest.chunk_stream(spark, f"{tmp_path}/in"), out, f"{tmp_path}/cp").awaitTermination()
+    assert snapshots.versions(spark, out) == [1, 2, 3]
+    now = snapshots.read(spark, out).collect()
+    assert {r.file for r in now} == {"a.html"} and all("many" not in r.content for r in now)
+    assert {r.file for r in snapshots.read(spark, out, 1).collect()} == {"a.html", "b.html"}
