@@ -20,8 +20,8 @@ from quarry.operators.keyword_index import EPSILON, KeywordIndex, part, question
 
 #: So many terms of questions, of some tens of bytes each, are broadcast; more meet the corpus by shuffle.
 BROADCAST_TERMS = 200_000
-#: So many vectors of questions are broadcast.
-BROADCAST_QUESTIONS = 20_000
+#: So many vectors of questions are broadcast, of so many numbers in all.
+BROADCAST_QUESTIONS, BROADCAST_NUMBERS = 20_000, 32_000_000
 
 
 def lengths(corpus: DataFrame, text: str = "content") -> DataFrame:
@@ -156,8 +156,9 @@ def dense_search(vectors: DataFrame, questions: DataFrame, k: int, allowed: Colu
 
 
 def lots(asked: DataFrame) -> list[DataFrame]:
-    """Questions in lots that may be broadcast, of about ``BROADCAST_QUESTIONS`` rows."""
-    n = -(-asked.count() // BROADCAST_QUESTIONS)
+    """Questions in lots that may be broadcast, of about ``BROADCAST_QUESTIONS`` rows or ``BROADCAST_NUMBERS`` numbers, whichever is less."""
+    rows, numbers = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("q")), F.lit(0))).head()
+    n = max(-(-rows // BROADCAST_QUESTIONS), -(-numbers // BROADCAST_NUMBERS))
     return [asked] if n <= 1 else [asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
 
 

@@ -449,7 +449,7 @@ def paths(spark, d):
 @query(f"""WITH {PATHS} SELECT doc_id, path FROM paths WHERE NOT (split_part(path, '/', -1) IN ({", ".join(f"'{n}'" for n in C.GENERATED_NAMES)})
   OR regexp_matches(split_part(path, '/', -1), '^([^/]*_source|(functions|globals|namespacemembers|classmembers)_[A-Za-z0-9_]*|dir_[0-9a-f]+)\\.html$') OR list_contains(string_split(path, '/'), '_modules'))""")
 def generated_page_antifilter(spark, d):
-    """Pages that no generator wrote for navigation."""
+    """Pages that no generator wrote for navigation."""
     return paths(spark, d).filter(~C.is_generated(F.col("path")))
 
 
@@ -749,12 +749,16 @@ def sections_seen(spark, d):
     return A.new_sections(c)
 
 
-@query("""SELECT item_id AS query_id, length(p) AS n_chars, sha256(p) AS sha256 FROM (SELECT item_id, 'You answer questions about docs. Its modules:' || chr(10) || '- a' || chr(10) || '- b' || chr(10) || chr(10) || 'Rest on the documentation below and on nothing else; say which module and kind of page you cite; say so if it does not hold the answer; decline what is about something else.'
-  || chr(10) || chr(10) || 'Documentation:' || chr(10) || 'ctx ' || item_id::VARCHAR || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer:' AS p FROM benchmark)""")
+@query("""WITH m AS (SELECT string_agg('- ' || source, chr(10) ORDER BY source) AS listed FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+c AS (SELECT item_id, b.text AS question, coalesce(d.text, '') AS context FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id)
+SELECT item_id AS query_id, length(p) AS n_chars, sha256(p) AS sha256 FROM (SELECT item_id, 'You answer questions about docs. Its modules:' || chr(10) || listed || chr(10) || chr(10) || 'Rest on the documentation below and on nothing else; say which module and kind of page you cite; say so if it does not hold the answer; decline what is about something else.'
+  || chr(10) || chr(10) || 'Documentation:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Answer:' AS p FROM c, m)""")
 def prompt_build(spark, d):
-    """Prompts with their modules, context and question."""
-    q = T.questions(spark, d).withColumn("context", F.concat(F.lit("ctx "), F.col("query_id").cast("string")))
-    return q.select("query_id", A.prompt(F.col("query"), F.col("context"), "docs", ["a", "b"]).alias("p")).select("query_id", F.length("p").alias("n_chars"), F.sha2("p", 256).alias("sha256"))
+    """Prompts with the corpus's modules, a document as context, and the question."""
+    docs = T.read(spark, d, "documents")
+    modules = [r[0] for r in docs.select("source").filter("source IS NOT NULL").distinct().orderBy("source").collect()]
+    q = T.questions(spark, d).join(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("context")), "query_id", "left")
+    return q.select("query_id", A.prompt(F.col("query"), F.col("context"), "docs", modules).alias("p")).select("query_id", F.length("p").alias("n_chars"), F.sha2("p", 256).alias("sha256"))
 
 
 @query("""SELECT lpad(doc_id::VARCHAR, 6, '0') AS id, doc_id AS ord, round(length(text) / 7.0::DOUBLE, 3) AS first, 2 AS width FROM documents""")
