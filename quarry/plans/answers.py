@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import declares, preview, qualified_name, strip
 from quarry.operators import retrieval as R
+from quarry.operators import vector_index
 from quarry.operators.keyword_index import KeywordIndex
+from quarry.operators.vector_index import VectorIndex
 from quarry.plans.config import Settings
 from quarry.sources.store import stored
 
@@ -66,19 +68,23 @@ def embedded(questions: DataFrame, embed: Callable[[list[str]], list[list[float]
 def retrieve(
     corpus: DataFrame, questions: DataFrame, settings: Settings, *, dense: DataFrame | None = None, vectors: DataFrame | None = None,
     embed: Callable[[list[str]], list[list[float]]] | None = None, rewrite: Texts | None = None, deep_dive: bool = False, module: str | None = None, category: str | None = None,
-    texts: KeywordIndex | None = None, titles: KeywordIndex | None = None,
+    texts: KeywordIndex | None = None, titles: KeywordIndex | None = None, cells: VectorIndex | None = None, probes: int | None = None,
 ) -> DataFrame:
     """``query_id, rank, ord``: the fused pool of the channels that are switched on; a single channel is left as it is.
 
     ``dense`` is the vector channel's ranked list, if there is one, or it is made from ``vectors(ord, embedding)`` with the ``embed`` model,
     for the text that ``rewrite`` makes of the question where that is switched on. Keywords always are the question's own; with stored indexes
-    of ``texts`` and ``titles`` the corpus's texts aren't read for them.
+    of ``texts`` and ``titles`` the corpus's texts aren't read for them. ``cells`` is a stored index of the vectors, with ``module`` and ``doc_category`` among its columns, of which
+    each question reads the nearest ``probes``, or all.
     """
     depth, pool = settings.depth(deep_dive=deep_dive)
-    if dense is None and vectors is not None and embed is not None:
+    if dense is None and embed is not None and (vectors is not None or cells is not None):
         asked = rewritten(questions, rewrite) if rewrite is not None and settings.hyde_enabled and not deep_dive else questions
-        allowed = corpus.filter(R.equal_filters(module, category)).select("ord")
-        dense = R.dense_search(vectors.join(allowed, "ord", "left_semi"), embedded(asked, embed), depth)
+        if cells is not None:
+            dense = vector_index.search(cells, embedded(asked, embed), depth, probes=probes, allowed=R.equal_filters(module, category))
+        else:
+            allowed = corpus.filter(R.equal_filters(module, category)).select("ord")
+            dense = R.dense_search(vectors.join(allowed, "ord", "left_semi"), embedded(asked, embed), depth)
     lists = [] if dense is None else [dense.filter(F.col("rank") < depth)]
     if (settings.bm25_enabled and not (deep_dive and lists)) or dense is None:
         lists.append(R.bm25_search(corpus, questions, depth, module=module, category=category, index=texts))

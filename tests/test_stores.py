@@ -264,6 +264,10 @@ def test_from_pages_to_answers(spark, tmp_path):
     texts = indexed(spark, corpus, f"file://{tmp_path}/texts")
     q = spark.createDataFrame([(1, "mesh part1 number2"), (2, "solver part2")], "query_id long, query string")
     got = {r.query_id: r for r in answers.answer(corpus, q, config.Settings(), vectors=vectors, embed=embed, texts=texts, generate=lambda queries, contexts: [c[:40] for c in contexts]).collect()}
+    vector_index.write_index(corpus.select("ord").join(spark.read.parquet(f"file://{tmp_path}/vectors").select("ord", "embedding", "module", "doc_category"), "ord"), f"file://{tmp_path}/cells", cells=4, keep=("module", "doc_category"))
+    cells = vector_index.open_index(spark, f"file://{tmp_path}/cells")
+    pool = lambda **how: sorted(map(tuple, answers.retrieve(corpus, q, config.Settings(), embed=embed, texts=texts, **how).select("query_id", "rank", "ord").collect()))
+    assert pool(cells=cells) == pool(vectors=vectors) and pool(cells=cells, category="dev") == pool(vectors=vectors, category="dev")
     assert "mesh2.html" in got[1].sources and json.loads(got[2].sources)[0]["url"].startswith("http://h/solver") and got[1].answer and got[1].error is None
 
 
