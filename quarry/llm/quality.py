@@ -6,9 +6,9 @@ the token. Each indicator is scaled by its log-count ratio between the classes (
 a linear model with hinge loss is fitted to the scaled indicators by dual coordinate descent. A
 sigmoid fitted on rows held back turns the margin into a score from 0 to 1.
 
-The model is fitted on the driver, on a bounded sample (``max_rows``) of the labelled rows, and sent
-to the executors: at most ``max_grams`` n-grams with their weights. Of labelled rows with equal text one is
-used. The driver holds one partition of the sample's texts at a time, and of each text the numbers of its n-grams. Every row is scored, on its whole text.
+The model is fitted by one task, on a bounded sample (``max_rows``) of the labelled rows: the sample is sent to it twice, in the
+same order, and it holds a batch of texts at a time, and of each text the numbers of its n-grams. The driver gets, and sends
+to the executors, at most ``max_grams`` n-grams with their weights. Of labelled rows with equal text one is used. Every row is scored, on its whole text.
 
 Defined results: null text is the empty text, whose score follows from the intercept; with no labelled
 rows, or rows of one label only, every score is that label's share (0.5 without rows); rows that repeat get
@@ -17,12 +17,13 @@ the same score; an empty table gives no rows; other columns are neither read nor
 
 from __future__ import annotations
 
-import gc
 import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -30,10 +31,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.sample import labelled_sample, remainder, streamed
+from quarry.llm.sample import labelled_sample, remainder
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 RUN = 8
+#: What the fitting task returns.
+FITTED = [
+    ("grams", pa.list_(pa.string())),
+    ("weights", pa.list_(pa.float64())),
+    ("bias", pa.float64()),
+    ("slope", pa.float64()),
+    ("shift", pa.float64()),
+    ("flat", pa.float64()),
+]
 
 
 def grams(text: str) -> set[str]:
@@ -116,17 +126,33 @@ def sigmoid_fit(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(sample: DataFrame, *, min_rows: int = 5, max_grams: int = 100_000, cost: float = 1.0) -> Model:
-    """Fit on ``sample(text, label)``. The sample is read twice: for counts by hash, then for the n-grams kept."""
+    """Fit on ``sample(text, label, hash)``, read twice in the order of the hashes: for counts by hash, then for the n-grams kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((again.as_py(), text.as_py(), label.as_py()) for b in batches for again, text, label in zip(b["again"], b["text"], b["label"], strict=True))
+        passes = (((text, label) for _, text, label in own) for _, own in groupby(rows, itemgetter(0)))
+        m = fit_rows(passes, min_rows, max_grams, cost)
+        row = {"grams": list(m.weights), "weights": list(m.weights.values()), "bias": m.bias, "slope": m.slope, "shift": m.shift, "flat": m.flat}
+        yield pa.RecordBatch.from_pylist([row], pa.schema(FITTED))
+
+    twice = sample.select("hash", "text", "label", F.explode(F.array(F.lit(0), F.lit(1))).alias("again"))
+    model = twice.repartition(1).sortWithinPartitions("again", "hash").mapInArrow(run, "grams array<string>, weights array<double>, bias double, slope double, shift double, flat double")
+    found = model.head()
+    return Model(dict(zip(found["grams"], found["weights"], strict=True)), *found[2:]) if found else Model({}, 0.0, 1.0, 0.0, flat=0.5)
+
+
+def fit_rows(passes: Iterator[Iterator[tuple[str, int]]], min_rows: int, max_grams: int, cost: float) -> Model:
+    """Fit on texts and labels that come twice in the same order; no passes if there are no rows."""
     buckets = 1 << 22
     counts, positive, total = np.zeros(buckets, np.int32), 0, 0
-    for text, label, _ in streamed(sample):
+    for text, label in next(passes, ()):
         positive, total = positive + label, total + 1
         counts[np.unique(np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams(text)), np.int64))] += 1
     if positive in (0, total):
         return Model({}, 0.0, 1.0, 0.0, flat=positive / total if total else 0.5)
     number: dict[str, int] = {}  # of the n-grams that may be kept; texts are held as numbers, not strings
     docs: list[tuple[int, np.ndarray]] = []
-    for text, label, _ in streamed(sample):
+    for text, label in next(passes):
         kept = sorted(g for g in grams(text) if counts[zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets] >= min_rows)
         docs.append((label, np.array([number.setdefault(g, len(number)) for g in kept], np.int32)))
     del counts
@@ -187,7 +213,4 @@ def score_column(docs: DataFrame, model: Model):
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", allowed: Column | None = None, max_rows: int = 10_000) -> Model:
     """A model fitted on at most ``max_rows`` labelled rows; by default not on those whose crc32 is divisible by 5."""
     ok = remainder(F.col("doc_id"), 5) != 0 if allowed is None else allowed
-    model = fit(labelled_sample(docs, labels, label, ok, max_rows))
-    gc.collect()  # the sample's n-grams are some hundred MB, which a driver would otherwise keep through later stages
-    pa.default_memory_pool().release_unused()
-    return model
+    return fit(labelled_sample(docs, labels, label, ok, max_rows))
