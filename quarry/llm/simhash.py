@@ -4,13 +4,14 @@ Fingerprints of 64 bits that differ in at most ``budget`` bits are linked, and t
 links' connected components are the groups of near duplicates.
 
 * Equal fingerprints are one class from the start; only distinct ones are joined.
-* To deal the join out, the 64 bits are cut into ``budget + e`` blocks. Two fingerprints within
+* The trie of all classes is dealt out to tasks: ``budget + e`` blocks of the 64 bits are chosen. Two fingerprints within
   the budget agree on ``e`` blocks at least, so they meet under the key made of some ``e`` blocks.
-  ``e`` follows the number of classes, so that an even group holds a few tens of them.
+  Blocks are as few and as narrow as leave ``MEAN`` classes to an even group: up to so many classes there is one trie,
+  beyond it each key has tries of that size or a few times as much, deep enough for the error budget to drop most pairs of nodes.
 * Inside a group its members, sorted, are a binary trie: a node is a range of the sorted
   array. The join walks pairs of nodes from the root together, both by one bit,
   adds one to the pair's errors where the bits differ, and drops the pair beyond the budget.
-  Pairs of small nodes are leaves, whose members are compared at once. The tries of many groups are walked
+  Pairs of nodes with a few members, too few levels to use up what is left of the budget, are leaves: their members are compared at once. The tries of many groups are walked
   together: all pairs of one depth are handled by one step on arrays, in slabs of bounded size.
 * A group returns a spanning forest of its links, not the links, so a dense group of n
   fingerprints returns n - 1 rows at most.
@@ -25,8 +26,10 @@ are in one component; an empty table gives no rows; other columns are ignored, w
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +41,13 @@ from quarry.llm.components import connected
 from quarry.llm.scratch import stored, tasks
 
 #: Members of a group that one task joins at most with as many others.
-GROUP = 4096
+GROUP = 1 << 16
 #: Pairs of nodes that one step handles at most, and pairs of members that are compared at once.
-SLAB, PAIRS = 1 << 16, 1 << 16
+SLAB, PAIRS = 1 << 15, 1 << 16
 #: Pairs of nodes with so many pairs of members are leaves.
-LEAF = 64
-#: Members of all groups that are joined together, and of one group on average at most.
-TOGETHER, MEAN = 1 << 16, 256
+LEAF = 16
+#: Members of all groups that are joined together, and of one group on average.
+TOGETHER, MEAN = 1 << 16, 1 << 13
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42, prints: int = 1) -> list[int]:
@@ -82,11 +85,12 @@ def fingerprints(docs: DataFrame, *, words: int = 4, seed: int = 42) -> DataFram
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def trie_join(values: np.ndarray, roots: tuple[np.ndarray, ...], budget: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_join(values: np.ndarray, roots: tuple[np.ndarray, ...], budget: int, tally: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs within ``budget`` bits, as two arrays of indexes into ``values``.
 
     ``values`` are runs of sorted distinct uint64, each a trie; ``roots`` are four arrays: from where to where in ``values``
-    the tries to join reach, left and right. A trie is joined with itself where both are the same.
+    the tries to join reach, left and right. A trie is joined with itself where both are the same. ``tally`` gets the numbers of pairs
+    of members that were ``pruned`` by the budget, ``connected`` already, and ``compared`` (inside one leaf node in both orders).
     """
     label = np.arange(len(values))
     none = label[:0]
@@ -102,9 +106,13 @@ def trie_join(values: np.ndarray, roots: tuple[np.ndarray, ...], budget: int) ->
         # pairs whose members are all connected already have nothing to add
         change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
         open_ = (label[al] != label[bl]) | (change[al] != change[ah - 1]) | (change[bl] != change[bh - 1])
+        if tally is not None:
+            tally["connected"] += int(((ah - al) * (bh - bl))[~open_].sum())
         al, ah, bl, bh, err = (v[open_] for v in (al, ah, bl, bh, err))
         size = (ah - al) * (bh - bl)
-        leaf = (size <= LEAF) | (depth == 64)
+        # the budget prunes nothing in an even trie whose levels, all of them errors, don't use it up
+        levels = np.ceil(np.log2(np.maximum(ah - al, bh - bl))).astype(np.int64)
+        leaf = (size <= LEAF) | (err + levels <= budget) | (depth == 64)
         if leaf.any():
             low, high, other, end = (v[leaf] for v in (al, ah, bl, bh))
             own, wide = high - low, end - other
@@ -112,6 +120,8 @@ def trie_join(values: np.ndarray, roots: tuple[np.ndarray, ...], budget: int) ->
             left = np.arange(own.sum()) + np.repeat(low - np.cumsum(own) + own, own)
             first, count = np.repeat(other, own), np.repeat(wide, own)
             ends = np.cumsum(count)
+            if tally is not None:
+                tally["compared"] += int(ends[-1])
             cut = np.searchsorted(ends, np.arange(PAIRS, ends[-1] + PAIRS, PAIRS), "left") + 1
             for lo, hi in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True):
                 m = count[lo:hi]
@@ -133,6 +143,8 @@ def trie_join(values: np.ndarray, roots: tuple[np.ndarray, ...], budget: int) ->
         ]
         nal, nah, nbl, nbh, nerr = (np.concatenate(v) for v in zip(*parts, strict=True))
         live = (nal < nah) & (nbl < nbh) & (nerr <= budget)
+        if tally is not None:
+            tally["pruned"] += int(((nah - nal) * (nbh - nbl))[nerr > budget].sum())
         if live.any():
             stack.append((depth + 1, *(v[live] for v in (nal, nah, nbl, nbh, nerr))))
     if not out:
@@ -179,16 +191,23 @@ def _forest(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray
     return (np.concatenate(gx), np.concatenate(gy)) if gx else (none, none)
 
 
-def block_keys(classes: int, budget: int) -> list[list[tuple[int, int]]]:
-    """For each key, the (shift, width) of its blocks: the fewest blocks that leave ``MEAN`` classes to a group, if they are even."""
+def block_keys(classes: int, budget: int, least: int | None = None, most: int | None = None) -> list[list[tuple[int, int]]]:
+    """For each key, the (shift, width) of its blocks, where an even group has about ``least`` (``MEAN``) to ``most`` (4 ``MEAN``) classes.
+
+    The fewest blocks that leave ``most`` at most, made narrower while that leaves ``least``. One key without
+    blocks, hence one trie, if there are no more classes than ``least``.
+    """
+    least, most = least or MEAN, most or 4 * MEAN
+    if classes <= least:
+        return [[]]
     for extra in range(1, 8):
         n = budget + extra
-        edges = [64 * i // n for i in range(n + 1)]
-        blocks = [(64 - edges[i + 1], edges[i + 1] - edges[i]) for i in range(n)]
-        keys = [list(c) for c in combinations(blocks, extra)]
-        if classes / 2 ** (64 * extra / n) <= MEAN:
+        if classes / 2 ** (64 * extra / n) <= most:
             break
-    return keys
+    edges = [64 * i // n for i in range(n + 1)]
+    width = max(1, round(math.log2(classes / least) / extra))
+    sizes = [min(width, b - a) for a, b in pairwise(edges)]
+    return [list(c) for c in combinations([(64 - a - size, size) for a, size in zip(edges, sizes, strict=False)], extra)]
 
 
 def key_bits(fp: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
@@ -199,14 +218,15 @@ def key_bits(fp: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
     return bits
 
 
-def links(classes: DataFrame, *, budget: int = 4) -> DataFrame:
+def links(classes: DataFrame, *, budget: int = 4, least: int | None = None, most: int | None = None) -> DataFrame:
     """``set, a, b``: fingerprints within ``budget`` bits, a spanning forest of each group's links, from distinct ``set, fp``.
 
-    ``set`` (int) numbers sets of fingerprints, of which none is compared with another's.
+    ``set`` (int) numbers sets of fingerprints, of which none is compared with another's. ``least`` and ``most`` are
+    the classes of an even group (``block_keys``); a wide budget prunes little and wants small ones.
     """
     spark = classes.sparkSession
     sizes = classes.groupBy("set").agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*")).head()
-    keys = block_keys(sizes[0] or 0, budget)
+    keys = block_keys(sizes[0] or 0, budget, least, most)
     n_keys, wide = len(keys), max(sum(w for _, w in k) for k in keys)
     if wide + (n_keys * (sizes[1] or 1)).bit_length() > 62:
         raise ValueError("too many sets of fingerprints")

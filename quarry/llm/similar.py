@@ -77,7 +77,7 @@ def _pairs(prints: DataFrame, n: int, budget: int) -> DataFrame:
     """``src, dst`` (src < dst): pairs of classes that the trie join finds and that aren't too far apart over all ``n`` SimHashes."""
     each = prints.select("key", F.posexplode("fps").alias("set", "fp"))
     first = stored(each.groupBy("set", "fp").agg(F.min("key").alias("rep")), "similar-sets")
-    found = stored(links(first.select("set", "fp"), budget=budget), "similar-links")
+    found = stored(links(first.select("set", "fp"), budget=budget, least=16, most=256), "similar-links")
     a, b = (first.select(F.col("set").alias(f"{x}_set"), F.col("fp").alias(f"{x}_fp"), F.col("rep").alias(f"{x}_rep")) for x in "ab")
     linked = found.join(a, (F.col("set") == F.col("a_set")) & (F.col("a") == F.col("a_fp"))).join(b, (F.col("set") == F.col("b_set")) & (F.col("b") == F.col("b_fp")))
     same = each.join(first.select(F.col("set").alias("f_set"), F.col("fp").alias("f_fp"), "rep"), (F.col("set") == F.col("f_set")) & (F.col("fp") == F.col("f_fp")))

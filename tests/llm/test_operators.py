@@ -427,9 +427,24 @@ def test_near_duplicates_edges(odd, nothing):
     assert sorted((r.doc_id or 0, r.component_id) for r in rows) == [(0, 5), (3, 3), (5, 3), (5, 5)]
 
 
+def test_the_budget_prunes_most_pairs(spark):
+    """Of a real table's fingerprints in one trie, and of a million random ones in their groups."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    real = np.unique(np.array([r.fp for r in simhash.fingerprints(docs).select("fp").distinct().collect()], np.int64).view(np.uint64))
+    some = np.random.default_rng(5).integers(0, 2**64, 10**6, dtype=np.uint64)
+    blocks = simhash.block_keys(len(some), 4)[0]
+    key = simhash.key_bits(some, blocks)
+    assert blocks and (np.bincount(key.astype(np.int64)) > simhash.MEAN // 2).all()
+    for values in (real, np.sort(some[key == key[0]])):
+        seen = Counter()
+        one = (np.array([0]), np.array([len(values)]))
+        simhash.trie_join(values, (*one, *one), 4, seen)
+        assert seen["pruned"] > 2 * seen["compared"], seen
+
+
 def test_block_keys_hold_for_all_sizes():
-    for classes in (10, 10**6, 10**9):
-        keys = simhash.block_keys(classes, 4)
+    for classes, least, most in [(c, *s) for c in (10, 10**4, 10**6, 10**9) for s in ((None, None), (16, 256), (2, 2))]:
+        keys = simhash.block_keys(classes, 4, least, most)
         flips = np.random.default_rng(0).integers(0, 64, (200, 4))
         for f in flips.tolist():
             assert any(all(not any(s <= b < s + w for b in f) for s, w in key) for key in keys)
