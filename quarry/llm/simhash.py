@@ -44,8 +44,8 @@ from quarry.llm.scratch import stored, tasks
 GROUP = 1 << 16
 #: Pairs of nodes that one step handles at most, and pairs of members that are compared at once.
 SLAB, PAIRS = 1 << 15, 1 << 16
-#: Pairs of nodes with so many pairs of members are leaves.
-LEAF = 16
+#: Pairs of nodes with so many pairs of members are leaves; of those that the budget can't prune further, with so many.
+LEAF, WIDE_LEAF = 16, 4096
 #: Members of all groups that are joined together, and of one group on average.
 TOGETHER, MEAN = 1 << 16, 1 << 13
 
@@ -112,7 +112,7 @@ def trie_join(values: np.ndarray, roots: tuple[np.ndarray, ...], budget: int, ta
         size = (ah - al) * (bh - bl)
         # the budget prunes nothing in an even trie whose levels, all of them errors, don't use it up
         levels = np.ceil(np.log2(np.maximum(ah - al, bh - bl))).astype(np.int64)
-        leaf = (size <= LEAF) | (err + levels <= budget) | (depth == 64)
+        leaf = (size <= LEAF) | ((err + levels <= budget) & (size <= WIDE_LEAF)) | (depth == 64)
         if leaf.any():
             low, high, other, end = (v[leaf] for v in (al, ah, bl, bh))
             own, wide = high - low, end - other
@@ -127,7 +127,7 @@ def trie_join(values: np.ndarray, roots: tuple[np.ndarray, ...], budget: int, ta
                 m = count[lo:hi]
                 x = np.repeat(left[lo:hi], m)
                 y = np.arange(len(x)) + np.repeat(first[lo:hi] - np.cumsum(m) + m, m)
-                near = (np.bitwise_count(values[x] ^ values[y]) <= budget) & (x != y)
+                near = (np.bitwise_count(values[x] ^ values[y]) <= budget) & (label[x] != label[y])  # links inside a component add nothing
                 if near.any():
                     out.append(_forest(label, x[near], y[near]))
             al, ah, bl, bh, err = (v[~leaf] for v in (al, ah, bl, bh, err))
