@@ -16,7 +16,8 @@ same one); strings never cross documents and are judged on the input.
    are then compared between the parts, by their 128-bit hashes. Nothing is capped.
 5. The repeats of each document are united and cut out.
 
-Only numbers are shuffled in steps 1 and 2; texts are shuffled twice, once to fetch pieces and once to cut.
+Only numbers are shuffled in steps 1 and 2, packed into few columns, as they are most of what is written to disk. Texts are shuffled once: fetching
+pieces and cutting are in one plan and use the same shuffle. Hashes of step 4 are shuffled once, too.
 
 Defined results: null text is the empty text; texts shorter than ``length`` stay whole; rows that repeat entirely are one document and share
 the result; rows that share a doc_id with other text come in the order of a hash of the text; a null doc_id is the smallest; an empty
@@ -47,6 +48,8 @@ SMALL = 700
 #: The lowest bits of a hash, in which its place in a chunk fits.
 PLACE = np.uint64((1 << 23) - 1)
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: A piece's start, whether it is known to be a repeat and its number of windows (with its sign) share a number; so do the start and length of a run of windows.
+SIGNED, KIND, RUN_BITS = 1 << 11, 1 << 12, 22
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -141,8 +144,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, [(t or "").encode("utf-8", "surrogatepass") for t in part["text"].to_pylist()]
 
 
-def _find(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``kind, m, c, doc, th, start, n``: pieces (kind 0), and those known to be repeats already (kind 1)."""
+def _find(batches: Iterator[pa.RecordBatch], length: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows ``m, c, doc, th, at``: pieces, those known to be repeats already among them; ``at`` has start, kind and number of windows."""
     held: list[tuple[int, int, int, bytes]] = []
     size = 0
 
@@ -154,8 +157,8 @@ def _find(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         start = start - np.concatenate([[0], ends[:-1]])[i] + base
         known = _repeats_inside(a, c, doc, th, start)
         m = np.where(known, _mix((doc + start).astype(np.uint64)), a).view(np.int64)  # spread evenly: they meet nothing
-        cols = [known.astype(np.int32), m, c.view(np.int64), doc, th, start, n.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["kind", "m", "c", "doc", "th", "start", "n"])
+        cols = {"m": m, "c": c.view(np.int64), "doc": doc, "th": th, "at": 2 * KIND * start + KIND * known + SIGNED + n}
+        return pa.RecordBatch.from_arrays([pa.array(cols[x]) for x in names], names)
 
     for b, texts in _texts(batches):
         for doc, th, t in zip(b["doc"].to_pylist(), b["th"].to_pylist(), texts, strict=True):
@@ -179,8 +182,9 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         rows: list[tuple] = []
         for doc, th, wanted, t in zip(b["doc"].to_pylist(), b["th"].to_pylist(), b["wanted"].to_pylist(), texts, strict=True):
             for w in wanted:
-                part = xxhash.xxh64_intdigest(f"{doc} {th} {w['start']}") % w["parts"] if w["parts"] > 1 else 0
-                rows.append((w["m"], part, w["parts"], doc, th, w["start"], t[w["start"] : w["start"] + w["n"] + length - 1]))
+                start, n = w["run"] >> RUN_BITS, w["run"] & ((1 << RUN_BITS) - 1)
+                part = xxhash.xxh64_intdigest(f"{doc} {th} {start}") % w["parts"] if w["parts"] > 1 else 0
+                rows.append((w["m"], part, w["parts"], doc, th, start, t[start : start + n + length - 1]))
         for i in range(0, len(rows), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[i : i + 20_000], strict=True), types, strict=True)], names)
 
@@ -260,8 +264,7 @@ def equal_windows(groups: list[list[tuple]], length: int, firsts: bool = False)
     repeat = np.concatenate([[False], cls[by][1:] == cls[by][:-1]])
     hit = by[repeat]
     d, t, s, n = _runs(doc[hit], th[hit], start[hit])
-    zero = np.zeros(len(d), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero.astype(np.int32), zero, zero, d, t, s, n)], RUNS)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros(len(d), np.int32), _mix(d.astype(np.uint64)).view(np.int64), s, d, t, s, n)], RUNS)
     if firsts:
         raw, digest, first = data.tobytes(), xxhash.xxh3_128_digest, by[~repeat]
         for i in range(0, len(first), 20_000):
@@ -277,7 +280,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, kind: pa.DataType) -> I
     for b, texts in _texts(batches):
         kept, counts = [], []
         for t, marks in zip(texts, b["marks"].to_pylist(), strict=True):
-            spans = sorted((m["start"], m["start"] + m["n"] + length - 1) for m in marks or ())
+            spans = sorted((m >> RUN_BITS, (m >> RUN_BITS) + (m & ((1 << RUN_BITS) - 1)) + length - 1) for m in marks or ())
             out, at, removed, n = [], 0, 0, 0
             reach = -1
             for lo, hi in spans:
@@ -301,37 +304,49 @@ def remove_repeats(docs: DataFrame, *, length: int = 100) -> DataFrame:
     spark = docs.sparkSession
     ids = docs.select("doc_id")
     n, different = ids.agg(F.count("*"), F.countDistinct("doc_id")).head()
-    th = F.lit(0).cast("long") if n == different else F.xxhash64(F.coalesce("text", F.lit("")))
+    unique = n == different
+    th = F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), th.alias("th"))
-    found = rows.select("doc", "th", "text").mapInArrow(lambda it: _find(it, length), "kind int, m long, c long, doc long, th long, start long, n int")
-
-    own = Window.partitionBy("m", "kind").orderBy("c", "doc", "th", "start")
-    group = Window.partitionBy("m", "kind")
-    place = F.struct("doc", "th", "start")
-    found = found.withColumns({"c_before": F.lag("c").over(own), "before": F.lag(place).over(own)})
+    # a hash of the text tells documents of one doc_id apart; where there are none, it isn't moved
+    doc = ["doc"] if unique else ["doc", "th"]
+    names = ["m", "c", *doc, "at"]
+    found = rows.select("doc", "th", "text").mapInArrow(lambda it: _find(it, length, names), ", ".join(f"{c} long" for c in names))
+
+    start = F.shiftright("at", 13)
+    known = F.col("at").bitwiseAND(KIND) != 0
+    signed = (F.col("at").bitwiseAND(KIND - 1) - SIGNED).cast("int")
+    own = Window.partitionBy("m").orderBy("c", *doc, "at")
+    group = Window.partitionBy("m")
+    place = F.struct(*doc, start.alias("start"))
+    found = found.withColumns({"c_before": F.lag("c").over(own), "before": F.lag(F.struct(*doc, "at")).over(own)})
     again = F.col("c_before").eqNullSafe(F.col("c"))
-    fresh = F.when(~again, F.abs("n") + (length - 1)).otherwise(0).cast("long")
+    fresh = F.when(~again, F.abs(signed) + (length - 1)).otherwise(0).cast("long")
     found = found.withColumn("again", again).withColumns({"pieces": F.sum((~again).cast("int")).over(group), "bytes": F.sum(fresh).over(group)})
-    repeat = (F.col("kind") == 1) | (F.col("again") & (F.col("before") != place))
-    wanted = ~F.col("again") & ((F.col("pieces") > 1) | (F.col("n") < 0)) & (F.col("kind") == 0)
+    before = F.struct(*(F.col(f"before.{c}") for c in doc), F.shiftright("before.at", 13).alias("start"))
+    repeat = known | (F.col("again") & (before != place))
+    wanted = ~F.col("again") & ((F.col("pieces") > 1) | (signed < 0)) & ~known
     parts = F.when(F.col("bytes") <= PART, 1).otherwise(F.ceil(F.col("bytes") / PART)).cast("int")
-    found = found.select("doc", "th", "start", F.abs("n").alias("n"), "m", repeat.alias("repeat"), wanted.alias("wanted"), parts.alias("parts"))
+    run = lambda start, n: F.shiftleft(start, RUN_BITS).bitwiseOR(n.cast("long"))
+    found = found.select(*doc, run(start, F.abs(signed)).alias("run"), "m", repeat.alias("repeat"), wanted.alias("wanted"), parts.alias("parts"))
     found = stored(found.filter("repeat or wanted"), "repeats")
 
-    lists = found.filter("wanted").groupBy(F.col("doc").alias("w_doc"), F.col("th").alias("w_th")).agg(F.collect_list(F.struct("start", "n", "m", "parts")).alias("wanted"))
-    met = rows.dropDuplicates(["doc", "th"]) if n != different else rows
-    met = met.join(lists, (F.col("doc") == F.col("w_doc")) & (F.col("th") == F.col("w_th"))).select("doc", "th", "wanted", "text")
+    def meeting(side: DataFrame) -> DataFrame:
+        """Documents with what ``side`` has for them; all uses have the same columns of the documents, and so their shuffle."""
+        return rows.join(side, [F.col(c) == F.col(f"o_{c}") for c in doc], "left")
+
+    of = [F.col(c).alias(f"o_{c}") for c in doc]
+    met = meeting(found.filter("wanted").groupBy(*of).agg(F.collect_list(F.struct("run", "m", "parts")).alias("wanted")))
+    met = met.filter("wanted IS NOT NULL").select("doc_id", "doc", "th", "wanted", "text")
+    met = met if unique else met.dropDuplicates(["doc", "th"])
     fetched = met.mapInArrow(lambda it: _fetch(it, length), "m long, part int, parts int, doc long, th long, start long, piece binary")
     dealt = fetched.repartition(tasks(spark), "m", "part").sortWithinPartitions("m", "part", "doc", "th", "start")
-    runs = stored(dealt.mapInArrow(lambda it: _sorted_groups(it, length), "kind int, g1 long, g2 long, doc long, th long, start long, n int"), "repeat-runs")
-
-    heavy = runs.filter("kind = 1").select("g1", "g2", "doc", "th", "start")
-    firsts = heavy.groupBy(F.col("g1").alias("f1"), F.col("g2").alias("f2")).agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
-    heavy = heavy.join(firsts, (F.col("g1") == F.col("f1")) & (F.col("g2") == F.col("f2"))).filter(F.col("first") != place).select("doc", "th", "start", F.lit(1).alias("n"))
+    runs = dealt.mapInArrow(lambda it: _sorted_groups(it, length), "kind int, g1 long, g2 long, doc long, th long, start long, n int")
 
-    marks = found.filter("repeat").select("doc", "th", "start", "n").unionByName(runs.filter("kind = 0").select("doc", "th", "start", "n")).unionByName(heavy)
-    marks = marks.groupBy(F.col("doc").alias("m_doc"), F.col("th").alias("m_th")).agg(F.collect_list(F.struct("start", "n")).alias("marks"))
-    final = rows.join(marks, (F.col("doc") == F.col("m_doc")) & (F.col("th") == F.col("m_th")), "left").select("doc_id", "text", "marks")
+    # of the equal windows of an anchor's parts all but the first; a run of windows that are known to be repeats has a group of its own
+    first = F.row_number().over(Window.partitionBy("kind", "g1", "g2").orderBy(*doc, "run"))
+    runs = runs.select("kind", "g1", "g2", *doc, run(F.col("start"), F.col("n")).alias("run")).withColumn("first", first)
+    marks = found.filter("repeat").select(*doc, "run").unionByName(runs.filter("kind = 0 OR first > 1").select(*doc, "run"))
+    final = meeting(marks.groupBy(*of).agg(F.collect_list("run").alias("marks"))).select("doc_id", "doc", "th", "text", "marks")
     kind = rows.schema["doc_id"].dataType
     arrow = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
     return final.mapInArrow(lambda it: _cut(it, length, arrow), f"doc_id {kind.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long")
