@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.retrieval import Best, gathered, lots, ranked, units
+from quarry.operators.retrieval import BLOCK, TOGETHER, Best, gathered, lots, ranked, units
 from quarry.sources.store import tasks
 
 #: Vectors that the centres are fitted on, for each cell, and rounds of fitting.
@@ -112,15 +112,21 @@ def _cells(spark: SparkSession, names: pa.Array, q: np.ndarray, near: np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q, asks = sent.value
-        best = Best(len(q), k)
+        lows = range(0, len(q), TOGETHER)
+        best = [Best(len(q[lo : lo + TOGETHER]), k) for lo in lows]
         for whole in batches:
-            for b in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
+            for b in (whole.slice(i, BLOCK) for i in range(0, whole.num_rows, BLOCK)):
                 cell, ords = b["cell"].to_numpy(zero_copy_only=False), b["ord"].to_numpy(zero_copy_only=False)
                 v = units(b["v"].to_pylist(), q.shape[1])
                 for c in np.unique(cell):
                     at, rows = asks[int(c)], cell == c
-                    score = np.round(q[at] @ v[rows].T, 9)
-                    best.add(at, np.where(np.isnan(score), np.inf, -score), ords[rows])
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(best.q)), pa.array(best.ord), pa.array(-best.worst)], ["query_id", "ord", "score"])
+                    for lo, own in zip(lows, best, strict=True):
+                        mine = at[np.searchsorted(at, lo) : np.searchsorted(at, lo + TOGETHER)]
+                        if len(mine):
+                            worst = -np.round(q[mine] @ v[rows].T, 9)
+                            worst[np.isnan(worst)] = np.inf
+                            own.add(mine - lo, worst, ords[rows])
+        for lo, own in zip(lows, best, strict=True):
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(own.q + lo)), pa.array(own.ord), pa.array(-own.worst)], ["query_id", "ord", "score"])
 
     return run
