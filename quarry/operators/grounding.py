@@ -20,6 +20,8 @@ KEYWORDS = frozenset(
     "reinterpret_cast const_cast typename template namespace using auto printf cout cin endl assert".split()
 )
 BUILTINS = frozenset(dir(builtins)) | KEYWORDS
+#: Answers that are checked at once; a long one may have thousands of calls.
+ROWS = 64
 
 
 def code_blocks(answer: str) -> list[tuple[str, str]]:
@@ -91,7 +93,7 @@ def flags(answers: DataFrame, keys: list[str], known: Callable[[str], bool] | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = known and functools.lru_cache(maxsize=10_000)(functools.partial(_cleared, known))
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             at, made = [], []
             for i, (answer, seen) in enumerate(zip(b["answer"].to_pylist(), b["observations"].to_pylist(), strict=True)):
                 found = check(answer or "", seen or "", once)

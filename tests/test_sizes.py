@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quarry.operators import vector_index
+from quarry.operators import grounding, vector_index
 from quarry.operators import retrieval as R
 
 
@@ -55,3 +55,28 @@ def test_a_scan_shuffles_neither_postings_nor_scores(spark):
     assert shuffled(spark) - before < 3000  # postings of the questions' words alone are some 30,000
     want = R.ranked(R.bm25_scores(corpus, questions), 5).select("query_id", "rank", "ord", "score").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+class Kept:
+    """In place of a table: keeps the function that tasks would run."""
+
+    def __init__(self):
+        self.schema = {"doc_id": self}
+        self.dataType = self
+
+    def select(self, *_):
+        return self
+
+    def simpleString(self):
+        return "bigint"
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_flags_of_a_batch_are_made_in_parts():
+    answer = "```cpp\n" + "".join(f"name{i}(1);\n" for i in range(300)) + "```"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array([answer] * 600), pa.array(["seen"] * 600)], ["doc_id", "answer", "observations"])
+    run = grounding.flags(Kept(), ["doc_id"])
+    assert sum(b.num_rows for b in run(iter([batch]))) == 600 * 300
+    assert peak(run, [batch]) < 8
