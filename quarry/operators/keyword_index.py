@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,11 +50,11 @@ def question_terms(questions: DataFrame) -> DataFrame:
 
 
 def _postings(width: int):
-    """For Arrow batches of ``ord, text``, pieces of blocks: of a word and a range the rows that the task has seen since it last emptied its lists. The empty word stands for the row itself."""
+    """For Arrow batches of ``ord, text``, pieces of blocks: of a word and a range the rows that the task has seen since it last emptied its lists, as triples of 32-bit numbers: place in the range, tf, dl."""
     word = re.compile(r"\w+")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {"": 0}
+        known: dict[str, int] = {}
         at, ords, tfs, dls = [], [], [], []
 
         def emptied() -> pa.RecordBatch:
@@ -61,29 +62,82 @@ def _postings(width: int):
             order = np.lexsort((o, o // width, t))
             t, o, f, d = t[order], o[order], f[order], d[order]
             starts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (o[1:] // width != o[:-1] // width)])
-            rows = pa.StructArray.from_arrays([pa.array(o), pa.array(f), pa.array(d)], ["ord", "tf", "dl"])
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(t)], pa.int32()), rows)
+            triples = np.stack([o % width, f, d], 1).astype("<i4")
+            ends = pa.py_buffer((12 * np.r_[starts, len(t)]).astype(np.int32))
+            lists = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, ends, pa.py_buffer(triples.tobytes())])
             return pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()).take(pa.array(t[starts])), pa.array(o[starts] // width), lists], ["term", "range", "p"])
 
         for b in batches:
             for number, text in zip(b["ord"].to_pylist(), b["text"].to_pylist(), strict=True):
                 words = word.findall((text or "").lower())
                 own = Counter(words)
-                at.append(0)
                 at += [known.setdefault(w, len(known)) for w in own]
-                tfs.append(0)
                 tfs += own.values()
-                ords += [number] * (len(own) + 1)
-                dls += [len(words)] * (len(own) + 1)
+                ords += [number] * len(own)
+                dls += [len(words)] * len(own)
                 if len(at) > PIECES:
                     yield emptied()
-                    known, at, ords, tfs, dls = {"": 0}, [], [], [], []
+                    known, at, ords, tfs, dls = {}, [], [], [], []
         if at:
             yield emptied()
 
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``n, words`` of the texts of a task."""
+    word = re.compile(r"\w+")
+    n = words = 0
+    for b in batches:
+        n += b.num_rows
+        words += sum(len(word.findall((text or "").lower())) for text in b["text"].to_pylist())
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([words], pa.int64())], ["n", "words"])
+
+
+BLOCKS = "bucket int, term string, range long, top double, n int, ords array<long>, tfs array<int>, dls array<int>"
+
+
+def _merged(width: int, mean: float):
+    """For Arrow batches of pieces ``bucket, term, range, p``, sorted, their blocks. The last block of a batch waits for the next, which may have more of it."""
+
+    def blocks(b: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(new)
+        ends = np.frombuffer(b["p"].buffers()[1], np.int32)[b["p"].offset : b["p"].offset + b.num_rows + 1]
+        triples = np.frombuffer(b["p"].buffers()[2], "<i4")[ends[0] // 4 : ends[-1] // 4].reshape(-1, 3)
+        block = np.repeat(np.cumsum(new) - 1, np.diff(ends) // 12)
+        order = np.lexsort((triples[:, 0], block))
+        local, tf, dl = triples[order].T
+        first = np.searchsorted(block, np.arange(len(starts)))
+        lists = pa.array(np.append(first, len(block)), pa.int32())
+        ords = local + np.repeat(b["range"].to_numpy()[starts] * width, np.diff(np.append(first, len(block))))
+        top = np.maximum.reduceat(tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean)), first)
+        named = [b[c].take(pa.array(starts)) for c in ("bucket", "term", "range")]
+        parts = [pa.ListArray.from_arrays(lists, pa.array(x)) for x in (ords.astype(np.int64), tf.astype(np.int32), dl.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*named, pa.array(top), pa.array(np.diff(np.append(first, len(block))).astype(np.int32)), *parts], ["bucket", "term", "range", "top", "n", "ords", "tfs", "dls"])
+
+    def starts_of(b: pa.RecordBatch) -> np.ndarray:
+        new = np.ones(b.num_rows, bool)
+        for c in ("term", "range"):
+            other = pc.not_equal(b[c].slice(1), b[c].slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+            new[1:] = other if c == "term" else new[1:] | other
+        return new
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            b = b if held is None else pa.concat_batches([held, b])
+            if b.num_rows:
+                new = starts_of(b)
+                last = int(np.flatnonzero(new)[-1])
+                if last:
+                    yield blocks(b.slice(0, last), new[:last])
+                held = b.slice(last)
+        if held is not None:
+            yield blocks(held, starts_of(held))
+
+    return run
+
+
 @dataclass(frozen=True)
 class KeywordIndex:
     """``blocks(bucket, term, range, top, n, ords, tfs, dls)``, ``terms(bucket, term, df, idf)``, and the numbers of the whole corpus."""
@@ -100,27 +154,25 @@ class KeywordIndex:
 
 
 def write_index(corpus: DataFrame, path: str, text: str = "content", *, buckets: int = 64, width: int = 1024) -> None:
-    """Index ``corpus(ord, <text>)``, in place of what is at ``path``. ``ord`` should be unique and rather dense."""
+    """Index ``corpus(ord, <text>)``, in place of what is at ``path``. ``ord`` should be unique and rather dense.
+
+    Texts are read twice, first for their mean length. Postings are shuffled once, to the files in which they stay; what is known of terms is counted from these.
+    """
     rows = corpus.select(F.col("ord").cast("long").alias("ord"), F.col(text).alias("text"))
-    pieces = rows.mapInArrow(_postings(width), "term string, range long, p array<struct<ord:long,tf:int,dl:int>>")
-    # at most `width` postings in a group, however frequent the term
-    grouped = pieces.groupBy("term", "range").agg(F.flatten(F.collect_list("p")).alias("p"))
-    grouped = stored(grouped, "postings")
-    whole = grouped.filter("term = ''").select(F.explode("p.dl").alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
+    spark = corpus.sparkSession
+    whole = rows.select("text").mapInArrow(_counted, "n long, words long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
     whole = stored(whole.withColumns({"mean": F.col("words") / F.greatest("n", F.lit(1)), "buckets": F.lit(buckets), "width": F.lit(width)}), "about")
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    counts = grouped.filter("term <> ''").groupBy("term").agg(F.sum(F.size("p")).alias("df"))
+    n = tasks(spark)
+    pieces = rows.mapInArrow(_postings(width), "term string, range long, p binary").withColumn("bucket", bucket)
+    dealt = pieces.repartition(n, "bucket", F.pmod("range", F.lit(-(-n // buckets)))).sortWithinPartitions("bucket", "term", "range").select("bucket", "term", "range", "p")
+    dealt.mapInArrow(_merged(width, whole.head()["mean"]), BLOCKS).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    blocks = spark.read.schema("term string, n int, bucket int").parquet(f"{path}/blocks")
+    counts = blocks.groupBy("term").agg(F.sum("n").alias("df"))
     raw = stored(counts.crossJoin(F.broadcast(whole)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf0")), "term-weights")
     floor = raw.agg((F.lit(EPSILON) * F.avg("idf0")).alias("least"))
     idf = F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(F.col("least"))
     terms = raw.crossJoin(F.broadcast(floor)).select(bucket.alias("bucket"), "term", "df", idf.alias("idf"))
-    blocks = grouped.filter("term <> ''").crossJoin(F.broadcast(whole.select("mean")))
-    each = lambda name: F.col(f"p.{name}")
-    top = F.array_max(F.transform("p", lambda x: part(x["tf"], x["dl"], F.col("mean"))))
-    blocks = blocks.select(bucket.alias("bucket"), "term", "range", top.alias("top"), F.size("p").alias("n"), each("ord").alias("ords"), each("tf").alias("tfs"), each("dl").alias("dls"))
-    n = tasks(corpus.sparkSession)
-    spread = F.pmod("range", F.lit(-(-n // buckets)))
-    blocks.repartition(n, "bucket", spread).sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
     terms.repartition(n, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     whole.write.mode("overwrite").parquet(f"{path}/about")
 

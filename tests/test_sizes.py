@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quarry.operators import grounding, vector_index
+from quarry.operators import grounding, keyword_index, vector_index
 from quarry.operators import retrieval as R
 
 
@@ -80,3 +80,16 @@ def test_flags_of_a_batch_are_made_in_parts():
     run = grounding.flags(Kept(), ["doc_id"])
     assert sum(b.num_rows for b in run(iter([batch]))) == 600 * 300
     assert peak(run, [batch]) < 8
+
+
+def test_an_index_shuffles_its_postings_once(spark, tmp_path):
+    words = F.concat_ws(" ", *(F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(50)).cast("string")) for i in range(20)))
+    corpus = spark.range(2000).select(F.col("id").alias("ord"), words.alias("content"))
+    context = spark.sparkContext
+    stages = lambda: list(context._gateway.jvm.scala.jdk.javaapi.CollectionConverters.asJava(context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)))
+    before = {x.stageId() for x in stages()}
+    keyword_index.write_index(corpus, str(tmp_path / "i"), width=16)
+    blocks = keyword_index.open_index(spark, str(tmp_path / "i")).blocks
+    n, postings = blocks.agg(F.count("*"), F.sum("n")).head()
+    assert n > 4000 and postings == corpus.select(F.explode(F.array_distinct(F.split("content", " ")))).count()
+    assert sum(x.shuffleWriteRecords() >= n for x in stages() if x.stageId() not in before) == 1
