@@ -230,6 +230,8 @@ def search_pages(
     if title_boost:
         lists.append(R.title_search(corpus, questions, deep, index=titles))
     pool = lists[0].select("query_id", "rank", "ord") if len(lists) == 1 else fused(corpus, lists)
+    # written first, so that Spark knows that it is small, and sends it to the corpus rather than texts to it
+    pool = stored(pool.select("query_id", "rank", "ord"), "pool")
     if by_section:
         found = expand_pages(corpus, pool, top_n=top_n, char_budget=char_budget, questions=questions, scorer=scorer).withColumnRenamed("text", "section_text")
     else:
